@@ -1,8 +1,8 @@
 """Quality rules as weak supervision.
 
 Each rule votes good (1), votes bad (-1) or abstains (0).  Expectation
-maximisation over the counts of vote patterns estimates every rule's accuracy
-and the share of good documents; a document's posterior probability of being
+maximisation over the counts of vote patterns estimates every rule's accuracy;
+a document's posterior probability of being
 good replaces "all rules must pass".
 
 Only DataFrame functions are used.  The statistics cover all rows: patterns are
@@ -124,10 +124,11 @@ VOTES = (-1, 0, 1)
 #: A rule is right to some degree whatever the data say: no vote decides alone.
 FLOOR = 0.002
 #: Limits of what EM may conclude.  At most a tenth of a rule's bad votes fall on
-#: good documents, a good vote weighs at most 1.5 to 1 and the prior 9 to 1.
+#: good documents and a good vote weighs at most 1.25 to 1.  The prior is given:
+#: abstentions are no evidence, so the votes do not tell it.
 #: Without them EM settles on the largest group of rules that go together and
 #: takes the documents of every other defect for good ones.
-BAD_VOTE_ERROR, GOOD_VOTE_ODDS, PRIOR = 0.1, 1.5, (0.1, 0.9)
+BAD_VOTE_ERROR, GOOD_VOTE_ODDS, PRIOR = 0.1, 1.25, 0.8
 
 
 @dataclass(frozen=True)
@@ -166,10 +167,10 @@ def fit_label_model(votes: DataFrame, n_rules: int, rounds: int = 40, tolerance:
     """
     patterns = checkpointed(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1))
     q: Column = F.when(F.array_contains("votes", -1), 0.05).otherwise(0.95)
-    model = LabelModel(0.5, ((0.1, 0.2, 0.7),) * n_rules, ((0.5, 0.2, 0.3),) * n_rules)
+    model = LabelModel(PRIOR, ((0.1, 0.2, 0.7),) * n_rules, ((0.5, 0.2, 0.3),) * n_rules)
     before: list[float] = []
     for _ in range(rounds):
-        sums = [F.sum("n").alias("rows"), F.sum(q * F.col("n")).alias("q")]
+        sums = [F.sum("n").alias("rows")]
         for i in range(n_rules):
             for v in VOTES:
                 cast = F.when(F.get("votes", F.lit(i)) == v, F.col("n")).otherwise(0)
@@ -185,8 +186,8 @@ def fit_label_model(votes: DataFrame, n_rules: int, rounds: int = 40, tolerance:
             meant = g[0] <= b[0], g[2] >= b[2]
             good.append(_table([min(g[0], b[0]), g[1], max(g[2], b[2])]) if not all(meant) else g)
             bad.append(_table([max(g[0], b[0]), b[1], min(g[2], b[2])]) if not all(meant) else b)
-        model = LabelModel(min(PRIOR[1], max(PRIOR[0], got["q"] / got["rows"])), tuple(good), tuple(bad))
-        now = [model.prior, *(x for t in (*good, *bad) for x in t)]
+        model = LabelModel(PRIOR, tuple(good), tuple(bad))
+        now = [x for t in (*good, *bad) for x in t]
         if before and max(abs(x - y) for x, y in zip(now, before, strict=True)) < tolerance:
             break
         before, q = now, model.posterior(F.col("votes"))
