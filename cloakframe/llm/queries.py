@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import near_dedup, quality_rules, secret_scan, sharding
+from cloakframe.llm import near_dedup, packing, quality_rules, secret_scan, sharding
 from cloakframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Plan(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), forest=near_dedup.Forest(width=2))
     return found.withColumnRenamed("id", "doc_id")
@@ -46,5 +52,6 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
