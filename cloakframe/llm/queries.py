@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import near_dedup, packing, quality_rules, secret_scan, sharding
+from cloakframe.llm import near_dedup, nearest, packing, quality_rules, secret_scan, sharding
 from cloakframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op4_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), tree=sharding.EIGHT, grown=sharding.NINE)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -51,6 +55,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_multiprobe_neighbours": op4_multiprobe_neighbours,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op10_minhash_dedup": op10_minhash_dedup,
