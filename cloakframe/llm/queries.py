@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import language_id, near_dedup, nearest, packing, quality_rules, secret_scan, sharding
+from cloakframe.llm import language_id, mixing, near_dedup, nearest, packing, quality_rules, secret_scan, sharding, token_count
 from cloakframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Plan(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), forest=near_dedup.Forest(width=2))
     return found.withColumnRenamed("id", "doc_id")
@@ -63,5 +74,7 @@ QUERIES: dict[str, Query] = {
     "op4_multiprobe_neighbours": op4_multiprobe_neighbours,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op8_pfair_mix": op8_pfair_mix,
+    "op9_token_count": op9_token_count,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
