@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import language_id, mixing, near_dedup, nearest, packing, quality_rules, secret_scan, sharding, token_count
+from cloakframe.llm import language_id, mixing, near_dedup, nearest, packing, pii, quality_rules, secret_scan, sharding, token_count
 from cloakframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.Plan(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents"), key="op7")
+    count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.select(F.col("id").alias("doc_id"), *[count(k.name) for k in pii.KINDS], "text")
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return placed.withColumnRenamed("id", "doc_id")
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op4_multiprobe_neighbours": op4_multiprobe_neighbours,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_token_count": op9_token_count,
     "op10_minhash_dedup": op10_minhash_dedup,
