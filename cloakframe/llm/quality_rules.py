@@ -58,8 +58,8 @@ def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     return F.when(last < 2, F.lit(0)).otherwise(F.when(some, exact).otherwise(F.lit(0)))
 
 
-def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts that the rules and the hard limits read, one row per input row."""
+def features(df: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and the counts that rules and hard limits read, one row per input row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     removed = lambda p: (F.char_length(text) - F.char_length(F.regexp_replace(text, p, ""))).cast("long")
@@ -73,15 +73,8 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ),
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    made = df.select(
-        F.col(id_col).alias("id"),
-        of_words.alias("w"),
-        of_lines.alias("l"),
-        removed(SYMBOLS + "+").alias("n_symbols"),
-        removed(r"\p{Lu}+").alias("n_upper"),
-        removed("!+").alias("n_shouts"),
-    )
-    return made.select("id", "w.*", "l.*", "n_symbols", "n_upper", "n_shouts")
+    made = df.select(*keep, of_words.alias("__w"), of_lines.alias("__l"), removed(SYMBOLS + "+").alias("n_symbols"), removed(r"\p{Lu}+").alias("n_upper"), removed("!+").alias("n_shouts"))
+    return made.select(*[c for c in made.columns if c not in ("__w", "__l")], "__w.*", "__l.*")
 
 
 @dataclass(frozen=True)
@@ -194,10 +187,25 @@ def fit_label_model(votes: DataFrame, n_rules: int, rounds: int = 40, tolerance:
     return model
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict: one row per input row, id in ``id``."""
-    counts = features(df, id_col, text_col)
-    voted = checkpointed(counts.withColumn("votes", F.array(*[r.vote() for r in rules])))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    voted = checkpointed(features(df, [F.col(id_col).alias("id")], text_col).withColumn("votes", F.array(*[r.vote() for r in rules])))
     model = fit_label_model(voted, len(rules))
-    return voted.withColumn("posterior", model.posterior(F.col("votes"))).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return voted.withColumn("posterior", model.posterior(F.col("votes"))).withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns.
+
+    Texts are counted once for the estimate and once for the verdict instead of
+    being moved to meet a verdict computed elsewhere.
+    """
+    votes = features(df, [], text_col).select(F.array(*[r.vote() for r in rules]).alias("votes"))
+    model = fit_label_model(votes, len(rules))
+    judged = features(df, [F.struct(*df.columns).alias("__row")], text_col)
+    votes = F.array(*[r.vote() for r in rules])
+    return judged.filter(~_failed() & (model.posterior(votes) >= threshold)).select("__row.*")
