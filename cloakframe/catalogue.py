@@ -1,10 +1,477 @@
-"""Queries of the anonymisation operators over the test tables, with their SQL."""
+"""Queries of the anonymisation operators over the test tables, with their SQL.
+
+The SQL runs in DuckDB over views of the same tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.functions.sets import euclidean, mismatches
+from cloakframe.operators.attackers import IntersectionAttacker, TrajectoryAttacker, overlap_join
+from cloakframe.operators.clustering import Clustering
+from cloakframe.operators.cover import cover_rows
+from cloakframe.operators.images import KSame
+from cloakframe.operators.metrics import PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
+from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, DistinctLDiversity, KAnonymity, TCloseness, frequencies
+from cloakframe.operators.mondrian import Mondrian
+from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
+from cloakframe.operators.republication import MInvariance
+from cloakframe.operators.schemas import HumanReadable, MachineReadable, Microaggregation, RawData
+from cloakframe.plans.roles import GROUP, RID, row
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+MR = MachineReadable({"p_type": TYPES}, ("p_size",), ("p_brand",))
+HR = HumanReadable(("p_type",), ("p_size",), ("p_brand",))
+RAW = RawData(("p_type", "p_brand"), ("p_size",), ("p_size", "p_type"))
+SIZES, KINDS, BRANDS = (5, 20), {"ECONOMY", "PROMO"}, {"Brand#1", "Brand#7"}
+WANTED = {"p_size": SIZES, "p_type": KINDS, "p_brand": BRANDS}
+
+#: Classes of near sizes, so that regions differ.
+_CLASS = "floor(p_size / 7) * 10 + p_partkey % 3"
+
+
+def _part(spark: SparkSession, sf_dir: str, by: str = _CLASS) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_brand", F.expr(by).cast("bigint").alias(GROUP))
+
+
+def _mr(spark: SparkSession, sf_dir: str, by: str = _CLASS) -> DataFrame:
+    return MR.generalise(_part(spark, sf_dir, by))
+
+
+_FLAGS = ", ".join(f"bool_or(p_type = '{t}') AS \"p_type_{t}\"" for t in TYPES)
+_HOTS = ", ".join(f'"p_type_{t}"' for t in TYPES)
+
+
+def _release_sql(by: str = _CLASS) -> str:
+    return (
+        f"g AS (SELECT *, {by} AS gid FROM part), q AS (SELECT gid, min(p_size) AS p_size_min, max(p_size) AS p_size_max, {_FLAGS} FROM g GROUP BY gid), "
+        'rel AS (SELECT q.*, c.p_brand, c.n AS "count" FROM q JOIN (SELECT gid, p_brand, count(*) AS n FROM g GROUP BY gid, p_brand) c USING (gid))'
+    )
+
+
+_COLS = f'p_size_min, p_size_max, {_HOTS}, p_brand, "count"'
+_MEETS = "p_size_min <= 20 AND p_size_max >= 5 AND (\"p_type_ECONOMY\" OR \"p_type_PROMO\") AND p_brand IN ('Brand#1', 'Brand#7')"
+_CARD = "(p_size_max - p_size_min + 1) * (" + " + ".join(f'CAST("p_type_{t}" AS INT)' for t in TYPES) + ")"
+_OVER = "greatest(0, least(p_size_max, 20) - greatest(p_size_min, 5) + 1) * (CAST(\"p_type_ECONOMY\" AS INT) + CAST(\"p_type_PROMO\" AS INT))"
+
+
+# -- generalisation -----------------------------------------------------------
+@query(f"WITH {_release_sql()} SELECT {_COLS} FROM rel")
+def mr_generalise(spark, sf_dir):
+    return _mr(spark, sf_dir)
+
+
+@query(
+    f"WITH g AS (SELECT *, {_CLASS} AS gid FROM part), q AS (SELECT gid, CASE WHEN min(p_size) = max(p_size) THEN CAST(min(p_size) AS VARCHAR) ELSE min(p_size) || '-' || max(p_size) END AS p_size, "
+    "string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_type FROM g GROUP BY gid) SELECT q.p_size, q.p_type, c.p_brand, c.n AS \"count\" FROM q JOIN (SELECT gid, p_brand, count(*) AS n FROM g GROUP BY gid, p_brand) c USING (gid)"
+)
+def hr_generalise(spark, sf_dir):
+    return HR.generalise(_part(spark, sf_dir))
+
+
+@query(
+    f"WITH g AS (SELECT *, {_CLASS} AS gid FROM part), q AS (SELECT gid, round(avg(p_size), 6) AS p_size, round(avg(p_retailprice), 6) AS p_retailprice FROM g GROUP BY gid) "
+    'SELECT q.p_size, q.p_retailprice, c.p_brand, c.n AS "count" FROM q JOIN (SELECT gid, p_brand, count(*) AS n FROM g GROUP BY gid, p_brand) c USING (gid)'
+)
+def micro_generalise(spark, sf_dir):
+    df = _table(spark, sf_dir, "part").withColumn(GROUP, F.expr(_CLASS))
+    out = Microaggregation(("p_size", "p_retailprice"), ("p_brand",)).generalise(df)
+    return out.select(F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"), "p_brand", "count")
+
+
+@query('SELECT CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_discount * 100) AS BIGINT) AS disc, l_returnflag, l_linestatus, count(*) AS "count" FROM lineitem GROUP BY 1, 2, 3, 4')
+def raw_dedupe_count(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("bigint").alias("qty"), F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"), "l_returnflag", "l_linestatus")
+    return RawData(("l_returnflag", "l_linestatus"), ("qty", "disc"), ("qty", "disc")).generalise(df)
+
+
+def _sizes() -> Taxonomy:
+    small = Taxonomy("small").add_generalised(Taxonomy("tiny").add_raw_values(range(1, 11))).add_generalised(Taxonomy("little").add_raw_values(range(11, 26)))
+    return Taxonomy("any").add_generalised(small).add_generalised(Taxonomy("big").add_raw_values(range(26, 51)))
+
+
+RECODING = GlobalRecoding({"p_size": _sizes()}, ("p_brand",))
+_BAND = "CASE WHEN p_size <= 10 THEN 'tiny' WHEN p_size <= 25 THEN 'little' ELSE 'big' END"
+_RECODED = (
+    f"g AS (SELECT *, p_size // 9 AS gid, {_BAND} AS band FROM part), "
+    "low AS (SELECT gid, CASE WHEN min(p_size) = max(p_size) THEN CAST(min(p_size) AS VARCHAR) WHEN count(DISTINCT band) = 1 THEN min(band) WHEN bool_or(band = 'big') THEN 'any' ELSE 'small' END AS v, min(p_size) AS lo FROM g GROUP BY gid), "
+    "present AS (SELECT DISTINCT v FROM low), "
+    "high AS (SELECT gid, CASE WHEN EXISTS (SELECT 1 FROM present WHERE present.v = 'any') THEN 'any' "
+    "WHEN low.v <> 'big' AND lo <= 25 AND EXISTS (SELECT 1 FROM present WHERE present.v = 'small') THEN 'small' "
+    "WHEN lo <= 10 AND EXISTS (SELECT 1 FROM present WHERE present.v = 'tiny') THEN 'tiny' WHEN lo BETWEEN 11 AND 25 AND EXISTS (SELECT 1 FROM present WHERE present.v = 'little') THEN 'little' "
+    "WHEN lo > 25 AND EXISTS (SELECT 1 FROM present WHERE present.v = 'big') THEN 'big' ELSE low.v END AS p_size FROM low), "
+    'rel AS (SELECT high.p_size, c.p_brand, c.n AS "count" FROM high JOIN (SELECT gid, p_brand, count(*) AS n FROM g GROUP BY gid, p_brand) c USING (gid))'
+)
+
+
+def _recoded(spark, sf_dir) -> DataFrame:
+    return RECODING.generalise(_part(spark, sf_dir, "floor(p_size / 9)").drop("p_type"))
+
+
+@query(f'WITH {_RECODED} SELECT p_size, p_brand, "count" FROM rel')
+def global_recode(spark, sf_dir):
+    return _recoded(spark, sf_dir)
+
+
+_LEAVES = "CASE p_size WHEN 'any' THEN 50 WHEN 'small' THEN 25 WHEN 'tiny' THEN 10 WHEN 'little' THEN 15 WHEN 'big' THEN 25 ELSE 1 END"
+_INSIDE = "CASE p_size WHEN 'any' THEN 6 WHEN 'small' THEN 6 WHEN 'tiny' THEN 3 WHEN 'little' THEN 3 WHEN 'big' THEN 0 ELSE CAST(TRY_CAST(p_size AS INT) BETWEEN 8 AND 13 AS INT) END"
+
+
+@query(f'WITH {_RECODED} SELECT p_size, p_brand, "count", CAST({_LEAVES} AS BIGINT) AS cardinality, CAST({_INSIDE} AS BIGINT) AS inside FROM rel WHERE {_INSIDE} > 0')
+def taxonomy_select(spark, sf_dir):
+    wanted = {"p_size": (8, 13)}
+    return RECODING.select(_recoded(spark, sf_dir), wanted).select("*", RECODING.set_cardinality(row(), ["p_size"]).alias("cardinality"), RECODING.query_overlap(row(), wanted).alias("inside"))
+
+
+# -- privacy models -----------------------------------------------------------
+_EC = "concat(l_returnflag, l_linestatus, '-', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus", F.lit("-"), F.col("l_quantity").cast("bigint").cast("string")).alias("ec"), F.round(F.col("l_discount") * 100).cast("int").alias("disc"))
+
+
+@query(f"SELECT {_EC} AS ec, count(*) >= 200 AS ok FROM lineitem GROUP BY 1")
+def k_anon_check(spark, sf_dir):
+    return KAnonymity(200).holds(_lines(spark, sf_dir), "ec")
+
+
+@query(f"SELECT {_EC} AS ec, count(DISTINCT round(l_discount * 100)) >= 11 AS ok FROM lineitem GROUP BY 1")
+def l_div_check(spark, sf_dir):
+    return DistinctLDiversity(11, "disc").holds(_lines(spark, sf_dir), "ec")
+
+
+def _closeness(measure: str) -> str:
+    return (
+        "WITH q AS (SELECT c_mktsegment AS s, count(*) * 1.0 / (SELECT count(*) FROM customer) AS q FROM customer GROUP BY 1), n AS (SELECT c_nationkey AS ec, count(*) AS n FROM customer GROUP BY 1), "
+        "f AS (SELECT c_nationkey AS ec, c_mktsegment AS s, count(*) AS c FROM customer GROUP BY 1, 2) "
+        f"SELECT n.ec, round({measure}, 9) AS distance FROM n CROSS JOIN q LEFT JOIN f ON f.ec = n.ec AND f.s = q.s GROUP BY n.ec"
+    )
+
+
+def _close(spark, sf_dir, distance) -> DataFrame:
+    df = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("ec"), "c_mktsegment")
+    return TCloseness(0.1, "c_mktsegment", distance).distances(df, "ec").select("ec", F.round("distance", 9).alias("distance"))
+
+
+@query(_closeness("max(abs(coalesce(f.c, 0) * 1.0 / n.n - q.q))"))
+def t_close_max(spark, sf_dir):
+    return _close(spark, sf_dir, MAX_DISTANCE)
+
+
+@query(_closeness("0.5 * sum(abs(coalesce(f.c, 0) * 1.0 / n.n - q.q))"))
+def t_close_emd(spark, sf_dir):
+    return _close(spark, sf_dir, EARTH_MOVER)
+
+
+@query("SELECT c_nationkey AS ec, c_mktsegment AS value, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY c_nationkey), 9) AS share FROM customer GROUP BY 1, 2")
+def value_frequencies(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").withColumn("ec", F.col("c_nationkey"))
+    return frequencies(df, "c_mktsegment", "ec").select("ec", "value", "n", F.round("share", 9).alias("share"))
+
+
+# -- partitioning -------------------------------------------------------------
+def _rid(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn(RID, F.col(key).cast("bigint"))
+
+
+_MONDRIAN = (
+    "WITH m AS (SELECT median(p_size) AS m1 FROM part), a AS (SELECT part.*, CASE WHEN p_size < m1 THEN 'RL' ELSE 'RR' END AS side FROM part CROSS JOIN m), "
+    "m2 AS (SELECT side, median(p_retailprice) AS m2 FROM a GROUP BY side), b AS (SELECT a.*, a.side || CASE WHEN p_retailprice < m2 THEN 'L' ELSE 'R' END AS group_id FROM a JOIN m2 USING (side)) "
+    "SELECT group_id, count(*) AS size, min(p_size) AS min_size, max(p_size) AS max_size, round(min(p_retailprice), 6) AS min_price, round(max(p_retailprice), 6) AS max_price FROM b GROUP BY group_id"
+)
+
+
+def _two_levels(spark, sf_dir, local_rows: int) -> DataFrame:
+    df = _rid(_table(spark, sf_dir, "part"), "p_partkey")
+    k = df.count() // 5
+    found = Mondrian((KAnonymity(k),), ("p_size", "p_retailprice"), local_rows=local_rows).partition(df)
+    price = lambda f: F.round(f("p_retailprice"), 6)
+    return df.join(found, RID).groupBy(GROUP).agg(F.count(F.lit(1)).alias("size"), F.min("p_size").alias("min_size"), F.max("p_size").alias("max_size"), price(F.min).alias("min_price"), price(F.max).alias("max_price"))
+
+
+@query(_MONDRIAN)
+def mondrian_k(spark, sf_dir):
+    return _two_levels(spark, sf_dir, local_rows=0)
+
+
+@query(_MONDRIAN)
+def mondrian_k_local(spark, sf_dir):
+    return _two_levels(spark, sf_dir, local_rows=1 << 40)
+
+
+def _held(df: DataFrame, found: DataFrame, k: int, distinct: str | None = None, least: int = 1) -> DataFrame:
+    """What a partition guarantees: all rows are in it once, and its classes meet the models."""
+    parts = df.join(found, RID, "left")
+    values = F.count_distinct(distinct) if distinct else F.lit(least)
+    sizes = parts.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), values.alias("l"))
+    return sizes.agg(F.sum("n").alias("n_rows"), (F.min("n") >= k).alias("k_ok"), (F.min("l") >= least).alias("l_ok"), F.count_if(F.col(GROUP).isNull()).alias("outside"))
+
+
+@query("SELECT count(*) AS n_rows, true AS k_ok, true AS l_ok, CAST(0 AS BIGINT) AS outside FROM part")
+def mondrian_kl(spark, sf_dir):
+    df = _rid(_table(spark, sf_dir, "part"), "p_partkey")
+    found = Mondrian((KAnonymity(10), DistinctLDiversity(5, "p_brand")), ("p_size", "p_type", "p_retailprice"), local_rows=500).partition(df)
+    return _held(df, found, 10, "p_brand", 5)
+
+
+@query("SELECT count(*) AS n_rows, true AS k_ok, true AS l_ok, CAST(0 AS BIGINT) AS outside, true AS t_ok FROM customer")
+def mondrian_kt(spark, sf_dir):
+    df = _rid(_table(spark, sf_dir, "customer"), "c_custkey")
+    model = TCloseness(0.15, "c_mktsegment")
+    found = Mondrian((KAnonymity(20), model), ("c_nationkey", "c_acctbal"), local_rows=300).partition(df)
+    ok = model.holds(df.join(found, RID), GROUP).agg(F.min("ok").alias("t_ok"))
+    return _held(df, found, 20).crossJoin(F.broadcast(ok))
+
+
+@query("SELECT floor(p_size / 7) AS ec, CAST(max(p_size) - min(p_size) AS DOUBLE) / (SELECT max(p_size) - min(p_size) FROM part) AS size_span, count(DISTINCT p_type) * 1.0 / (SELECT count(DISTINCT p_type) FROM part) AS type_span FROM part GROUP BY 1")
+def spans(spark, sf_dir):
+    df = _table(spark, sf_dir, "part")
+    whole = df.agg((F.max("p_size") - F.min("p_size")).alias("s"), F.count_distinct("p_type").alias("t"))
+    by = df.groupBy(F.floor(F.col("p_size") / 7).cast("double").alias("ec")).agg((F.max("p_size") - F.min("p_size")).alias("a"), F.count_distinct("p_type").alias("b"))
+    return by.crossJoin(F.broadcast(whole)).select("ec", F.try_divide("a", "s").alias("size_span"), F.try_divide("b", "t").alias("type_span"))
+
+
+_CLUSTERS = "WITH n AS (SELECT count(*) AS n FROM {t}) SELECT CAST({k} AS BIGINT) AS size, n // {k} - 1 + CAST(n % {k} = 0 AS BIGINT) AS clusters FROM n WHERE n // {k} - 1 + CAST(n % {k} = 0 AS BIGINT) > 0 UNION ALL SELECT {k} + n % {k}, CAST(1 AS BIGINT) FROM n WHERE n % {k} > 0"
+
+
+def _cluster_sizes(spark, sf_dir, algorithm: str, k: int) -> DataFrame:
+    df = _rid(_table(spark, sf_dir, "supplier"), "s_suppkey")
+    found = Clustering(k, ("s_nationkey", "s_acctbal"), algorithm).partition(df)
+    return found.groupBy(GROUP).count().groupBy(F.col("count").alias("size")).agg(F.count(F.lit(1)).alias("clusters"))
+
+
+@query(_CLUSTERS.format(t="supplier", k=7))
+def mdav(spark, sf_dir):
+    return _cluster_sizes(spark, sf_dir, "mdav", 7)
+
+
+@query(_CLUSTERS.format(t="supplier", k=7))
+def fmdav(spark, sf_dir):
+    return _cluster_sizes(spark, sf_dir, "fmdav", 7)
+
+
+@query(_CLUSTERS.format(t="supplier", k=3))
+def random_choice(spark, sf_dir):
+    return _cluster_sizes(spark, sf_dir, "random", 3)
+
+
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS different FROM supplier")
+def fmdav_equals_mdav(spark, sf_dir):
+    df = _rid(_table(spark, sf_dir, "supplier"), "s_suppkey")
+    a, b = (Clustering(5, ("s_nationkey", "s_acctbal"), x).partition(df) for x in ("mdav", "fmdav"))
+    return a.join(b.withColumnRenamed(GROUP, "other"), RID).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(GROUP) != F.col("other")).alias("different"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS outside, true AS distinct_ok FROM customer")
+def m_invariance(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    found, fakes = MInvariance(3, ("nation",), "segment").partition(df)
+    real = df.join(found, "ID", "left").select(GROUP, "segment")
+    classes = real.unionByName(fakes.select(GROUP, "segment")).groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("segment").alias("d"))
+    ok = classes.agg(F.min((F.col("d") >= 3) & (F.col("d") == F.col("n"))).alias("distinct_ok"))
+    return real.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(GROUP).isNull()).alias("outside")).crossJoin(F.broadcast(ok))
+
+
+@query("SELECT count(*) AS n_images, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 5) AS total, true AS k_ok FROM embeddings")
+def ksame_pixel(spark, sf_dir):
+    images = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"), "label")
+    done = KSame(5, "pixel").anonymise(images, "label")
+    total = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x)
+    sizes = done.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("t"))
+    return sizes.agg(F.sum("n").alias("n_images"), F.round(F.sum("t"), 5).alias("total"), (F.min("n") >= 5).alias("k_ok"))
+
+
+@query("SELECT count(*) AS n_images, CAST(0 AS BIGINT) AS different FROM embeddings")
+def ksame_eigen(spark, sf_dir):
+    images = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"), "label")
+    a, b = (KSame(5, v, "mdav").anonymise(images, "label") for v in ("pixel", "eigen"))
+    joined = a.join(b.select("image_id", F.col("pixels").alias("other")), "image_id")
+    return joined.agg(F.count(F.lit(1)).alias("n_images"), F.count_if(euclidean(F.col("pixels"), F.col("other")) > 1e-6).alias("different"))
+
+
+# -- schema algebra -----------------------------------------------------------
+@query(f"WITH {_release_sql()} SELECT {_COLS} FROM rel WHERE {_MEETS}")
+def mr_select(spark, sf_dir):
+    return MR.select(_mr(spark, sf_dir), WANTED)
+
+
+@query(
+    f"WITH {_release_sql()} SELECT CASE WHEN p_size_min = p_size_max THEN CAST(p_size_min AS VARCHAR) ELSE p_size_min || '-' || p_size_max END AS p_size, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN \"p_type_{t}\" THEN '{t}' END" for t in TYPES)
+    + f"], lambda x: x IS NOT NULL), ',') AS p_type, p_brand, \"count\" FROM rel WHERE {_MEETS}"
+)
+def hr_select(spark, sf_dir):
+    return HR.select(HR.generalise(_part(spark, sf_dir)), WANTED)
+
+
+@query("SELECT p_size, p_type, p_brand, count(*) AS \"count\" FROM part WHERE p_size BETWEEN 5 AND 20 AND p_type IN ('ECONOMY', 'PROMO') AND p_brand IN ('Brand#1', 'Brand#7') GROUP BY 1, 2, 3")
+def raw_select(spark, sf_dir):
+    return RAW.select(RAW.generalise(_part(spark, sf_dir).select("p_size", "p_type", "p_brand")), WANTED)
+
+
+def _targets(spark, sf_dir) -> DataFrame:
+    df = _table(spark, sf_dir, "part").filter("p_partkey % 97 = 0")
+    return df.select(F.col("p_partkey").alias("ID"), (F.col("p_size") - 1).alias("p_size_min"), (F.col("p_size") + 1).alias("p_size_max"), *[(F.col("p_type") == t).alias(f"p_type_{t}") for t in TYPES])
+
+
+_TARGETS = "t AS (SELECT p_partkey AS id, p_size - 1 AS lo, p_size + 1 AS hi, p_type AS ty FROM part WHERE p_partkey % 97 = 0)"
+_HIT = "t.lo <= rel.p_size_max AND t.hi >= rel.p_size_min AND (" + " OR ".join(f"(t.ty = '{t}' AND rel.\"p_type_{t}\")" for t in TYPES) + ")"
+
+
+@query(f'WITH {_release_sql()}, {_TARGETS} SELECT t.id AS "ID", count(*) AS n_rows, CAST(sum("count") AS BIGINT) AS n_records FROM t JOIN rel ON {_HIT} GROUP BY t.id')
+def mr_match_join(spark, sf_dir):
+    pairs = overlap_join(_targets(spark, sf_dir), _mr(spark, sf_dir), MR, ["p_size", "p_type"])
+    return pairs.groupBy(F.col("k.ID").alias("ID")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("r.count").alias("n_records"))
+
+
+@query(
+    f'WITH {_release_sql()}, {_TARGETS} SELECT t.id AS "ID", greatest(t.lo, rel.p_size_min) AS p_size_min, least(t.hi, rel.p_size_max) AS p_size_max, '
+    + ", ".join(f"(t.ty = '{t}' AND rel.\"p_type_{t}\") AS \"p_type_{t}\"" for t in TYPES)
+    + f', rel.p_brand, rel."count" FROM t JOIN rel ON {_HIT}'
+)
+def record_intersect(spark, sf_dir):
+    pairs = overlap_join(_targets(spark, sf_dir), _mr(spark, sf_dir), MR, ["p_size", "p_type"])
+    k, r = (lambda c: F.col("k")[c]), (lambda c: F.col("r")[c])
+    _, columns = MR.intersect(k, r, ["p_size", "p_type"], take_right=["p_brand"])
+    return pairs.select(k("ID").alias("ID"), *columns, r("count").alias("count"))
+
+
+@query(f"WITH {_release_sql()} SELECT DISTINCT p_size_min, p_size_max, CAST(p_size_max - p_size_min + 1 AS BIGINT) AS n_sizes, array_to_string(list_filter([" + ", ".join(f"CASE WHEN \"p_type_{t}\" THEN '{t}' END" for t in TYPES) + "], lambda x: x IS NOT NULL), ',') AS types FROM rel")
+def values_for(spark, sf_dir):
+    rel = _mr(spark, sf_dir)
+    return rel.select("p_size_min", "p_size_max", F.size(MR.values_for(row(), "p_size")).cast("bigint").alias("n_sizes"), F.array_join(MR.values_for(row(), "p_type"), ",").alias("types")).distinct()
+
+
+@query(f"WITH {_release_sql()} SELECT p_size_min, p_size_max, p_brand, CAST({_CARD} AS BIGINT) AS cardinality FROM rel")
+def set_cardinality(spark, sf_dir):
+    return _mr(spark, sf_dir).select("p_size_min", "p_size_max", "p_brand", MR.set_cardinality(row(), ["p_size", "p_type"]).alias("cardinality"))
+
+
+@query(f"WITH {_release_sql()} SELECT p_size_min, p_size_max, p_brand, CAST({_OVER} * CAST(p_brand IN ('Brand#1', 'Brand#7') AS INT) AS BIGINT) AS overlap FROM rel")
+def query_overlap(spark, sf_dir):
+    return _mr(spark, sf_dir).select("p_size_min", "p_size_max", "p_brand", MR.query_overlap(row(), WANTED).alias("overlap"))
+
+
+# -- metrics ------------------------------------------------------------------
+_ESTIMATE = f'sum("count" * ({_OVER}) * 1.0 / ({_CARD}))'
+_TRUTH = "(SELECT count(*) FROM part WHERE p_size BETWEEN 5 AND 20 AND p_type IN ('ECONOMY', 'PROMO') AND p_brand IN ('Brand#1', 'Brand#7'))"
+
+
+def _prepared(spark, sf_dir) -> PreparedRelease:
+    return PreparedRelease(_mr(spark, sf_dir), MR, ("p_size", "p_type"))
+
+
+@query(f"WITH {_release_sql()} SELECT round(coalesce({_ESTIMATE}, 0), 6) AS estimate FROM rel WHERE {_MEETS}")
+def counting_query_estimate(spark, sf_dir):
+    return counting_query(WANTED, _prepared(spark, sf_dir)).select(F.round("estimate", 6).alias("estimate"))
+
+
+@query(f"WITH {_release_sql()}, e AS (SELECT coalesce({_ESTIMATE}, 0) AS a FROM rel WHERE {_MEETS}) SELECT CAST({_TRUTH} AS DOUBLE) AS truth, round(a, 6) AS estimate, round(abs({_TRUTH} - a) / {_TRUTH}, 6) AS error FROM e")
+def counting_query_relative_error(spark, sf_dir):
+    raw = PreparedRelease.from_raw_data(_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_brand"), ("p_size", "p_type"), "p_partkey")
+    found = counting_query_error(WANTED, raw, _prepared(spark, sf_dir))
+    return found.select("truth", F.round("estimate", 6).alias("estimate"), F.round("error", 6).alias("error"))
+
+
+@query(f'WITH {_release_sql()}, s AS (SELECT sum("count") AS n FROM rel GROUP BY p_size_min, p_size_max, {_HOTS}) SELECT CAST(sum(n * n) AS BIGINT) AS penalty FROM s')
+def discernibility(spark, sf_dir):
+    return discernibility_penalty(_prepared(spark, sf_dir))
+
+
+@query(f'WITH {_release_sql()} SELECT p_size_min, p_size_max, {_HOTS}, CAST(sum("count") AS BIGINT) AS group_size FROM rel GROUP BY p_size_min, p_size_max, {_HOTS}')
+def class_sizes(spark, sf_dir):
+    return _prepared(spark, sf_dir).classes.drop(GROUP)
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_WIDE = ", ".join(f"(c_custkey * {3 + 2 * i} + {i}) % 7 AS w{i}" for i in range(5))
+_CONF = f"w AS (SELECT c_custkey AS id, c_mktsegment AS s, {_WIDE} FROM customer), p AS (" + " UNION ALL ".join(f"SELECT id, s, '{v}' AS value, w{i} * 1.0 / nullif(w0 + w1 + w2 + w3 + w4, 0) AS confidence FROM w" for i, v in enumerate(SEGMENTS)) + ")"
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    wide = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), *[((F.col("c_custkey") * (3 + 2 * i) + i) % 7).alias(v) for i, v in enumerate(SEGMENTS)])
+    return normalise_prediction(wide)
+
+
+@query(f'WITH {_CONF} SELECT id AS "ID", value, round(confidence, 9) AS confidence FROM p')
+def normalised_prediction(spark, sf_dir):
+    return _predictions(spark, sf_dir).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"WITH {_CONF} SELECT round(avg(CASE WHEN confidence >= 0.25 - 1e-12 THEN 1.0 ELSE 0.0 END), 9) AS pvp FROM p WHERE value = s")
+def pvp(spark, sf_dir):
+    truth = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), "c_mktsegment")
+    return percentage_of_vulnerable_population(truth, _predictions(spark, sf_dir), 0.25, "c_mktsegment").select(F.round("pvp", 9).alias("pvp"))
+
+
+# -- attacks ------------------------------------------------------------------
+_OTHER = "floor(p_size / 5) * 10 + p_partkey % 2"
+_TWO = _release_sql() + ", " + _release_sql(_OTHER).replace("g AS", "g2 AS", 1).replace("q AS", "q2 AS", 1).replace("rel AS", "rel2 AS", 1).replace("FROM g ", "FROM g2 ").replace("SELECT q.*", "SELECT q2.*").replace("FROM q JOIN", "FROM q2 JOIN")
+
+
+def _attacked(attacker, spark, sf_dir):
+    ids = _targets(spark, sf_dir).select("ID")
+    for by in (_CLASS, _OTHER):
+        attacker.observe(_mr(spark, sf_dir, by), ["p_size", "p_type", "p_brand"], ids)
+    return attacker
+
+
+@query(f'WITH {_TWO}, {_TARGETS}, a AS (SELECT DISTINCT t.id, rel.p_brand FROM t JOIN rel ON {_HIT}), b AS (SELECT DISTINCT t.id, rel2.p_brand FROM t JOIN rel2 ON {_HIT.replace("rel.", "rel2.")}) SELECT id AS "ID", p_brand AS value, CAST(1 AS DOUBLE) AS weight FROM a JOIN b USING (id, p_brand)')
+def intersection_attack(spark, sf_dir):
+    attacker = IntersectionAttacker(_targets(spark, sf_dir), ["p_size", "p_type"], "p_brand", MR)
+    return _attacked(attacker, spark, sf_dir).predict_all("p_brand")
+
+
+@query(
+    f'WITH {_TWO}, {_TARGETS}, a AS (SELECT t.id, greatest(t.lo, rel.p_size_min) AS lo, least(t.hi, rel.p_size_max) AS hi, t.ty, rel.p_brand FROM t JOIN rel ON {_HIT}) '
+    f'SELECT DISTINCT t.id AS "ID", t.p_brand AS value, CAST(1 AS DOUBLE) AS weight FROM a t JOIN rel2 ON {_HIT.replace("rel.", "rel2.")} AND t.p_brand = rel2.p_brand'
+)
+def trajectory_attack(spark, sf_dir):
+    attacker = TrajectoryAttacker(_targets(spark, sf_dir), ["p_size", "p_type"], MR)
+    return _attacked(attacker, spark, sf_dir).predict_all("p_brand")
+
+
+@query("SELECT CAST(i AS BIGINT) AS row_id FROM (VALUES (0), (1), (2)) v(i)")
+def multiset_cover(spark, sf_dir):
+    rows = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (2, 2), (3, 3)]
+    target = [(0, 2), (1, 2), (2, 2)]
+    return cover_rows(spark.createDataFrame(rows, "row_id bigint, col_id bigint"), spark.createDataFrame(target, "col_id bigint, mult bigint"))
+
+
+@query("SELECT s_suppkey, CAST((s_nationkey <> 3)::INT + (s_suppkey % 5 <> 2)::INT AS INT) AS hamming FROM supplier")
+def category_distance(spark, sf_dir):
+    here: Column = F.array(F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 5).cast("string"))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", mismatches(here, F.array(F.lit("3"), F.lit("2"))).alias("hamming"))
+
+
+@query('SELECT min(p_size) AS min_size, max(p_size) AS max_size, string_agg(DISTINCT p_type, \',\' ORDER BY p_type) AS types FROM part')
+def attribute_domains(spark, sf_dir):
+    from cloakframe.operators.metrics import CountingQueryGenerator
+
+    raw = PreparedRelease(RAW.generalise(_part(spark, sf_dir).select("p_size", "p_type", "p_brand")), RAW, ("p_size", "p_type"))
+    found = CountingQueryGenerator(raw, seed=1).domains
+    return spark.createDataFrame([(*found["p_size"], ",".join(found["p_type"]))], "min_size int, max_size int, types string")
