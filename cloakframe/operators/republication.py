@@ -120,7 +120,8 @@ class MInvariance:
         c, d = rest.alias("c"), table.alias("d")
         placed = c.join(d, (F.col("c.s") == F.col("d.s")) & (F.col("c.r") >= F.col("d.from")) & (F.col("c.r") < F.col("d.to"))).select("d.sig", "c.id", "c.s", "c.q")
 
-        every = cut(stay.unionByName(filled).unionByName(placed).withColumn("j", F.row_number().over(Window.partitionBy("sig", "s").orderBy("q")) - 1))
+        together = stay.unionByName(filled).unionByName(placed).select("sig", "id", "s", F.struct("q").alias("w"))
+        every = cut(together.withColumn("j", F.row_number().over(Window.partitionBy("sig", "s").orderBy("w")) - 1).select("sig", "id", "s", "j"))
         group = F.concat_ws("#", "sig", F.col("j").cast("string"))
         sizes = gaps.select("sig", "s", "rows").unionByName(table.select("sig", "s", "rows"))
         slots = sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
