@@ -47,10 +47,9 @@ class EntropyClass:
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 PLACEHOLDERS = (r"(?i)example|sample|placeholder|dummy|changeme|x{6}", r"(?i)0123456789|123456789|abcdefgh")
 UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
-PATH = r"^/?([a-z]+[0-9]{0,4}[/_-])+[a-z0-9]*$"
 
 CLASSES = (
-    EntropyClass("base64", UPPER + LOWER + DIGITS + "+/_=-", "[A-Za-z0-9+/_=-]{20,}", 20, 3.76, ("[0-9]", "[A-Z]", "[a-z]"), (UUID, PATH, *PLACEHOLDERS)),
+    EntropyClass("base64", UPPER + LOWER + DIGITS + "+/_=-", "[A-Za-z0-9+/_=-]{20,}", 20, 3.76, ("[0-9]", "[A-Z]", "[a-z]"), (UUID, *PLACEHOLDERS)),
     EntropyClass("hexrun", DIGITS + "abcdefABCDEF", "[0-9A-Fa-f]{20,}", 20, 3.02, ("[0-9]", "[A-Fa-f]"), PLACEHOLDERS),
 )
 
