@@ -2,8 +2,9 @@
 
 Entities are found by patterns.  A surrogate is decided by a key, the entity's
 type and its normal form, so one entity has one surrogate everywhere
-(coreference), and keeps its format: separators, lengths, letter case, country
-code, check-digit validity of card numbers, script and gender of names.
+(coreference), and keeps its format: separators, lengths, country code,
+check-digit validity of card numbers, script and gender of names.  Letters of
+e-mail surrogates are lower case.
 
 Phone numbers, card numbers and addresses go through a keyed permutation (a
 Feistel network on their digits), which cannot make two of them equal.  E-mail
@@ -166,9 +167,10 @@ class Kind:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Listed first wins where spans overlap.
+#: Listed first wins where spans overlap.  Repeated groups are bounded: the regex
+#: engine recurses once for each repetition, and a text may be very long.
 KINDS = (
-    Kind("email", r"(?<![\p{L}0-9._+-])[\p{L}0-9_][\p{L}0-9._+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}", F.lower, _email, False),
+    Kind("email", r"(?<![\p{L}0-9._+-])[\p{L}0-9_][\p{L}0-9._+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}", F.lower, _email, False),
     Kind("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])", lambda v: v, _address, True),
     Kind("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])", digits, _phone, True),
     Kind("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])", digits, _card, True),
