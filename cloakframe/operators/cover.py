@@ -45,7 +45,6 @@ def rows_in_solutions(target: Mapping[int, int], rows: Mapping[int, Sequence[int
     left0 = tuple(target[c] for c in columns)
     copies0 = tuple(len(shapes[k]) for k in kinds)
     known: dict[tuple, bool] = {}
-    marked: set[int] = set()
     steps = 0
 
     def successors(left: tuple[int, ...], copies: tuple[int, ...]):
@@ -65,7 +64,7 @@ def rows_in_solutions(target: Mapping[int, int], rows: Mapping[int, Sequence[int
             rest[k] = 0
             yield k, n, tuple(new), tuple(rest)
 
-    # iterative depth-first: (state, successor iterator, marks pending)
+    # frames: state, its successors, whether one of them has a solution
     def solve(start: tuple) -> bool:
         nonlocal steps
         stack = [[start, successors(*start) if any(start[0]) else None, False]]
@@ -76,7 +75,7 @@ def rows_in_solutions(target: Mapping[int, int], rows: Mapping[int, Sequence[int
             frame = stack[-1]
             state, options, found = frame
             moved = False
-            for k, n, left, copies in options:
+            for _, _, left, copies in options:
                 steps += 1
                 if steps > budget:
                     raise SearchBudgetError(f"more than {budget} steps")
@@ -86,10 +85,8 @@ def rows_in_solutions(target: Mapping[int, int], rows: Mapping[int, Sequence[int
                 if child in known:
                     if known[child]:
                         frame[2] = True
-                        if n:
-                            marked.add(k)
                     continue
-                frame.append((k, n, child))
+                frame.append(child)
                 stack.append([child, successors(*child), False])
                 moved = True
                 break
@@ -99,16 +96,13 @@ def rows_in_solutions(target: Mapping[int, int], rows: Mapping[int, Sequence[int
             stack.pop()
             if stack:
                 parent = stack[-1]
-                k, n, child = parent.pop()
-                if known[child]:
+                if known[parent.pop()]:
                     parent[2] = True
-                    if n:
-                        marked.add(k)
         return known[start]
 
     if not solve((left0, copies0)):
         return set()
-    # marks on the way to dead ends do not count: walk solvable states only
+    # choices that lead to solutions: walk solvable states only
     live, seen, todo = set(), set(), [(left0, copies0)]
     while todo:
         state = todo.pop()

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.operators.models import DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness
 from cloakframe.plans.cut import cut
-from cloakframe.plans.roles import GROUP, RID, is_categorical
+from cloakframe.plans.roles import GROUP, RID, is_categorical, with_row_id
 
 ROOT = "R"
 
@@ -169,6 +169,6 @@ class Mondrian:
 
 def numbered(partition: DataFrame) -> DataFrame:
     """``group_id`` as a number in breadth-first order of the paths."""
-    paths = partition.select(GROUP).distinct()
-    number = F.row_number().over(Window.orderBy(F.length(GROUP), GROUP)) - 1
-    return partition.join(paths.withColumn("__n", number), GROUP).select(RID, F.col("__n").cast("bigint").alias(GROUP))
+    paths = partition.select(GROUP).distinct().withColumn("__depth", F.length(GROUP))
+    number = with_row_id(paths, ["__depth", GROUP]).select(GROUP, F.col(RID).alias("__n"))
+    return partition.join(number, GROUP).select(RID, F.col("__n").cast("bigint").alias(GROUP))
