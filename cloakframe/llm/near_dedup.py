@@ -14,11 +14,11 @@
 3. Candidates are confirmed on full shingle sets, first the most alike of each
    class, then those that still join different components.  Confirmed links are
    closed to components.
-4. Crowded classes meet once more, in orders of their own, without a limit on
-   offers and within ``crowd_reach`` places, but only across components: a large
-   group of copies is one component by then and costs nothing.  Rows carry their
-   sets there, so pairs are confirmed where they meet, in the first tree they
-   share, and only links leave the task.
+4. Crowded classes meet once more, whatever their number, by the shingles that
+   two sets at the threshold cannot avoid to share: with all sets in one order,
+   rarest shingles first, the first shingle that two of them share stands so
+   early that what is left can still reach the threshold.  Classes of one
+   component do not meet; pairs pass the sketch and are confirmed like others.
 
 A pair at the threshold of 0.8 shares a prefix of 4 in one tree with chance 0.41
 and in none of 20 trees with chance 3e-5; a pair at 0.9 with 2e-9.
@@ -48,6 +48,7 @@ from cloakframe.llm.common import arrow_rows, checkpointed, small
 from cloakframe.llm.graph import components
 
 FILTER_BUCKETS = 1 << 20
+RARITY_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,6 @@ class Forest:
     shallow: int = 4
     reach: int = 48
     offers: int = 6
-    crowd_reach: int = 1024
     least_alike: float = 0.72  # share of equal 2-bit pieces: 0.85 expected at 0.8, less 4.5 deviations
     seed: int = 20240229
 
@@ -94,6 +94,11 @@ def minima(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _path(low: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum, mixed: the leading bits of a large set's minima are all zero."""
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
+
+
 def _sketch(low: np.ndarray) -> bytes:
     bits = ((low[:, None] >> np.array([0, 1], np.uint32)) & np.uint32(1)).astype(np.uint8).ravel()
     return np.packbits(np.pad(bits, (0, -len(bits) % 64))).tobytes()
@@ -111,7 +116,7 @@ def _signatures(forest: Forest):
                 sizes.append(len(got))
                 first.append(int.from_bytes(digest[:8], "big", signed=True))
                 second.append(int.from_bytes(digest[8:], "big", signed=True))
-                orders.append((low >> np.uint32(16)).astype(">u2").tobytes())
+                orders.append(_path(low).tobytes())
                 sketches.append(_sketch(low))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(orders, pa.binary()), pa.array(sketches, pa.binary())],
@@ -127,11 +132,17 @@ def _matrix(column: pa.Array, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
 
 
-def _close(forest: Forest, rows: list[np.ndarray], fresh: int, reach: int, different: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _alike(forest: Forest, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal 2-bit pieces of sketches."""
+    x = x ^ y
+    x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    return 1 - np.bitwise_count(x).sum(axis=1) / forest.hashes
+
+
+def _close(forest: Forest, rows: list[np.ndarray], fresh: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(s, at, share): rows ``at`` and ``at + s`` are near in the order; ``at + s`` is at ``fresh`` or later.
 
     s = 0 gives rows that have neighbours in their region beyond ``reach``.
-    With labels in ``different`` both rows have different ones.
     """
     tree, path, _, sizes, sketch = rows
     n = len(tree)
@@ -145,12 +156,8 @@ def _close(forest: Forest, rows: list[np.ndarray], fresh: int, reach: int, diffe
             at = np.flatnonzero(same)
             yield 0, np.union1d(at, at + s), np.empty(0, np.float32)
         same &= 100 * np.minimum(sizes[a], sizes[b]) >= forest.percent * np.maximum(sizes[a], sizes[b])
-        if different is not None:
-            same &= different[a] != different[b]
         at = np.flatnonzero(same)
-        x = sketch[at] ^ sketch[at + s]
-        x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
-        share = 1 - np.bitwise_count(x).sum(axis=1) / forest.hashes
+        share = _alike(forest, sketch[at], sketch[at + s])
         near = share >= forest.least_alike
         if near.any():
             yield s, at[near], share[near].astype(np.float32)
@@ -202,52 +209,136 @@ def _neighbours(forest: Forest):
     return run
 
 
-def _meetings(forest: Forest):
-    """Links between different components among crowded rows, confirmed on the sets they carry."""
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): how many sets hold a shingle of each bucket of shingles."""
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for held in batch.column(0):
+            np.add.at(counts, (np.frombuffer(held.as_buffer(), np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["bucket", "n"])
+
+
+def _leading(forest: Forest, counts: np.ndarray):
+    """(shingle, n, most, id, label, sketch): the leading shingles of each set, rarest first.
+
+    A set whose first shared shingle is this one reaches the threshold with sets
+    of at most ``most`` shingles; rows that leave no possible size are omitted.
+    """
+    percent = forest.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
+        for batch in small(batches):
+            found, most, of = [], [], []
+            for i, held in enumerate(batch.column(4)):
+                x = np.frombuffer(held.as_buffer(), np.uint64)
+                limit = (len(x) - np.arange(len(x))) * (100 + percent) // percent - len(x)
+                k = int((100 * limit >= percent * len(x)).sum())
+                found.append(x[np.lexsort((x, counts[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:k]])
+                most.append(limit[:k])
+                of.append(np.full(k, i))
+            if of:
+                at = pa.array(np.concatenate(of))
+                n, ids, label, sketch = (batch.column(i).take(at) for i in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), n, pa.array(np.concatenate(most), pa.int64()), ids, label, sketch], names=["shingle", "n", "most", "id", "label", "sketch"])
+
+    return run
 
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = x = root.get(up, up)
-            return x
 
-        held, sets = None, []
+def _spans(low: np.ndarray, high: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of every j in low[i] to high[i] - 1, about ``most`` at a time."""
+    length = np.maximum(high - low, 0)
+    ends, at = np.cumsum(length), 0
+    while at < len(low):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        n = length[at:to]
+        yield np.repeat(np.arange(at, to), n), np.arange(n.sum()) + np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+        at = to
+
+
+def _sharing(forest: Forest):
+    """Pairs of different labels that may reach the threshold, of rows sorted by (shingle, n)."""
+    percent = forest.percent
+
+    def of_shingle(n: np.ndarray, most: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, rows = np.unique(label, return_counts=True)
+        few = np.flatnonzero(label != names[rows.argmax()])  # every pair has one of these
+        shorter = np.flatnonzero(most >= n)  # may be the shorter set of a pair
+        x = few[most[few] >= n[few]]
+        for i, j in _spans(np.searchsorted(n, n[x], "left"), np.searchsorted(n, np.minimum(100 * n[x] // percent, most[x]), "right")):
+            yield x[i], j
+        y = n[shorter]
+        for i, j in _spans(np.searchsorted(y, -(-percent * n[few] // 100), "left"), np.searchsorted(y, np.minimum(n[few], most[few]), "right")):
+            yield few[i], shorter[j]
+
+    def pairs(shingle, n, most, ids, label, sketch) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        live = (np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts)) & np.logical_or.reduceat(most >= n, starts)
+        ends = np.append(starts[1:], len(shingle))
+        made: list[np.ndarray] = []
+        waiting = 0
+
+        def batch() -> pa.RecordBatch:
+            at = np.unique(np.concatenate(made), axis=0)
+            alike = _alike(forest, sketch[at[:, 0]], sketch[at[:, 1]])
+            return _ordered(ids[at[:, 0]], ids[at[:, 1]], alike)
+
+        for lo, hi in zip(starts[live], ends[live], strict=True):
+            for i, j in of_shingle(n[lo:hi], most[lo:hi], label[lo:hi]):
+                i, j = i + lo, j + lo
+                keep = (label[i] != label[j]) & (most[j] >= n[i]) & (most[i] >= n[j])
+                i, j = i[keep], j[keep]
+                near = _alike(forest, sketch[i], sketch[j]) >= forest.least_alike
+                if near.any():
+                    made.append(np.column_stack([i[near], j[near]]))
+                    waiting += int(near.sum())
+                    if waiting > 1 << 19:
+                        yield batch()
+                        made, waiting = [], 0
+        if made:
+            yield batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # pieces of the shingle that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [*_place(batch), batch.column(5).to_numpy(zero_copy_only=False), _matrix(batch.column(6), np.dtype(">u2"))]
-            sets = [*sets[-forest.crowd_reach :], *(np.frombuffer(v.as_py(), np.uint64) for v in batch.column(7))]
-            fresh = 0
-            if held is not None:
-                fresh = len(held[0])
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            held = [x[-forest.crowd_reach :] for x in now]
-            *rows, label, orders = now
-            prefixes = orders.reshape(len(orders), forest.trees, forest.depth)[:, :, : forest.shallow]
-            a, b = [], []
-            for s, at, _ in _close(forest, rows, fresh, forest.crowd_reach, label):
-                if not s:
-                    continue
-                shared = (prefixes[at] == prefixes[at + s]).all(axis=2).argmax(axis=1)
-                for i in at[shared == rows[0][at]].tolist():
-                    p, q = find(int(label[i])), find(int(label[i + s]))
-                    if p == q:
-                        continue
-                    x, y = sets[i], sets[i + s]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= forest.percent * (len(x) + len(y) - common):
-                        root[max(p, q)] = min(p, q)
-                        a.append(rows[2][i])
-                        b.append(rows[2][i + s])
-            yield _ordered(np.array(a, np.int64), np.array(b, np.int64), np.ones(len(a), np.float32))
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), _matrix(batch.column(5), np.dtype("<u8"))]
+            last = int(np.searchsorted(now[0], now[0][-1], "left"))
+            if last == 0 and (not held or held[0][0][0] == now[0][0]):
+                held.append(now)
+                continue
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, [x[:last] for x in now], strict=True)))
+            held = [[x[last:] for x in now]]
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
+def across_labels(crowded: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b, alike): all pairs of different labels that can reach the threshold and pass the sketch.
+
+    ``crowded`` has (n, id, label, sketch, shingles).  No number of classes is
+    too large to meet; shingles found under one label only are left where they are.
+    """
+    spark = crowded.sparkSession
+    with arrow_rows(spark, 500):
+        seen = crowded.select("shingles").mapInArrow(_rarity, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
+        rows = crowded.select("n", "id", "label", "sketch", "shingles").mapInArrow(_leading(forest, counts), "shingle bigint, n bigint, most bigint, id bigint, label bigint, sketch binary")
+        bucket = F.pmod("shingle", F.lit(FILTER_BUCKETS))
+        mixed = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("most") >= F.col("n")).alias("meet")).filter("x < y and meet")
+        kept = checkpointed(mixed.select(bucket.alias("bucket")).distinct())
+        live = rows.withColumn("bucket", bucket).join(F.broadcast(kept), "bucket", "left_semi").drop("bucket")
+        sorted_rows = live.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+    with arrow_rows(spark, 10_000):
+        return checkpointed(sorted_rows.mapInArrow(_sharing(forest), "a bigint, b bigint, alike float").groupBy("a", "b").agg(F.max("alike").alias("alike")))
+
+
 def _rows(forest: Forest):
-    """One row per class and tree: (tree, path, id, n, sketch), and (label, orders, shingles) if there are sets."""
+    """One row per class and tree: (tree, path, id, n, sketch)."""
     step = 2 * forest.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +346,7 @@ def _rows(forest: Forest):
             n, orders = batch.num_rows, batch.column(2).to_pylist()
             for t in range(forest.trees):
                 paths = pa.array([x[t * step : (t + 1) * step] for x in orders], pa.binary())
-                rest = [batch.column(4), batch.column(2), batch.column(5)] if batch.num_columns > 4 else []
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), paths, batch.column(0), batch.column(1), batch.column(3), *rest], names=["tree", "path", "id", "n", "sketch", *["label", "orders", "shingles"][: len(rest)]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), paths, batch.column(0), batch.column(1), batch.column(3)], names=["tree", "path", "id", "n", "sketch"])
 
     return run
 
@@ -289,21 +379,17 @@ def _edge_rows(reach: int):
     return run
 
 
-def candidates(classes: DataFrame, forest: Forest, crowded: bool = False) -> DataFrame:
-    """(a, b, alike): near neighbours in the forest's sorted orders, once each, a < b; a = b for crowded classes.
-
-    With ``crowded`` the classes have a ``label`` and their ``shingles``, and
-    what comes back are links between different labels.
-    """
+def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b, alike): near neighbours in the forest's sorted orders, once each, a < b; a = b for crowded classes."""
     pair = "a bigint, b bigint, alike float"
-    row = "tree int, path binary, id bigint, n bigint, sketch binary" + ", label bigint, orders binary, shingles binary" * crowded
+    row = "tree int, path binary, id bigint, n bigint, sketch binary"
     names = [x.split()[0] for x in row.split(", ")]
-    meet, reach = (_meetings(forest), forest.crowd_reach) if crowded else (_neighbours(forest), forest.reach)
-    with arrow_rows(classes.sparkSession, 500 if crowded else 10_000):
-        rows = classes.select("id", "n", "orders", "sketch", *(["label", "shingles"] if crowded else [])).mapInArrow(_rows(forest), row)
+    meet = _neighbours(forest)
+    with arrow_rows(classes.sparkSession, 10_000):
+        rows = classes.select("id", "n", "orders", "sketch").mapInArrow(_rows(forest), row)
         ordered = checkpointed(rows.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id"))
         inside = ordered.mapInArrow(meet, pair)
-        borders = ordered.mapInArrow(_edge_rows(reach), row + ", border int").repartition("border").sortWithinPartitions("border", "tree", "path", "id").select(*names)
+        borders = ordered.mapInArrow(_edge_rows(forest.reach), row + ", border int").repartition("border").sortWithinPartitions("border", "tree", "path", "id").select(*names)
         return checkpointed(inside.union(borders.mapInArrow(meet, pair)).groupBy("a", "b").agg(F.max("alike").alias("alike")))
 
 
@@ -355,30 +441,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with arrow_rows(spark, 500):
         sets = checkpointed(texts.join(ends.distinct(), "id", "left_semi").mapInArrow(_sets(forest.width), "id bigint, shingles binary"))
 
-    both = pairs.select("a", "b", "alike", F.col("a").alias("id")).union(pairs.select("a", "b", "alike", F.col("b").alias("id")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("alike"), "a", "b"))
-    best = both.withColumn("rank", rank).filter("rank <= 3").select("a", "b").distinct()
-    with arrow_rows(spark, 500):
-        links = checkpointed(confirmed(best, sets, forest.percent))
-    found = components(links)
+    links, found = None, None
 
     def joined_by(more: DataFrame) -> None:
         """Confirm pairs and take in those that hold."""
         nonlocal links, found
         with arrow_rows(spark, 500):
             new = checkpointed(confirmed(more, sets, forest.percent))
-        if not new.isEmpty():
-            links = links.union(new)
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
             found = components(links)
 
-    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    joined_by(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    def settle(pairs: DataFrame) -> None:
+        """The most alike pairs of each class, then those that still join different components."""
+        both = pairs.select("a", "b", "alike", F.col("a").alias("id")).union(pairs.select("a", "b", "alike", F.col("b").alias("id")))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("alike"), "a", "b"))
+        joined_by(both.withColumn("rank", rank).filter("rank <= 3").select("a", "b").distinct())
+        of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        joined_by(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+
+    settle(pairs)
     if not crowd.isEmpty():
         labelled = classes.join(crowd, "id").join(found, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
-        more = candidates(labelled.join(sets, "id"), forest, crowded=True)
+        more = across_labels(labelled.join(sets, "id"), forest)
         if not more.isEmpty():
-            links = links.union(more.select("a", "b"))
-            found = components(links)
+            settle(more)
 
     roots = classes.select("h1", "h2", "n", "id").join(found, F.col("id") == F.col("node"), "left")
     roots = checkpointed(roots.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "id").alias("root")))

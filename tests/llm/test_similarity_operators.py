@@ -87,6 +87,20 @@ def test_dedup_keeps_columns_and_one_of_each(spark):
     assert near_dedup.one_of_each(docs(spark, [])).count() == 0
 
 
+def test_pairs_far_apart_in_a_crowd(spark):
+    draw = random.Random(8)
+    template = [f"t{i}" for i in range(160)]
+    own = lambda i, k: [f"d{i}x{j}" for j in range(k)]
+    texts = [" ".join(template + own(i, 40)) for i in range(3000)]
+    pairs = {i: i + 1500 for i in draw.sample(range(1500), 40)}
+    for i, j in pairs.items():  # 186 of 214 shingles are common to both
+        texts[j] = " ".join(template + own(i, 26) + own(j, 14))
+    few = near_dedup.Forest(width=1, trees=2, depth=2, shallow=1, reach=4, offers=2, least_alike=0.0)
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, texts), forest=few).collect()}
+    root = {j: i for i, j in pairs.items()}
+    assert got == {i: root.get(i, i) for i in range(len(texts))}
+
+
 def test_components(spark):
     draw = random.Random(1)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(70)] + [(9, 9)]
