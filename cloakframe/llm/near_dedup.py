@@ -351,30 +351,26 @@ def _rows(forest: Forest):
     return run
 
 
-def _edge_rows(reach: int):
-    """The first and the last rows of each sorted partition, tagged with the border they stand at."""
+def _edge_rows(reach: int, starts: list[int]):
+    """The ``reach`` rows on either side of each border, over as many partitions as they take, tagged with the border.
+
+    ``starts`` has the number of the first row of every partition up to the last that has rows.
+    """
+    places = np.unique([x for x in starts if x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first: list[pa.RecordBatch] = []
-        last: list[pa.RecordBatch] = []
-        n = 0
+        at = starts[part] if part < len(starts) else 0  # no rows follow the last that has any
         for batch in batches:
-            if n < reach:
-                first.append(batch.slice(0, reach - n))
-            n += batch.num_rows
-            last.append(batch)
-            while len(last) > 1 and sum(x.num_rows for x in last[1:]) >= reach:
-                last.pop(0)
-        for rows, border in ((first, part), (last, part + 1)):
-            if not n:
-                continue
-            got = pa.Table.from_batches(rows).combine_chunks()
-            got = got.slice(max(0, got.num_rows - reach)) if border > part else got.slice(0, reach)
-            for batch in got.to_batches():
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, border, np.int32))], names=[*batch.schema.names, "border"])
+            end = at + batch.num_rows
+            for place in places[np.searchsorted(places, at - reach, "right") : np.searchsorted(places, end + reach, "left")].tolist():
+                low, high = max(at, place - reach), min(end, place + reach)
+                if low < high:
+                    rows = batch.slice(low - at, high - low)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, place, np.int64))], names=[*rows.schema.names, "border"])
+            at = end
 
     return run
 
@@ -389,7 +385,9 @@ def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
         rows = classes.select("id", "n", "orders", "sketch").mapInArrow(_rows(forest), row)
         ordered = checkpointed(rows.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id"))
         inside = ordered.mapInArrow(meet, pair)
-        borders = ordered.mapInArrow(_edge_rows(forest.reach), row + ", border int").repartition("border").sortWithinPartitions("border", "tree", "path", "id").select(*names)
+        sizes = {r["part"]: r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+        starts = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))]).tolist()
+        borders = ordered.mapInArrow(_edge_rows(forest.reach, starts), row + ", border bigint").repartition("border").sortWithinPartitions("border", "tree", "path", "id").select(*names)
         return checkpointed(inside.union(borders.mapInArrow(meet, pair)).groupBy("a", "b").agg(F.max("alike").alias("alike")))
 
 

@@ -101,6 +101,24 @@ def test_pairs_far_apart_in_a_crowd(spark):
     assert got == {i: root.get(i, i) for i in range(len(texts))}
 
 
+def test_windows_over_several_small_partitions(spark):
+    draw = np.random.default_rng(3)
+    forest = near_dedup.Forest(trees=2, depth=2, shallow=1, reach=12, offers=99, least_alike=0.0)
+    rows = [(i, 10, near_dedup._path(draw.integers(0, 3, 4).astype(np.uint32)).tobytes(), bytes(8)) for i in range(60)]
+    classes = spark.createDataFrame(rows, "id bigint, n bigint, orders binary, sketch binary")
+    names, found = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"), {}
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[1], "false")
+        for parts in (1, 40):
+            spark.conf.set(names[0], str(parts))
+            found[parts] = {(r["a"], r["b"]) for r in near_dedup.candidates(classes, forest).collect() if r["a"] < r["b"]}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert len(found[1]) > 300 and found[1] <= found[40]
+
+
 def test_components(spark):
     draw = random.Random(1)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(70)] + [(9, 9)]
