@@ -12,7 +12,9 @@ Equal vectors are one entry of the index, with the smallest ids that a result
 can need, so a vector that a third of all rows share costs no more than another.
 Buckets are gathered with the queries that visit them, table by table; a bucket
 above ``most_in_bucket`` entries is cut into chunks which the same queries visit.
-The number of projections grows with the logarithm of the number of vectors.
+The number of projections grows with the logarithm of the number of vectors, and
+the number of probes doubles with each projection beyond seven (as the root of
+the number of vectors), so that recall does not fall as the table grows.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, neither do null ids; ties go to
@@ -47,6 +49,9 @@ class Index:
     def projections(self, n: int) -> int:
         return max(2, round(math.log2(max(n, 2)) / 2))
 
+    def probes_among(self, n: int) -> int:
+        return self.probes << max(0, self.projections(n) - 7)
+
 
 def perturbations(k: int, count: int) -> list[tuple[int, ...]]:
     """Sets of border ranks (0 to 2k-1, nearest first) by expected squared distance.
@@ -79,6 +84,7 @@ class Hasher:
     def __init__(self, index: Index, n: int, d: int, longest: float) -> None:
         draw = np.random.default_rng(index.seed)
         self.index, self.k, self.longest = index, index.projections(n), longest
+        self.template = perturbations(self.k, index.probes_among(n))
         self.directions = draw.normal(size=(index.tables, d + 1, self.k))
         self.shifts = draw.uniform(0, 1, (index.tables, self.k))
         self.mix = draw.integers(1, 1 << 62, self.k, dtype=np.int64) | 1
@@ -107,7 +113,7 @@ class Hasher:
         order = np.argsort(np.concatenate([offset, 1 - offset], axis=1), axis=1, kind="stable")
         out = []
         rows = np.arange(len(lifted))
-        for chosen in perturbations(self.k, self.index.probes):
+        for chosen in self.template:
             moved = base.copy()
             for rank in chosen:
                 border = order[:, rank]
@@ -146,8 +152,9 @@ def _visits(hasher: Hasher):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            step = max(1, (1 << 17) // len(hasher.template))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = _vectors(batch.column(1))
                 lifted, ids, packed = hasher.lifted(x.astype(np.float64), True), batch.column(0), [row.tobytes() for row in x]
                 for t in range(hasher.index.tables):

@@ -166,6 +166,21 @@ def test_recall_against_all_pairs(spark, scaled):
     assert hits >= 0.9 * 10 * len(truth)
 
 
+@pytest.mark.parametrize("n", [32_800, 250_000])
+def test_recall_of_probes_in_large_tables(n):
+    x = np.random.default_rng(1).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = x[:60] @ x.T
+    score[np.arange(60), np.arange(60)] = -9
+    true = np.argpartition(-score, 20, axis=1)[:, :20]
+    hasher, hit = nearest.Hasher(nearest.Index(), n, 64, 1.0), np.zeros((60, 20), bool)
+    asked, found = hasher.lifted(x[:60].astype(float), True), hasher.lifted(x[true.ravel()].astype(float), False)
+    for t in range(hasher.index.tables):
+        buckets = hasher.bucket(np.floor(hasher.cells(t, found))).reshape(60, 20)
+        hit |= np.array([np.isin(b, p) for b, p in zip(buckets, hasher.probes(t, asked), strict=True)])
+    assert hit.mean() >= 0.95
+
+
 def test_equal_bad_and_few_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(100, [0.0, 1.0]), (101, None), (102, [0.0, 0.0]), (103, [1.0, None]), (104, [1.0, nan]), (105, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (120, [float("inf"), 1.0])]
