@@ -1,27 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks.  Block j of a source with weight w may run
-from slot floor(j / w) and must have run by ceil((j + 1) / w); of the released
-blocks the one with the earliest deadline runs.  With weights that sum to one,
-every prefix of the mix then deviates from the targets by less than one block a
-source.  Weights are shares a / period of a fixed period, so the order repeats
-with the period and only one period is ever computed.
-
-When a source is used up, the weights of the others are scaled up and a new
-phase begins: no document is dropped or repeated.
+Each source's documents form blocks.  In the ideal mix every source advances at
+the rate of its weight, without whole blocks; when one is used up, the weights of
+the others are scaled up.  Block j of a source may run from the slot in which the
+ideal mix begins it and must have run by the end of the slot in which the ideal
+mix ends it: floor(j / w) and ceil((j + 1) / w) while no source is used up.  Of
+the released blocks the one with the earliest deadline runs.  The ideal mix fits
+these windows, so no deadline is missed, every slot is used and every prefix of
+the mix deviates from the ideal by less than one block a source, however long it
+is.  Windows are computed from the given weights in whole numbers, not rounded.
+
+One task deals all blocks, slot by slot; it holds a few numbers a source.  No
+document is dropped or repeated.
 
 Defined results: a null source is a source of its own; repeated rows are placed
 one by one; sources beyond the ``most_sources - 1`` largest are mixed as one
-group; an empty table gives an empty table.  Only id and source are read.  What
-the driver computes and broadcasts has at most ``most_sources * period`` numbers.
+group; an empty table gives an empty table.  Only id and source are read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +41,7 @@ REST = "rest"
 @dataclass(frozen=True)
 class Mix:
     block_rows: int = 16
-    period: int = 1000
+    period: int = 1000  # has no effect: the order does not repeat
     most_sources: int = 256
     flatten: float = 0.5  # default targets: share of rows to this power
 
@@ -51,48 +58,67 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
 
 
 def one_period(slots: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period, by earliest deadline first."""
-    period = sum(slots.values())
-    release = lambda j, a: j * period // a
-    due = lambda j, a: -(-(j + 1) * period // a)
-    coming = [(0, s, 0) for s in sorted(slots)]
-    ready: list[tuple[int, str, int]] = []
+    """The slots of each source's blocks where every source has as many blocks as its weight."""
     placed: dict[str, list[int]] = {s: [] for s in slots}
-    heapq.heapify(coming)
-    for slot in range(period):
+    for s, _, slot in deal(slots, slots):
+        placed[s].append(slot)
+    return placed
+
+
+def deal(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of every block, slot by slot."""
+    if any(not 0 < weights[s] < math.inf for s in blocks):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(weights[s]) for s in blocks}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    share = {s: int(w * scale) for s, w in exact.items()}
+    # The ideal mix at time v has dealt min(blocks, v * share) of each source; the k-th end is that of order[k].
+    order = sorted((s for s, n in blocks.items() if n), key=lambda s: (Fraction(blocks[s], share[s]), s))
+    ends = [blocks[s] / share[s] for s in order]
+    used, rate = [0], [sum(share[s] for s in order)]
+    for s in order:
+        used.append(used[-1] + blocks[s])
+        rate.append(rate[-1] - share[s])
+
+    def begun(s: str, j: int, up: bool) -> int:
+        """The length of the ideal mix when it has dealt ``j`` blocks of ``s``, rounded down or up."""
+        a = share[s]
+        k = bisect_right(ends, j / a)
+        while k and blocks[order[k - 1]] * a > j * share[order[k - 1]]:
+            k -= 1
+        while k < len(order) and blocks[order[k]] * a < j * share[order[k]]:
+            k += 1
+        return used[k] - (-j * rate[k] // a) if up else used[k] + j * rate[k] // a
+
+    coming = [(0, s, 0) for s in sorted(order)]
+    ready: list[tuple[int, str, int]] = []
+    for slot in range(used[-1]):
         while coming and coming[0][0] <= slot:
             _, s, j = heapq.heappop(coming)
-            heapq.heappush(ready, (due(j, slots[s]), s, j))
+            heapq.heappush(ready, (begun(s, j + 1, True), s, j))
         deadline, s, j = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a block missed its deadline")
-        placed[s].append(slot)
-        if j + 1 < slots[s]:
-            heapq.heappush(coming, (release(j + 1, slots[s]), s, j + 1))
-    return placed
+        yield s, j, slot
+        if j + 1 < blocks[s]:
+            heapq.heappush(coming, (begun(s, j + 1, False), s, j + 1))
 
 
-#: phases of a source: (first block, first slot, blocks a period, period, slots in a period)
-Phases = dict[str, list[tuple[int, int, int, int, list[int]]]]
+def _dealt(mix: Mix, weights: Mapping[str, float] | None):
+    """(__name, block, slot) of all blocks, from the rows (name, number of rows) of all sources."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = {s: n for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+        targets = {s: float(n) ** mix.flatten for s, n in counted.items()}
+        if weights is not None:
+            least = min(weights.values())
+            targets = {s: weights.get(s[1:] if s.startswith("=") else s, least) for s in counted}
+        blocks = deal({s: -(-n // mix.block_rows) for s, n in counted.items()}, targets)
+        while some := list(islice(blocks, 50_000)):
+            name, block, slot = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], names=["__name", "block", "slot"])
 
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> tuple[Phases, int]:
-    """Phases of every source, and the number of slots."""
-    left, done, offset = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
-    out: Phases = {s: [] for s in blocks}
-    while left:
-        slots = shares({s: weights[s] for s in left}, period)
-        length, placed = sum(slots.values()), one_period(slots)
-        end = min((n - 1) // slots[s] * length + placed[s][(n - 1) % slots[s]] + 1 for s, n in left.items())
-        for s in list(left):
-            used = end // length * slots[s] + sum(x < end % length for x in placed[s])
-            out[s].append((done[s], offset, slots[s], length, placed[s]))
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
-        offset += end
-    return out, offset
+    return run
 
 
 def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", mix: Mix = Mix(), extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
@@ -104,25 +130,18 @@ def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, id_co
     extra = extra or {}
     named = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), named.alias("__name"), *[c.alias(k) for k, c in extra.items()])
-    spark = df.sparkSession
     counted = {r["__name"]: r["count"] for r in rows.groupBy("__name").count().orderBy(F.desc("count"), "__name").limit(mix.most_sources - 1).collect()}
     total = rows.count()
     own = F.col("__name").isin(*counted) if counted else F.lit(False)
     if (others := total - sum(counted.values())) > 0:
         counted[REST] = others
     rows = rows.withColumn("__name", F.when(own, F.col("__name")).otherwise(REST))
-    targets = {s: float(n) ** mix.flatten for s, n in counted.items()}
-    if weights is not None:
-        least = min(weights.values())
-        targets = {s: weights.get(s[1:] if s.startswith("=") else s, least) for s in counted}
-    phases, slots = schedule({s: -(-n // mix.block_rows) for s, n in counted.items()}, targets, mix.period)
-    kind = "__name string, phases array<struct<first:bigint,offset:bigint,share:bigint,period:bigint,slots:array<int>>>"
-    table = F.broadcast(spark.createDataFrame([(s, p) for s, p in phases.items()], kind))
+    sources = checkpointed(rows.groupBy("__name").count())
+    slots = sources.agg(F.sum(F.ceil(F.col("count") / mix.block_rows))).first()[0] or 0
+    dealt = checkpointed(sources.repartition(1).mapInArrow(_dealt(mix, weights), "__name string, block bigint, slot bigint"))
     numbered = number_rows(rows, "__name", ["id", "source", *extra]).withColumn("block", F.floor(F.col("slot") / mix.block_rows).cast("bigint")).withColumnRenamed("slot", "__n")
-    placed = numbered.join(table, "__name").withColumn("__p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)).drop("phases")
-    k = F.col("block") - F.col("__p.first")
-    slot = F.col("__p.offset") + F.floor(k / F.col("__p.share")).cast("bigint") * F.col("__p.period") + F.get(F.col("__p.slots"), (k % F.col("__p.share")).cast("int"))
-    return placed.select("id", "source", "block", slot.alias("slot"), (slot * mix.block_rows + F.col("__n") % mix.block_rows).alias("position"), *extra), slots
+    placed = numbered.join(dealt, ["__name", "block"])
+    return placed.select("id", "source", "block", "slot", (F.col("slot") * mix.block_rows + F.col("__n") % mix.block_rows).alias("position"), *extra), slots
 
 
 def in_mix_order(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_file: int = 8192) -> DataFrame:

@@ -298,6 +298,23 @@ def test_pfair_period(weights):
         assert all(abs(seen[x] - t * a / period) < 1 for x, a in slots.items())
 
 
+@pytest.mark.parametrize("target, others", [(0.5, 199), (1 / 3, 19), (0.999, 3)])
+def test_mix_keeps_to_the_given_weights(spark, target, others):
+    weights = {"hot": target} | {f"s{i:03}": (1 - target) / others for i in range(others)}
+    blocks = {s: 6 + int(4000 * w) for s, w in weights.items()}
+    rows = [(i, s) for i, s in enumerate(s for s, n in blocks.items() for _ in range(n))]
+    placed, slots = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, mix=mixing.Mix(block_rows=1))
+    order = [r["source"] for r in placed.orderBy("slot").collect()]
+    assert len(order) == slots == len(rows)
+    seen, total = collections.Counter(), sum(weights.values())
+    for t, s in enumerate(order, 1):
+        if any(seen[x] + 1 >= n for x, n in blocks.items()):
+            break
+        seen[s] += 1
+        assert all(abs(seen[x] - t * w / total) < 1 + 1e-9 for x, w in weights.items())
+    assert t > 1000
+
+
 def test_mix(spark):
     rows = [(i, "h" if i % 3 == 0 else f"s{i % 4}") for i in range(700)] + [(700, None), (701, None), (5, "s1"), (5, "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string")
