@@ -14,8 +14,8 @@ One task deals all blocks, slot by slot; it holds a few numbers a source.  No
 document is dropped or repeated.
 
 Defined results: a null source is a source of its own; repeated rows are placed
-one by one; sources beyond the ``most_sources - 1`` largest are mixed as one
-group; an empty table gives an empty table.  Only id and source are read.
+one by one; sources of any number have windows of their own;
+an empty table gives an empty table.  Only id and source are read.
 """
 
 from __future__ import annotations
@@ -35,14 +35,12 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import checkpointed
 from cloakframe.llm.sharding import number_rows
 
-REST = "rest"
-
 
 @dataclass(frozen=True)
 class Mix:
     block_rows: int = 16
     period: int = 1000  # has no effect: the order does not repeat
-    most_sources: int = 256
+    most_sources: int = 256  # has no effect: every source is mixed by its own weight
     flatten: float = 0.5  # default targets: share of rows to this power
 
 
@@ -130,12 +128,6 @@ def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, id_co
     extra = extra or {}
     named = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), named.alias("__name"), *[c.alias(k) for k, c in extra.items()])
-    counted = {r["__name"]: r["count"] for r in rows.groupBy("__name").count().orderBy(F.desc("count"), "__name").limit(mix.most_sources - 1).collect()}
-    total = rows.count()
-    own = F.col("__name").isin(*counted) if counted else F.lit(False)
-    if (others := total - sum(counted.values())) > 0:
-        counted[REST] = others
-    rows = rows.withColumn("__name", F.when(own, F.col("__name")).otherwise(REST))
     sources = checkpointed(rows.groupBy("__name").count())
     slots = sources.agg(F.sum(F.ceil(F.col("count") / mix.block_rows))).first()[0] or 0
     dealt = checkpointed(sources.repartition(1).mapInArrow(_dealt(mix, weights), "__name string, block bigint, slot bigint"))

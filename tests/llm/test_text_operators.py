@@ -315,6 +315,18 @@ def test_mix_keeps_to_the_given_weights(spark, target, others):
     assert t > 1000
 
 
+def test_mix_of_many_sources(spark):
+    weights = {f"s{i:03}": 1.0 + i % 7 for i in range(600)}
+    rows = [(i, s) for i, s in enumerate(s for s, w in weights.items() for _ in range(4 + int(w)))]
+    placed, slots = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, mix=mixing.Mix(block_rows=1))
+    order = [r["source"] for r in placed.orderBy("slot").collect()]
+    assert len(order) == slots == len(rows)
+    seen, total = collections.Counter(), sum(weights.values())
+    for t, s in enumerate(order[: int(total)], 1):  # 4 + w blocks of weight w last for more than 1 of time
+        seen[s] += 1
+        assert all(abs(seen[x] - t * w / total) < 1 + 1e-9 for x, w in weights.items())
+
+
 def test_mix(spark):
     rows = [(i, "h" if i % 3 == 0 else f"s{i % 4}") for i in range(700)] + [(700, None), (701, None), (5, "s1"), (5, "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string")
