@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,12 +98,12 @@ def _luhn(number: Column) -> Column:
     return F.pmod(10 - F.aggregate(figures, F.lit(0), lambda t, x: add(t, x["d"], x["i"])) % 10, F.lit(10))
 
 
-def _phone(value: Column, norm: Column, key: Column) -> Column:
+def _phone(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
     country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[^0-9]))", 1)
     return let(F.substr(value, F.char_length(country) + 1, F.char_length(value)), lambda rest: F.concat(country, _redressed(rest, permuted(digits(rest), key))))
 
 
-def _card(value: Column, norm: Column, key: Column) -> Column:
+def _card(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
     """All digits but the last are permuted; the last keeps its distance from the check digit."""
     body = F.substr(norm, F.lit(1), F.char_length(norm) - 1)
 
@@ -113,7 +114,7 @@ def _card(value: Column, norm: Column, key: Column) -> Column:
     return let(permuted(body, key), finish)
 
 
-def _address(value: Column, norm: Column, key: Column) -> Column:
+def _address(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
     """The 32 bits of an IPv4 address, permuted."""
     octets = F.split(value, r"\.")
     half = lambda i: F.get(octets, F.lit(i)).cast("bigint") * 256 + F.get(octets, F.lit(i + 1)).cast("bigint")
@@ -126,8 +127,8 @@ def _address(value: Column, norm: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(half(0).alias("l"), half(2).alias("r")), step, lambda s: F.concat_ws(".", parts(s["l"]), parts(s["r"])))
 
 
-def _email(value: Column, norm: Column, key: Column) -> Column:
-    """Letters and digits of the part before the last dot are drawn anew, signs stay."""
+def _email(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
+    """Letters and digits of the part before the last dot are drawn anew, signs stay; late attempts add letters."""
     stem = F.regexp_extract(norm, r"^(.*)(\.[^.]*)$", 1)
     tail = F.regexp_extract(norm, r"^(.*)(\.[^.]*)$", 2)
 
@@ -135,15 +136,17 @@ def _email(value: Column, norm: Column, key: Column) -> Column:
         n = digest(key, norm, i.cast("string"))
         return F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{L}"), F.chr(97 + n % 26)).otherwise(c)
 
-    return F.concat(F.array_join(F.transform(F.split(stem, ""), draw), ""), tail)
+    more = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.chr(97 + digest(key, norm, F.concat(F.lit("more"), i.cast("string"))) % 26))
+    more = F.array_join(F.slice(more, F.lit(1), F.greatest(attempt - 3, F.lit(0))), "")
+    return F.concat(more, F.array_join(F.transform(F.split(stem, ""), draw), ""), tail)
 
 
 def _pick(options: tuple[str, ...], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, options)), F.pmod(n, F.lit(len(options))).cast("int"))
 
 
-def _person(value: Column, norm: Column, key: Column) -> Column:
-    """Title kept; first name by gender and script if there are two names; last name of three syllables."""
+def _person(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
+    """Title kept; first name by gender and script if there are two names; last name of three syllables, and one more for each attempt."""
     title, first = F.regexp_extract(value, r"^(\S+) ", 1), F.regexp_extract(value, r"^\S+ (\S+) \S+$", 1)
     female = F.regexp_replace(title, r"\.", "").isin(*TITLES["f"])
     cyrillic = F.regexp_extract(value, r" (.*)$", 1).rlike(r"\p{IsCyrillic}")
@@ -151,7 +154,8 @@ def _person(value: Column, norm: Column, key: Column) -> Column:
     def named(script: str) -> Column:
         of = lambda g: _pick(NAMES[script, g], digest(key, F.lit("first"), norm))
         given = F.when(first == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.when(female, of("f")).otherwise(of("m"))))
-        last = F.concat(*[_pick(SYLLABLES[script], digest(key, F.lit(f"last{i}"), norm)) for i in range(3)])
+        syllable = lambda i: _pick(SYLLABLES[script], digest(key, F.concat(F.lit("last"), i.cast("string")), norm))
+        last = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), syllable), "")
         return F.concat(title, given, F.lit(" "), F.initcap(last))
 
     return F.when(cyrillic, named("cyrillic")).otherwise(named("latin"))
@@ -162,7 +166,7 @@ class Kind:
     name: str
     pattern: str
     normal: Callable[[Column], Column]
-    surrogate: Callable[[Column, Column, Column], Column]
+    surrogate: Callable[[Column, Column, Column, Column], Column]
     permutes: bool
 
 
@@ -200,18 +204,21 @@ def surrogate(entity: Column, attempt: Column, key: str, kinds: tuple[Kind, ...]
     """The replacement of one entity; later attempts draw from other streams."""
     out = None
     for n, kind in enumerate(kinds):
-        drawn = kind.surrogate(entity["value"], entity["norm"], F.concat(F.lit(f"{key}|{kind.name}|"), attempt.cast("string")))
+        drawn = kind.surrogate(entity["value"], entity["norm"], F.concat(F.lit(f"{key}|{kind.name}|"), attempt.cast("string")), attempt)
         out = F.when(entity["kind"] == n, drawn) if out is None else out.when(entity["kind"] == n, drawn)
     return out
 
 
-def redrawn(found: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, rounds: int = 12) -> DataFrame:
-    """(kind, norm, attempt) of the distinct entities of ``found`` (column entity) that collide at first."""
+def redrawn(found: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """(kind, norm, attempt) of the distinct entities of ``found`` (column entity) that collide at first.
+
+    Later attempts draw from larger spaces, so rounds end whatever the number of entities.
+    """
     drawn = [n for n, k in enumerate(kinds) if not k.permutes]
     each = found.filter(F.col("entity.kind").isin(*drawn)).groupBy("entity.kind", "entity.norm").agg(F.min("entity.value").alias("value"))
     each = checkpointed(each.withColumn("attempt", F.lit(0)))
     changed = each.filter("attempt > 0")
-    for attempt in range(1, rounds + 1):
+    for attempt in count(1):
         entity = F.struct("value", "norm", "kind")
         named = each.withColumn("made", F.lower(surrogate(entity, F.col("attempt"), key, kinds)))
         keeps = named.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "made", "keeper")
@@ -221,7 +228,6 @@ def redrawn(found: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS, rounds:
         again = clash.withColumn("new", F.lit(attempt))
         each = checkpointed(each.join(again, ["kind", "norm"], "left").select("kind", "norm", "value", F.coalesce("new", "attempt").alias("attempt")))
         changed = each.filter("attempt > 0")
-    raise RuntimeError("surrogates of different entities still collide")
 
 
 def rewritten(text: Column, found: Column, new: Callable[[Column], Column]) -> Column:

@@ -278,6 +278,14 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len(set(got)) == len(texts) and of
 
 
+def test_more_persons_than_short_surnames(spark):
+    # 16 ** 3 surnames of three syllables
+    names = ["".join(x).capitalize() for x in itertools.product("abcdefghi", repeat=4)]
+    some = tuple(k for k in pii.KINDS if k.name == "person")
+    got = [r["text"] for r in pii.pseudonymise(docs(spark, [f"Mr {n}" for n in names]), "key", kinds=some).collect()]
+    assert len(set(got)) == len(names) > 16**3 and all(re.fullmatch(r"Mr \w+", x) for x in got)
+
+
 @pytest.mark.parametrize("n", [2, 3])
 def test_digit_permutation_is_one_to_one(spark, n):
     numbers = ["".join(x) for x in itertools.product("0123456789", repeat=n)]
