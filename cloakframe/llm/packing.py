@@ -4,7 +4,8 @@ A document longer than the longest window gives whole windows; what is left is
 routed to the smallest tier that holds it.  Tiers are packed from long to short:
 a piece opens a window of its tier, and its gap is filled from shorter tiers,
 the largest fitting piece first, the last one cut to fit.  Sequences of all
-tiers are dealt evenly over step groups of about equal token counts.
+tiers are dealt evenly over step groups: all but a task's last are within one
+long window of ``Plan.step_tokens``.
 
 Every window but a task's last few has exactly its tier's length.  What is left
 open when a task ends is joined and cut into windows again, so a task pads less
@@ -171,8 +172,12 @@ class Packer:
         return full
 
 
-def _rows(plan: Plan, windows: list[Window], first: int, step: int) -> tuple[pa.RecordBatch, int]:
-    """Rows of the pieces; the number of steps these windows take."""
+def _rows(plan: Plan, windows: list[Window], first: int, step: int, dealt: int) -> tuple[pa.RecordBatch, int]:
+    """Rows of the pieces; the number of tokens dealt to steps with these.
+
+    Windows of all tiers are dealt in turn, and a step takes those that begin
+    within its share of the tokens: steps differ by less than one long window.
+    """
     place: dict[int, int] = {}
     counts = {w.size: 0 for w in windows}
     for w in windows:
@@ -182,7 +187,7 @@ def _rows(plan: Plan, windows: list[Window], first: int, step: int) -> tuple[pa.
     for n, w in enumerate(windows):
         order.append(((seen[w.size] + 0.5) / counts[w.size], n))
         seen[w.size] += 1
-    total = 0
+    total = dealt
     for _, n in sorted(order):
         place[n] = step + total // plan.step_tokens
         total += windows[n].used
@@ -197,7 +202,7 @@ def _rows(plan: Plan, windows: list[Window], first: int, step: int) -> tuple[pa.
             offset += length
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names), -(-total // plan.step_tokens)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names), total
 
 
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -219,13 +224,14 @@ def _pack(plan: Plan):
 
         context = TaskContext.get()
         first = step = (context.partitionId() if context else 0) << PARTITION_BITS
+        dealt = 0
         tokens, packer = encoder(plan.tokenizer), Packer(plan)
 
         def out(windows: list[Window]) -> Iterator[pa.RecordBatch]:
-            nonlocal first, step
+            nonlocal first, dealt
             if windows:
-                batch, steps = _rows(plan, windows, first, step)
-                first, step = first + len(windows), step + steps
+                batch, dealt = _rows(plan, windows, first, step, dealt)
+                first += len(windows)
                 yield batch
 
         for batch in batches:

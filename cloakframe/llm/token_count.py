@@ -10,8 +10,7 @@ Words are runs of other than white space, A-Z in lower case, as UTF-8 bytes and
 an end mark that word-final pieces carry.  A word without an own end piece ends
 without one.  A byte that no piece starts with counts as one piece.
 
-The distinct words of a batch go through the automaton together, one symbol of
-all of them at a time.
+A worker remembers the counts of short words that it has met.
 
 Defined results: a null or blank text has no words and no tokens; very long
 words and texts are read whole; repeated rows are counted one by one; an empty
@@ -21,16 +20,20 @@ table gives an empty table.  Only the id and text columns are read.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = 256
 SYMBOLS = 257
-_automata: dict[str, Automaton] = {}
+MOST_REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
+LONG_TEXT = 1 << 24
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_counts: dict[str, Counts] = {}
 
 
 class Automaton:
@@ -59,39 +62,38 @@ class Automaton:
                     link, popped = fail[link], popped + pops[link]
                 fail[node], pops[node] = (edges[link][symbol], popped) if link >= 0 else (-1, popped)
             queue += [(node, s, v) for s, v in edges[node].items()]
-        pairs = sorted((u * SYMBOLS + s, v) for u, out in enumerate(edges) for s, v in out.items())
-        self.keys = np.array([k for k, _ in pairs], np.int64)
-        self.targets = np.array([v for _, v in pairs], np.int32)
-        self.fail, self.pops = np.array(fail, np.int32), np.array(pops, np.int64)
-
-    def _step(self, states: np.ndarray, symbols: np.ndarray, total: np.ndarray) -> None:
-        """One symbol each: updates ``states`` and ``total`` in place."""
-        open_ = np.arange(len(states))
-        while len(open_):
-            key = states[open_].astype(np.int64) * SYMBOLS + symbols[open_]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            states[open_[hit]] = self.targets[at[hit]]
-            open_ = open_[~hit]
-            total[open_] += self.pops[states[open_]]
-            states[open_] = self.fail[states[open_]]
-
-    def count(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Pieces of the words ``data[begin : begin + length]``."""
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        states, total = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
-        for at in range(int(length[0]) + 1 if len(length) else 0):
-            live = np.searchsorted(-length, -at, side="right")
-            symbols = data[np.minimum(begin[:live] + at, len(data) - 1)].astype(np.int64)
-            symbols[length[:live] == at] = END
-            self._step(states[:live], symbols, total[:live])
-        while (states > 0).any():
-            total += np.where(states > 0, self.pops[states], 0)
-            states = np.where(states > 0, self.fail[states], 0)
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        self.edges = {u * SYMBOLS + s: v for u, out in enumerate(edges) for s, v in out.items()}
+        self.fail, self.pops = fail, pops
+
+    def count(self, word: bytes) -> int:
+        """Pieces of a word."""
+        edges, fail, pops = self.edges, self.fail, self.pops
+        state = total = 0
+        for symbol in chain(word, (END,)):
+            while (to := edges.get(state * SYMBOLS + symbol)) is None:
+                total += pops[state]
+                state = fail[state]
+            state = to
+        while state > 0:
+            total += pops[state]
+            state = fail[state]
+        return total
+
+
+class Counts(dict):
+    """word -> its number of pieces, remembered by the word itself."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.automaton.count(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= MOST_REMEMBERED:
+                self.clear()
+            self[word] = n
+        return n
 
 
 def vocabulary(path: str, end: str = "</w>") -> list[tuple[int, ...]]:
@@ -109,47 +111,27 @@ def vocabulary(path: str, end: str = "</w>") -> list[tuple[int, ...]]:
     return out
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-
-
-def count_texts(texts: list[str], automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """Words and tokens of each text."""
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b"\n".join([*encoded, b""]) or b"\n", np.uint8)]
-    starts = np.cumsum([0, *(len(e) + 1 for e in encoded)])
-    blank = _BLANK[data]
-    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    # words by value: their bytes as numbers to an odd base, modulo 2**64
-    base = 0x9E3779B97F4A7C15
-    powers = np.full(len(data), base, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    back = np.full(len(data), pow(base, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    mixed = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers, dtype=np.uint64)])
-    value = (sums[end] - sums[begin]) * back[begin]
-    _, first, of = np.unique(value, return_index=True, return_inverse=True)
-    tokens = automaton.count(data, begin[first], (end - begin)[first])[of] if len(begin) else np.empty(0, np.int64)
-    text_of = np.searchsorted(starts, begin, side="right") - 1
-    return np.bincount(text_of, minlength=len(texts)), np.bincount(text_of, weights=tokens, minlength=len(texts)).astype(np.int64)
+def count_text(text: str, counts: Counts) -> tuple[int, int]:
+    """Words and tokens of a text."""
+    data = text.encode("utf-8", "surrogatepass").lower()  # A-Z only, and split() parts at ASCII white space
+    of = counts.__getitem__
+    if len(data) < LONG_TEXT:
+        words = data.split()
+        return len(words), sum(map(of, words))
+    n_words = n_tokens = 0
+    for m in _WORD.finditer(data):
+        n_words, n_tokens = n_words + 1, n_tokens + of(m.group())
+    return n_words, n_tokens
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _automata:
-            _automata[path] = Automaton(vocabulary(path))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                words, tokens = count_texts([t or "" for t in batch.column(1).to_pylist()], _automata[path])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_words", "n_tokens"])
+        if path not in _counts:
+            _counts[path] = Counts(Automaton(vocabulary(path)))
+        for batch in batches:
+            found = [count_text(t.as_py() or "", _counts[path]) for t in batch.column(1)]
+            words, tokens = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_words", "n_tokens"])
 
     return run
 

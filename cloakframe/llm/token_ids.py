@@ -1,29 +1,29 @@
 """Token ids of many texts by a byte-level BPE tokenizer file.
 
-Most texts are cut into pretokens (an optional space and letters, numbers or
-other signs; a line feed) by array operations on their code points.  Each
-distinct pretoken is encoded once by the tokenizer and remembered for the life
-of the worker process.  Texts for which this cut could differ from the
-tokenizer's own (apostrophes, runs of white space, other white space, code
-points outside the basic plane or unassigned) go to the tokenizer as a whole.
+Texts are cut into pretokens as the tokenizer cuts them: contractions, an
+optional space before letters, numbers or other signs, and runs of white space.
+Each distinct pretoken is encoded once by the tokenizer's own merges and
+remembered by its text, so two pretokens never share an entry.  Texts with code
+points that this Python does not know as assigned, for which the tokenizer's
+tables may differ, go to the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
+import regex
 
-ODD, SPACE, LINE, LETTER, NUMBER, SIGN = range(6)
-MOST_REMEMBERED = 1_000_000
+MOST_REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+LONG_TEXT = 1 << 22
 _encoders: dict[str, Encoder] = {}
 
-
-def _classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER, "P": SIGN, "S": SIGN, "M": SIGN}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], ODD) for c in range(1 << 16)), np.uint8, 1 << 16)
-    table[ord(" ")], table[ord("\n")], table[ord("'")], table[0xFFFF] = SPACE, LINE, ODD, ODD
-    return table
+# Fixed value: white space and the cut of byte-level BPE.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PRETOKEN = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -33,6 +33,23 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) if b in shown else next(hidden) for b in range(256)}
 
 
+class Pretokens(dict):
+    """pretoken -> its ids as bytes, four to an id."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.merge, self.visible = model.tokenize, _visible_bytes()
+
+    def __missing__(self, pretoken: str) -> bytes:
+        shown = pretoken.encode().decode("latin-1").translate(self.visible)
+        ids = np.fromiter((t.id for t in self.merge(shown)), "<u4").tobytes()
+        if len(pretoken) <= LONGEST_REMEMBERED:
+            if len(self) >= MOST_REMEMBERED:
+                self.clear()
+            self[pretoken] = ids
+        return ids
+
+
 class Encoder:
     """``encode`` returns the ids of all texts in one array, and the number of ids of each."""
 
@@ -43,104 +60,33 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.visible = self.tokenizer.model, _visible_bytes()
-        self.classes = _classes()
-        draw = np.random.default_rng(7)
-        self.letters = draw.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-        self.base = int(draw.integers(1 << 62, 1 << 63)) | 1
-        self.powers = self.inverses = np.empty(0, np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 1 << 64))):
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self._flat([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-
-    def _merge(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of single pretokens: the tokenizer's merges without its cutting."""
-        merge, visible = self.model.tokenize, self.visible
-        return self._flat([[t.id for t in merge(p.encode().decode("latin-1").translate(visible))] for p in pretokens])
-
-    def _flat(self, got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(counts.sum())), counts
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where = np.searchsorted(self.keys, keys)
-        where[where == len(self.keys)] = 0
-        return where, (self.keys[where] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-
-    def _plain(self, joined: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that stand behind each other in ``joined`` from ``starts`` on."""
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kind = self.classes[codes]
-        before = kind[:-1]
-        cut = np.ones(len(codes), bool)
-        cut[1:] = (kind[1:] <= LINE) | (before == LINE) | ((kind[1:] != before) & (before != SPACE))
-        cut[starts[starts < len(codes)]] = True
-        begin = np.flatnonzero(cut)
-        end = np.append(begin[1:], len(codes))
-        self._grow(len(codes) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(self.letters[codes] * self.powers[: len(codes)], out=sums[1:])
-        hashed = (sums[end] - sums[begin]) * self.inverses[begin]
-        keys, first, back = np.unique(hashed, return_index=True, return_inverse=True)
-        where, hit = self._known(keys)
-        if not hit.all():
-            new = np.flatnonzero(~hit)
-            ids, counts = self._merge([joined[begin[i] : end[i]] for i in first[new]])
-            if len(self.keys) + len(new) > MOST_REMEMBERED and len(self.keys):
-                self.forget()
-                return self._plain(joined, starts)
-            every = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(every, kind="stable")
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(counts) - counts])[order]
-            self.lengths = np.concatenate([self.lengths, counts])[order]
-            self.keys, self.ids = every[order], np.concatenate([self.ids, ids])
-            where, _ = self._known(keys)
-        where = where[back]
-        counts = self.lengths[where]
-        total = np.append(0, np.cumsum(counts))
-        out = self.ids[np.repeat(self.at[where] - total[:-1], counts) + np.arange(total[-1])]
-        # ids before each text: those before the first pretoken at or after its start
-        ahead = total[np.searchsorted(begin, np.append(starts, len(codes)))]
-        return out, np.diff(ahead)
+        self.of = Pretokens(self.tokenizer.model)
+        self.assigned: set[str] = set()
+
+    def _odd(self, text: str) -> bool:
+        """Whether some code point has no category here."""
+        if text.isascii():
+            return False
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) in ("Cn", "Cs") for c in new):
+            return True
+        self.assigned |= new
+        return False
+
+    def ids(self, text: str) -> bytes:
+        """The ids of one text as bytes."""
+        if self._odd(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        of = self.of.__getitem__
+        if len(text) < LONG_TEXT:
+            return b"".join(map(of, _PRETOKEN.findall(text)))
+        found: Iterator[str] = (m.group() for m in _PRETOKEN.finditer(text))
+        return b"".join(b"".join(map(of, some)) for some in batched(found, 1 << 16))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = self.classes[np.minimum(codes, 0xFFFF)]
-        ends = np.cumsum(sizes)
-        bad = kind == ODD
-        gap = (kind == SPACE) | (kind == LINE)
-        double = gap[1:] & gap[:-1]
-        double[ends[(ends > 0) & (ends < len(codes))] - 1] = False
-        bad[1:] |= double
-        odd = np.zeros(len(texts), bool)
-        odd[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = True
-        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
-        counts = np.zeros(len(texts), np.int64)
-        lengths = sizes[~odd]
-        ids, counts[~odd] = self._plain("".join(plain), np.cumsum(lengths) - lengths) if lengths.sum() else (np.empty(0, np.uint32), np.zeros(len(plain), np.int64))
-        if not odd.any():
-            return ids, counts
-        rest, counts[odd] = self._encode([t for t, o in zip(texts, odd, strict=True) if o])
-        out = np.empty(int(counts.sum()), np.uint32)
-        of_odd = np.repeat(odd, counts)
-        out[of_odd], out[~of_odd] = rest, ids
-        return out, counts
+        made = [self.ids(t) for t in texts]
+        counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        return np.frombuffer(b"".join(made), "<u4"), counts
 
 
 def encoder(path: str) -> Encoder:
