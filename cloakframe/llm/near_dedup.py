@@ -11,14 +11,15 @@
    ``reach`` places, which share the longest prefixes, and of them offers the
    ``offers`` most alike in each tree.  Classes for which that left out anyone
    are marked as crowded.
-3. Candidates are confirmed on full shingle sets, first the most alike of each
-   class, then those that still join different components.  Confirmed links are
-   closed to components.
+3. The most alike candidates of each class are confirmed on full shingle sets
+   and closed to components.
 4. Crowded classes meet once more, whatever their number, by the shingles that
    two sets at the threshold cannot avoid to share: with all sets in one order,
    rarest shingles first, the first shingle that two of them share stands so
    early that what is left can still reach the threshold.  Classes of one
-   component do not meet; pairs pass the sketch and are confirmed like others.
+   component do not meet; pairs have to pass the sketch.
+5. These pairs and all other candidates of different components are confirmed
+   and closed to components.
 
 A pair at the threshold of 0.8 shares a prefix of 4 in one tree with chance 0.41
 and in none of 20 trees with chance 3e-5; a pair at 0.9 with 2e-9.
@@ -41,7 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import arrow_rows, checkpointed, small
@@ -316,25 +317,27 @@ def _sharing(forest: Forest):
     return run
 
 
-def across_labels(crowded: DataFrame, forest: Forest) -> DataFrame:
-    """(a, b, alike): all pairs of different labels that can reach the threshold and pass the sketch.
+def across_labels(crowded: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): all pairs of different labels that can reach the threshold and pass the sketch; pairs may repeat.
 
-    ``crowded`` has (n, id, label, sketch, shingles).  No number of classes is
-    too large to meet; shingles found under one label only are left where they are.
+    ``crowded`` has (n, id, label, sketch, shingles), ``sets`` the shingles of these
+    and more classes; how common they are there only decides the order in which
+    shingles lead.  No number of classes is too large to meet; shingles found under
+    one label only are left where they are.
     """
     spark = crowded.sparkSession
     with arrow_rows(spark, 500):
-        seen = crowded.select("shingles").mapInArrow(_rarity, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        seen = sets.select("shingles").mapInArrow(_rarity, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(1 << RARITY_BITS, np.int64)
         counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
         rows = crowded.select("n", "id", "label", "sketch", "shingles").mapInArrow(_leading(forest, counts), "shingle bigint, n bigint, most bigint, id bigint, label bigint, sketch binary")
         bucket = F.pmod("shingle", F.lit(FILTER_BUCKETS))
         mixed = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("most") >= F.col("n")).alias("meet")).filter("x < y and meet")
-        kept = checkpointed(mixed.select(bucket.alias("bucket")).distinct())
+        kept = mixed.select(bucket.alias("bucket")).distinct()
         live = rows.withColumn("bucket", bucket).join(F.broadcast(kept), "bucket", "left_semi").drop("bucket")
         sorted_rows = live.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
     with arrow_rows(spark, 10_000):
-        return checkpointed(sorted_rows.mapInArrow(_sharing(forest), "a bigint, b bigint, alike float").groupBy("a", "b").agg(F.max("alike").alias("alike")))
+        return sorted_rows.mapInArrow(_sharing(forest), "a bigint, b bigint, alike float").select("a", "b")
 
 
 def _rows(forest: Forest):
@@ -439,35 +442,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with arrow_rows(spark, 500):
         sets = checkpointed(texts.join(ends.distinct(), "id", "left_semi").mapInArrow(_sets(forest.width), "id bigint, shingles binary"))
 
-    links, found = None, None
-
-    def joined_by(more: DataFrame) -> None:
-        """Confirm pairs and take in those that hold."""
-        nonlocal links, found
-        with arrow_rows(spark, 500):
-            new = checkpointed(confirmed(more, sets, forest.percent))
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            found = components(links)
-
-    def settle(pairs: DataFrame) -> None:
-        """The most alike pairs of each class, then those that still join different components."""
-        both = pairs.select("a", "b", "alike", F.col("a").alias("id")).union(pairs.select("a", "b", "alike", F.col("b").alias("id")))
-        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("alike"), "a", "b"))
-        joined_by(both.withColumn("rank", rank).filter("rank <= 3").select("a", "b").distinct())
+    # The most alike pairs of each class, then all that could join different components.
+    both = pairs.select("a", "b", "alike", F.col("a").alias("id")).union(pairs.select("a", "b", "alike", F.col("b").alias("id")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("alike"), "a", "b"))
+    first = both.withColumn("rank", rank).filter("rank <= 3").select("a", "b").distinct()
+    with arrow_rows(spark, 500):
+        found = components(checkpointed(confirmed(first, sets, forest.percent)))
         of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        joined_by(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-
-    settle(pairs)
-    if not crowd.isEmpty():
+        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         labelled = classes.join(crowd, "id").join(found, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
-        more = across_labels(labelled.join(sets, "id"), forest)
-        if not more.isEmpty():
-            settle(more)
+        crowded = checkpointed(labelled.join(sets, "id").select("n", "id", "label", "sketch", "shingles"))
+    more = checkpointed(apart.union(across_labels(crowded, sets, forest)).distinct())
+    joins = Observation()
+    with arrow_rows(spark, 500):
+        new = checkpointed(confirmed(more, sets, forest.percent).observe(joins, F.count(F.lit(1)).alias("rows")))
+    if joins.get.get("rows"):
+        found = components(new.union(found.select("component", "node")))
 
     roots = classes.select("h1", "h2", "n", "id").join(found, F.col("id") == F.col("node"), "left")
-    roots = checkpointed(roots.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "id").alias("root")))
-    joined = signed.select("id", "n", "h1", "h2").join(roots, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
+    roots = roots.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "id").alias("root"))
+    # texts without a set are spread by id, they meet no class
+    spread = signed.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("id")).alias("h1"), "h2")
+    joined = spread.join(roots, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return joined.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
@@ -475,10 +471,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class the row with the smallest id stays.
 
-    Rows that share an id are one document, of which one row stays; rows with a
-    null id are no document of any class and stay.
+    Rows that share an id are one document, of which the row that comes first by
+    a hash of all its columns stays; rows with a null id are no document of any
+    class and stay.
     """
     found = near_duplicates(df, id_col, text_col, forest)
     gone = checkpointed(found.filter("not kept").select(F.col("id").alias("__gone")).distinct())
-    named = df.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti").dropDuplicates([id_col])
-    return named.unionByName(df.filter(F.col(id_col).isNull()))
+    quoted = [f"`{c}`" for c in df.columns]
+    named = df.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*quoted), F.hash(*quoted)))
+    one = named.withColumn("__place", place).filter("__place = 1").select(*quoted)
+    return one.unionByName(df.filter(F.col(id_col).isNull()))
