@@ -5,23 +5,29 @@ The SQL runs in DuckDB over views of the same tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions.sets import euclidean, mismatches
+from cloakframe.operators.anonymiser import Anonymiser
 from cloakframe.operators.attackers import IntersectionAttacker, TrajectoryAttacker, overlap_join
 from cloakframe.operators.clustering import Clustering
 from cloakframe.operators.cover import cover_rows
 from cloakframe.operators.images import KSame
-from cloakframe.operators.metrics import PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
-from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, DistinctLDiversity, KAnonymity, TCloseness, frequencies
-from cloakframe.operators.mondrian import Mondrian
+from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
+from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, TCloseness, frequencies
+from cloakframe.operators.mondrian import Mondrian, normalised_spans, numbered
 from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
 from cloakframe.operators.republication import MInvariance
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, Microaggregation, RawData
-from cloakframe.plans.roles import GROUP, RID, row
+from cloakframe.plans.roles import GROUP, RID, column_roles, row, with_row_id
+from cloakframe.recursive_sql import mdav_sql, mondrian_sql
+from cloakframe.sources.schema_files import load_schema, read_table, save_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,6 +193,11 @@ def t_close_emd(spark, sf_dir):
     return _close(spark, sf_dir, EARTH_MOVER)
 
 
+@query(_closeness("sqrt(sum((coalesce(f.c, 0) * 1.0 / n.n - q.q) ** 2))"))
+def t_close_own_metric(spark, sf_dir):
+    return _close(spark, sf_dir, Distance("euclidean", lambda p, q: float(np.sqrt(((p - q) ** 2).sum()))))
+
+
 @query("SELECT c_nationkey AS ec, c_mktsegment AS value, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY c_nationkey), 9) AS share FROM customer GROUP BY 1, 2")
 def value_frequencies(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").withColumn("ec", F.col("c_nationkey"))
@@ -223,36 +234,70 @@ def mondrian_k_local(spark, sf_dir):
     return _two_levels(spark, sf_dir, local_rows=1 << 40)
 
 
-def _held(df: DataFrame, found: DataFrame, k: int, distinct: str | None = None, least: int = 1) -> DataFrame:
-    """What a partition guarantees: all rows are in it once, and its classes meet the models."""
-    parts = df.join(found, RID, "left")
-    values = F.count_distinct(distinct) if distinct else F.lit(least)
-    sizes = parts.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), values.alias("l"))
-    return sizes.agg(F.sum("n").alias("n_rows"), (F.min("n") >= k).alias("k_ok"), (F.min("l") >= least).alias("l_ok"), F.count_if(F.col(GROUP).isNull()).alias("outside"))
+def _paths(found: DataFrame) -> DataFrame:
+    return found.select(F.col(RID).alias("rid"), F.col(GROUP).alias("path"))
+
+
+_KL = mondrian_sql("part", "p_partkey", ("p_size", "p_type", "p_retailprice"), ("p_type",), 10, "p_brand", lambda rows: f"count(DISTINCT s) FILTER ({rows}) OVER p >= 5")
 
 
-@query("SELECT count(*) AS n_rows, true AS k_ok, true AS l_ok, CAST(0 AS BIGINT) AS outside FROM part")
+@query(f"{_KL} SELECT rid, path FROM path_of")
 def mondrian_kl(spark, sf_dir):
     df = _rid(_table(spark, sf_dir, "part"), "p_partkey")
-    found = Mondrian((KAnonymity(10), DistinctLDiversity(5, "p_brand")), ("p_size", "p_type", "p_retailprice"), local_rows=500).partition(df)
-    return _held(df, found, 10, "p_brand", 5)
+    return _paths(Mondrian((KAnonymity(10), DistinctLDiversity(5, "p_brand")), ("p_size", "p_type", "p_retailprice"), local_rows=500).partition(df))
 
 
-@query("SELECT count(*) AS n_rows, true AS k_ok, true AS l_ok, CAST(0 AS BIGINT) AS outside, true AS t_ok FROM customer")
-def mondrian_kt(spark, sf_dir):
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _closer(measure: str, join: str, t: float) -> Callable[[str], str]:
+    """A side's distance to the whole table, one gap for each segment."""
+    share = lambda v: f"(SELECT count(*) FILTER (c_mktsegment = '{v}') * 1.0 / count(*) FROM customer)"
+    gap = lambda rows, v: f"abs(count(*) FILTER (({rows}) AND s = '{v}') OVER p * 1.0 / greatest(1, count(*) FILTER ({rows}) OVER p) - {share(v)})"
+    return lambda rows: measure.format(join.join(gap(rows, v) for v in SEGMENTS)) + f" <= {t} + 1e-12"
+
+
+_KT = mondrian_sql("customer", "c_custkey", ("c_nationkey", "c_acctbal"), (), 20, "c_mktsegment", _closer("greatest({})", ", ", 0.15))
+_KE = mondrian_sql("customer", "c_custkey", ("c_nationkey", "c_acctbal"), (), 20, "c_mktsegment", _closer("0.5 * ({})", " + ", 0.15))
+
+
+def _closely(spark, sf_dir, distance, local_rows: int) -> DataFrame:
     df = _rid(_table(spark, sf_dir, "customer"), "c_custkey")
-    model = TCloseness(0.15, "c_mktsegment")
-    found = Mondrian((KAnonymity(20), model), ("c_nationkey", "c_acctbal"), local_rows=300).partition(df)
-    ok = model.holds(df.join(found, RID), GROUP).agg(F.min("ok").alias("t_ok"))
-    return _held(df, found, 20).crossJoin(F.broadcast(ok))
+    models = (KAnonymity(20), TCloseness(0.15, "c_mktsegment", distance))
+    return _paths(Mondrian(models, ("c_nationkey", "c_acctbal"), local_rows=local_rows).partition(df))
+
+
+@query(f"{_KT} SELECT rid, path FROM path_of")
+def mondrian_kt(spark, sf_dir):
+    return _closely(spark, sf_dir, MAX_DISTANCE, 300)
+
+
+@query(f"{_KE} SELECT rid, path FROM path_of")
+def mondrian_kt_emd(spark, sf_dir):
+    return _closely(spark, sf_dir, EARTH_MOVER, 10_000)
+
+
+@query(f"{_KL}, n AS (SELECT path, row_number() OVER (ORDER BY length(path), path) - 1 AS number FROM path_of GROUP BY path) SELECT rid, number FROM path_of JOIN n USING (path)")
+def breadth_first_numbers(spark, sf_dir):
+    df = _rid(_table(spark, sf_dir, "part"), "p_partkey")
+    found = Mondrian((KAnonymity(10), DistinctLDiversity(5, "p_brand")), ("p_size", "p_type", "p_retailprice")).partition(df)
+    return numbered(found).select(F.col(RID).alias("rid"), F.col(GROUP).alias("number"))
+
+
+_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
+
+
+@query(f"SELECT {_ORDER}, row_number() OVER (ORDER BY {_ORDER}) - 1 AS number FROM lineitem")
+def row_numbers(spark, sf_dir):
+    keys = _ORDER.split(", ")
+    return with_row_id(_table(spark, sf_dir, "lineitem"), keys).select(*keys, F.col(RID).alias("number"))
 
 
 @query("SELECT floor(p_size / 7) AS ec, CAST(max(p_size) - min(p_size) AS DOUBLE) / (SELECT max(p_size) - min(p_size) FROM part) AS size_span, count(DISTINCT p_type) * 1.0 / (SELECT count(DISTINCT p_type) FROM part) AS type_span FROM part GROUP BY 1")
 def spans(spark, sf_dir):
-    df = _table(spark, sf_dir, "part")
-    whole = df.agg((F.max("p_size") - F.min("p_size")).alias("s"), F.count_distinct("p_type").alias("t"))
-    by = df.groupBy(F.floor(F.col("p_size") / 7).cast("double").alias("ec")).agg((F.max("p_size") - F.min("p_size")).alias("a"), F.count_distinct("p_type").alias("b"))
-    return by.crossJoin(F.broadcast(whole)).select("ec", F.try_divide("a", "s").alias("size_span"), F.try_divide("b", "t").alias("type_span"))
+    df = _table(spark, sf_dir, "part").withColumn("ec", F.floor(F.col("p_size") / 7).cast("double"))
+    found = normalised_spans(df, ("p_size", "p_type"), "ec")
+    return found.select("ec", F.col("p_size").alias("size_span"), F.col("p_type").alias("type_span"))
 
 
 _CLUSTERS = "WITH n AS (SELECT count(*) AS n FROM {t}) SELECT CAST({k} AS BIGINT) AS size, n // {k} - 1 + CAST(n % {k} = 0 AS BIGINT) AS clusters FROM n WHERE n // {k} - 1 + CAST(n % {k} = 0 AS BIGINT) > 0 UNION ALL SELECT {k} + n % {k}, CAST(1 AS BIGINT) FROM n WHERE n % {k} > 0"
@@ -264,14 +309,28 @@ def _cluster_sizes(spark, sf_dir, algorithm: str, k: int) -> DataFrame:
     return found.groupBy(GROUP).count().groupBy(F.col("count").alias("size")).agg(F.count(F.lit(1)).alias("clusters"))
 
 
-@query(_CLUSTERS.format(t="supplier", k=7))
+def _clusters(spark, sf_dir, k: int, features: tuple[str, ...], algorithm: str, categorical: tuple[str, ...] = ()) -> DataFrame:
+    df = _rid(_table(spark, sf_dir, "supplier"), "s_suppkey").withColumn("s_zone", F.col("s_nationkey") % 4)
+    found = Clustering(k, features, algorithm, categorical).partition(df)
+    return found.select(F.col(RID).alias("rid"), F.regexp_extract(GROUP, ":(\\d+)$", 1).cast("bigint").alias("cluster"))
+
+
+_MDAV = mdav_sql("supplier", "s_suppkey", ("s_nationkey", "s_acctbal"), 7) + " SELECT rid, cluster FROM cluster_of"
+
+
+@query(_MDAV)
 def mdav(spark, sf_dir):
-    return _cluster_sizes(spark, sf_dir, "mdav", 7)
+    return _clusters(spark, sf_dir, 7, ("s_nationkey", "s_acctbal"), "mdav")
 
 
-@query(_CLUSTERS.format(t="supplier", k=7))
+@query(_MDAV)
 def fmdav(spark, sf_dir):
-    return _cluster_sizes(spark, sf_dir, "fmdav", 7)
+    return _clusters(spark, sf_dir, 7, ("s_nationkey", "s_acctbal"), "fmdav")
+
+
+@query(mdav_sql("supplier", "s_suppkey", ("s_acctbal",), 5, ("s_nationkey % 4",)) + " SELECT rid, cluster FROM cluster_of")
+def mdav_categories(spark, sf_dir):
+    return _clusters(spark, sf_dir, 5, ("s_acctbal", "s_zone"), "mdav", ("s_zone",))
 
 
 @query(_CLUSTERS.format(t="supplier", k=3))
@@ -296,6 +355,30 @@ def m_invariance(spark, sf_dir):
     return real.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(GROUP).isNull()).alias("outside")).crossJoin(F.broadcast(ok))
 
 
+@query(
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS outside, true AS distinct_ok, (SELECT count(*) FROM customer WHERE c_custkey % 10 BETWEEN 3 AND 7) AS stayed, CAST(0 AS BIGINT) AS moved FROM customer WHERE c_custkey % 10 >= 3"
+)
+def m_invariance_second(spark, sf_dir):
+    """Rows that are in both releases are in classes of one signature."""
+    every = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    first, second = every.filter("ID % 10 <= 7"), every.filter("ID % 10 >= 3")
+    model = MInvariance(3, ("nation",), "segment")
+    before, fakes = model.partition(first)
+    after, more = model.partition(second, first, before, fakes)
+
+    def signed(df: DataFrame, found: DataFrame, fakes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        held = df.join(found, "ID", "left")
+        members = held.select(GROUP, "segment").unionByName(fakes.select(GROUP, "segment"))
+        classes = members.groupBy(GROUP).agg(F.array_sort(F.collect_set("segment")).alias("signature"), F.count(F.lit(1)).alias("n"))
+        return held.join(classes, GROUP, "left").select("ID", GROUP, "signature"), classes
+
+    (old, _), (new, classes) = signed(first, before, fakes), signed(second, after, more)
+    moved = old.select("ID", F.col("signature").alias("was")).join(new, "ID").agg(F.count(F.lit(1)).alias("stayed"), F.count_if(F.col("was") != F.col("signature")).alias("moved"))
+    ok = classes.agg(F.min((F.size("signature") >= 3) & (F.size("signature") == F.col("n"))).alias("distinct_ok"))
+    rows = new.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(GROUP).isNull()).alias("outside"))
+    return rows.crossJoin(F.broadcast(ok)).crossJoin(F.broadcast(moved))
+
+
 @query("SELECT count(*) AS n_images, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 5) AS total, true AS k_ok FROM embeddings")
 def ksame_pixel(spark, sf_dir):
     images = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"), "label")
@@ -334,11 +417,11 @@ def raw_select(spark, sf_dir):
 
 
 def _targets(spark, sf_dir) -> DataFrame:
-    df = _table(spark, sf_dir, "part").filter("p_partkey % 97 = 0")
+    df = _table(spark, sf_dir, "part")
     return df.select(F.col("p_partkey").alias("ID"), (F.col("p_size") - 1).alias("p_size_min"), (F.col("p_size") + 1).alias("p_size_max"), *[(F.col("p_type") == t).alias(f"p_type_{t}") for t in TYPES])
 
 
-_TARGETS = "t AS (SELECT p_partkey AS id, p_size - 1 AS lo, p_size + 1 AS hi, p_type AS ty FROM part WHERE p_partkey % 97 = 0)"
+_TARGETS = "t AS (SELECT p_partkey AS id, p_size - 1 AS lo, p_size + 1 AS hi, p_type AS ty FROM part)"
 _HIT = "t.lo <= rel.p_size_max AND t.hi >= rel.p_size_min AND (" + " OR ".join(f"(t.ty = '{t}' AND rel.\"p_type_{t}\")" for t in TYPES) + ")"
 
 
@@ -376,6 +459,190 @@ def query_overlap(spark, sf_dir):
     return _mr(spark, sf_dir).select("p_size_min", "p_size_max", "p_brand", MR.query_overlap(row(), WANTED).alias("overlap"))
 
 
+# -- algebra of text, raw and recoded releases ----------------------------------
+_TYPES_OF = "list_filter([" + ", ".join(f"CASE WHEN rel.\"p_type_{t}\" THEN '{t}' END" for t in TYPES) + "], lambda x: x IS NOT NULL)"
+_HR = f"{_release_sql()}, hr AS (SELECT *, CASE WHEN p_size_min = p_size_max THEN CAST(p_size_min AS VARCHAR) ELSE p_size_min || '-' || p_size_max END AS p_size, {_TYPES_OF} AS types, array_to_string({_TYPES_OF}, ',') AS p_type FROM rel)"
+_KNOWN = "k AS (SELECT p_partkey AS id, p_size - 1 AS lo, p_size + 1 AS hi, list_sort(list_distinct([p_type, 'PROMO'])) AS types FROM part)"
+_KNOWN_HIT = "k.lo <= hr.p_size_max AND k.hi >= hr.p_size_min AND list_has_any(k.types, hr.types)"
+
+
+def _hr(spark, sf_dir) -> DataFrame:
+    return HR.generalise(_part(spark, sf_dir))
+
+
+def _hr_known(spark, sf_dir) -> DataFrame:
+    types = F.array_join(F.array_sort(F.array_distinct(F.array("p_type", F.lit("PROMO")))), ",")
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), F.concat_ws("-", (F.col("p_size") - 1).cast("string"), (F.col("p_size") + 1).cast("string")).alias("p_size"), types.alias("p_type"))
+
+
+@query(f"WITH {_HR} SELECT p_size, p_type, p_brand, \"count\" FROM hr WHERE p_size_min <= 9 AND p_size_max >= 8 AND list_has_any(types, ['MEDIUM', 'SMALL'])")
+def hr_match(spark, sf_dir):
+    return HR.match(_hr(spark, sf_dir), {"p_size": "8-9", "p_type": "MEDIUM,SMALL"}, ["p_size", "p_type"])
+
+
+@query(
+    f"WITH {_HR}, {_KNOWN}, i AS (SELECT k.id, greatest(k.lo, p_size_min) AS a, least(k.hi, p_size_max) AS b, list_sort(list_intersect(k.types, hr.types)) AS kinds, p_brand, \"count\" FROM k JOIN hr ON {_KNOWN_HIT}) "
+    "SELECT id AS \"ID\", CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS p_size, array_to_string(kinds, ',') AS p_type, p_brand, \"count\" FROM i"
+)
+def hr_intersect(spark, sf_dir):
+    pairs = overlap_join(_hr_known(spark, sf_dir), _hr(spark, sf_dir), HR, ["p_size", "p_type"])
+    k, r = (lambda c: F.col("k")[c]), (lambda c: F.col("r")[c])
+    _, columns = HR.intersect(k, r, ["p_size", "p_type"], take_right=["p_brand"])
+    return pairs.select(k("ID").alias("ID"), *columns, r("count").alias("count"))
+
+
+@query(f"WITH {_HR} SELECT DISTINCT p_size, array_to_string(range(p_size_min, p_size_max + 1), ',') AS sizes, len(types) AS n_types, p_type AS types FROM hr")
+def hr_values_for(spark, sf_dir):
+    sizes, types = HR.values_for(row(), "p_size"), HR.values_for(row(), "p_type")
+    return _hr(spark, sf_dir).select("p_size", F.array_join(sizes.cast("array<string>"), ",").alias("sizes"), F.size(types).cast("bigint").alias("n_types"), F.array_join(types, ",").alias("types")).distinct()
+
+
+@query(
+    f"WITH {_HR} SELECT p_size, p_brand, CAST((p_size_max - p_size_min + 1) * len(types) AS BIGINT) AS cardinality, "
+    "CAST(greatest(0, least(p_size_max, 20) - greatest(p_size_min, 5) + 1) * len(list_intersect(types, ['ECONOMY', 'PROMO'])) * CAST(p_brand IN ('Brand#1', 'Brand#7') AS INT) AS BIGINT) AS overlap FROM hr"
+)
+def hr_cardinality_overlap(spark, sf_dir):
+    return _hr(spark, sf_dir).select("p_size", "p_brand", HR.set_cardinality(row(), ["p_size", "p_type"]).alias("cardinality"), HR.query_overlap(row(), WANTED).alias("overlap"))
+
+
+def _raw(spark, sf_dir) -> DataFrame:
+    return RAW.generalise(_part(spark, sf_dir).select("p_size", "p_type", "p_brand"))
+
+
+@query("SELECT p_size, p_type, p_brand, count(*) AS \"count\" FROM part WHERE p_size = 11 AND p_type = 'PROMO' GROUP BY ALL")
+def raw_match(spark, sf_dir):
+    return RAW.match(_raw(spark, sf_dir), {"p_size": 11, "p_type": "PROMO"}, ["p_size", "p_type"])
+
+
+@query("SELECT k.p_partkey AS \"ID\", r.p_size, r.p_type, r.p_brand, r.n AS \"count\", r.p_brand AS value, CAST(1 AS BIGINT) AS cardinality FROM part k JOIN (SELECT p_size, p_type, p_brand, count(*) AS n FROM part GROUP BY ALL) r ON k.p_size = r.p_size AND k.p_type = r.p_type")
+def raw_intersect(spark, sf_dir):
+    known = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), "p_size", "p_type")
+    pairs = overlap_join(known, _raw(spark, sf_dir), RAW, ["p_size", "p_type"])
+    k, r = (lambda c: F.col("k")[c]), (lambda c: F.col("r")[c])
+    _, columns = RAW.intersect(k, r, ["p_size", "p_type"], take_right=["p_brand"])
+    return pairs.select(k("ID").alias("ID"), *columns, r("count").alias("count"), RAW.values_for(r, "p_brand")[0].alias("value"), RAW.set_cardinality(r, ["p_size", "p_type"]).alias("cardinality"))
+
+
+_NODES = (
+    "nodes AS (SELECT CAST(i AS VARCHAR) AS v, CASE WHEN i <= 10 THEN ['any', 'small', 'tiny'] WHEN i <= 25 THEN ['any', 'small', 'little'] ELSE ['any', 'big'] END || [CAST(i AS VARCHAR)] AS path FROM range(1, 51) r(i) "
+    "UNION ALL SELECT * FROM (VALUES ('any', ['any']), ('small', ['any', 'small']), ('big', ['any', 'big']), ('tiny', ['any', 'small', 'tiny']), ('little', ['any', 'small', 'little'])) x(v, path))"
+)
+#: Every other target is known by its band only.
+_CODED = f"k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE {_BAND} END AS v FROM part)"
+
+
+def _fine(spark, sf_dir) -> DataFrame:
+    """A release whose classes are recoded to different levels."""
+    return RECODING.generalise(_part(spark, sf_dir, "floor(p_size / 26) * 100 + if(p_size < 26, 0, p_size)").drop("p_type"))
+
+
+_FINE = "rel AS (SELECT CASE WHEN p_size < 26 THEN 'small' ELSE CAST(p_size AS VARCHAR) END AS p_size, p_brand, count(*) AS \"count\" FROM part GROUP BY ALL)"
+
+
+@query(f"WITH {_RECODED}, {_NODES} SELECT p_size, p_brand, \"count\" FROM rel JOIN nodes a ON a.v = p_size JOIN nodes b ON b.v = 'tiny' WHERE list_contains(a.path, 'tiny') OR list_contains(b.path, a.v)")
+def recode_match(spark, sf_dir):
+    return RECODING.match(_recoded(spark, sf_dir), {"p_size": "tiny"}, ["p_size"])
+
+
+@query(
+    f"WITH {_FINE}, {_NODES}, {_CODED} SELECT k.id AS \"ID\", CASE WHEN len(a.path) >= len(b.path) THEN a.v ELSE b.v END AS p_size, rel.p_brand, rel.\"count\" "
+    "FROM k JOIN nodes a USING (v) JOIN rel ON true JOIN nodes b ON b.v = rel.p_size WHERE list_contains(a.path, b.v) OR list_contains(b.path, a.v)"
+)
+def recode_intersect(spark, sf_dir):
+    band = F.when(F.col("p_size") <= 10, "tiny").when(F.col("p_size") <= 25, "little").otherwise("big")
+    known = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(band).alias("p_size"))
+    pairs = overlap_join(known, _fine(spark, sf_dir), RECODING, ["p_size"])
+    k, r = (lambda c: F.col("k")[c]), (lambda c: F.col("r")[c])
+    _, columns = RECODING.intersect(k, r, ["p_size"], take_right=["p_brand"])
+    return pairs.select(k("ID").alias("ID"), *columns, r("count").alias("count"))
+
+
+@query(f"WITH {_FINE}, {_NODES} SELECT DISTINCT p_size, (SELECT string_agg(v, ',' ORDER BY CAST(v AS INT)) FROM nodes WHERE TRY_CAST(v AS INT) IS NOT NULL AND list_contains(path, p_size)) AS sizes FROM rel")
+def recode_values_for(spark, sf_dir):
+    found = _fine(spark, sf_dir).select("p_size", RECODING.values_for(row(), "p_size").alias("v")).distinct()
+    ordered = F.array_sort(F.transform("v", lambda x: x.cast("int"))).cast("array<string>")
+    return found.select("p_size", F.array_join(ordered, ",").alias("sizes"))
+
+
+# -- schemas and files ----------------------------------------------------------
+@query("SELECT column_name AS \"column\", CASE column_name WHEN 'p_type' THEN 'categorical' WHEN 'p_size' THEN 'numeric' ELSE 'unaltered' END AS role FROM (DESCRIBE part)")
+def column_groups(spark, sf_dir):
+    roles = column_roles(_table(spark, sf_dir, "part"), ["p_type", "p_size"])
+    return spark.createDataFrame([(c, r) for r in ("categorical", "numeric", "unaltered") for c in getattr(roles, r)], "column string, role string")
+
+
+@query(
+    "WITH f AS (SELECT p_type AS value, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS place FROM part GROUP BY p_type) "
+    "SELECT 'p_type_' || value AS \"column\", place + 2 AS place, false AS original FROM f UNION ALL SELECT * FROM (VALUES ('p_size_min', 0, false), ('p_size_max', 1, false), ('p_brand', -1, true)) x"
+)
+def inferred_schema(spark, sf_dir):
+    df = _rid(_table(spark, sf_dir, "part"), "p_partkey").select(RID, "p_size", "p_type", "p_brand")
+    schema = MachineReadable.create_for_data(df, ["p_size", "p_type"])
+    rows = [(c, n, schema.is_original_column(c)) for n, c in enumerate(schema.quasi_identifier())] + [(c, -1, schema.is_original_column(c)) for c in schema.unaltered]
+    return spark.createDataFrame(rows, "column string, place bigint, original boolean")
+
+
+def _scratch(spark, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_release_sql()} SELECT {_COLS} FROM rel")
+def schema_file(spark, sf_dir):
+    """A release by a schema that was written to shared storage and read back."""
+    path = _scratch(spark, "schema")
+    save_schema(MR, path, spark)
+    return load_schema(path, spark).generalise(_part(spark, sf_dir))
+
+
+@query("SELECT n_nationkey AS nation, n_name AS name, n_regionkey AS region FROM nation")
+def csv_source(spark, sf_dir):
+    """A file without a header."""
+    path = _scratch(spark, "csv")
+    _table(spark, sf_dir, "nation").write.csv(path)
+    return read_table(spark, path, "csv", schema="nation int, name string, region int")
+
+
+# -- the façade -----------------------------------------------------------------
+def _anonymised(df: DataFrame, key: str, *columns: str, **options) -> DataFrame:
+    return Anonymiser(_rid(df, key).select(RID, *columns), **options).anonymise()
+
+
+_PATH_OF = lambda sql, table, key: f"{sql}, g AS (SELECT x.*, path AS gid FROM {table} x JOIN path_of ON rid = {key})"
+_KLM = _PATH_OF(mondrian_sql("part", "p_partkey", ("p_size", "p_type"), ("p_type",), 10, "p_brand", lambda rows: f"count(DISTINCT s) FILTER ({rows}) OVER p >= 5"), "part", "p_partkey")
+
+
+@query(f"{_KLM}, {_release_sql()[_release_sql().index('q AS'):]} SELECT {_COLS} FROM rel")
+def anonymise_k_l(spark, sf_dir):
+    return _anonymised(_table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_type", "p_brand", sensitive_column="p_brand", feature_columns=["p_size", "p_type"], k=10, l=5)
+
+
+_KTH = _PATH_OF(mondrian_sql("customer", "c_custkey", ("c_nationkey",), (), 20, "c_mktsegment", _closer("greatest({})", ", ", 0.15)), "customer", "c_custkey")
+
+
+@query(f"{_KTH}, q AS (SELECT gid, min(c_nationkey) AS a, max(c_nationkey) AS b FROM g GROUP BY gid) SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS c_nationkey, c_mktsegment, count(*) AS \"count\" FROM g JOIN q USING (gid) GROUP BY gid, a, b, c_mktsegment")
+def anonymise_k_t(spark, sf_dir):
+    return _anonymised(_table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", "c_mktsegment", sensitive_column="c_mktsegment", feature_columns=["c_nationkey"], generalisation_strategy="human-readable", k=20, t=0.15)
+
+
+@query(mdav_sql("supplier", "s_suppkey", ("s_acctbal",), 5) + ", m AS (SELECT cluster, avg(s_acctbal) AS a FROM cluster_of JOIN supplier ON rid = s_suppkey GROUP BY cluster) SELECT round(a, 6) AS s_acctbal, s_nationkey, count(*) AS \"count\" FROM cluster_of JOIN supplier ON rid = s_suppkey JOIN m USING (cluster) GROUP BY cluster, a, s_nationkey")
+def anonymise_micro(spark, sf_dir):
+    release = _anonymised(_table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", "s_nationkey", feature_columns=["s_acctbal"], generalisation_strategy="microaggregation", k=5, algorithm="MDAV-generic")
+    return release.withColumn("s_acctbal", F.round("s_acctbal", 6))
+
+
+class ByTens:
+    """A partitioner of one's own."""
+
+    def partition(self, df: DataFrame) -> DataFrame:
+        return df.select(RID, F.floor(F.col("p_size") / 10).alias(GROUP))
+
+
+@query("WITH g AS (SELECT *, p_size // 10 AS gid FROM part), q AS (SELECT gid, min(p_size) AS p_size_min, max(p_size) AS p_size_max FROM g GROUP BY gid) SELECT p_size_min, p_size_max, p_brand, count(*) AS \"count\" FROM g JOIN q USING (gid) GROUP BY ALL")
+def anonymise_own_partitioner(spark, sf_dir):
+    return _anonymised(_table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_brand", sensitive_column="p_brand", feature_columns=["p_size"], algorithm=ByTens())
+
+
 # -- metrics ------------------------------------------------------------------
 _ESTIMATE = f'sum("count" * ({_OVER}) * 1.0 / ({_CARD}))'
 _TRUTH = "(SELECT count(*) FROM part WHERE p_size BETWEEN 5 AND 20 AND p_type IN ('ECONOMY', 'PROMO') AND p_brand IN ('Brand#1', 'Brand#7'))"
@@ -407,7 +674,6 @@ def class_sizes(spark, sf_dir):
     return _prepared(spark, sf_dir).classes.drop(GROUP)
 
 
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _WIDE = ", ".join(f"(c_custkey * {3 + 2 * i} + {i}) % 7 AS w{i}" for i in range(5))
 _CONF = f"w AS (SELECT c_custkey AS id, c_mktsegment AS s, {_WIDE} FROM customer), p AS (" + " UNION ALL ".join(f"SELECT id, s, '{v}' AS value, w{i} * 1.0 / nullif(w0 + w1 + w2 + w3 + w4, 0) AS confidence FROM w" for i, v in enumerate(SEGMENTS)) + ")"
 
@@ -455,11 +721,63 @@ def trajectory_attack(spark, sf_dir):
     return _attacked(attacker, spark, sf_dir).predict_all("p_brand")
 
 
-@query("SELECT CAST(i AS BIGINT) AS row_id FROM (VALUES (0), (1), (2)) v(i)")
+def _chain(spark, sf_dir) -> TrajectoryAttacker:
+    """Nations known to within one key: the last has one record left, and so one after the other."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ID"), F.col("n_nationkey").alias("key"), "n_regionkey")
+    schema = MachineReadable({}, ("key",), ("n_regionkey",))
+    last = nations.agg(F.max("ID")).first()[0]
+    known = nations.select("ID", F.col("key").alias("key_min"), F.least(F.col("key") + 1, F.lit(last)).alias("key_max"))
+    release = schema.generalise(nations.select("key", "n_regionkey", F.col("key").alias(GROUP)))
+    attacker = TrajectoryAttacker(known, ["key"], schema)
+    attacker.observe(release, ["key", "n_regionkey"], nations.select("ID"))
+    here = nations.filter("n_regionkey <> 4")
+    attacker.observe(schema.generalise(here.select("key", "n_regionkey", F.col("key").alias(GROUP))), ["key", "n_regionkey"], here.select("ID"))
+    return attacker
+
+
+@query("SELECT n_nationkey AS \"ID\", n_regionkey AS value, CAST(1 AS DOUBLE) AS weight FROM nation")
+def trajectory_finalise(spark, sf_dir):
+    """Every record is used as often as its count says: one assignment of two for most targets is left."""
+    attacker = _chain(spark, sf_dir)
+    attacker.finalise()
+    return attacker.predict_all("n_regionkey")
+
+
+@query(
+    f'WITH {_TWO}, {_TARGETS}, a AS (SELECT t.id, greatest(t.lo, rel.p_size_min) AS lo, least(t.hi, rel.p_size_max) AS hi, t.ty, rel.p_brand, rel."count" AS n FROM t JOIN rel ON {_HIT}) '
+    f'SELECT t.id AS "ID", count(*) AS paths, CAST(sum(t.n * rel2."count") AS BIGINT) AS ways FROM a t JOIN rel2 ON {_HIT.replace("rel.", "rel2.")} AND t.p_brand = rel2.p_brand GROUP BY t.id'
+)
+def trajectory_ways(spark, sf_dir):
+    attacker = _attacked(TrajectoryAttacker(_targets(spark, sf_dir), ["p_size", "p_type"], MR), spark, sf_dir)
+    return attacker.paths.groupBy("ID").agg(F.count(F.lit(1)).alias("paths"), F.sum("__ways").alias("ways"))
+
+
+@query("SELECT CAST(n_nationkey * 10 + i AS BIGINT) AS row_id FROM nation, range(3) r(i) WHERE i <> 1")
 def multiset_cover(spark, sf_dir):
-    rows = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (2, 2), (3, 3)]
-    target = [(0, 2), (1, 2), (2, 2)]
-    return cover_rows(spark.createDataFrame(rows, "row_id bigint, col_id bigint"), spark.createDataFrame(target, "col_id bigint, mult bigint"))
+    """Four columns a nation in a chain of three rows: the outer two are the cover."""
+    nations = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).cast("bigint").alias("base"))
+    rows = nations.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).select((F.col("base") + F.col("i")).alias("row_id"), F.explode(F.array(F.col("base") + F.col("i"), F.col("base") + F.col("i") + 1)).alias("col_id"))
+    return cover_rows(rows, nations.select(F.explode(F.sequence("base", F.col("base") + 3)).alias("col_id"), F.lit(1).alias("mult")))
+
+
+_SELECTIVITIES = (0.05, 0.3, 0.6, 1.0)
+
+
+@query(
+    "WITH w AS (SELECT s, s ** (1.0 / 3) AS w FROM (VALUES " + ", ".join(f"(CAST({s} AS DOUBLE))" for s in _SELECTIVITIES) + ") v(s)), d AS (SELECT max(p_size) - min(p_size) AS width, count(DISTINCT p_type) AS types, count(DISTINCT p_brand) AS brands FROM part) "
+    + " UNION ALL ".join(f"SELECT s AS selectivity, '{c}' AS \"column\", CAST(round(w * {n}) AS BIGINT) AS size, true AS inside FROM w, d" for c, n in (("p_size", "width"), ("p_type", "types"), ("p_brand", "brands")))
+    + " UNION ALL SELECT s, 'none', 0, true FROM w"
+)
+def generated_queries(spark, sf_dir):
+    """Sizes of generated predicates: the selectivity's root times the domain; none for no predicates."""
+    made = CountingQueryGenerator(PreparedRelease(_raw(spark, sf_dir), RAW, ("p_size", "p_type")), seed=7)
+    rows = []
+    for s in _SELECTIVITIES:
+        for column, r in made.generate(3, s).items():
+            domain, interval = made.domains[column], isinstance(r, tuple)
+            rows.append((s, column, r[1] - r[0] if interval else len(r), domain[0] <= r[0] and r[1] <= domain[1] if interval else r <= set(domain)))
+        rows.append((s, "none", len(made.generate(0, s)), True))
+    return spark.createDataFrame(rows, "selectivity double, column string, size bigint, inside boolean")
 
 
 @query("SELECT s_suppkey, CAST((s_nationkey <> 3)::INT + (s_suppkey % 5 <> 2)::INT AS INT) AS hamming FROM supplier")
@@ -470,8 +788,6 @@ def category_distance(spark, sf_dir):
 
 @query('SELECT min(p_size) AS min_size, max(p_size) AS max_size, string_agg(DISTINCT p_type, \',\' ORDER BY p_type) AS types FROM part')
 def attribute_domains(spark, sf_dir):
-    from cloakframe.operators.metrics import CountingQueryGenerator
-
     raw = PreparedRelease(RAW.generalise(_part(spark, sf_dir).select("p_size", "p_type", "p_brand")), RAW, ("p_size", "p_type"))
     found = CountingQueryGenerator(raw, seed=1).domains
     return spark.createDataFrame([(*found["p_size"], ",".join(found["p_type"]))], "min_size int, max_size int, types string")

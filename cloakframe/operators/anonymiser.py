@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ STRATEGIES: dict[str, type[GeneralisedSchema]] = {
 ALGORITHMS = ("Mondrian", "MDAV-generic", "F-MDAV", "random-choice")
 
 
+@runtime_checkable
+class Partitioner(Protocol):
+    """Anything that cuts a table into classes."""
+
+    def partition(self, df: DataFrame) -> DataFrame:
+        """(_rid, group_id) of a table with ``_rid``."""
+        ...
+
+
 class Anonymiser:
     """``anonymise()`` gives the release, ``partition()`` the classes."""
 
@@ -39,7 +49,7 @@ class Anonymiser:
         t: float | None = None,
         diversity_definition: str = "distinct",
         closeness_metric: str = "max distance",
-        algorithm: str = "Mondrian",
+        algorithm: str | Partitioner = "Mondrian",
         categorical: Sequence[str] = (),
         taxonomies: Mapping[str, Taxonomy] | None = None,
         row_key: str | Sequence[str] | None = None,
@@ -52,8 +62,9 @@ class Anonymiser:
             raise TypeError("l is a whole number or None")
         if t is not None and not isinstance(t, float):
             raise TypeError("t is a float or None")
-        if not isinstance(diversity_definition, str) or not isinstance(algorithm, str):
-            raise TypeError("diversity_definition and algorithm are strings")
+        own = not isinstance(algorithm, str) and isinstance(algorithm, Partitioner)  # strings have a method of that name
+        if not isinstance(diversity_definition, str) or not (own or isinstance(algorithm, str)):
+            raise TypeError("diversity_definition is a string, algorithm a string or has partition(df)")
         strategy = STRATEGIES.get(generalisation_strategy) if isinstance(generalisation_strategy, str) else generalisation_strategy
         if not (isinstance(strategy, type) and issubclass(strategy, GeneralisedSchema)):
             raise TypeError(f"unknown strategy: {generalisation_strategy}")
@@ -69,11 +80,11 @@ class Anonymiser:
             warnings.warn("all columns are features, the sensitive one too", stacklevel=2)
         features = tuple(feature_columns if feature_columns is not None else df.columns)
         roles = column_roles(df, features, categorical)
-        if algorithm not in ALGORITHMS:
+        if not own and algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm: {algorithm}")
         if (l is not None or t is not None) and sensitive_column is None:
             raise ValueError("l and t need a sensitive column")
-        if algorithm != "Mondrian" and (l is not None or t is not None):
+        if not own and algorithm != "Mondrian" and (l is not None or t is not None):
             raise ValueError(f"{algorithm} gives k-anonymity only")
         models: list[PrivacyModel] = [KAnonymity(k)]
         if l is not None:
@@ -97,7 +108,10 @@ class Anonymiser:
         self.roles = roles
 
     def partition(self) -> DataFrame:
-        if self.algorithm == "Mondrian":
+        """(_rid, group_id).  A partitioner of one's own is trusted unless ``validate`` is set."""
+        if not isinstance(self.algorithm, str):
+            out = self.algorithm.partition(self.data)
+        elif self.algorithm == "Mondrian":
             out = Mondrian(self.models, self.features, self.categorical).partition(self.data)
         else:
             name = {"MDAV-generic": "mdav", "F-MDAV": "fmdav", "random-choice": "random"}[self.algorithm]

@@ -10,16 +10,15 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.operators.cover import cover_rows
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema
 from cloakframe.plans.cut import cut
-from cloakframe.plans.roles import of
+from cloakframe.plans.roles import number_rows, of
 
 KEY = "ID"
-SMALL = 50_000
 
 
 def split_columns(known: Sequence[str], released: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
@@ -27,13 +26,50 @@ def split_columns(known: Sequence[str], released: Sequence[str]) -> tuple[list[s
     return [c for c in known if c not in released], [c for c in released if c in known], [c for c in released if c not in known]
 
 
+def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], meets: Column) -> DataFrame:
+    """Pairs whose intervals meet, found in cells of doubling width.
+
+    An interval lies in one or two cells of the first level whose cells are as
+    wide as it is.  Two intervals meet at the wider one's level, in the later of
+    their first cells there, so near ones are compared only, however wide some are.
+    """
+    ends = lambda df, x: df.select(x[0].alias("lo"), x[1].alias("hi"))
+    every = ends(g, ends_g).withColumn("g", F.lit(True)).unionByName(ends(k, ends_k).withColumn("g", F.lit(False)))
+    of_g = lambda f, c: f(F.when(F.col("g"), F.col(c)))
+    whole = every.schema["lo"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    found = every.agg(of_g(F.min, "lo").alias("low"), of_g(F.max, "hi").alias("high"), F.max(F.col("hi") - F.col("lo")).alias("widest")).first()
+    low, high = found["low"] or 0, found["high"] or 0
+    unit = 1 if whole else max((float(high) - float(low)) / (1 << 20), 1e-300)
+    cell = lambda x: F.floor((F.least(F.greatest(x, F.lit(low)), F.lit(high)) - F.lit(low)) / F.lit(unit)).cast("bigint")
+    top = (int(min(float(found["widest"] or 0), float(high) - float(low)) / unit) + 2).bit_length()
+
+    def placed(df: DataFrame, x: tuple[Column, Column], name: str) -> DataFrame:
+        at = df.withColumn(f"{name}_lo", cell(F.least(*x))).withColumn(f"{name}_hi", cell(F.greatest(*x)))
+        own = F.length(F.regexp_replace(F.bin(F.col(f"{name}_hi") - F.col(f"{name}_lo")), "^0$", ""))  # bits of the width
+        at = at.withColumn(f"{name}_own", own).withColumn("level", F.explode(F.sequence(own, F.greatest(own, F.lit(top)))))
+        first, last = (F.expr(f"shiftright({name}_{e}, level)") for e in ("lo", "hi"))
+        return at.withColumn(f"{name}_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
+
+    joined = placed(k, ends_k, "k").join(placed(g, ends_g, "g"), ["level", "cell"])
+    once = (F.col("level") == F.greatest("k_own", "g_own")) & (F.col("cell") == F.greatest("k_first", "g_first"))
+    return joined.filter(once & meets).select("k", "g", "__key")
+
+
+def _by_value(k: DataFrame, g: DataFrame, wanted: Column, held: Column, meets: Column) -> DataFrame:
+    """Pairs where an array of one side shares a value with an array of the other, once each."""
+    ka = k.withColumn("__a", F.array_distinct(wanted)).withColumn("__v", F.explode("__a"))
+    gb = g.withColumn("__b", F.array_distinct(held)).withColumn("__w", F.explode("__b"))
+    first = F.array_min(F.array_intersect("__a", "__b"))
+    return ka.join(gb, F.col("__v") == F.col("__w")).filter((F.col("__v") == first) & meets).select("k", "g", "__key")
+
+
 def overlap_join(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSchema, on: Sequence[str]) -> DataFrame:
     """Pairs (k struct, r struct) that overlap on ``on``.
 
-    Regions are a release's distinct values in those columns.  Where a machine-
-    readable numeric column is among them, both sides are cut into bins of its
-    values and meet where the later of their first bins is, so only near regions
-    are compared; else regions of a checked size are broadcast.
+    Regions are a release's distinct values in those columns.  Records and
+    regions meet by cells of an interval, by shared values of a set, or by equal
+    values, whichever the schema has for these columns; nothing is compared with
+    everything unless ``on`` is empty and all records overlap.
     """
     physical = [c for n in on for c in schema.physical(n)]
     if not physical:
@@ -43,18 +79,12 @@ def overlap_join(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSc
     g = regions.select(F.struct(*physical).alias("g"), "__key")
     k_of, g_of = (lambda c: F.col("k")[c]), (lambda c: F.col("g")[c])
     meets = schema.overlaps(k_of, g_of, on)
-    ranges = [n for n in on if len(schema.physical(n)) == 2 and schema.physical(n) == [f"{n}_min", f"{n}_max"]]
-    size = g.limit(SMALL + 1).count()
-    if size <= SMALL or not ranges:
-        pairs = k.join(F.broadcast(g) if size <= SMALL else g, meets)
+    if interval := next((c for c in on if schema.bounds(k_of, c)), None):
+        pairs = _by_interval(k, g, schema.bounds(k_of, interval), schema.bounds(g_of, interval), meets)
+    elif values := next((c for c in on if schema.keys(k_of, c)), None):
+        pairs = _by_value(k, g, schema.keys(k_of, values)[0], schema.keys(g_of, values)[1], meets)
     else:
-        c = ranges[0]
-        low, width = regions.agg(F.min(f"{c}_min").alias("lo"), F.greatest(F.lit(1), F.ceil(F.avg(F.col(f"{c}_max") - F.col(f"{c}_min") + 1))).alias("w")).first()
-        bin_ = lambda x: F.floor((x - low) / width).cast("bigint")
-        first_k, first_g = bin_(k_of(f"{c}_min")), bin_(g_of(f"{c}_min"))
-        kb = k.withColumn("__b", F.explode(F.sequence(first_k, bin_(k_of(f"{c}_max")))))
-        gb = g.withColumn("__c", F.explode(F.sequence(first_g, bin_(g_of(f"{c}_max")))))
-        pairs = kb.join(gb, (F.col("__b") == F.col("__c")) & (F.col("__b") == F.greatest(first_k, first_g)) & meets)
+        pairs = k.join(g, meets)  # equalities only
     rows = release.select(F.xxhash64(*physical).alias("__rk"), F.struct(*physical).alias("__g"), F.struct(*release.columns).alias("r"))
     return pairs.join(rows, (F.col("__key") == F.col("__rk")) & F.col("g").eqNullSafe(F.col("__g"))).select("k", "r")
 
@@ -142,7 +172,7 @@ class TrajectoryAttacker(BaseAttacker):
             added.append(self.paths.sparkSession.createDataFrame([(self.next, n_absent)], "col_id bigint, mult bigint"))
             away = away.withColumn("__path", F.concat("__path", F.array(F.lit(self.next).cast("bigint"))))
             self.next += 1
-        indexed = cut(_numbered_rows(release, self.next))
+        indexed = cut(number_rows(release, name="__no", first=self.next))
         self.next += indexed.count()
         added.append(indexed.select(F.col("__no").alias("col_id"), F.col(COUNT).cast("bigint").alias("mult")))
         pairs = overlap_join(here, indexed, self.schema, both)
@@ -166,15 +196,3 @@ class TrajectoryAttacker(BaseAttacker):
         paths = cut(self.paths.withColumn("row_id", F.monotonically_increasing_id()))
         rows = paths.select("row_id", F.explode("__path").alias("col_id"))
         self.paths = cut(paths.join(cover_rows(rows, self.columns, budget), "row_id", "left_semi").drop("row_id"))
-
-
-def _numbered_rows(df: DataFrame, first: int) -> DataFrame:
-    """``__no``: numbers from ``first`` without gaps."""
-    from pyspark.sql import Window
-
-    placed = cut(df.withColumn("__m", F.monotonically_increasing_id()))
-    part = F.shiftright("__m", 33)
-    sizes = placed.groupBy(part.alias("__p")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__p", before.alias("__before"))
-    return placed.join(starts, part == F.col("__p")).withColumn("__no", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + first).drop("__m", "__p", "__before")

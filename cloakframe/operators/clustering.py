@@ -135,8 +135,8 @@ class Clustering:
 
         Exact over each block.  Without a block column a table of up to
         ``block_rows`` rows is one block; a larger one is first cut into blocks
-        of at most that size by median splits, which is an approximation of
-        clustering it whole.
+        of about that size by median splits, which is an approximation of
+        clustering it whole; rows that no median can part are dealt evenly.
         """
         if self.algorithm not in ("mdav", "fmdav", "random"):
             raise ValueError(f"unknown algorithm: {self.algorithm}")
@@ -144,7 +144,10 @@ class Clustering:
             block = "__block"
             if df.limit(self.block_rows + 1).count() > self.block_rows:
                 coarse = Mondrian((KAnonymity(max(self.k, self.block_rows // 4)),), self.features, self.categorical).partition(df)
-                df = df.join(coarse.withColumnRenamed(GROUP, block), RID)
+                parts = coarse.groupBy(GROUP).agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("parts"))
+                # rows that no median can part are dealt by a hash of their number
+                piece = F.concat_ws("-", GROUP, F.pmod(F.xxhash64(RID), "parts").cast("string"))
+                df = df.join(coarse.join(parts, GROUP).select(RID, piece.alias(block)), RID)
             else:
                 df = df.withColumn(block, F.lit("all"))
         sets = [f for f in self.features if f in self.categorical or is_categorical(df, f)]

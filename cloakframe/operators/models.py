@@ -10,17 +10,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.plans.cut import cut
+from cloakframe.plans.roles import number_rows
+
 TOLERANCE = 1e-12
+MOST_VALUES = 100_000
 
 
 class PrivacyModel(ABC):
     """A condition that every class must meet.
 
-    Subclasses give ``violated`` rows of a table of classes and, for local work,
-    the same test on the codes of one class's sensitive values.
+    A model tests the classes of a table, and a single class from the counts of
+    its sensitive values; partitioning works with any model that has both.
     """
 
     sensitive: str | None = None
@@ -30,8 +35,17 @@ class PrivacyModel(ABC):
         """(group, ok) for each class of ``df``."""
 
     @abstractmethod
-    def holds_locally(self, codes: np.ndarray, shares: np.ndarray) -> bool:
-        """Whether rows with these sensitive codes may be a class; ``shares`` of the whole table by code."""
+    def holds_class(self, ranks: np.ndarray, counts: np.ndarray, shares: np.ndarray, whole: np.ndarray) -> bool:
+        """Whether rows may be a class.
+
+        ``ranks`` are the numbers of the sensitive values present, ``counts``
+        their rows, ``shares`` their shares of the whole table.  ``whole`` has the
+        shares of the table's values by number, the largest first.
+        """
+
+    def side(self) -> Column | None:
+        """The same test as an aggregate over rows (s, n) of a class: values and counts."""
+        return None
 
 
 @dataclass(frozen=True)
@@ -41,8 +55,11 @@ class KAnonymity(PrivacyModel):
     def holds(self, df, group):
         return df.groupBy(group).agg((F.count(F.lit(1)) >= self.k).alias("ok"))
 
-    def holds_locally(self, codes, shares):
-        return len(codes) >= self.k
+    def holds_class(self, ranks, counts, shares, whole):
+        return counts.sum() >= self.k
+
+    def side(self):
+        return F.sum("n") >= self.k
 
 
 @dataclass(frozen=True)
@@ -56,21 +73,30 @@ class DistinctLDiversity(PrivacyModel):
         distinct = F.count_distinct(self.sensitive) + F.max(F.col(self.sensitive).isNull().cast("int"))
         return df.groupBy(group).agg((distinct >= self.l).alias("ok"))
 
-    def holds_locally(self, codes, shares):
-        return self.sensitive is not None and len(np.unique(codes)) >= self.l
+    def holds_class(self, ranks, counts, shares, whole):
+        return self.sensitive is not None and len(counts) >= self.l
+
+    def side(self):
+        return F.count(F.lit(1)) >= self.l if self.sensitive is not None else F.lit(False)
 
 
 @dataclass(frozen=True)
 class Distance:
-    """A distance of two distributions: over columns p and q, and over arrays."""
+    """A distance of two distributions, given as arrays over the same values.
+
+    ``parts`` says how to compute it without the values that a class lacks: from
+    the gaps of those present, the share these have in the whole table, and the
+    largest share of one that is absent.  Without it the whole domain is needed.
+    """
 
     name: str
-    column: Callable[[Column, Column], Column]
     arrays: Callable[[np.ndarray, np.ndarray], float]
+    gap: str = "max"  # or "sum"
+    parts: Callable | None = None
 
 
-MAX_DISTANCE = Distance("max distance", lambda p, q: F.max(F.abs(p - q)), lambda p, q: float(np.abs(p - q).max(initial=0.0)))
-EARTH_MOVER = Distance("earth mover's distance", lambda p, q: 0.5 * F.sum(F.abs(p - q)), lambda p, q: 0.5 * float(np.abs(p - q).sum()))
+MAX_DISTANCE = Distance("max distance", lambda p, q: float(np.abs(p - q).max(initial=0.0)), "max", lambda gap, mass, absent, largest: largest(gap, absent))
+EARTH_MOVER = Distance("earth mover's distance", lambda p, q: 0.5 * float(np.abs(p - q).sum()), "sum", lambda gap, mass, absent, largest: 0.5 * (gap + 1.0 - mass))
 DISTANCES = {d.name: d for d in (MAX_DISTANCE, EARTH_MOVER)}
 
 
@@ -83,6 +109,30 @@ def frequencies(df: DataFrame, column: str, group: str | None = None) -> DataFra
     return joined.select(*keys, "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def domain_of(df: DataFrame, column: str) -> DataFrame:
+    """(value, q, rank): the values of a column, their shares, and their numbers by share."""
+    return cut(number_rows(frequencies(df, column).select("value", F.col("share").alias("q")), F.desc("q"), "value", name="rank"))
+
+
+def whole_domain(domain: DataFrame, most: int = MOST_VALUES) -> np.ndarray:
+    """Shares by rank, of at most ``most`` values."""
+    rows = domain.filter(F.col("rank") < most).select("rank", "q").toArrow()
+    out = np.zeros(rows.num_rows)
+    out[rows.column("rank").to_numpy()] = rows.column("q").to_numpy()
+    return out
+
+
+def counted_test(test: Callable[[np.ndarray, np.ndarray], object], kind: str) -> Column:
+    """``test(ranks, counts)`` of a class, as an aggregate over rows (rank, n)."""
+
+    @F.pandas_udf(kind)
+    def run(held: pd.Series) -> pd.Series:
+        pairs = (sorted(dict(x).items()) for x in held)
+        return pd.Series([test(*map(np.array, zip(*p, strict=True))) for p in pairs])
+
+    return run(F.map_from_entries(F.collect_list(F.struct("rank", "n"))))
+
+
 @dataclass(frozen=True)
 class TCloseness(PrivacyModel):
     """Distance to the whole table's distribution, over its whole domain."""
@@ -92,35 +142,53 @@ class TCloseness(PrivacyModel):
     distance: Distance = MAX_DISTANCE
 
     def distances(self, df: DataFrame, group: str, whole: DataFrame | None = None) -> DataFrame:
-        """(group, distance).  Values absent from a class count with share 0.
-
-        Their part depends on the class's present values only through what is
-        left of the whole distribution, so classes are never multiplied by the
-        domain: for the sum it is one minus the present mass, for the maximum
-        the largest absent share, found by rank.
+        """(group, distance)."""
+        sides = df.groupBy(group, F.col(self.sensitive).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        domain = domain_of(whole if whole is not None else df, self.sensitive).withColumnRenamed("value", "v")
+        placed = sides.join(domain, F.col("value").eqNullSafe(F.col("v")), "left").select(group, "n", "rank", F.coalesce("q", F.lit(0.0)).alias("q"))
+        return self.of_sides(placed, [group], domain)
+
+    def of_sides(self, sides: DataFrame, keys: list[str], domain: DataFrame) -> DataFrame:
+        """(keys, distance) from rows (keys, n, rank, q).
+
+        Values absent from a class count with share 0.  Their part depends on the
+        values present only through what is left of the whole distribution, so
+        classes are never multiplied by the domain: the sum needs the present
+        mass, the maximum the first rank that is missing.
         """
-        p = frequencies(df, self.sensitive, group).withColumnRenamed("share", "p")
-        ranked = frequencies(whole if whole is not None else df, self.sensitive).select(F.col("value").alias("v"), F.col("share").alias("q"))
-        joined = p.join(ranked, F.col("value").eqNullSafe(F.col("v")), "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
-        if self.distance.name == EARTH_MOVER.name:
-            part = joined.groupBy(group).agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("seen"), F.sum("q").alias("mass"))
-            return part.select(group, (0.5 * (F.col("seen") + 1.0 - F.col("mass"))).alias("distance"))
-        # one row with the domain by share; a class's largest absent share comes before its size + 1
-        domain = F.broadcast(ranked.agg(F.reverse(F.array_sort(F.collect_list(F.struct("q", "v")))).alias("domain")))
-        part = joined.groupBy(group).agg(F.max(F.abs(F.col("p") - F.col("q"))).alias("seen"), F.collect_set(F.coalesce(F.col("value").cast("string"), F.lit("\0"))).alias("present"))
-        absent = F.filter("domain", lambda d: ~F.array_contains("present", F.coalesce(d["v"].cast("string"), F.lit("\0"))))
-        return part.crossJoin(domain).select(group, F.greatest("seen", F.coalesce(F.get(absent, F.lit(0))["q"], F.lit(0.0))).alias("distance"))
+        if self.distance.parts is None:
+            shares = whole_domain(domain, MOST_VALUES + 1)
+            if len(shares) > MOST_VALUES:
+                raise ValueError(f"{self.distance.name} needs all of at most {MOST_VALUES} sensitive values")
+            return sides.groupBy(*keys).agg(counted_test(lambda ranks, counts: self._whole(ranks, counts, shares), "double").alias("distance"))
+        of_class = Window.partitionBy(*keys)
+        gap = F.abs(F.col("n") / F.sum("n").over(of_class) - F.col("q"))
+        place = F.row_number().over(of_class.orderBy(F.asc_nulls_last("rank"))) - 1
+        seen = sides.select(*keys, "q", gap.alias("gap"), (place == F.col("rank")).alias("next"))
+        found = seen.groupBy(*keys).agg(getattr(F, self.distance.gap)("gap").alias("gap"), F.sum("q").alias("mass"), F.count_if("next").alias("missing"))
+        absent = domain.select(F.col("rank").alias("missing"), F.col("q").alias("absent"))
+        return found.join(absent, "missing", "left").select(*keys, self.distance.parts(F.col("gap"), F.col("mass"), F.coalesce("absent", F.lit(0.0)), F.greatest).alias("distance"))
+
+    def _whole(self, ranks: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> float:
+        p = np.zeros(len(shares))
+        p[ranks] = counts / counts.sum()
+        return float(self.distance.arrays(p, shares))
 
     def holds(self, df, group):
         if self.sensitive is None:
             return df.groupBy(group).agg(F.lit(False).alias("ok"))
         return self.distances(df, group).select(group, (F.col("distance") <= self.t + TOLERANCE).alias("ok"))
 
-    def holds_locally(self, codes, shares):
-        if self.sensitive is None or not len(codes):
+    def holds_class(self, ranks, counts, shares, whole):
+        if self.sensitive is None or not len(counts):
             return False
-        local = np.bincount(codes, minlength=len(shares)) / len(codes)
-        return self.distance.arrays(local, shares) <= self.t + TOLERANCE
+        if self.distance.parts is None:
+            return self._whole(ranks, counts, whole) <= self.t + TOLERANCE
+        gaps = np.abs(counts / counts.sum() - shares)
+        gap = getattr(gaps, self.distance.gap)()
+        first = int((ranks == np.arange(len(ranks))).sum())  # ranks come in order
+        absent = whole[first] if first < len(whole) else 0.0
+        return self.distance.parts(gap, shares.sum(), absent, max) <= self.t + TOLERANCE
 
 
 def check(df: DataFrame, group: str, models: list[PrivacyModel]) -> DataFrame:

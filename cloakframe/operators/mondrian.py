@@ -5,7 +5,7 @@ distributed aggregates over the partitions that may still split: bounds and
 medians of every feature, the counts that the privacy models need for both sides
 of every candidate split, and the first feasible candidate in the order of
 normalised spans.  Partitions of at most ``local_rows`` records are finished in
-one task each by the same rules.
+one task each by the same rules, all of them in one job at the end.
 """
 
 from __future__ import annotations
@@ -15,16 +15,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators.models import DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness
+from cloakframe.operators.models import MOST_VALUES, TOLERANCE, KAnonymity, PrivacyModel, TCloseness, counted_test, domain_of, whole_domain
 from cloakframe.plans.cut import cut
 from cloakframe.plans.roles import GROUP, RID, is_categorical, with_row_id
 
 ROOT = "R"
 
 
+def normalised_spans(df: DataFrame, features: Sequence[str], group: str, categorical: Sequence[str] = ()) -> DataFrame:
+    """(group, one span a feature): the width of numbers or the count of categories, as a share of the whole table's."""
+    width = {f: F.count_distinct(f).cast("double") if f in categorical or is_categorical(df, f) else (F.max(f) - F.min(f)).cast("double") for f in features}
+    whole = df.agg(*[w.alias(f"__{f}") for f, w in width.items()])
+    by = df.groupBy(group).agg(*[w.alias(f) for f, w in width.items()])
+    return by.crossJoin(F.broadcast(whole)).select(group, *[F.coalesce(F.try_divide(f, f"__{f}"), F.lit(0.0)).alias(f) for f in features])
+
+
 @dataclass(frozen=True)
 class Mondrian:
     models: tuple[PrivacyModel, ...]
@@ -48,96 +56,110 @@ class Mondrian:
         """
         categorical = [f for f in self.features if f in self.categorical or is_categorical(df, f)]
         numeric = [f for f in self.features if f not in categorical]
-        sens = F.col(self.sensitive).cast("string") if self.sensitive else F.lit(None).cast("string")
-        cols = [F.col(f).cast("double").alias(f"n{i}") if f in numeric else F.col(f).cast("string").alias(f"c{i}") for i, f in enumerate(self.features)]
+        cols = [F.col(f).cast("double").alias(f"n{i}") if f in numeric else F.coalesce(F.col(f).cast("string"), F.lit("\0null")).alias(f"c{i}") for i, f in enumerate(self.features)]
         names = [f"n{i}" if f in numeric else f"c{i}" for i, f in enumerate(self.features)]
-        rows = cut(df.select(RID, *cols, F.coalesce(sens, F.lit("\0null")).alias("s")).withColumn("pid", F.lit(ROOT)))
-        if numeric:
-            bad = rows.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names if n[0] == "n"]).first()
-            if any(bad):
-                raise ValueError("numeric features hold nulls")
+        rows = df.select(RID, *cols, (F.col(self.sensitive) if self.sensitive else F.lit(None)).cast("string").alias("s"), F.lit(ROOT).alias("pid"))
+        # sensitive values as numbers with their shares; the driver sees the shares of the most frequent only
+        domain = domain_of(rows, "s") if self.sensitive else df.sparkSession.createDataFrame([(None, 1.0, 0)], "value string, q double, rank bigint")
+        if self.sensitive:
+            values = domain.withColumnRenamed("value", "v")
+            rows = rows.join(values, F.col("s").eqNullSafe(F.col("v"))).drop("v", "s")
+        else:
+            rows = rows.drop("s").withColumns({"q": F.lit(1.0), "rank": F.lit(0).cast("bigint")})
+        rows = cut(rows)
         span = lambda n: F.max(n) - F.min(n) if n[0] == "n" else F.count_distinct(n).cast("double")
-        scale = rows.agg(F.count(F.lit(1)).alias("rows"), *[span(n).alias(n) for n in names]).first()
+        scale = rows.agg(F.count(F.lit(1)).alias("rows"), *[span(n).alias(n) for n in names], *[F.count_if(F.col(n).isNull()).alias(f"bad_{n}") for n in names if n[0] == "n"]).first()
+        if any(scale[f"bad_{n}"] for n in names if n[0] == "n"):
+            raise ValueError("numeric features hold nulls")
         if not scale["rows"]:
             return rows.select(RID, F.col("pid").alias(GROUP))
         scales = {n: float(scale[n] or 0) for n in names}
-        shares = {r["s"]: r["count"] / scale["rows"] for r in rows.groupBy("s").count().collect()} if any(isinstance(m, TCloseness) for m in self.models) else {}
+        own = [m for m in self.models if not (m.side() is not None or isinstance(m, TCloseness) and m.distance.parts is not None)]
+        most = max(self.local_rows, 2 * self.k, MOST_VALUES if own else 0) + 1
+        shares = whole_domain(domain, most)
+        if own and len(shares) == most:
+            raise ValueError(f"{type(own[0]).__name__} needs all of at most {most - 1} sensitive values")
 
+        local: list[DataFrame] = []
         done: list[DataFrame] = []
-        active = rows
+        active, limit = rows, max(self.local_rows, 2 * self.k - 1)
         while True:
-            sizes = active.groupBy("pid").count()
-            small = sizes.filter(F.col("count") <= max(self.local_rows, 2 * self.k - 1))
-            local = active.join(small.select("pid"), "pid", "left_semi")
-            done.append(local.groupBy("pid").applyInPandas(self._finisher(names, scales, shares), f"{RID} bigint, {GROUP} string"))
-            large = sizes.filter(F.col("count") > max(self.local_rows, 2 * self.k - 1))
-            if large.isEmpty():
+            bounds = cut(self._bounds(active, names))
+            if bounds.filter(F.col("rows") > limit).isEmpty():
+                local.append(active)
                 break
-            active = active.join(large.select("pid"), "pid", "left_semi")
-            split = cut(self._split(active, names, scales, shares))
-            done.append(split.filter(F.col("side").isNull()).select(RID, F.col("pid").alias(GROUP)))
-            active = split.filter(F.col("side").isNotNull()).withColumn("pid", F.concat("pid", "side")).drop("side")
-        out = done[0]
-        for d in done[1:]:
+            split = cut(self._split(active, bounds, names, scales, domain, shares, limit))
+            state = F.coalesce("side", F.lit("done"))
+            local.append(split.filter(state == "local").drop("side"))
+            done.append(split.filter(state == "done").select(RID, F.col("pid").alias(GROUP)))
+            active = split.filter(state.isin("L", "R")).withColumn("pid", F.concat("pid", "side")).drop("side")
+        near = local[0]
+        for d in local[1:]:
+            near = near.unionByName(d)
+        out = near.groupBy("pid").applyInPandas(self._finisher(names, scales, shares), f"{RID} bigint, {GROUP} string")
+        for d in done:
             out = out.unionByName(d)
         return cut(out)
 
-    def _split(self, active: DataFrame, names: Sequence[str], scales: dict[str, float], shares: dict[str, float]) -> DataFrame:
-        """``active`` with ``side`` L or R, null where a partition is finished."""
-        numeric, sets = [n for n in names if n[0] == "n"], [n for n in names if n[0] == "c"]
+    def _bounds(self, active: DataFrame, names: Sequence[str]) -> DataFrame:
+        """(pid, rows, median and width of each number, width and cut of each set of categories).
+
+        Categories count by first appearance: a partition's left half are those
+        that first stand before the cut.
+        """
+        numeric = [n for n in names if n[0] == "n"]
         bounds = active.groupBy("pid").agg(F.count(F.lit(1)).alias("rows"), *[F.median(n).alias(f"m_{n}") for n in numeric], *[(F.max(n) - F.min(n)).alias(f"w_{n}") for n in numeric])
-        for c in sets:
+        for c in (n for n in names if n[0] == "c"):
             seen = active.groupBy("pid", c).agg(F.min(RID).alias("first"))
-            order = F.transform(F.array_sort(F.collect_list(F.struct("first", F.coalesce(c, F.lit("\0null")).alias("v")))), lambda x: x["v"])
-            values = seen.groupBy("pid").agg(order.alias("all"))
-            values = values.select("pid", F.size("all").cast("double").alias(f"w_{c}"), F.slice("all", F.lit(1), F.floor(F.size("all") / 2).cast("int")).alias(f"l_{c}"))
+            values = seen.groupBy("pid").agg(F.count(F.lit(1)).cast("double").alias(f"w_{c}"), F.array_sort(F.collect_list("first")).alias("firsts"))
+            values = values.select("pid", f"w_{c}", F.get("firsts", F.floor(F.size("firsts") / 2).cast("int")).alias(f"m_{c}"))
             bounds = bounds.join(values, "pid")
-        bounds = cut(bounds)
-        normal = lambda n: F.col(f"w_{n}") / scales[n] if scales[n] else F.lit(0.0)
-        left = lambda n: F.col(n) < F.col(f"m_{n}") if n[0] == "n" else F.array_contains(f"l_{n}", F.coalesce(n, F.lit("\0null")))
+        return bounds
+
+    def _split(self, active: DataFrame, bounds: DataFrame, names: Sequence[str], scales: dict[str, float], domain: DataFrame, shares: np.ndarray, limit: int) -> DataFrame:
+        """``active`` with ``side`` L or R, "local" where few rows are left, null where a partition is finished."""
         joined = active.join(bounds, "pid")
+        for c in (n for n in names if n[0] == "c"):
+            first = active.groupBy("pid", c).agg(F.min(RID).alias(f"f_{c}"))
+            joined = joined.join(first, ["pid", c])
+        normal = lambda n: F.col(f"w_{n}") / scales[n] if scales[n] else F.lit(0.0)
+        left = lambda n: F.col(n if n[0] == "n" else f"f_{n}") < F.col(f"m_{n}")
         options = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), normal(n).alias("span"), left(n).alias("left")) for i, n in enumerate(names)]))
-        sides = joined.select("pid", "s", options.alias("o")).groupBy("pid", "o.f", "o.left", "s").agg(F.count(F.lit(1)).alias("n"), F.first("o.span").alias("span"))
-        ok = self._side_ok(shares)
-        per_side = sides.groupBy("pid", "f", "left").agg(ok.alias("ok"), F.first("span").alias("span"))
+        large = joined.filter(F.col("rows") > limit)
+        sides = large.select("pid", "rank", "q", options.alias("o")).groupBy("pid", "o.f", "o.left", "rank").agg(F.count(F.lit(1)).alias("n"), F.first("o.span").alias("span"), F.first("q").alias("q"))
+        keys, ok = ["pid", "f", "left"], F.lit(True)
+        close = [m for m in self.models if isinstance(m, TCloseness) and m.distance.parts is not None]
+        for m in self.models:
+            if m.side() is not None:
+                ok = ok & m.side()
+            elif m not in close:
+                ok = ok & counted_test(lambda ranks, counts, m=m: bool(m.holds_class(ranks, counts, shares[ranks], shares)), "boolean")
+        sides = cut(sides) if close else sides
+        per_side = sides.groupBy(*keys).agg(ok.alias("ok"), F.first("span").alias("span"))
+        for m in close:
+            far = m.of_sides(sides.select(*keys, "n", "rank", "q"), keys, domain)
+            per_side = per_side.join(far, keys).select(*keys, (F.col("ok") & (F.col("distance") <= m.t + TOLERANCE)).alias("ok"), "span")
         feasible = per_side.groupBy("pid", "f").agg((F.min("ok") & (F.count(F.lit(1)) == 2)).alias("ok"), F.first("span").alias("span")).filter("ok")
         chosen = feasible.groupBy("pid").agg(F.min_by("f", F.struct((-F.col("span")).alias("o"), F.col("f").alias("g"))).alias("f"))
         placed = joined.join(chosen, "pid", "left")
         side = F.lit(None).cast("string")
         for i, n in enumerate(names):
             side = F.when(F.col("f") == i, F.when(left(n), "L").otherwise("R")).otherwise(side)
-        return placed.select(RID, *names, "s", "pid", side.alias("side"))
+        return placed.select(RID, *names, "rank", "q", "pid", F.when(F.col("rows") <= limit, F.lit("local")).otherwise(side).alias("side"))
 
-    def _side_ok(self, shares: dict[str, float]) -> Column:
-        """Whether one side of a split, as rows of (s, n), meets all models."""
-        rows, ok = F.sum("n"), F.lit(True)
-        for m in self.models:
-            if isinstance(m, KAnonymity):
-                ok = ok & (rows >= m.k)
-            elif isinstance(m, DistinctLDiversity):
-                ok = ok & (F.count(F.lit(1)) >= m.l)
-            elif isinstance(m, TCloseness):
-                whole = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(q).alias("q")) for v, q in sorted(shares.items())])
-                counted = F.map_from_entries(F.collect_list(F.struct("s", "n")))
-                gap = F.transform(whole, lambda w: F.abs(F.coalesce(F.try_element_at(counted, w["v"]), F.lit(0)) / rows - w["q"]))
-                far = F.aggregate(gap, F.lit(0.0), lambda a, x: a + x) * 0.5 if m.distance.name.startswith("earth") else F.array_max(gap)
-                ok = ok & (far <= m.t + 1e-12)
-            else:
-                raise TypeError(f"no distributed test for {type(m).__name__}")
-        return ok
-
-    def _finisher(self, names: Sequence[str], scales: dict[str, float], shares: dict[str, float]):
-        models, k, values = self.models, self.k, sorted(shares)
-        share = np.array([shares[v] for v in values])
+    def _finisher(self, names: Sequence[str], scales: dict[str, float], shares: np.ndarray):
+        models, k = self.models, self.k
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(RID, kind="stable")
-            if values:
-                codes = pd.Categorical(pdf["s"], categories=values).codes.astype(np.int64)
-            else:
-                codes = pd.factorize(pdf["s"])[0].astype(np.int64)
-            data = {n: pdf[n].to_numpy(dtype=float) if n[0] == "n" else pd.factorize(pdf[n].fillna("\0null"))[0] for n in names}
+            ranks, q = pdf["rank"].to_numpy(), pdf["q"].to_numpy()
+            data = {n: pdf[n].to_numpy(dtype=float) if n[0] == "n" else pd.factorize(pdf[n])[0] for n in names}
             out = np.empty(len(pdf), dtype=object)
+
+            def holds(at: np.ndarray) -> bool:
+                present, first, counts = np.unique(ranks[at], return_index=True, return_counts=True)
+                return all(m.holds_class(present, counts, q[at][first], shares) for m in models)
+
             stack = [(np.arange(len(pdf)), str(pdf["pid"].iloc[0]))]
             while stack:
                 at, path = stack.pop()
@@ -155,7 +177,7 @@ class Mondrian:
                         else:
                             u, first = np.unique(x, return_index=True)
                             left = np.isin(x, u[np.argsort(first)][: len(u) // 2])
-                        if left.any() and not left.all() and all(m.holds_locally(codes[at[side]], share) for side in (left, ~left) for m in models):
+                        if left.any() and not left.all() and holds(at[left]) and holds(at[~left]):
                             cut_ = left
                             break
                 if cut_ is None:

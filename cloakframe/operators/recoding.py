@@ -181,6 +181,17 @@ class GlobalRecoding(GeneralisedSchema):
         pa, pb = self._path(column, a), self._path(column, b)
         return F.coalesce(prefix_of(pa, pb) | prefix_of(pb, pa), F.lit(False))
 
+    def keys(self, a, column):
+        """All values on the way up and below; the value itself."""
+        if column not in self.taxonomies:
+            return None
+        paths = self.taxonomies[column].paths()
+        below: dict[str, list[str]] = {v: [] for v in paths}
+        for value, path in paths.items():
+            for above in path[:-1]:
+                below[above].append(value)
+        return _lookup({v: _strings([*p, *below[v]]) for v, p in paths.items()}, a(column)), F.array(a(column).cast("string"))
+
     def overlaps(self, a, b, on):
         return both(self._on_path(c, a(c), b(c)) if c in self.taxonomies else a(c).eqNullSafe(b(c)) for c in on)
 

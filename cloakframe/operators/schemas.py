@@ -73,6 +73,14 @@ class GeneralisedSchema(ABC):
     def overlaps(self, a: Record, b: Record, on: Sequence[str]) -> Column:
         """Whether two records have a raw record in common on original columns ``on``."""
 
+    def bounds(self, a: Record, column: str) -> tuple[Column, Column] | None:
+        """Ends of a record's interval in a column; records overlap there where intervals meet."""
+        return None
+
+    def keys(self, a: Record, column: str) -> tuple[Column, Column] | None:
+        """Two arrays: records overlap in a column where the first of one shares a value with the second of the other."""
+        return None
+
     @abstractmethod
     def meets(self, a: Record, query: Query) -> Column:
         """Whether a record has a raw record in common with a counting query."""
@@ -168,6 +176,12 @@ class MachineReadable(GeneralisedSchema):
     def _flags(self, a: Record, column: str) -> list[tuple[str, Column]]:
         return [(v, a(f"{column}_{v}")) for v in self.one_hot[column]]
 
+    def bounds(self, a, column):
+        return (a(f"{column}_min"), a(f"{column}_max")) if column in self.intervals else None
+
+    def keys(self, a, column):
+        return (self.values_for(a, column),) * 2 if self.one_hot.get(column) else None
+
     def overlaps(self, a, b, on):
         tests = []
         for c in on:
@@ -281,6 +295,12 @@ class HumanReadable(GeneralisedSchema):
                 tests.append(a(c).eqNullSafe(b(c)))
         return both(tests)
 
+    def bounds(self, a, column):
+        return parse_interval(a(column)) if column in self.integer else None
+
+    def keys(self, a, column):
+        return (parse_set(a(column)),) * 2 if column in self.categorical else None
+
     @staticmethod
     def _values(r) -> Column:
         return F.array(*[F.lit(str(v)) for v in sorted(r, key=str)]).cast("array<string>")

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's ``spark.checkpoint.dir``; a folder of our own where none is set."""
+    """A reliable checkpoint in the session's ``spark.checkpoint.dir``.
+
+    A local session (tests) gets a folder of its own where none is set; on a
+    cluster that would be a folder which others do not see, so it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cloakframe-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="cloakframe-"))
     return df.checkpoint(eager=True)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.plans.cut import cut
+
 RID = "_rid"
 GROUP = "group_id"
 
@@ -43,22 +45,34 @@ def column_roles(df: DataFrame, quasi_identifier: Sequence[str], categorical: It
     return Roles(tuple(as_set), tuple(c for c in quasi_identifier if c not in as_set), tuple(c for c in df.columns if c not in hidden))
 
 
+def number_rows(df: DataFrame, *order: str | Column, name: str = RID, first: int = 0) -> DataFrame:
+    """Add ``name``: numbers from ``first`` without gaps, in the given order (of the input, if none).
+
+    Rows are put in range partitions and numbered there, so no task orders the
+    whole table.  They are written before the partitions are counted: a plan
+    that ran again could cut them otherwise.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = cut(placed.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = placed.groupBy(part.alias("__p")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__p", before.alias("__before"))  # a row for each partition
+    number = F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + first
+    return placed.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, number).drop("__m", "__p", "__before")
+
+
 def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None) -> DataFrame:
     """Add ``_rid``: a unique key of the table, or a number in the order of ``key`` columns.
 
-    With several key columns rows are numbered in range partitions, so no task
-    orders the whole table; without a key the row's place in the input counts.
+    Without a key the row's place in the input counts; the numbered table is
+    written, so that ids stay what they are when it is read again.
     """
     if isinstance(key, str):
         return df.withColumn(RID, F.col(key).cast("bigint"))
     if key is None:
-        return df.withColumn(RID, F.monotonically_increasing_id())
-    ordered = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__p", F.spark_partition_id())
-    sizes = ordered.groupBy("__p").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("__p").alias("__q"), before.alias("__start"))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*key)) - 1
-    return ordered.withColumn("__i", place).join(starts, F.col("__p") == F.col("__q")).withColumn(RID, F.col("__start") + F.col("__i")).drop("__p", "__q", "__i", "__start")
+        return cut(df.withColumn(RID, F.monotonically_increasing_id()))
+    return number_rows(df, *key)
 
 
 def of(alias: str) -> Record:

@@ -25,14 +25,36 @@ def schema_from_json(text: str) -> GeneralisedSchema:
     return KINDS[kind].from_json_dict(found)
 
 
-def save_schema(schema: GeneralisedSchema, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(schema_to_json(schema))
-
-
-def load_schema(path: str) -> GeneralisedSchema:
-    with open(path, encoding="utf-8") as f:
-        return schema_from_json(f.read())
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for any address that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def save_schema(schema: GeneralisedSchema, path: str, spark: SparkSession | None = None) -> None:
+    """Write a schema to a file of the driver or, with ``spark``, to any storage that Spark reaches."""
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(schema_to_json(schema))
+        return
+    system, at = _file(spark, path)
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(schema_to_json(schema), "utf-8"))
+    finally:
+        out.close()
+
+
+def load_schema(path: str, spark: SparkSession | None = None) -> GeneralisedSchema:
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return schema_from_json(f.read())
+    system, at = _file(spark, path)
+    stream = system.open(at)
+    try:
+        return schema_from_json(bytes(stream.readAllBytes()).decode("utf-8"))
+    finally:
+        stream.close()
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", columns: Sequence[str] | None = None, schema: str | None = None, header: bool = False) -> DataFrame:

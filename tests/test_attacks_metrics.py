@@ -1,9 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.operators.attackers import IntersectionAttacker, TrajectoryAttacker, overlap_join, split_columns
 from cloakframe.operators.cover import SearchBudgetError, cover_rows, rows_in_solutions
 from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
-from cloakframe.operators.schemas import MachineReadable
+from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
+from cloakframe.operators.schemas import HumanReadable, MachineReadable, RawData
+from cloakframe.plans.roles import of
 from cloakframe.streaming.releases import observe_stream
 
 MR = MachineReadable({"QI2": ("A", "B")}, ("QI1",), ("S",))
@@ -104,15 +107,39 @@ def test_finalise_uses_counts(spark):
     assert attacker.predict(1, "S") == {8: 1.0}
 
 
-def test_binned_join_equals_plain(spark, monkeypatch):
-    import cloakframe.operators.attackers as module
+def plainly(know, rel, schema, on):
+    meets = schema.overlaps(of("a"), of("b"), on)
+    return sorted((r["i"], r["j"]) for r in know.alias("a").join(rel.alias("b"), meets).select("a.ID", "b.S").toDF("i", "j").collect())
 
-    know = spark.createDataFrame([(i, i * 3 % 50, i * 3 % 50 + i % 4, i % 2 == 0, True) for i in range(40)], KNOWLEDGE)
-    rel = spark.createDataFrame([(i * 7 % 60, i * 7 % 60 + i % 9, True, i % 3 == 0, i, 1) for i in range(60)], RELEASE)
-    pairs = lambda: sorted((r["k"]["ID"], r["r"]["S"]) for r in overlap_join(know, rel, MR, ["QI1", "QI2"]).collect())
-    plain = pairs()
-    monkeypatch.setattr(module, "SMALL", 0)
-    assert pairs() == plain
+
+def paired(know, rel, schema, on):
+    return sorted((r["k"]["ID"], r["r"]["S"]) for r in overlap_join(know, rel, schema, on).collect())
+
+
+def test_overlap_join_equals_plain(spark):
+    know = spark.createDataFrame([(i, i * 3 % 50 - 9, i * 3 % 50 - 9 + i % 4, i % 2 == 0, True) for i in range(40)] + [(90, -1000, 10**9, True, True), (91, 5, 4, True, True)], KNOWLEDGE)
+    rel = spark.createDataFrame([(i * 7 % 60, i * 7 % 60 + (i % 9 if i % 20 else 40), True, i % 3 == 0, i, 1) for i in range(60)], RELEASE)
+    for on in (["QI1", "QI2"], ["QI1"], ["QI2"]):
+        assert paired(know, rel, MR, on) == plainly(know, rel, MR, on)
+    assert paired(know, rel.limit(0), MR, ["QI1"]) == [] == paired(know.limit(0), rel, MR, ["QI1"])
+    real = spark.createDataFrame([(i, i * 0.37, i * 0.37 + 0.2 * (i % 3), True, True) for i in range(30)], KNOWLEDGE.replace("QI1_min int, QI1_max int", "QI1_min double, QI1_max double"))
+    seen = spark.createDataFrame([(i * 0.21, i * 0.21 + 0.15 * (i % 4), True, True, i, 1) for i in range(50)], RELEASE.replace("QI1_min int, QI1_max int", "QI1_min double, QI1_max double"))
+    assert paired(real, seen, MR, ["QI1"]) == plainly(real, seen, MR, ["QI1"])
+
+
+def test_overlap_join_of_other_schemas(spark):
+    text = HumanReadable(("QI2",), ("QI1",), ("S",))
+    know = spark.createDataFrame([(0, "-3--1", "a"), (1, "2", "a,b"), (2, "1-40", "c"), (3, "7-9", "")], "ID bigint, QI1 string, QI2 string")
+    rel = spark.createDataFrame([("-2-2", "a", 0, 1), ("3-8", "b,c", 1, 1), ("40", "a,b,c", 2, 1)], "QI1 string, QI2 string, S int, count bigint")
+    for on in (["QI1", "QI2"], ["QI2"], ["QI1"]):
+        assert paired(know, rel, text, on) == plainly(know, rel, text, on)
+    raw = RawData(("QI2",), ("QI1",), ("QI1", "QI2"))
+    assert paired(know.withColumn("QI1", F.col("ID")), rel.withColumn("QI1", F.col("S")), raw, ["QI1"]) == [(0, 0), (1, 1), (2, 2)]
+    tree = Taxonomy("any").add_generalised(Taxonomy("low").add_raw_values([1, 2])).add_generalised(Taxonomy("high").add_raw_values([3]))
+    coded = GlobalRecoding({"QI1": tree}, ("S",))
+    know = spark.createDataFrame([(0, "1"), (1, "low"), (2, "3"), (3, "any")], "ID bigint, QI1 string")
+    rel = spark.createDataFrame([("low", 0, 1), ("2", 1, 1), ("any", 2, 1), ("3", 3, 1)], "QI1 string, S int, count bigint")
+    assert paired(know, rel, coded, ["QI1"]) == plainly(know, rel, coded, ["QI1"])
 
 
 def test_split_columns():

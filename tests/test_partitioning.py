@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cloakframe.operators.anonymiser import Anonymiser
 from cloakframe.operators.clustering import Clustering, Points, fmdav, mdav
 from cloakframe.operators.images import KSame
-from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, DistinctLDiversity, KAnonymity, TCloseness, check
+from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness, check
 from cloakframe.operators.mondrian import Mondrian, numbered
 from cloakframe.operators.republication import MInvariance
 from cloakframe.plans.roles import GROUP, RID, with_row_id
@@ -164,3 +164,46 @@ def test_anonymiser_rejects(spark, options, error):
 def test_row_ids(spark):
     df = with_row_id(spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "n int, v string"), ["n"])
     assert sorted((r[RID], r["n"]) for r in df.collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_row_ids_of_wide_rows_under_adaptive_execution(spark):
+    """Partitions that adaptive execution merges keep every row, numbered once."""
+    df = spark.range(60_000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), F.xxhash64("id").alias("b"), F.repeat(F.lit("x"), 400).alias("wide"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = with_row_id(df, ["a", "b"]).select(RID, "a", "b").orderBy("a", "b").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[RID].tolist() == list(range(60_000))
+
+
+def test_models_metrics_and_partitioners_of_ones_own(spark):
+    class MostHalf(PrivacyModel):
+        """A model of one's own: no sensitive value makes up more than half of a class."""
+
+        sensitive = "s"
+
+        def holds(self, df, group):
+            return df.groupBy(group, "s").count().groupBy(group).agg((2 * F.max("count") <= F.sum("count")).alias("ok"))
+
+        def holds_class(self, ranks, counts, shares, whole):
+            return 2 * counts.max() <= counts.sum()
+
+    rows = [(i, float(i * 37 % 101), f"c{i % 3}", f"s{i % 2 if i % 5 else 2}") for i in range(120)]
+    df = spark.createDataFrame(rows, f"{RID} bigint, x double, c string, s string")
+    own = Distance("largest square", lambda p, q: float(((p - q) ** 2).max()))
+    for models in ((KAnonymity(15), MostHalf()), (KAnonymity(15), TCloseness(0.02, "s", own))):
+        found = [{r[RID]: r[GROUP] for r in Mondrian(models, ("x", "c"), local_rows=n).partition(df).collect()} for n in (60, 1000)]
+        assert found[0] == found[1] and len(set(found[0].values())) > 2
+        parts = df.join(Mondrian(models, ("x", "c")).partition(df), RID)
+        assert check(parts, GROUP, list(models)).filter("not ok").isEmpty()
+
+    class Tens:
+        def partition(self, df):
+            return df.select(RID, F.floor(F.col("x") / 10).alias(GROUP))
+
+    release = Anonymiser(df.select(RID, "x", "s"), "s", ["x"], "microaggregation", k=2, algorithm=Tens()).anonymise()
+    assert release.agg(F.sum("count")).first()[0] == 120 and release.select("x").distinct().count() == 11
+    with pytest.raises(ValueError, match="unknown algorithm"):
+        Anonymiser(df, "s", ["x"], algorithm="none")

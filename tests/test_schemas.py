@@ -138,8 +138,9 @@ def test_recoding_lifts_to_what_is_present(spark):
 
 
 @pytest.mark.parametrize("schema", [MR, HR, RAW, Microaggregation(("a",), ("b",)), GlobalRecoding(taxonomies(), ("S",))])
-def test_schema_files(schema, tmp_path):
-    save_schema(schema, str(tmp_path / "s.json"))
-    again = load_schema(str(tmp_path / "s.json"))
-    assert type(again) is type(schema)
-    assert again.to_json_dict() == schema.to_json_dict()
+def test_schema_files(spark, schema, tmp_path):
+    for through in (None, spark):
+        save_schema(schema, str(tmp_path / "s.json"), through)
+        again = load_schema(str(tmp_path / "s.json"), through)
+        assert type(again) is type(schema)
+        assert again.to_json_dict() == schema.to_json_dict()
