@@ -26,16 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+def quoted(df: DataFrame) -> list[str]:
+    """Column names as they can be selected, whatever signs they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
-    A folder of our own is set only where the session names none (tests).
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session (tests) gets one of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return where or tempfile.mkdtemp(prefix="shared-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

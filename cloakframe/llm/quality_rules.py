@@ -1,13 +1,14 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1), votes bad (-1) or abstains (0).  Expectation
-maximisation over the counts of vote patterns estimates every rule's accuracy;
-a document's posterior probability of being
-good replaces "all rules must pass".
+Each rule votes good (1), bad (-1), strongly bad (-2) or abstains (0).  A
+document is good or has one of the defects that the rules name.  Expectation
+maximisation over the counts of vote patterns estimates how common each is and
+how every rule votes on it, that is its accuracy; a document's posterior
+probability of being good replaces "all rules must pass".  No label is used.
 
-Only DataFrame functions are used.  The statistics cover all rows: patterns are
-pre-aggregated, so what an iteration reads has at most 3 ** len(RULES) rows
-however large the corpus is, and the driver sees sums only.
+Only DataFrame functions touch rows.  The statistics cover all rows: they are
+counted by vote pattern, and the estimate is made from these counts, of which
+there are at most 4 ** len(RULES) however large the corpus is.
 
 Defined results: a null or blank text has no words and is failed by the hard
 limits; repeated rows are judged alike; an empty table gives an empty table.
@@ -19,13 +20,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpointed, let, words
+from cloakframe.llm.common import checkpointed, let, quoted, words
 
 SYMBOLS = r"[#*$%&|<>]"
+LONE = r"(?<![^\x20\x09-\x0D])[#*$%&|<>]+(?![^\x20\x09-\x0D])"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -70,120 +74,149 @@ def features(df: DataFrame, keep: list[Column], text_col: str = "text") -> DataF
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
+            F.aggregate(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, same: n + F.coalesce(same, F.lit(0))).cast("long").alias("n_stutters"),
         ),
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    made = df.select(*keep, of_words.alias("__w"), of_lines.alias("__l"), removed(SYMBOLS + "+").alias("n_symbols"), removed(r"\p{Lu}+").alias("n_upper"), removed("!+").alias("n_shouts"))
+    made = df.select(*keep, of_words.alias("__w"), of_lines.alias("__l"), removed(SYMBOLS + "+").alias("n_symbols"), removed(SYMBOLS + "{2,}").alias("n_symbol_runs"), removed(LONE).alias("n_lone_symbols"), removed(r"\p{L}+").alias("n_letters"), removed(r"\p{Lu}+").alias("n_upper"), removed("!+").alias("n_shouts"))
     return made.select(*[c for c in made.columns if c not in ("__w", "__l")], "__w.*", "__l.*")
 
 
+STRONG, WEAK, NONE, GOOD = -2, -1, 0, 1
+LEVELS = (STRONG, WEAK, NONE, GOOD)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A share with two limits: good on one side of ``good``, bad beyond ``bad``."""
+    """A share with limits: beyond ``strong`` and ``weak`` the rule votes bad, on the other side of ``good`` good.
+
+    It abstains elsewhere, and where a limit is None.  ``defect`` names what a
+    bad vote says; rules of one defect see the same thing and speak for one class.
+    """
 
     name: str
     share: Callable[[], Column]
-    good: float
-    bad: float
+    defect: str | None
+    weak: float | None = None
+    strong: float | None = None
+    good: float | None = None
 
     def vote(self) -> Column:
         x = self.share()
-        if self.good < self.bad:
-            return F.when(x <= self.good, 1).when(x >= self.bad, -1).otherwise(0)
-        return F.when(x >= self.good, 1).when(x <= self.bad, -1).otherwise(0)
+        low = self.strong is not None and self.strong < self.weak
+        out = F.when(F.lit(False), NONE)
+        for limit, vote in ((self.strong, STRONG), (self.weak, WEAK)):
+            if limit is not None:
+                out = out.when(x <= limit if low else x >= limit, vote)
+        if self.good is not None:
+            below = self.weak is not None and not low
+            out = out.when(x <= self.good if below else x >= self.good, GOOD)
+        return out.otherwise(NONE)
 
 
 def _of(a: str, b: str) -> Callable[[], Column]:
     return lambda: F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: Defect rules vote bad or abstain (``good`` is out of reach): that one defect
-#: is missing says little, and five such rules that go together would say it
-#: five times.
-NEVER = -1.0
+def _plain_chars() -> Column:
+    return F.col("word_chars") - F.col("n_symbols")
+
+
+#: Every defect has rules that see it in different ways: what one rule says alone
+#: can't be told from its errors.
 RULES = (
-    Rule("symbols", _of("n_symbols", "n_words"), NEVER, 0.2),
-    Rule("duplicate_lines", _of("n_dup_lines", "n_lines"), NEVER, 0.4),
-    Rule("repetition", _of("n_repeat_words", "n_words"), NEVER, 0.35),
-    Rule("capitals", _of("n_upper", "word_chars"), NEVER, 0.4),
-    Rule("shouting", _of("n_shouts", "n_words"), NEVER, 0.5),
-    Rule("length", lambda: F.col("n_words").cast("double"), 60.0, NEVER),
-    Rule("vocabulary", _of("n_distinct", "n_words"), 0.4, 0.15),
-    Rule("long_words", _of("word_chars", "n_words"), 7.0, 14.0),
+    Rule("symbols", _of("n_symbols", "n_words"), "symbols", 0.05, 0.2),
+    Rule("symbol_runs", _of("n_symbol_runs", "n_words"), "symbols", 0.05, 0.2),
+    Rule("lone_symbols", _of("n_lone_symbols", "n_words"), "symbols", 0.05, 0.2),
+    Rule("duplicate_lines", _of("n_dup_lines", "n_lines"), "repetition", 0.25, 0.5),
+    Rule("repetition", _of("n_repeat_words", "n_words"), "repetition", 0.1, 0.35),
+    Rule("stutter", _of("n_stutters", "n_words"), "repetition", 0.1, 0.3),
+    Rule("vocabulary", _of("n_distinct", "n_words"), "repetition", 0.35, 0.15, 0.5),
+    Rule("capitals", _of("n_upper", "word_chars"), "casing", 0.15, 0.4),
+    Rule("shouting", _of("n_shouts", "n_words"), "casing", 0.1, 0.5),
+    # both without symbols, which have rules of their own
+    Rule("long_words", lambda: _plain_chars() / F.greatest(F.col("n_words"), F.lit(1)), "form", 10.0, 14.0, 7.0),
+    Rule("letters", lambda: F.col("n_letters") / F.greatest(_plain_chars(), F.lit(1)), "form", 0.6, 0.4, 0.8),
+    Rule("length", lambda: F.col("n_words").cast("double"), None, good=60.0),
 )
 
-
-VOTES = (-1, 0, 1)
-#: A rule is right to some degree whatever the data say: no vote decides alone.
-FLOOR = 0.002
-#: Limits of what EM may conclude.  At most a tenth of a rule's bad votes fall on
-#: good documents and a good vote weighs at most 1.25 to 1.  The prior is given:
-#: abstentions are no evidence, so the votes do not tell it.
-#: Without them EM settles on the largest group of rules that go together and
-#: takes the documents of every other defect for good ones.
-BAD_VOTE_ERROR, GOOD_VOTE_ODDS, PRIOR = 0.1, 1.25, 0.8
+#: Where EM begins; it moves all of these.  Votes of a class by level, in the order of LEVELS.
+START_GOOD, START_OWN, START_OTHER, START_PRIOR = (0.005, 0.03, 0.465, 0.5), (0.4, 0.3, 0.2, 0.1), (0.05, 0.1, 0.5, 0.35), 0.8
+SMOOTHING = 0.5
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents, and for each rule how likely each vote is.
+    """Class shares and, for each class and rule, how likely each vote is.
 
-    ``good[r]`` and ``bad[r]`` hold the chances of (bad, abstain, good) votes of
-    rule ``r`` on good and on bad documents: its accuracy on either side.  Only
-    votes that were cast count as evidence, abstentions do not.
+    Class 0 is good; the others are the defects that rules name.  A document can
+    be of a defect only if one of the defect's rules votes bad, so rules that
+    go together, or a large group of odd documents, never make up a class of
+    their own and documents nobody votes against are good.
     """
 
-    prior: float
-    good: tuple[tuple[float, float, float], ...]
-    bad: tuple[tuple[float, float, float], ...]
-
-    def posterior(self, votes: Column) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for n, (g, b) in enumerate(zip(self.good, self.bad, strict=True)):
-            vote = F.get(votes, F.lit(n))
-            odds = odds + F.when(vote < 0, math.log(g[0] / b[0])).when(vote > 0, min(math.log(GOOD_VOTE_ODDS), math.log(g[2] / b[2]))).otherwise(0.0)
-        return 1.0 / (1.0 + F.exp(-odds))
-
-
-def _table(seen: list[float]) -> tuple[float, float, float]:
-    total = sum(seen)
-    shares = [max(FLOOR, x / total) if total else 1 / 3 for x in seen]
-    return tuple(x / sum(shares) for x in shares)  # type: ignore[return-value]
+    groups: tuple[tuple[int, ...], ...]  # rules of each defect
+    prior: tuple[float, ...]
+    chances: tuple[tuple[tuple[float, ...], ...], ...]  # class, rule, level
 
+    @classmethod
+    def start(cls, rules: tuple[Rule, ...]) -> LabelModel:
+        defects = list(dict.fromkeys(r.defect for r in rules if r.defect))
+        groups = tuple(tuple(i for i, r in enumerate(rules) if r.defect == d) for d in defects)
+        prior = (START_PRIOR, *((1 - START_PRIOR) / len(groups) for _ in groups))
+        return cls(groups, prior, ((START_GOOD,) * len(rules), *(tuple(START_OWN if i in g else START_OTHER for i in range(len(rules))) for g in groups)))
 
-def fit_label_model(votes: DataFrame, n_rules: int, rounds: int = 40, tolerance: float = 1e-6) -> LabelModel:
-    """EM on all rows of ``votes`` (column ``votes``, array of -1, 0, 1).
+    def accuracies(self) -> list[tuple[float, float]]:
+        """For each rule, how likely it votes bad on good documents, and on documents of some defect."""
+        bad = lambda k, i: self.chances[k][i][0] + self.chances[k][i][1]
+        rest = sum(self.prior[1:]) or 1.0
+        return [(bad(0, i), sum(p * bad(k, i) for k, p in enumerate(self.prior) if k) / rest) for i in range(len(self.chances[0]))]
 
-    The start takes a document for bad that any rule calls bad.  A rule is never
-    read against its meaning: a bad vote is at least as likely on bad documents
-    as on good ones, a good vote on good ones.
+    def posterior(self, votes: Column) -> Column:
+        """Probability that a document with these votes is good."""
+        vote = lambda i: F.get(votes, F.lit(i))
+
+        def against(k: int, group: tuple[int, ...]) -> Column:
+            odds = F.lit(math.log(self.prior[k] / self.prior[0]))
+            for i, (own, good) in enumerate(zip(self.chances[k], self.chances[0], strict=True)):
+                odds = odds + F.get(F.array(*[F.lit(math.log(x / y)) for x, y in zip(own, good, strict=True)]), vote(i) + 2)
+            blamed = reduce(lambda x, y: x | y, [vote(i) < 0 for i in group])
+            return F.when(blamed, F.exp(odds)).otherwise(0.0)
+
+        return 1.0 / (1.0 + sum((against(k, g) for k, g in enumerate(self.groups, 1)), F.lit(0.0)))
+
+    def improved(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
+        """One step of expectation maximisation over vote patterns (levels by number) and their documents."""
+        n_rules = patterns.shape[1]
+        log = np.log(np.array(self.chances))
+        score = np.log(np.array(self.prior)) + sum(log[:, i, patterns[:, i]].T for i in range(n_rules))
+        for k, group in enumerate(self.groups, 1):
+            score[~(patterns[:, group] < 2).any(axis=1), k] = -np.inf
+        share = np.exp(score - score.max(axis=1, keepdims=True))
+        share *= (counts / share.sum(axis=1))[:, None]
+        seen = np.stack([[share[patterns[:, i] == v].sum(axis=0) for v in range(len(LEVELS))] for i in range(n_rules)]).transpose(2, 0, 1) + SMOOTHING
+        chances = seen / seen.sum(axis=2, keepdims=True)
+        prior = share.sum(axis=0) + SMOOTHING
+        as_tuple = lambda x: tuple(tuple(map(float, row)) for row in x)
+        return LabelModel(self.groups, tuple(map(float, prior / prior.sum())), tuple(map(as_tuple, chances)))
+
+
+def fit_label_model(votes: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 500, tolerance: float = 1e-7) -> LabelModel:
+    """EM on all rows of ``votes`` (column ``votes``, an array of levels).
+
+    Rows are counted by vote pattern first.  The driver sees these counts only:
+    4 ** len(rules) at most, whatever the size of the table.
     """
-    patterns = checkpointed(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    q: Column = F.when(F.array_contains("votes", -1), 0.05).otherwise(0.95)
-    model = LabelModel(PRIOR, ((0.1, 0.2, 0.7),) * n_rules, ((0.5, 0.2, 0.3),) * n_rules)
-    before: list[float] = []
+    rows = votes.groupBy("votes").count().collect()
+    model = LabelModel.start(rules)
+    if not rows:
+        return model
+    patterns, counts = np.array([r["votes"] for r in rows]) + 2, np.array([r["count"] for r in rows], float)
+    order = np.lexsort(patterns.T)
     for _ in range(rounds):
-        sums = [F.sum("n").alias("rows")]
-        for i in range(n_rules):
-            for v in VOTES:
-                cast = F.when(F.get("votes", F.lit(i)) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(q * cast).alias(f"g{i}{v}"), F.sum((1 - q) * cast).alias(f"b{i}{v}")]
-        got = patterns.agg(*sums).first()
-        if not got["rows"]:
-            return model
-        good, bad = [], []
-        for i in range(n_rules):
-            on_good, on_bad = [got[f"g{i}{v}"] for v in VOTES], [got[f"b{i}{v}"] for v in VOTES]
-            moved = max(0.0, on_good[0] - BAD_VOTE_ERROR * (on_good[0] + on_bad[0]))
-            g, b = _table([on_good[0] - moved, *on_good[1:]]), _table([on_bad[0] + moved, *on_bad[1:]])
-            meant = g[0] <= b[0], g[2] >= b[2]
-            good.append(_table([min(g[0], b[0]), g[1], max(g[2], b[2])]) if not all(meant) else g)
-            bad.append(_table([max(g[0], b[0]), b[1], min(g[2], b[2])]) if not all(meant) else b)
-        model = LabelModel(PRIOR, tuple(good), tuple(bad))
-        now = [x for t in (*good, *bad) for x in t]
-        if before and max(abs(x - y) for x, y in zip(now, before, strict=True)) < tolerance:
+        before, model = model, model.improved(patterns[order], counts[order])
+        if max(np.abs(np.array(model.prior) - before.prior).max(), np.abs(np.array(model.chances) - before.chances).max()) < tolerance:
             break
-        before, q = now, model.posterior(F.col("votes"))
     return model
 
 
@@ -191,21 +224,22 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _voted(df: DataFrame, keep: list[Column], text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    return checkpointed(features(df, keep, text_col).withColumn("votes", F.array(*[r.vote() for r in rules])))
+
+
 def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict: one row per input row, id in ``id``."""
-    voted = checkpointed(features(df, [F.col(id_col).alias("id")], text_col).withColumn("votes", F.array(*[r.vote() for r in rules])))
-    model = fit_label_model(voted, len(rules))
+    voted = _voted(df, [F.col(id_col).alias("id")], text_col, rules)
+    model = fit_label_model(voted, rules)
     return voted.withColumn("posterior", model.posterior(F.col("votes"))).withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns.
 
-    Texts are counted once for the estimate and once for the verdict instead of
-    being moved to meet a verdict computed elsewhere.
+    Rows are written with their votes, so a text is analysed once.
     """
-    votes = features(df, [], text_col).select(F.array(*[r.vote() for r in rules]).alias("votes"))
-    model = fit_label_model(votes, len(rules))
-    judged = features(df, [F.struct(*df.columns).alias("__row")], text_col)
-    votes = F.array(*[r.vote() for r in rules])
-    return judged.filter(~_failed() & (model.posterior(votes) >= threshold)).select("__row.*")
+    voted = _voted(df, [F.struct(*quoted(df)).alias("__row")], text_col, rules)
+    model = fit_label_model(voted, rules)
+    return voted.filter(~_failed() & (model.posterior(F.col("votes")) >= threshold)).select("__row.*")

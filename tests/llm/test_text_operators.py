@@ -110,6 +110,52 @@ def test_quality(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(clean)))
 
 
+def plain_em(rows, rules, rounds):
+    """Expectation maximisation document by document; the posterior of each."""
+    first = quality_rules.LabelModel.start(rules)
+    prior, chance = list(first.prior), [[list(x) for x in c] for c in first.chances]
+    kinds = range(len(prior))
+
+    def shares(votes):
+        may = [True] + [any(votes[i] < 0 for i in g) for g in first.groups]
+        weight = [prior[k] * math.prod(chance[k][i][v + 2] for i, v in enumerate(votes)) if may[k] else 0.0 for k in kinds]
+        return [w / sum(weight) for w in weight]
+
+    for _ in range(rounds):
+        of = [shares(v) for v in rows]
+        total = [sum(q[k] for q in of) + 0.5 for k in kinds]
+        prior = [t / sum(total) for t in total]
+        for k in kinds:
+            for i in range(len(rules)):
+                seen = [0.5 + sum(q[k] for q, v in zip(of, rows, strict=True) if v[i] == level) for level in (-2, -1, 0, 1)]
+                chance[k][i] = [x / sum(seen) for x in seen]
+    return [shares(v)[0] for v in rows]
+
+
+def test_label_model_against_plain_estimate(spark):
+    clean, junk, odd = quality_texts()
+    # a rule that is often wrong: clean texts with one weak vote against them
+    draw = random.Random(6)
+    wrong = [" ".join(f"{draw.choice('abcdefgh')}{n}{draw.choice('abcdefgh')}" for n in range(80)) + "\nline\nline\nline" for _ in range(12)]
+    df = docs(spark, clean + junk + odd + wrong)
+    judged = quality_rules.judge_quality(df).collect()
+    rules = quality_rules.RULES
+    plain = plain_em([r["votes"] for r in judged], rules, 30)
+    model = quality_rules.fit_label_model(spark.createDataFrame([(r["votes"],) for r in judged], "votes array<int>"), rules, rounds=30)
+    again = spark.createDataFrame([(n, r["votes"]) for n, r in enumerate(judged)], "n int, votes array<int>").withColumn("p", model.posterior(F.col("votes")))
+    assert np.allclose([r["p"] for r in again.orderBy("n").collect()], plain, atol=1e-6)
+    kept = {r["id"]: r for r in judged}
+    late = [kept[i] for i in range(len(clean + junk + odd), len(kept))]
+    assert all(min(r["votes"]) < 0 and r["kept"] for r in late), "one doubtful vote is not a verdict"
+    good, bad = model.accuracies()[[r.name for r in rules].index("duplicate_lines")]
+    assert good > 0.05
+
+
+def test_quality_of_odd_column_names(spark):
+    df = docs(spark, quality_texts()[0]).withColumnRenamed("source", "so.ur`ce")
+    assert quality_rules.keep_good(df).columns == df.columns
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.judge_quality(docs(spark, [])).count() == 0
     assert quality_rules.keep_good(docs(spark, [])).count() == 0
