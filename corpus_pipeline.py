@@ -12,7 +12,6 @@ each operator says; further columns pass through the first four stages.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from cloakframe.llm.common import table
+from cloakframe.llm.common import quoted, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +27,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.one_of_each(docs).select(*docs.columns)
+    return near_dedup.one_of_each(docs).select(*quoted(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = secret_scan.secret_spans(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), spans.alias("spans"))
+    marked = docs.select(F.struct(*quoted(docs)).alias("row"), spans.alias("spans"))
     clean = marked.select("row", secret_scan.redact(F.col("row.text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("hit"))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed["n_chars"] = F.when(F.col("hit"), F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars"))
-    return clean.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return clean.select(*[changed.get(c, F.col(f"row.{name}")).alias(c) for c, name in zip(docs.columns, quoted(docs), strict=True)])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,18 +54,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
 
-#: Expectation maximisation and packing can't be written in SQL; tests compare the stages with plain versions.
+#: Expectation maximisation, mixing and packing can't be written in SQL; tests compare the stages with plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written in the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    place = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage keeps is written in the shared folder and read again.
+
+    A stage's rows are removed when those of the next are written; the rows
+    that the result itself is read from stay.
+    """
+    place = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{place}/{k}")
-            docs = spark.read.parquet(f"{place}/{k}")
+            at = f"{place}/{k}"
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
+            if before is not None:
+                old = spark._jvm.org.apache.hadoop.fs.Path(before)
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            before = at
     return docs
