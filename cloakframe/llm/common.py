@@ -66,6 +66,59 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def running(values: Column, start: int, combine: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For each number of an array, what those before it come to.
+
+    A fold that appends copies its array at every step; blocks keep that linear.
+    """
+    empty = F.expr("cast(array() as array<int>)")
+    number = lambda x: x.cast("int")
+
+    def fold(part: Column, first: Column) -> Column:
+        step = lambda s, x: F.struct(number(combine(s["v"], x)).alias("v"), F.concat(s["out"], F.array(s["v"])).alias("out"))
+        return F.aggregate(part, F.struct(number(first).alias("v"), empty.alias("out")), step, lambda s: s["out"])
+
+    def by_blocks(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda i: F.slice(x, i * block + 1, F.lit(block)))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, fold(F.transform(p, lambda one: F.aggregate(one, F.lit(start), lambda a, b: number(combine(a, b)))), F.lit(start)), fold)))
+
+    return let(values, lambda x: F.when(F.size(x) <= block, fold(x, F.lit(start))).otherwise(by_blocks(x)))
+
+
+def spliced(text: Column, spans: Column, new: Callable[[Column], Column]) -> Column:
+    """``text`` with its spans (start, end; sorted, apart from each other) replaced.
+
+    Where many are to be replaced the text is cut into characters once, because
+    a substring is looked for from the beginning.
+    """
+    before = lambda s: F.transform(s, lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"]))
+
+    def pieces(s: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        ahead = F.zip_with(s, before(s), lambda x, at: F.concat(cut(at, x["start"] - at), new(x)))
+        last = F.element_at(s, -1)["end"]
+        return F.concat(F.array_join(ahead, ""), cut(last, F.char_length(text) - last))
+
+    few = lambda s: pieces(s, lambda at, n: F.substr(text, at + 1, n))
+    many = lambda s: let(F.split(text, ""), lambda c: pieces(s, lambda at, n: F.array_join(F.slice(c, at + 1, n), "")))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, lambda s: F.when(F.size(s) <= 64, few(s)).otherwise(many(s))))
+
+
+def apart(known: Column, more: Column) -> Column:
+    """Those of ``more`` that overlap none of ``known`` (arrays of structs with start and end), by one sweep over both."""
+
+    def sweep(both: Column) -> Column:
+        old = lambda f, other: F.transform(both, lambda x: F.when(x["old"], x["span"][f]).otherwise(other))
+        reach = running(old("end", -1), -1, lambda a, b: F.greatest(a, b))
+        coming = F.reverse(running(F.reverse(old("start", (1 << 31) - 1)), (1 << 31) - 1, lambda a, b: F.least(a, b)))
+        begun = F.zip_with(both, reach, lambda x, r: F.struct(x["span"].alias("span"), (~x["old"] & (r <= x["span"]["start"])).alias("fits")))
+        marked = F.zip_with(begun, coming, lambda x, c: F.struct(x["span"].alias("span"), (x["fits"] & (c >= x["span"]["end"])).alias("fits")))
+        return F.transform(F.filter(marked, lambda x: x["fits"]), lambda x: x["span"])
+
+    tagged = lambda spans, old: F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(old).alias("old"), s.alias("span")))
+    both = F.array_sort(F.concat(tagged(known, True), tagged(more, False)))
+    return F.when((F.size(known) == 0) | (F.size(more) == 0), more).otherwise(let(both, sweep))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), "")

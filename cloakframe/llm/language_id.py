@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.llm.common import small
+
 UNKNOWN = "und"
 
 
@@ -80,6 +82,21 @@ def _frequencies(settings: Settings):
     return run
 
 
+def _hashed(settings: Settings):
+    """(place, id, lang, buckets, counts) of texts with a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small((whole,), 64):
+                texts = batch.column(3).to_pylist()
+                read = [i for i, t in enumerate(texts) if has_letter(t)]
+                at, n = zip(*(counts(texts[i], settings) for i in read), strict=True) if read else ((), ())
+                kept = batch.select([0, 1, 2]).take(pa.array(read, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["place", "id", "lang", "at", "n"])
+
+    return run
+
+
 @dataclass
 class Model:
     settings: Settings
@@ -89,13 +106,12 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = counts(text, self.settings)
+    def features(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(n)) * self.idf[at]
         return at, x / (np.linalg.norm(x) or 1.0)
 
     def logits(self, text: str) -> np.ndarray:
-        at, x = self.features(text)
+        at, x = self.features(*counts(text, self.settings))
         return x @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -111,14 +127,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, settings: Settings) -> Model:
-    """FTRL-proximal on (text, language) rows in the order given, then the temperature."""
-    languages = sorted({lang for _, lang in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, settings: Settings) -> Model:
+    """FTRL-proximal on (buckets, counts, language) rows in the order given, then the temperature."""
+    languages = sorted({lang for _, _, lang in rows})
     k = len(languages)
     model = Model(settings, languages, idf, np.zeros((settings.size, k)), np.zeros(k))
     if not rows:
         return model
-    made = [(*model.features(text), languages.index(lang)) for text, lang in rows]
+    made = [(*model.features(at, n), languages.index(lang)) for at, n, lang in rows]
     kept = made[:: settings.held_for_temperature] if len(made) >= 10 * settings.held_for_temperature else []
     learnt = [m for i, m in enumerate(made) if not kept or i % settings.held_for_temperature]
     # one more coordinate, always 1, is the bias
@@ -152,8 +168,9 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, settings: Settings) -> Mod
 def train(rows: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from ``rows`` (id, text, lang), none null.
 
-    What the driver gets is bounded: ``2 ** bits`` document frequencies and
-    ``most_rows`` sampled rows.
+    What the driver gets is bounded: ``2 ** bits`` document frequencies, and as
+    many counts at most for each of ``most_rows`` sampled rows; texts stay where
+    they are.
     """
     order = F.crc32(F.concat(F.lit("sample|"), F.col("id").cast("string")))
     seen = rows.select("text").mapInArrow(_frequencies(settings), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -164,8 +181,10 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> Model:
     idf = np.log((1 + total) / (1 + frequency)) + 1
     # a hash limit that leaves some more rows than wanted keeps the others out of the sort
     share = min(1.0, 2 * settings.most_rows / max(total, 1)) if total > 4 * settings.most_rows else 1.0
-    sampled = rows.filter(order < int(share * 2**32) + 1).orderBy(order, "id", "lang").limit(settings.most_rows).select("text", "lang").collect()
-    return fit([(r["text"], r["lang"]) for r in sampled if has_letter(r["text"])], idf, settings)
+    hashed = rows.filter(order < int(share * 2**32) + 1).select(order.alias("place"), "id", "lang", "text").mapInArrow(_hashed(settings), f"place bigint, id {dict(rows.dtypes)['id']}, lang string, at array<int>, n array<int>")
+    sampled = hashed.orderBy("place", "id", "lang").limit(settings.most_rows).select("at", "n", "lang").toArrow()
+    made = zip(*(sampled.column(c).combine_chunks() for c in ("at", "n", "lang")), strict=True)
+    return fit([(np.asarray(at.values), np.asarray(n.values), lang.as_py()) for at, n, lang in made], idf, settings)
 
 
 def _predict(shared):

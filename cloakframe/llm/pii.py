@@ -8,13 +8,15 @@ e-mail surrogates are lower case.
 
 Phone numbers, card numbers and addresses go through a keyed permutation (a
 Feistel network on their digits), which cannot make two of them equal.  E-mail
-addresses and names are drawn from a keyed stream; all distinct ones of the
-table are checked, and every one but the smallest of those that share a
-surrogate is drawn again until all differ.
+addresses, family names and given names are drawn from a keyed stream, each by
+itself: "Mr John Smith", "Mr. Smith" and "Mrs Smith" share a family name, and so
+do their surrogates.  All distinct ones of the table are checked, and every one
+but the smallest of those that share a surrogate is drawn again from a larger
+space until all differ.  Names are found behind a title.
 
-Only DataFrame functions are used.  Without collisions the texts are rewritten
-in the task that reads them; redrawn entities are joined to the texts that hold
-them.
+Only DataFrame functions are used.  Texts are rewritten in the task that reads
+them; what was drawn again comes to the texts that hold it by a broadcast up to
+``MOST_BROADCAST`` values, and by a join on the text's digest beyond.
 
 Defined results: a null text stays null and holds nothing; an empty text stays
 empty; repeated rows are rewritten alike; an empty table gives an empty table.
@@ -27,15 +29,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpointed, let
+from cloakframe.llm.common import apart, checkpointed, let, spliced
 from cloakframe.llm.secret_scan import _located
 
 ROUNDS = 6
+MOST_BROADCAST = 100_000
 
-# Titles that show a gender, and names by script and gender.
+# Titles that show a gender, names by script and gender, endings of made-up names.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"), "m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")}
 NAMES = {
     ("latin", "f"): ("Anna", "Clara", "Elena", "Emma", "Ines", "Julia", "Laura", "Maria", "Nora", "Sara", "Sofia", "Vera"),
@@ -43,6 +46,7 @@ NAMES = {
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Иван", "Лев", "Олег", "Павел", "Юрий"),
 }
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ий"}
 SYLLABLES = {
     "latin": ("ba", "den", "fel", "gor", "hal", "kin", "lo", "mar", "nes", "or", "pel", "rin", "sta", "tor", "ul", "win"),
     "cyrillic": ("ба", "ден", "фел", "гор", "хал", "кин", "ло", "мар", "нес", "ор", "пел", "рин", "ста", "тор", "ул", "вин"),
@@ -98,12 +102,12 @@ def _luhn(number: Column) -> Column:
     return F.pmod(10 - F.aggregate(figures, F.lit(0), lambda t, x: add(t, x["d"], x["i"])) % 10, F.lit(10))
 
 
-def _phone(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
+def _phone(value: Column, norm: Column, key: Column, attempt: object) -> Column:
     country = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[^0-9]))", 1)
     return let(F.substr(value, F.char_length(country) + 1, F.char_length(value)), lambda rest: F.concat(country, _redressed(rest, permuted(digits(rest), key))))
 
 
-def _card(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
+def _card(value: Column, norm: Column, key: Column, attempt: object) -> Column:
     """All digits but the last are permuted; the last keeps its distance from the check digit."""
     body = F.substr(norm, F.lit(1), F.char_length(norm) - 1)
 
@@ -114,7 +118,7 @@ def _card(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
     return let(permuted(body, key), finish)
 
 
-def _address(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
+def _address(value: Column, norm: Column, key: Column, attempt: object) -> Column:
     """The 32 bits of an IPv4 address, permuted."""
     octets = F.split(value, r"\.")
     half = lambda i: F.get(octets, F.lit(i)).cast("bigint") * 256 + F.get(octets, F.lit(i + 1)).cast("bigint")
@@ -127,8 +131,9 @@ def _address(value: Column, norm: Column, key: Column, attempt: Column) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(half(0).alias("l"), half(2).alias("r")), step, lambda s: F.concat_ws(".", parts(s["l"]), parts(s["r"])))
 
 
-def _email(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
+def _email(value: Column, attempt: Column, key: Column) -> Column:
     """Letters and digits of the part before the last dot are drawn anew, signs stay; late attempts add letters."""
+    norm = F.lower(value)
     stem = F.regexp_extract(norm, r"^(.*)(\.[^.]*)$", 1)
     tail = F.regexp_extract(norm, r"^(.*)(\.[^.]*)$", 2)
 
@@ -145,20 +150,65 @@ def _pick(options: tuple[str, ...], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, options)), F.pmod(n, F.lit(len(options))).cast("int"))
 
 
-def _person(value: Column, norm: Column, key: Column, attempt: Column) -> Column:
-    """Title kept; first name by gender and script if there are two names; last name of three syllables, and one more for each attempt."""
-    title, first = F.regexp_extract(value, r"^(\S+) ", 1), F.regexp_extract(value, r"^\S+ (\S+) \S+$", 1)
-    female = F.regexp_replace(title, r"\.", "").isin(*TITLES["f"])
-    cyrillic = F.regexp_extract(value, r" (.*)$", 1).rlike(r"\p{IsCyrillic}")
+def _by_script(value: Column, name: Callable[[str], Column]) -> Column:
+    """A name in the value's script, in capitals if it is."""
+    new = F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
+    loud = (F.char_length(value) > 1) & (value == F.upper(value)) & (value != F.lower(value))
+    return let(new, lambda x: F.when(loud, F.upper(x)).otherwise(x))
 
-    def named(script: str) -> Column:
-        of = lambda g: _pick(NAMES[script, g], digest(key, F.lit("first"), norm))
-        given = F.when(first == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.when(female, of("f")).otherwise(of("m"))))
-        syllable = lambda i: _pick(SYLLABLES[script], digest(key, F.concat(F.lit("last"), i.cast("string")), norm))
-        last = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), syllable), "")
-        return F.concat(title, given, F.lit(" "), F.initcap(last))
 
-    return F.when(cyrillic, named("cyrillic")).otherwise(named("latin"))
+def _syllables(script: str, value: Column, key: Column, what: str, n: Column) -> Column:
+    drawn = F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[script], digest(key, F.concat(F.lit(what), i.cast("string")), F.lower(value))))
+    return F.initcap(F.array_join(drawn, ""))
+
+
+def _family(value: Column, attempt: Column, key: Column) -> Column:
+    """Three syllables, and one more for each attempt."""
+    return _by_script(value, lambda script: _syllables(script, value, key, "family", attempt + 3))
+
+
+def _given(value: Column, female: Column, attempt: Column, key: Column) -> Column:
+    """A name of the same gender; late attempts make one up, with the gender's ending."""
+
+    def name(script: str) -> Column:
+        known = lambda g: _pick(NAMES[script, g], digest(key, F.lit("given"), F.lower(value)))
+        made = F.concat(_syllables(script, value, key, "given", attempt + 1), F.when(female, ENDINGS[script, "f"]).otherwise(ENDINGS[script, "m"]))
+        return F.when(attempt == 0, F.when(female, known("f")).otherwise(known("m"))).otherwise(made)
+
+    return _by_script(value, name)
+
+
+def _name_parts(value: Column) -> tuple[Column, Column, Column, Column]:
+    """(title, given name or "", family name, whether the title is a woman's)."""
+    title = F.regexp_extract(value, r"^(\S+) ", 1)
+    return title, F.regexp_extract(value, r"^\S+ (\S+) \S+$", 1), F.regexp_extract(value, r"(\S+)$", 1), F.regexp_replace(title, r"\.", "").isin(*TITLES["f"])
+
+
+def _email_units(value: Column) -> Column:
+    return F.array(F.struct(F.concat(F.lit("email|"), F.lower(value)).alias("unit"), value.alias("value")))
+
+
+def _person_units(value: Column) -> Column:
+    """Family and given name: each has one surrogate wherever it stands, with whatever title."""
+    _, given, family, female = _name_parts(value)
+    unit = lambda name, v: F.struct(F.concat(name, F.lower(v)).alias("unit"), v.alias("value"))
+    both = F.array(unit(F.lit("family|"), family), unit(F.when(female, "given|f|").otherwise("given|m|"), given))
+    return F.when(given == "", F.slice(both, 1, 1)).otherwise(both)
+
+
+def _of_unit(unit: Column, value: Column, attempt: Column, key: Column) -> Column:
+    return F.when(unit.startswith("email|"), _email(value, attempt, key)).when(unit.startswith("family|"), _family(value, attempt, key)).otherwise(_given(value, unit.startswith("given|f|"), attempt, key))
+
+
+def _new_email(value: Column, norm: Column, key: Column, attempt: Callable[[Column], Column]) -> Column:
+    return _email(value, attempt(_email_units(value)[0]["unit"]), key)
+
+
+def _new_person(value: Column, norm: Column, key: Column, attempt: Callable[[Column], Column]) -> Column:
+    title, given, family, female = _name_parts(value)
+    units = _person_units(value)
+    first = F.when(given == "", "").otherwise(F.concat(F.lit(" "), _given(given, female, attempt(F.get(units, F.lit(1))["unit"]), key)))
+    return F.concat(title, first, F.lit(" "), _family(family, attempt(units[0]["unit"]), key))
 
 
 @dataclass(frozen=True)
@@ -166,89 +216,90 @@ class Kind:
     name: str
     pattern: str
     normal: Callable[[Column], Column]
-    surrogate: Callable[[Column, Column, Column, Column], Column]
-    permutes: bool
+    surrogate: Callable[[Column, Column, Column, Callable[[Column], Column]], Column]
+    units: Callable[[Column], Column] | None = None  # what is drawn and has to differ; None: a permutation, which does
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Listed first wins where spans overlap.  Repeated groups are bounded: the regex
 #: engine recurses once for each repetition, and a text may be very long.
 KINDS = (
-    Kind("email", r"(?<![\p{L}0-9._+-])[\p{L}0-9_][\p{L}0-9._+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}", F.lower, _email, False),
-    Kind("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])", lambda v: v, _address, True),
-    Kind("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])", digits, _phone, True),
-    Kind("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])", digits, _card, True),
-    Kind("person", r"(?<![\p{L}])(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?", lambda v: F.regexp_replace(F.lower(v), r"\.", ""), _person, False),
+    Kind("email", r"(?<![\p{L}0-9._+-])[\p{L}0-9_][\p{L}0-9._+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}", F.lower, _new_email, _email_units),
+    Kind("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])", lambda v: v, _address),
+    Kind("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])", digits, _phone),
+    Kind("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])", digits, _card),
+    Kind("person", r"(?<![\p{L}])(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?", lambda v: F.regexp_replace(F.lower(v), r"\.", ""), _new_person, _person_units),
 )
 
 
-def entities(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """Array of (start, end, kind, value, norm), sorted, without overlaps."""
-    overlaps = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-    def with_new(old: Column, more: Column) -> Column:
-        return let(old, lambda known: F.concat(known, F.filter(more, lambda s: ~F.exists(known, lambda o: overlaps(o, s)))))
-
-    found = None
+def with_entities(df: DataFrame, text_col: str, name: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """``df`` with an array of (start, end, kind, value, norm), sorted, without overlaps."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     for n, kind in enumerate(kinds):
         of_kind = _typed(_located(text, kind.pattern), n, kind)
-        found = of_kind if found is None else with_new(found, of_kind)
-    return F.array_sort(found)
+        if n == 0:
+            df = df.withColumn(name, of_kind)
+        else:
+            df = df.withColumn("__more", of_kind).withColumn(name, F.concat(name, apart(F.col(name), F.col("__more"))))
+    return df.withColumn(name, F.array_sort(name)).drop("__more")
 
 
 def _typed(spans: Column, n: int, kind: Kind) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("kind"), s["value"].alias("value"), kind.normal(s["value"]).alias("norm")))
 
 
-def surrogate(entity: Column, attempt: Column, key: str, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """The replacement of one entity; later attempts draw from other streams."""
-    out = None
+def surrogate(entity: Column, key: str, attempt: Callable[[Column], Column], kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """The replacement of one entity; ``attempt`` gives how often a unit was drawn again."""
+    out = F.when(F.lit(False), "")
     for n, kind in enumerate(kinds):
-        drawn = kind.surrogate(entity["value"], entity["norm"], F.concat(F.lit(f"{key}|{kind.name}|"), attempt.cast("string")), attempt)
-        out = F.when(entity["kind"] == n, drawn) if out is None else out.when(entity["kind"] == n, drawn)
+        out = out.when(entity["kind"] == n, kind.surrogate(entity["value"], entity["norm"], F.lit(f"{key}|{kind.name}"), attempt))
     return out
 
 
+def _units(entity: Column, kinds: tuple[Kind, ...]) -> Column:
+    out = F.when(F.lit(False), F.expr("cast(array() as array<struct<unit:string,value:string>>)"))
+    for n, kind in enumerate(kinds):
+        if kind.units is not None:
+            out = out.when(entity["kind"] == n, kind.units(entity["value"]))
+    return F.coalesce(out, F.expr("cast(array() as array<struct<unit:string,value:string>>)"))
+
+
 def redrawn(found: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(kind, norm, attempt) of the distinct entities of ``found`` (column entity) that collide at first.
+    """(unit, attempt) of the distinct units of ``found`` (columns unit, value) that collide at first.
 
-    Later attempts draw from larger spaces, so rounds end whatever the number of entities.
+    Units are e-mail addresses, family names and given names.  Every one but the
+    smallest of those that share a surrogate is drawn again, from a larger
+    space each time, so rounds end whatever their number.
     """
-    drawn = [n for n, k in enumerate(kinds) if not k.permutes]
-    each = found.filter(F.col("entity.kind").isin(*drawn)).groupBy("entity.kind", "entity.norm").agg(F.min("entity.value").alias("value"))
-    each = checkpointed(each.withColumn("attempt", F.lit(0)))
-    changed = each.filter("attempt > 0")
+    each = checkpointed(found.groupBy("unit").agg(F.min("value").alias("value")).withColumn("attempt", F.lit(0)))
+    type_of = F.substring_index("unit", "|", 1)
+    keyed = F.concat(F.lit(f"{key}|"), F.when(type_of == "email", "email").otherwise("person"))
     for attempt in count(1):
-        entity = F.struct("value", "norm", "kind")
-        named = each.withColumn("made", F.lower(surrogate(entity, F.col("attempt"), key, kinds)))
-        keeps = named.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "made", "keeper")
-        clash = checkpointed(named.join(keeps, ["kind", "made"]).filter(F.col("keeper.norm") != F.col("norm")).select("kind", "norm"))
-        if clash.isEmpty():
-            return changed
-        again = clash.withColumn("new", F.lit(attempt))
-        each = checkpointed(each.join(again, ["kind", "norm"], "left").select("kind", "norm", "value", F.coalesce("new", "attempt").alias("attempt")))
-        changed = each.filter("attempt > 0")
-
-
-def rewritten(text: Column, found: Column, new: Callable[[Column], Column]) -> Column:
-    step = lambda s, e: F.struct(e["end"].alias("pos"), F.concat(s["out"], F.substr(text, s["pos"] + 1, e["start"] - s["pos"]), new(e)).alias("out"))
-    whole = F.aggregate(found, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["pos"] + 1, F.char_length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+        named = each.withColumn("type", type_of).withColumn("made", F.lower(_of_unit(F.col("unit"), F.col("value"), F.col("attempt"), keyed)))
+        keeps = named.groupBy("type", "made").agg(F.min(F.struct("attempt", "unit")).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("type", "made", "keeper")
+        clash = Observation()
+        again = named.join(keeps, ["type", "made"]).filter(F.col("keeper.unit") != F.col("unit")).select("unit", F.lit(attempt).alias("new"))
+        again = checkpointed(again.observe(clash, F.count(F.lit(1)).alias("rows")))
+        if not clash.get.get("rows"):
+            return each.filter("attempt > 0").select("unit", "attempt")
+        each = checkpointed(each.join(again, "unit", "left").select("unit", "value", F.coalesce("new", "attempt").alias("attempt")))
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """(id, text, entities): texts with surrogates; entities as found in the original."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("original"))
-    rows = rows.withColumn("found", entities(F.coalesce("original", F.lit("")), kinds))
-    again = redrawn(rows.select(F.explode("found").alias("entity")), key, kinds)
+    rows = with_entities(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("original")), "original", "found", kinds)
+    units = F.flatten(F.transform("found", lambda e: _units(e, kinds)))
+    again = checkpointed(redrawn(rows.select(F.explode(units).alias("u")).select("u.*"), key, kinds))
     if again.isEmpty():
-        text = rewritten(F.col("original"), F.col("found"), lambda e: surrogate(e, F.lit(0), key, kinds))
+        attempt = lambda unit: F.lit(0)
     else:
-        # the attempts of a text's own redrawn entities, by text digest: equal texts share them
-        digest_of = F.sha2(F.col("original"), 256)
-        rows = rows.withColumn("text_key", digest_of)
-        held = rows.select("text_key", F.explode("found").alias("e")).select("text_key", F.col("e.kind").alias("kind"), F.col("e.norm").alias("norm")).distinct()
-        of_text = held.join(again, ["kind", "norm"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
-        rows = rows.join(of_text, "text_key", "left").withColumn("attempts", F.coalesce("attempts", F.expr("cast(map() as map<string,int>)")))
-        text = rewritten(F.col("original"), F.col("found"), lambda e: surrogate(e, F.coalesce(F.try_element_at(F.col("attempts"), F.concat_ws("|", e["kind"].cast("string"), e["norm"])), F.lit(0)), key, kinds))
+        # the attempts of a text's own units, by text digest: equal texts share them, texts without units need none
+        rows = rows.withColumn("units", F.array_distinct(F.transform(units, lambda u: u["unit"])))
+        rows = rows.withColumn("text_key", F.when(F.size("units") > 0, F.sha2("original", 256)).otherwise(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+        held = rows.filter(F.size("units") > 0).select("text_key", F.explode("units").alias("unit")).distinct()
+        of_text = checkpointed(held.join(again, "unit").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("attempts")))
+        few = of_text.select(F.sum(F.size("attempts"))).first()[0] <= MOST_BROADCAST
+        rows = rows.join(F.broadcast(of_text) if few else of_text, "text_key", "left").withColumn("attempts", F.coalesce("attempts", F.expr("cast(map() as map<string,int>)")))
+        attempt = lambda unit: F.coalesce(F.try_element_at(F.col("attempts"), unit), F.lit(0))
+    text = spliced(F.col("original"), F.col("found"), lambda e: surrogate(e, key, attempt, kinds))
     return rows.select("id", text.alias("text"), F.transform("found", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.get(F.array(*[F.lit(k.name) for k in kinds]), e["kind"]).alias("kind"))).alias("entities"))

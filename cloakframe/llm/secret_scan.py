@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import let
+from cloakframe.llm.common import apart, let, running, spliced
 
 # The base patterns, in the order in which kinds are listed.
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -65,17 +65,17 @@ def _located(text: Column, pattern: str) -> Column:
     The gaps between matches come from splitting by the same pattern, which
     finds the same leftmost matches.
     """
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-
     def place(found: Column) -> Column:
-        def step(state: Column, pair: Column) -> Column:
-            start = state["pos"] + F.char_length(pair["gap"])
-            end = start + F.char_length(pair["value"])
-            return F.struct(end.alias("pos"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
+        empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda g: F.char_length(g))
+
+        def placed(gap: Column) -> Column:
+            # where a gap begins: what all gaps and matches before it come to
+            begin = running(F.zip_with(gap, found, lambda g, v: g + F.char_length(v)), 0, lambda a, b: a + b)
+            start = F.zip_with(begin, gap, lambda b, g: b + g)
+            return F.zip_with(start, found, lambda s, v: F.struct(s.alias("start"), (s + F.char_length(v)).alias("end"), v.alias("value")))
 
-        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-        placed = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda s: s["out"])
-        return F.when(F.size(found) > 0, placed).otherwise(empty)
+        return F.when(F.size(found) > 0, let(gaps, placed)).otherwise(empty)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -142,38 +142,34 @@ def entropy_spans(text: Column, rule: EntropyClass, rank: int) -> Column:
     return _typed(F.filter(ranges, lambda s: s["hot"]), f"entropy_{rule.name}", rank)
 
 
-def secret_spans(text: Column, rules: SecretRules = SecretRules()) -> Column:
-    """All spans of a text, sorted by start and kind.
+def with_secret_spans(df: DataFrame, text_col: str = "text", name: str = "secret_spans", rules: SecretRules = SecretRules()) -> DataFrame:
+    """``df`` with all spans of a text, sorted by start and kind: an array of (start, rank, end, kind).
 
     An entropy span that overlaps a pattern span, or one of an earlier class,
-    reports nothing new and is left out.
+    reports nothing new and is left out.  A null text has no spans.
     """
-
-
-    def with_new(old: Column, more: Column) -> Column:
-        return let(old, lambda known: F.concat(known, F.filter(more, lambda s: ~F.exists(known, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))))
-
-    found = base_spans(text)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    df = df.withColumn(name, base_spans(text))
     for n, rule in enumerate(rules.classes):
-        found = with_new(found, entropy_spans(text, rule, 3 + n))
-    return F.array_sort(found)
-
-
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch of overlapping spans replaced by one mark."""
+        df = df.withColumn("__more", entropy_spans(text, rule, 3 + n)).withColumn(name, F.concat(name, apart(F.col(name), F.col("__more"))))
+    return df.withColumn(name, F.array_sort(name)).drop("__more")
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["pos"]
-        kept = F.when(fresh, F.concat(F.substr(text, state["pos"] + 1, s["start"] - state["pos"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["pos"], s["end"]).alias("pos"), F.concat(state["out"], kept).alias("out"))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["pos"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+def with_redaction(df: DataFrame, name: str, text_col: str = "text", mark: str = "[SECRET]", rules: SecretRules = SecretRules()) -> DataFrame:
+    """``df`` with ``name``: the text with every stretch of overlapping spans replaced by one mark."""
+    df = with_secret_spans(df, text_col, "__spans", rules)
+    ends = F.transform("__spans", lambda s: s["end"])
+    df = df.withColumn("__reach", running(ends, 0, lambda a, b: F.greatest(a, b)))
+    # the spans that begin beyond all before them; each stretch ends where the next such one finds the reach
+    heads = F.filter(F.zip_with("__spans", "__reach", lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach"))), lambda x: x["start"] >= x["reach"])
+    df = df.withColumn("__last", F.array_max(ends)).withColumn("__heads", heads)
+    df = df.withColumn("__heads", F.transform("__heads", lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get("__heads", i + 1)["reach"], F.col("__last")).alias("end"))))
+    return df.withColumn(name, spliced(F.col(f"`{text_col}`"), F.col("__heads"), lambda _: F.lit(mark))).drop("__spans", "__reach", "__last", "__heads")
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SecretRules = SecretRules()) -> DataFrame:
     """One row per input row: (id, secret_spans array of (start, rank, end, kind))."""
-    return df.select(F.col(id_col), secret_spans(F.coalesce(F.col(text_col), F.lit("")), rules).alias("secret_spans"))
+    return with_secret_spans(df.select(F.col(id_col), F.col(text_col).alias("__text")), "__text", rules=rules).drop("__text")
 
 
 def joined(spans: Column) -> Column:

@@ -61,10 +61,28 @@ def test_secrets_against_plain(spark):
     assert any(s[1] > 2 for spans in got.values() for s in spans)
 
 
+def test_very_many_spans_in_a_text(spark):
+    """Blocks, and the cut into characters, give what a few spans give; time stays linear."""
+    draw = random.Random(11)
+    part = lambda: draw.choice(["é token: " + "".join(draw.choice("abcXYZ0189") for _ in range(draw.randint(4, 12))), "x" * draw.randint(1, 5), "".join(draw.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(40)), "😀 AKIA" + "Q7" * 7, "0af1" * 9])
+    texts = [" ".join(part() for _ in range(n)) for n in (1, 90, 700)] + ["password=abcdefgh1 " * 30_000]
+    df = docs(spark, texts)
+    got = secret_scan.with_redaction(secret_scan.with_secret_spans(df, name="s"), "new").orderBy("doc_id").collect()
+    for t, r in zip(texts[:3], got, strict=False):
+        expected = plain_spans(t)
+        assert [tuple(s) for s in r["s"]] == expected
+        out, at = [], 0
+        for s, _, e, _ in expected:
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert r["new"] == "".join([*out, t[at:]])
+    assert len(got[3]["s"]) == 30_000 and got[3]["new"] == "[SECRET] " * 30_000
+
+
 def test_redaction_leaves_no_secret(spark):
     df = docs(spark, secret_texts())
-    spans = secret_scan.secret_spans(F.coalesce("text", F.lit("")))
-    clean = df.select("doc_id", "text", secret_scan.redact(F.col("text"), spans).alias("new"))
+    clean = secret_scan.with_redaction(df, "new")
     for r in clean.collect():
         if r["text"] is None:
             assert r["new"] is None
@@ -317,6 +335,29 @@ def test_surrogates(spark):
     assert female in pii.NAMES["latin", "f"] and male in pii.NAMES["latin", "m"] and russian in pii.NAMES["cyrillic", "f"]
 
 
+def test_names_keep_together(spark):
+    texts = ["Mr John Smith met Mrs. Smith", "Mr. Smith and Mr John Jones", "MR is no title but Mr SMITH is", "Mrs Smith, Ms Jane Jones", "Госпожа Анна Иванова и Господин Иванова"]
+    some = tuple(k for k in pii.KINDS if k.name == "person")
+    got = [r["text"] for r in pii.pseudonymise(docs(spark, texts), "key", kinds=some).orderBy("id").collect()]
+    john, smith, again = re.fullmatch(r"Mr (\w+) (\w+) met Mrs\. (\w+)", got[0]).groups()
+    assert smith == again and "Smith" not in "".join(got) and "John" not in "".join(got)
+    third, same, jones = re.fullmatch(r"Mr\. (\w+) and Mr (\w+) (\w+)", got[1]).groups()
+    assert (third, same) == (smith, john) and jones != smith
+    assert got[2] == f"MR is no title but Mr {smith.upper()} is"
+    assert got[3].startswith(f"Mrs {smith}, Ms ") and got[3].endswith(f" {jones}")
+    assert len(set(re.findall(r"\w+$|(?<=Анна )\w+", got[4]))) == 1 and got[4].split()[2] == got[4].split()[-1]
+
+
+def test_many_texts_that_hold_what_was_drawn_again(spark, monkeypatch):
+    """Beyond the limit of a broadcast the result is the same."""
+    texts = [f"mail {a}{n}@{a}.com to {a}{n}@{a}.com" for a in "abcdefgh" for n in range(10)] * 2 + [None, "", "none"]
+    some = tuple(k for k in pii.KINDS if k.name == "email")
+    run = lambda: [r["text"] for r in pii.pseudonymise(docs(spark, texts), "key", kinds=some).orderBy("id").collect()]
+    plain = run()
+    monkeypatch.setattr(pii, "MOST_BROADCAST", 0)
+    assert run() == plain and len(set(plain[:80])) == 80 and plain[:80] == plain[80:160]
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # one letter and one digit before the dot: 260 surrogates for 150 addresses
     texts = [f"{a}{n}@{a}.com" for a in "abcdefghijklmno" for n in range(10)]
