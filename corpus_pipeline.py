@@ -31,14 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spans = secret_scan.secret_spans(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.select(F.struct(*quoted(docs)).alias("row"), spans.alias("spans"))
-    clean = marked.select("row", secret_scan.redact(F.col("row.text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("hit"))
-    changed = {"text": F.col("text")}
+    marked = secret_scan.with_redaction(docs.select(F.struct(*quoted(docs)).alias("row"), F.col("text")), "clean")
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("hit"), F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars"))
-    return clean.select(*[changed.get(c, F.col(f"row.{name}")).alias(c) for c, name in zip(docs.columns, quoted(docs), strict=True)])
+        changed["n_chars"] = F.when(F.col("clean") != F.col("text"), F.char_length("clean").cast(kind)).otherwise(F.col("row.n_chars"))
+    return marked.select(*[changed.get(c, F.col(f"row.{name}")).alias(c) for c, name in zip(docs.columns, quoted(docs), strict=True)])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
