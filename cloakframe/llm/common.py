@@ -31,6 +31,13 @@ def quoted(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a local session (tests) gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,9 @@ these windows, so no deadline is missed, every slot is used and every prefix of
 the mix deviates from the ideal by less than one block a source, however long it
 is.  Windows are computed from the given weights in whole numbers, not rounded.
 
-One task deals all blocks, slot by slot; it holds a few numbers a source.  No
+One task deals all blocks, slot by slot, some 4 microseconds each; it holds a few
+numbers a source and sees no documents.  ``Mix.block_rows`` sets how many
+documents a block has, and with it how long that takes on a large table.  No
 document is dropped or repeated.
 
 Defined results: a null source is a source of its own; repeated rows are placed
@@ -32,39 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpointed
+from cloakframe.llm.common import checkpointed, quoted, unused
 from cloakframe.llm.sharding import number_rows
 
 
 @dataclass(frozen=True)
 class Mix:
     block_rows: int = 16
-    period: int = 1000  # has no effect: the order does not repeat
-    most_sources: int = 256  # has no effect: every source is mixed by its own weight
     flatten: float = 0.5  # default targets: share of rows to this power
 
 
-def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole numbers of slots that sum to ``period``, at least one each (largest remainders)."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def one_period(slots: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks where every source has as many blocks as its weight."""
-    placed: dict[str, list[int]] = {s: [] for s in slots}
-    for s, _, slot in deal(slots, slots):
-        placed[s].append(slot)
-    return placed
-
-
-def deal(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int]]:
-    """(source, block, slot) of every block, slot by slot."""
+def deal(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of every block, slot by slot: release <= slot < deadline."""
     if any(not 0 < weights[s] < math.inf for s in blocks):
         raise ValueError("weights must be positive")
     exact = {s: Fraction(weights[s]) for s in blocks}
@@ -89,21 +70,21 @@ def deal(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tu
         return used[k] - (-j * rate[k] // a) if up else used[k] + j * rate[k] // a
 
     coming = [(0, s, 0) for s in sorted(order)]
-    ready: list[tuple[int, str, int]] = []
+    ready: list[tuple[int, str, int, int]] = []
     for slot in range(used[-1]):
         while coming and coming[0][0] <= slot:
-            _, s, j = heapq.heappop(coming)
-            heapq.heappush(ready, (begun(s, j + 1, True), s, j))
-        deadline, s, j = heapq.heappop(ready)
+            release, s, j = heapq.heappop(coming)
+            heapq.heappush(ready, (begun(s, j + 1, True), s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a block missed its deadline")
-        yield s, j, slot
+        yield s, j, slot, release, deadline
         if j + 1 < blocks[s]:
             heapq.heappush(coming, (begun(s, j + 1, False), s, j + 1))
 
 
 def _dealt(mix: Mix, weights: Mapping[str, float] | None):
-    """(__name, block, slot) of all blocks, from the rows (name, number of rows) of all sources."""
+    """(__name, block, slot, release, deadline) of all blocks, from the rows (name, number of rows) of all sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = {s: n for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
@@ -113,16 +94,17 @@ def _dealt(mix: Mix, weights: Mapping[str, float] | None):
             targets = {s: weights.get(s[1:] if s.startswith("=") else s, least) for s in counted}
         blocks = deal({s: -(-n // mix.block_rows) for s, n in counted.items()}, targets)
         while some := list(islice(blocks, 50_000)):
-            name, block, slot = zip(*some, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], names=["__name", "block", "slot"])
+            name, *numbers = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], names=["__name", "block", "slot", "release", "deadline"])
 
     return run
 
 
 def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", mix: Mix = Mix(), extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
-    """((id, source, block, slot, position, extra...), number of slots).
+    """((id, source, block, slot, position, release, deadline, extra...), number of slots).
 
-    Positions order the whole mix; block b of a source takes one slot.
+    Positions order the whole mix; block b of a source takes one slot, not before
+    its release and before its deadline.
     ``weights`` maps source names to targets (names without one get the smallest).
     """
     extra = extra or {}
@@ -130,10 +112,10 @@ def mix_sources(df: DataFrame, weights: Mapping[str, float] | None = None, id_co
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), named.alias("__name"), *[c.alias(k) for k, c in extra.items()])
     sources = checkpointed(rows.groupBy("__name").count())
     slots = sources.agg(F.sum(F.ceil(F.col("count") / mix.block_rows))).first()[0] or 0
-    dealt = checkpointed(sources.repartition(1).mapInArrow(_dealt(mix, weights), "__name string, block bigint, slot bigint"))
+    dealt = checkpointed(sources.repartition(1).mapInArrow(_dealt(mix, weights), "__name string, block bigint, slot bigint, release bigint, deadline bigint"))
     numbered = number_rows(rows, "__name", ["id", "source", *extra]).withColumn("block", F.floor(F.col("slot") / mix.block_rows).cast("bigint")).withColumnRenamed("slot", "__n")
     placed = numbered.join(dealt, ["__name", "block"])
-    return placed.select("id", "source", "block", "slot", (F.col("slot") * mix.block_rows + F.col("__n") % mix.block_rows).alias("position"), *extra), slots
+    return placed.select("id", "source", "block", "slot", (F.col("slot") * mix.block_rows + F.col("__n") % mix.block_rows).alias("position"), "release", "deadline", *extra), slots
 
 
 def in_mix_order(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rows_per_file: int = 8192) -> DataFrame:
@@ -144,7 +126,8 @@ def in_mix_order(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", sour
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     placed, slots = mix_sources(docs, None, id_col, source_col, mix, {"__crc": crc})
     first = checkpointed(placed.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), "__crc").agg(F.min("position").alias("__position")))
-    joined = docs.withColumn("__key", crc).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__crc")))
+    key = unused(docs, "__key")
+    joined = docs.withColumn(key, crc).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col(key) == F.col("__crc")))
     files = max(1, -(-slots * mix.block_rows // rows_per_file))
     part = F.least(F.floor(F.col("__position") * files / max(1, slots * mix.block_rows)), F.lit(files - 1)).cast("int")
-    return joined.repartitionById(files, part).sortWithinPartitions("__position").select(*docs.columns)
+    return joined.repartitionById(files, part).sortWithinPartitions("__position").select(*quoted(docs))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -383,16 +384,33 @@ def test_digit_permutation_is_one_to_one(spark, n):
 
 
 # -- mixing -------------------------------------------------------------------
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 997}, {c: 1 for c in "abcdefg"}, {"x": 1}])
-def test_pfair_period(weights):
-    slots = mixing.shares(weights, 200)
-    period = sum(slots.values())
-    order = [s for _, s in sorted((t, s) for s, at in mixing.one_period(slots).items() for t in at)]
-    assert len(order) == period
-    seen = collections.Counter()
-    for t, s in enumerate(order, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * a / period) < 1 for x, a in slots.items())
+def plain_schedule(blocks, weights):
+    """Slot by slot from exact fractions: the ideal mix goes on until no block is left; of the released blocks the earliest deadline runs."""
+    exact, ideal, begins, ends, at = {s: Fraction(w) for s, w in weights.items()}, dict.fromkeys(blocks, Fraction(0)), {}, {}, Fraction(0)
+    for s in blocks:
+        begins[s, 0] = Fraction(0)
+    while any(ideal[s] < n for s, n in blocks.items()):
+        open_ = [s for s, n in blocks.items() if ideal[s] < n]
+        rate = {s: exact[s] / sum(exact[x] for x in open_) for s in open_}
+        step = min((math.floor(ideal[s]) + 1 - ideal[s]) / rate[s] for s in open_)
+        at += step
+        for s in open_:
+            ideal[s] += rate[s] * step
+            if ideal[s].denominator == 1:
+                ends[s, int(ideal[s]) - 1] = begins[s, int(ideal[s])] = at
+    left, out = {(s, j) for s, n in blocks.items() for j in range(n)}, []
+    for slot in range(sum(blocks.values())):
+        chosen = min((b for b in left if math.floor(begins[b]) <= slot), key=lambda b: (math.ceil(ends[b]), b))
+        left.remove(chosen)
+        out.append((*chosen, slot, math.floor(begins[chosen]), math.ceil(ends[chosen])))
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 3.0, "c": 2.0}, {"a": 1.0, "b": 9.7}, {c: 1.0 for c in "abcdefg"}, {"x": 1.0}, {"p": 0.7071, "q": 0.2, "r": 0.0929}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}])
+def test_schedule_against_plain(weights):
+    draw = random.Random(len(weights))
+    blocks = {s: draw.randint(1, 40) for s in weights}
+    assert list(mixing.deal(blocks, weights)) == plain_schedule(blocks, weights)
 
 
 @pytest.mark.parametrize("target, others", [(0.5, 199), (1 / 3, 19), (0.999, 3)])
@@ -427,7 +445,7 @@ def test_mix_of_many_sources(spark):
 def test_mix(spark):
     rows = [(i, "h" if i % 3 == 0 else f"s{i % 4}") for i in range(700)] + [(700, None), (701, None), (5, "s1"), (5, "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string")
-    settings = mixing.Mix(block_rows=4, period=60)
+    settings = mixing.Mix(block_rows=4)
     placed, slots = mixing.mix_sources(df, {"h": 2, "s0": 1, "s1": 1, "s2": 1, "s3": 1}, mix=settings)
     got = placed.collect()
     assert sorted((r["id"], str(r["source"])) for r in got) == sorted((i, str(s)) for i, s in rows)
@@ -435,14 +453,13 @@ def test_mix(spark):
     of_slot = {r["slot"]: r["source"] for r in got}
     assert all(of_slot[r["slot"]] == r["source"] for r in got)
     assert mixing.mix_sources(df.limit(0))[0].count() == 0
-    few, _ = mixing.mix_sources(df, mix=mixing.Mix(block_rows=4, period=60, most_sources=3))
-    assert few.count() == len(rows)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
 def test_mix_order_of_whole_rows(spark):
-    df = docs(spark, [f"t{i}" for i in range(300)], True).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b"))
-    out = mixing.in_mix_order(df, mixing.Mix(block_rows=8, period=30), rows_per_file=64)
-    assert out.columns == df.columns and out.count() == 300
+    df = docs(spark, [f"t{i}" for i in range(300)], True).withColumn("__key", F.lit("mine")).withColumn("a.b", F.lit(1)).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b"))
+    out = mixing.in_mix_order(df, mixing.Mix(block_rows=8), rows_per_file=64)
+    assert out.columns == df.columns and out.count() == 300 == out.filter("`__key` = 'mine'").count()
     first = [r["source"] for r in out.collect()[:48]]
     assert {first.count(s) for s in ("a", "b", None)} == {16}
 
