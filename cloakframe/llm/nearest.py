@@ -10,11 +10,14 @@ exact inner products in double precision.
 
 Equal vectors are one entry of the index, with the smallest ids that a result
 can need, so a vector that a third of all rows share costs no more than another.
-Buckets are gathered with the queries that visit them, table by table; a bucket
-above ``most_in_bucket`` entries is cut into chunks which the same queries visit.
-The number of projections grows with the logarithm of the number of vectors, and
-the number of probes doubles with each projection beyond seven (as the root of
-the number of vectors), so that recall does not fall as the table grows.
+Buckets are gathered with the queries that visit them, table by table and in
+blocks of queries; a bucket above ``most_in_bucket`` entries is cut into chunks
+which the same queries visit.
+
+How many projections, tables and probes there are and how wide a bucket is comes
+from a sample of at most ``Index.sample`` rows and ``Index.sample_queries``
+queries: the setting that finds ``Index.recall`` of the sample's nearest pairs
+with the fewest scores.  Every row is indexed.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, neither do null ids; ties go to
@@ -37,20 +40,34 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import checkpointed
 
 
+@dataclass(frozen=True)
+class Setting:
+    """What decides which buckets a query visits."""
+
+    projections: int
+    width: float
+    tables: int
+    probes: int
+
+
 @dataclass(frozen=True)
 class Index:
-    tables: int = 20
-    probes: int = 128
-    width: float = 1.5
-    group: int = 65_536
-    most_in_bucket: int = 32_768
-    seed: int = 11
+    """How the setting is chosen, and how much meets in one task.
 
-    def projections(self, n: int) -> int:
-        return max(2, round(math.log2(max(n, 2)) / 2))
+    The sample bounds the estimate, not the index: every row is indexed.
+    """
 
-    def probes_among(self, n: int) -> int:
-        return self.probes << max(0, self.projections(n) - 7)
+    recall: float = 0.95  # on the sample
+    sample: int = 4096
+    sample_queries: int = 96
+    projections: tuple[int, ...] = (8, 12, 16)
+    widths: tuple[float, ...] = (1.3, 1.9, 2.7)  # times the distance of the farthest neighbour asked for
+    tables: int = 10  # at most
+    probes: tuple[int, ...] = (16, 64, 128, 256, 512)
+    group: int = 16_384
+    most_in_bucket: int = 16_384
+    query_block: int = 16_384
+    seed: int = 11
 
 
 def perturbations(k: int, count: int) -> list[tuple[int, ...]]:
@@ -81,12 +98,12 @@ def perturbations(k: int, count: int) -> list[tuple[int, ...]]:
 class Hasher:
     """The tables of an index over ``n`` distinct vectors of ``d`` components."""
 
-    def __init__(self, index: Index, n: int, d: int, longest: float) -> None:
+    def __init__(self, index: Index, setting: Setting, n: int, d: int, longest: float) -> None:
         draw = np.random.default_rng(index.seed)
-        self.index, self.k, self.longest = index, index.projections(n), longest
-        self.template = perturbations(self.k, index.probes_among(n))
-        self.directions = draw.normal(size=(index.tables, d + 1, self.k))
-        self.shifts = draw.uniform(0, 1, (index.tables, self.k))
+        self.setting, self.k, self.longest = setting, setting.projections, longest
+        self.template = perturbations(self.k, setting.probes)
+        self.directions = draw.normal(size=(setting.tables, d + 1, self.k))
+        self.shifts = draw.uniform(0, 1, (setting.tables, self.k))
         self.mix = draw.integers(1, 1 << 62, self.k, dtype=np.int64) | 1
         self.groups = max(1, -(-n // index.group))
 
@@ -97,7 +114,7 @@ class Hasher:
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
     def cells(self, table: int, lifted: np.ndarray) -> np.ndarray:
-        return lifted @ self.directions[table] / self.index.width + self.shifts[table]
+        return lifted @ self.directions[table] / self.setting.width + self.shifts[table]
 
     def bucket(self, cells: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -122,6 +139,52 @@ class Hasher:
         return np.stack(out, axis=1)
 
 
+def choose(index: Index, entries: np.ndarray, asked: np.ndarray, nearest: int, n: int, longest: float) -> Setting:
+    """The setting that finds ``index.recall`` of the sample's nearest pairs with the fewest scores.
+
+    Neighbours in a table are as near as fewer are in a sample of it: as many as
+    its share of the table, twice which are looked for.  Where none of the settings
+    reaches the recall the one that finds most is taken.
+    """
+    if n <= nearest + 1 or len(entries) < 2:
+        return Setting(1, 1e9, 1, 1)  # everything is a neighbour
+    score = asked @ entries.T
+    own = score >= (np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(entries, axis=1)) * (1 - 1e-12)
+    score[own] = -np.inf
+    found = min(nearest, max(3, math.ceil(2 * nearest * len(entries) / n)), len(entries) - 1)
+    true = np.argpartition(-score, found - 1, axis=1)[:, :found]
+    live = np.isfinite(np.take_along_axis(score, true, 1))
+    lift = Hasher(index, Setting(1, 1.0, 1, 1), n, entries.shape[1], longest)
+    x, q = lift.lifted(entries, False), lift.lifted(asked, True)
+    far = np.sqrt(max(1e-12, np.mean(((q[:, None] - x[true[:, -1:]]) ** 2).sum(axis=2))))
+    best: tuple[float, float, Setting] | None = None
+    for k in index.projections:
+        for width in index.widths:
+            hasher = Hasher(index, Setting(k, far * width, index.tables, max(index.probes)), n, entries.shape[1], longest)
+            first = np.full(score.shape, len(hasher.template))  # the earliest probe of any table so far
+            work = dict.fromkeys(index.probes, 0.0)
+            for t in range(index.tables):
+                buckets, probes = hasher.bucket(np.floor(hasher.cells(t, x))), hasher.probes(t, q)
+                order = np.argsort(probes, axis=1, kind="stable")
+                for i in range(len(q)):
+                    ranked = probes[i][order[i]]
+                    at = np.minimum(np.searchsorted(ranked, buckets), len(ranked) - 1)
+                    seen = np.where(ranked[at] == buckets, order[i][at], len(ranked))
+                    np.minimum(first[i], seen, out=first[i])
+                    for p in index.probes:
+                        work[p] += (seen < p).mean() / len(q)
+                for p in index.probes:
+                    hit = (np.take_along_axis(first, true, 1) < p)[live].mean() if live.any() else 1.0
+                    # scores, visits, and the copies of rows that a table takes
+                    cost = work[p] * n + 2.0 * p * (t + 1) + 200.0 * (t + 1)
+                    here = (min(hit, index.recall), -cost, Setting(k, far * width, t + 1, p))
+                    if best is None or here[:2] > best[:2]:
+                        best = here
+                if (np.take_along_axis(first, true, 1) < min(index.probes))[live].mean() >= index.recall:
+                    break
+    return best[2]
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -140,7 +203,7 @@ def _entries(hasher: Hasher):
                 continue
             x = _vectors(batch.column(1))
             lifted, packed = hasher.lifted(x.astype(np.float64), False), _binary(x)
-            for t in range(hasher.index.tables):
+            for t in range(hasher.setting.tables):
                 buckets = hasher.bucket(np.floor(hasher.cells(t, lifted)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(buckets), batch.column(0), packed], names=["table", "bucket", "id", "vector"])
 
@@ -157,7 +220,7 @@ def _visits(hasher: Hasher):
                 batch = whole.slice(at, step)
                 x = _vectors(batch.column(1))
                 lifted, ids, packed = hasher.lifted(x.astype(np.float64), True), batch.column(0), [row.tobytes() for row in x]
-                for t in range(hasher.index.tables):
+                for t in range(hasher.setting.tables):
                     probes = hasher.probes(t, lifted)
                     parts = probes % hasher.groups
                     of, part, vectors, buckets = [], [], [], []
@@ -225,6 +288,15 @@ def _search(nearest: int, kind: str):
     return run
 
 
+def _sample(df: DataFrame, n: int, most: int, kind: str) -> np.ndarray:
+    """Vectors of at most ``most`` rows by a hash of the id, in double precision."""
+    place = F.xxhash64(F.col("id"), F.lit("sample"))
+    some = df if n <= 2 * most else df.filter(F.pmod(place, F.lit(1 << 30)) < int((1 << 30) * 2.0 * most / n))
+    got = some.select("id", "vector", place.alias("place")).orderBy("place", "id").limit(most).select("vector").toArrow()
+    column = got.column("vector").combine_chunks()
+    return _vectors(column).astype(np.dtype(kind)).astype(np.float64) if len(column) else np.empty((0, 1))
+
+
 def _usable(vector: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
@@ -251,11 +323,19 @@ def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id",
 
     square = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     stats = entries.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).first()
-    hasher = Hasher(index, stats["n"], lengths["d"], stats["longest"])
+    n_asked = asked.count()
+    if not n_asked:
+        return empty
+    sampled = lambda df, n, most: _sample(df, n, most, "<f8" if double else "<f4")
+    setting = choose(index, sampled(entries, stats["n"], index.sample), sampled(asked, n_asked, index.sample_queries), nearest, stats["n"], stats["longest"])
+    hasher = Hasher(index, setting, stats["n"], lengths["d"], stats["longest"])
     stored = entries.select("id", "vector").mapInArrow(_entries(hasher), "table int, bucket bigint, id bigint, vector binary")
     stored = stored.withColumn("part", F.pmod("bucket", F.lit(hasher.groups)))
     visits = asked.select("id", "vector").mapInArrow(_visits(hasher), "table int, part bigint, id bigint, vector binary, buckets array<bigint>")
 
+    blocks = max(1, -(-n_asked // index.query_block))
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+
     large = checkpointed(stored.groupBy("table", "bucket", "part").count().filter(F.col("count") > index.most_in_bucket))
     if large.isEmpty():
         stored, visits = stored.withColumn("chunk", F.lit(0)), visits.withColumn("chunk", F.lit(0))
@@ -264,7 +344,8 @@ def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id",
         stored = stored.join(chunks, ["table", "bucket"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")).drop("chunks")
         most = large.groupBy("table", "part").agg(F.ceil(F.max("count") / index.most_in_bucket).cast("int").alias("chunks"))
         visits = visits.join(most, ["table", "part"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
-    keys = ["table", "part", "chunk"]
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    keys = ["table", "part", "chunk", "block"]
     found = stored.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_search(nearest + 1, "<f8" if double else "<f4"), "query bigint, id bigint, score double")
 
     place = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
