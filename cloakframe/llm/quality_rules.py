@@ -49,6 +49,24 @@ def _covered(keys: Column, width: int) -> Column:
     return let(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("at")))), count)
 
 
+def _window_hashes(tokens: Column, width: int) -> Column:
+    """A hash of every window of ``width`` words, from those of half as many words."""
+
+    def joined(hashes: Column, by: int) -> Column:
+        """Hashes of pairs of elements that are ``by`` apart."""
+
+        def zipped(x: Column) -> Column:
+            n = F.greatest(F.size(x) - by, F.lit(0))
+            return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
+
+        return let(hashes, zipped)
+
+    out, size = F.transform(tokens, lambda t: F.xxhash64(t)), 1
+    while 2 * size <= width:
+        out, size = joined(out, size), 2 * size
+    return out if size == width else joined(out, width - size)
+
+
 def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     """Words that stand in a window of ``width`` words found twice or more.
 
@@ -56,7 +74,7 @@ def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     hashes); where some hash repeats, the windows themselves are compared.
     """
     last = F.size(tokens) - width + 1
-    hashed = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, width)))
+    hashed = _window_hashes(tokens, width)
     exact = _covered(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, width), " ")), width)
     some = let(hashed, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(last < 2, F.lit(0)).otherwise(F.when(some, exact).otherwise(F.lit(0)))

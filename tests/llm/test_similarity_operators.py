@@ -194,7 +194,7 @@ def test_selective_where_vectors_have_neighbours():
     x = centre[draw.integers(0, 800, 40_000)] + 0.35 * draw.normal(size=(40_000, 48))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     found, visited, _ = share_found(nearest.Index(), x, x[-60:], 20)
-    assert found >= 0.93 and visited < 0.2
+    assert found >= 0.93 and visited < 0.4
 
 
 def test_equal_bad_and_few_vectors(spark):
