@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.operators.models import MOST_VALUES
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema, RawData
 from cloakframe.plans.roles import GROUP, Query, column_roles, product, row
 
@@ -84,6 +85,10 @@ class CountingQueryGenerator:
         self.quasi_identifier, self.random = prepared.quasi_identifier, random.Random(seed)
         numeric = [c for c in schema.integer if c in df.columns]
         sets = [c for c in schema.categorical if c in df.columns]
+        if sets:
+            sizes = df.agg(*[F.count_distinct(c).alias(c) for c in sets]).first()
+            if wide := [c for c in sets if sizes[c] > MOST_VALUES]:
+                raise ValueError(f"queries are drawn from at most {MOST_VALUES} values a column: {', '.join(wide)}")
         found = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in numeric], *[F.array_sort(F.collect_set(c)).alias(c) for c in sets]).first()
         self.domains = {c: (found[c]["lo"], found[c]["hi"]) for c in numeric} | {c: list(found[c]) for c in sets}
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.operators.models import MOST_VALUES, TOLERANCE, KAnonymity, PrivacyModel, TCloseness, counted_test, domain_of, whole_domain
@@ -33,12 +33,36 @@ def normalised_spans(df: DataFrame, features: Sequence[str], group: str, categor
     return by.crossJoin(F.broadcast(whole)).select(group, *[F.coalesce(F.try_divide(f, f"__{f}"), F.lit(0.0)).alias(f) for f in features])
 
 
+def searched_medians(rows: DataFrame, sizes: DataFrame, names: Sequence[str], buckets: int = 1024) -> DataFrame:
+    """(pid, m_name...): exact medians of ``names`` in the partitions of ``sizes`` (pid, rows).
+
+    Each pass counts the values between two ends in ``buckets`` of equal width and
+    goes on between the smallest and the largest value of the bucket that holds
+    the middle, until that is one value.  A pass moves counts only.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(n).alias("v")) for i, n in enumerate(names)]))
+    long = rows.join(sizes.select("pid"), "pid", "left_semi").select("pid", values.alias("x")).select("pid", "x.f", "x.v")
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2))))
+    ends = long.groupBy("pid", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    search = cut(ends.join(sizes.select("pid", middle.alias("rank")), "pid").withColumn("below", F.lit(0).cast("bigint")))
+    while not search.filter("lo < hi").isEmpty():
+        ahead = search.filter("lo < hi")
+        inside = long.join(ahead, ["pid", "f"]).filter("v between lo and hi")
+        at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
+        counted = inside.groupBy("pid", "f", "rank", "below", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        until = F.sum("n").over(Window.partitionBy("pid", "f", "rank").orderBy("at"))
+        found = counted.withColumn("until", F.col("below") + until).filter((F.col("until") > F.col("rank")) & (F.col("until") - F.col("n") <= F.col("rank")))
+        search = cut(search.filter("lo >= hi").unionByName(found.select("pid", "f", "lo", "hi", "rank", (F.col("until") - F.col("n")).alias("below"))))
+    return search.groupBy("pid").agg(*[F.avg(F.when(F.col("f") == i, F.col("lo"))).alias(f"m_{n}") for i, n in enumerate(names)])
+
+
 @dataclass(frozen=True)
 class Mondrian:
     models: tuple[PrivacyModel, ...]
     features: tuple[str, ...]
     categorical: tuple[str, ...] = ()
     local_rows: int = 20_000
+    median_rows: int = 1_000_000  # above it a partition's median is searched, not gathered; the value is the same
 
     @property
     def k(self) -> int:
@@ -84,7 +108,7 @@ class Mondrian:
         done: list[DataFrame] = []
         active, limit = rows, max(self.local_rows, 2 * self.k - 1)
         while True:
-            bounds = cut(self._bounds(active, names))
+            bounds = cut(self._bounds(active, names, scale["rows"] > self.median_rows))
             if bounds.filter(F.col("rows") > limit).isEmpty():
                 local.append(active)
                 break
@@ -101,14 +125,22 @@ class Mondrian:
             out = out.unionByName(d)
         return cut(out)
 
-    def _bounds(self, active: DataFrame, names: Sequence[str]) -> DataFrame:
+    def _bounds(self, active: DataFrame, names: Sequence[str], large: bool) -> DataFrame:
         """(pid, rows, median and width of each number, width and cut of each set of categories).
 
         Categories count by first appearance: a partition's left half are those
         that first stand before the cut.
         """
         numeric = [n for n in names if n[0] == "n"]
-        bounds = active.groupBy("pid").agg(F.count(F.lit(1)).alias("rows"), *[F.median(n).alias(f"m_{n}") for n in numeric], *[(F.max(n) - F.min(n)).alias(f"w_{n}") for n in numeric])
+        simple = [F.count(F.lit(1)).alias("rows"), *[(F.max(n) - F.min(n)).alias(f"w_{n}") for n in numeric]]
+        gathered = [F.median(n).alias(f"m_{n}") for n in numeric]
+        if not large or not numeric:
+            bounds = active.groupBy("pid").agg(*simple, *gathered)
+        else:
+            sizes = cut(active.groupBy("pid").agg(*simple))
+            many = sizes.filter(F.col("rows") > self.median_rows)
+            few = active.join(many, "pid", "left_anti").groupBy("pid").agg(*gathered)
+            bounds = sizes.join(few.unionByName(searched_medians(active, many, numeric)), "pid")
         for c in (n for n in names if n[0] == "c"):
             seen = active.groupBy("pid", c).agg(F.min(RID).alias("first"))
             values = seen.groupBy("pid").agg(F.count(F.lit(1)).cast("double").alias(f"w_{c}"), F.array_sort(F.collect_list("first")).alias("firsts"))

@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.plans.cut import cut
-from cloakframe.plans.roles import GROUP
+from cloakframe.plans.roles import GROUP, rank_within
 
 
 def buckets_for(counts: dict[str, int], domain: Sequence[str], m: int) -> list[tuple[list[tuple[str, int]], int]]:
@@ -101,13 +101,13 @@ class MInvariance:
         need = stay.groupBy("sig", "s").count().groupBy("sig").agg(F.max("count").alias("rows")).withColumn("s", F.explode(values))
         have = stay.groupBy("sig", "s").agg(F.count(F.lit(1)).alias("n"))
         gaps = cut(need.join(have, ["sig", "s"], "left").select("sig", "s", "rows", F.coalesce("n", F.lit(0)).alias("n")))
-        by_value = Window.partitionBy("s").orderBy("sig")
-        wanted = gaps.withColumn("gap", F.col("rows") - F.col("n")).filter("gap > 0").withColumn("to", F.sum("gap").over(by_value)).withColumn("from", F.col("to") - F.col("gap"))
-        ranked = cut(new.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("q")) - 1))
-        a, b = ranked.alias("a"), wanted.alias("b")
-        filled = cut(a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.r") >= F.col("b.from")) & (F.col("a.r") < F.col("b.to"))).select("b.sig", "a.id", "a.s", "a.q"))
+        # every row that is wanted is a place of its own: places and new rows meet by value and rank
+        wanted = gaps.withColumn("gap", F.col("rows") - F.col("n")).filter("gap > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), "gap")))
+        places = rank_within(wanted.select("sig", "s", "i"), ["s"], ["sig", "i"], "r")
+        ranked = cut(rank_within(new, ["s"], ["q"], "r"))
+        filled = cut(ranked.join(places.select("sig", "s", "r"), ["s", "r"]).select("sig", "id", "s", "q"))
 
-        rest = cut(ranked.join(filled.select("id"), "id", "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("q")) - 1).select("id", "s", "q", "r"))
+        rest = cut(rank_within(ranked.join(filled.select("id"), "id", "left_anti").drop("r"), ["s"], ["q"], "r").select("id", "s", "q", "r"))
         counts = {r["s"]: r["count"] for r in rest.groupBy("s").count().collect()}
         known = [r["s"] for r in rows.select("s").union(old.select("s")).distinct().collect()]
         plan, used = [], dict.fromkeys(counts, 0)
@@ -117,11 +117,12 @@ class MInvariance:
                 plan.append((f"new{n}", v, used.get(v, 0), used.get(v, 0) + real, size))
                 used[v] = used.get(v, 0) + real
         table = spark.createDataFrame(plan, "sig string, s string, `from` bigint, `to` bigint, rows bigint")
-        c, d = rest.alias("c"), table.alias("d")
+        # a few buckets: each row takes the one whose ranks of its value hold it
+        c, d = rest.alias("c"), F.broadcast(table).alias("d")
         placed = c.join(d, (F.col("c.s") == F.col("d.s")) & (F.col("c.r") >= F.col("d.from")) & (F.col("c.r") < F.col("d.to"))).select("d.sig", "c.id", "c.s", "c.q")
 
-        together = stay.unionByName(filled).unionByName(placed).select("sig", "id", "s", F.struct("q").alias("w"))
-        every = cut(together.withColumn("j", F.row_number().over(Window.partitionBy("sig", "s").orderBy("w")) - 1).select("sig", "id", "s", "j"))
+        together = stay.unionByName(filled).unionByName(placed).select("sig", "id", "s", "q")
+        every = cut(rank_within(together, ["sig", "s"], ["q"], "j").select("sig", "id", "s", "j"))
         group = F.concat_ws("#", "sig", F.col("j").cast("string"))
         sizes = gaps.select("sig", "s", "rows").unionByName(table.select("sig", "s", "rows"))
         slots = sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))

@@ -62,6 +62,17 @@ def number_rows(df: DataFrame, *order: str | Column, name: str = RID, first: int
     return placed.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, number).drop("__m", "__p", "__before")
 
 
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: numbers from 0 within the rows of equal ``keys`` (not null), in the given order.
+
+    No task holds all rows of a key: the whole table is numbered in range
+    partitions, and each key's first number taken off.
+    """
+    numbered = number_rows(df, *keys, *order, name="__number")
+    first = numbered.groupBy(*keys).agg(F.min("__number").alias("__first"))
+    return numbered.join(first, list(keys)).withColumn(name, F.col("__number") - F.col("__first")).drop("__number", "__first")
+
+
 def with_row_id(df: DataFrame, key: str | Sequence[str] | None = None) -> DataFrame:
     """Add ``_rid``: a unique key of the table, or a number in the order of ``key`` columns.
 

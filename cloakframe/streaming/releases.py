@@ -11,7 +11,16 @@ from cloakframe.operators.attackers import BaseAttacker
 
 
 def observe_stream(stream: DataFrame, attacker: BaseAttacker, present_columns: Sequence[str], present_targets: Callable[[int], DataFrame | Sequence[int]], checkpoint: str) -> StreamingQuery:
-    """Feed every non-empty micro-batch to ``attacker.observe`` in order, each once."""
+    """Feed every non-empty micro-batch to ``attacker.observe`` in order, each once.
+
+    What the attacker knows lives in the session, so a checkpoint that has taken
+    in releases already is an error: the attacker would miss them.  Start again
+    with a new attacker and a new checkpoint.
+    """
+    spark = stream.sparkSession
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    if commits.getFileSystem(spark._jsc.hadoopConfiguration()).exists(commits):
+        raise ValueError(f"{checkpoint} has releases that this attacker has not seen")
     seen: set[int] = set()
 
     def take(batch: DataFrame, number: int) -> None:

@@ -152,6 +152,8 @@ def test_releases_from_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(RELEASE).parquet(str(tmp_path / "in"))
     observe_stream(stream, attacker, ["QI1", "QI2", "S"], lambda n: [0, 1], str(tmp_path / "state")).awaitTermination()
     assert attacker.predict(0, "S") == {1: 1.0, 2: 1.0}
+    with pytest.raises(ValueError, match="has not seen"):
+        observe_stream(stream, IntersectionAttacker(targets(spark), ["QI1", "QI2"], "S", MR), ["QI1"], lambda n: [0], str(tmp_path / "state"))
 
 
 def test_counting_queries(spark):

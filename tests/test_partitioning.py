@@ -6,7 +6,7 @@ from cloakframe.operators.anonymiser import Anonymiser
 from cloakframe.operators.clustering import Clustering, Points, fmdav, mdav
 from cloakframe.operators.images import KSame
 from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness, check
-from cloakframe.operators.mondrian import Mondrian, numbered
+from cloakframe.operators.mondrian import Mondrian, numbered, searched_medians
 from cloakframe.operators.republication import MInvariance
 from cloakframe.plans.roles import GROUP, RID, with_row_id
 
@@ -36,6 +36,19 @@ def test_mondrian_distributed_equals_local(spark, models):
     assert len(groups(whole)) > 3
 
 
+def test_searched_medians(spark):
+    draw = np.random.default_rng(8)
+    rows = [("odd", float(x), 1.0) for x in draw.normal(size=301)] + [("even", float(x), float(x) ** 9) for x in draw.integers(-3, 4, 200)] + [("one", 5.0, -1e300), ("wide", -1e300, 2.0), ("wide", 1e300, 2.0), ("wide", 1e-300, 3.0)]
+    df = spark.createDataFrame(rows, "pid string, n0 double, n1 double")
+    sizes = df.groupBy("pid").agg(F.count(F.lit(1)).alias("rows"))
+    got = {r["pid"]: (r["m_n0"], r["m_n1"]) for r in searched_medians(df, sizes, ["n0", "n1"], buckets=4).collect()}
+    for p in ("odd", "even", "one", "wide"):
+        assert got[p] == (np.median([x for q, x, _ in rows if q == p]), np.median([y for q, _, y in rows if q == p]))
+    people_ = people(spark, 300)
+    plain, searched = (groups(Mondrian((KAnonymity(40),), ("age", "w"), local_rows=0, median_rows=n).partition(people_)) for n in (10**6, 90))
+    assert plain == searched
+
+
 def test_mondrian_rejects_null_numbers(spark):
     df = spark.createDataFrame([(0, None), (1, 2)], f"{RID} bigint, a int")
     with pytest.raises(ValueError, match="null"):
