@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import arrow_rows, checkpointed, small
+from cloakframe.llm.common import arrow_rows, checkpointed, quoted, small, unused
 from cloakframe.llm.graph import components
 
 FILTER_BUCKETS = 1 << 20
@@ -477,8 +477,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """
     found = near_duplicates(df, id_col, text_col, forest)
     gone = checkpointed(found.filter("not kept").select(F.col("id").alias("__gone")).distinct())
-    quoted = [f"`{c}`" for c in df.columns]
+    names = quoted(df)
     named = df.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*quoted), F.hash(*quoted)))
-    one = named.withColumn("__place", place).filter("__place = 1").select(*quoted)
+    at = unused(df, "__place")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*names), F.hash(*names)))
+    one = named.withColumn(at, place).filter(F.col(at) == 1).select(*names)
     return one.unionByName(df.filter(F.col(id_col).isNull()))

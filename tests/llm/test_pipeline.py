@@ -2,6 +2,7 @@ import importlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = importlib.import_module("corpus_pipeline")
@@ -52,3 +53,30 @@ def test_stages(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, table(spark, tmp_path, [])).count() == 0
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Different texts under one id, very long texts, columns whose names operators use or that hold signs."""
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(900)]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    rows = [(i, text(80), "en", f"s{i % 2}", 0) for i in range(30)] + [(7, text(90), "en", "s0", 0), (None, text(70), None, None, None), (50, text(60_000) + " token = 'abcdef0123456789'", "en", "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in ("a.b", "q`r", "__key", "__place", "__row", "votes", "spans", "row", "label", "id"):
+        df = df.withColumn(name, F.lit(name))
+    found = []
+    for parts in (1, 5):
+        at = df.repartition(parts)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, "")
+            assert out.columns == df.columns
+            path = str(tmp_path / f"{name}{parts}")
+            out.write.parquet(path)
+            at = spark.read.parquet(path)
+        kept = at.collect()
+        assert all(r[c] == c for r in kept for c in df.columns[5:])
+        assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, [*range(30), None, 50]))
+        assert [r["text"] for r in kept if r["doc_id"] == 50][0].endswith("[SECRET]'")
+        found.append({r["doc_id"]: r["text"] for r in kept})
+        assert corpus_pipeline.STAGES[-1][1](spark, at, "").select("doc_id").distinct().count() == 32
+    assert found[0] == found[1]
