@@ -8,6 +8,7 @@ vector, never a matrix.  Ties go to the row with the smaller ``_rid``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,6 +120,16 @@ def random_choice(points: Points, k: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def blocks_of(df: DataFrame, features: Sequence[str], k: int, block_rows: int, categorical: Sequence[str] = ()) -> DataFrame:
+    """(_rid, block): blocks of about ``block_rows`` near rows by median splits.
+
+    Rows that no median can part are dealt by a hash of their number.
+    """
+    coarse = Mondrian((KAnonymity(max(k, block_rows // 4)),), tuple(features), tuple(categorical)).partition(df)
+    parts = coarse.groupBy(GROUP).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    return coarse.join(parts, GROUP).select(RID, F.concat_ws("-", GROUP, F.pmod(F.xxhash64(RID), "parts").cast("string")).alias("block"))
+
+
 @dataclass(frozen=True)
 class Clustering:
     """``algorithm``: mdav, fmdav or random."""
@@ -143,11 +154,7 @@ class Clustering:
         if block is None:
             block = "__block"
             if df.limit(self.block_rows + 1).count() > self.block_rows:
-                coarse = Mondrian((KAnonymity(max(self.k, self.block_rows // 4)),), self.features, self.categorical).partition(df)
-                parts = coarse.groupBy(GROUP).agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("parts"))
-                # rows that no median can part are dealt by a hash of their number
-                piece = F.concat_ws("-", GROUP, F.pmod(F.xxhash64(RID), "parts").cast("string"))
-                df = df.join(coarse.join(parts, GROUP).select(RID, piece.alias(block)), RID)
+                df = df.join(blocks_of(df, self.features, self.k, self.block_rows, self.categorical).withColumnRenamed("block", block), RID)
             else:
                 df = df.withColumn(block, F.lit("all"))
         sets = [f for f in self.features if f in self.categorical or is_categorical(df, f)]

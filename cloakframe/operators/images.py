@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators.clustering import Points, mdav, random_choice
+from cloakframe.operators.clustering import Points, blocks_of, mdav, random_choice
+from cloakframe.plans.roles import RID
 
 EMPTY = 1e-9
 
@@ -28,17 +29,26 @@ class KSame:
     algorithm: str = "random"
     n_components: int | None = None
     seed: int = 0
+    block_rows: int = 20_000
 
     def anonymise(self, images: DataFrame, block: str | None = None) -> DataFrame:
         """(image_id, cluster, pixels) of ``images`` (image_id, pixels array<double>).
 
-        Each block is decomposed and clustered by itself; without one the whole
-        set is one block.
+        Each block is decomposed and clustered by itself.  Without a block column a
+        set of up to ``block_rows`` images is one block; a larger one is first cut by
+        median splits of the pixels that vary most, an approximation of
+        clustering it whole.
         """
         if self.variant not in ("pixel", "eigen") or self.algorithm not in ("random", "mdav"):
             raise ValueError("variant is pixel or eigen, algorithm random or mdav")
         if self.k < 1:
             raise ValueError("k is at least 1")
+        if block is None and images.limit(self.block_rows + 1).count() > self.block_rows:
+            spread = images.select(F.posexplode("pixels").alias("at", "v")).groupBy("at").agg(F.var_samp("v").alias("spread"))
+            widest = [r["at"] for r in spread.orderBy(F.desc("spread"), "at").limit(4).collect()]
+            seen = images.select(F.col("image_id").cast("bigint").alias(RID), *[F.get("pixels", F.lit(n)).cast("double").alias(f"p{n}") for n in widest])
+            found = blocks_of(seen, [f"p{n}" for n in widest], self.k, self.block_rows)
+            images, block = images.join(found, F.col("image_id").cast("bigint") == F.col(RID)).drop(RID), "block"
         me = self
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:

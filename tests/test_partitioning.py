@@ -107,6 +107,16 @@ def test_blocks_of_a_large_table(spark):
     assert sum(map(len, found)) == 400
 
 
+def test_k_same_of_many_images(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 6))
+    images = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "image_id bigint, pixels array<double>")
+    got = KSame(5, "pixel", "mdav", block_rows=100).anonymise(images).toPandas()
+    assert sorted(got["image_id"]) == list(range(300)) and got["cluster"].str.split(":").str[0].nunique() > 2
+    for _, g in got.groupby("cluster"):
+        assert len(g) >= 5 and np.allclose(np.array(g["pixels"].tolist()), x[g["image_id"]].mean(axis=0))
+
+
 def test_k_same(spark):
     images = spark.createDataFrame([(0, [0.0, 1.0, 2.0]), (1, [2.0, 3.0, 4.0]), (2, [90.0, 80.0, 70.0]), (3, [92.0, 82.0, 72.0])], "image_id bigint, pixels array<double>")
     for variant in ("pixel", "eigen"):
