@@ -388,6 +388,29 @@ def ksame_pixel(spark, sf_dir):
     return sizes.agg(F.sum("n").alias("n_images"), F.round(F.sum("t"), 5).alias("total"), (F.min("n") >= 5).alias("k_ok"))
 
 
+_MEANS = (
+    "WITH p AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings), m AS (SELECT label, place, avg(CAST(v AS DOUBLE)) AS v FROM p GROUP BY label, place) "
+    "SELECT vec_id AS image_id, place, round(m.v, 6) AS pixel FROM p JOIN m USING (label, place)"
+)
+
+
+def _one_cluster_a_label(spark, sf_dir, variant: str) -> DataFrame:
+    """With k beyond half of every block all images of a label are one cluster, so each becomes the label's mean."""
+    images = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"), "label")
+    done = KSame(1_000_000, variant, "mdav").anonymise(images, "label")
+    return done.select("image_id", F.posexplode("pixels").alias("place", "pixel")).select("image_id", F.col("place").cast("bigint"), F.round("pixel", 6).alias("pixel"))
+
+
+@query(_MEANS)
+def ksame_pixel_means(spark, sf_dir):
+    return _one_cluster_a_label(spark, sf_dir, "pixel")
+
+
+@query(_MEANS)
+def ksame_eigen_means(spark, sf_dir):
+    return _one_cluster_a_label(spark, sf_dir, "eigen")
+
+
 @query("SELECT count(*) AS n_images, CAST(0 AS BIGINT) AS different FROM embeddings")
 def ksame_eigen(spark, sf_dir):
     images = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"), "label")
