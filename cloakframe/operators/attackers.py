@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sets import intervals_meet
 from cloakframe.operators.cover import cover_rows
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema
 from cloakframe.plans.cut import cut
@@ -26,8 +27,8 @@ def split_columns(known: Sequence[str], released: Sequence[str]) -> tuple[list[s
     return [c for c in known if c not in released], [c for c in released if c in known], [c for c in released if c not in known]
 
 
-def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], meets: Column) -> DataFrame:
-    """Pairs whose intervals meet, found in cells of doubling width.
+def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], others: Column) -> DataFrame:
+    """Pairs whose intervals meet, found in cells of doubling width, and for which ``others`` holds.
 
     An interval lies in one or two cells of the first level whose cells are as
     wide as it is.  Two intervals meet at the wider one's level, in the later of
@@ -44,13 +45,16 @@ def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends
     top = (int(min(float(found["widest"] or 0), float(high) - float(low)) / unit) + 2).bit_length()
 
     def placed(df: DataFrame, x: tuple[Column, Column], name: str) -> DataFrame:
-        at = df.withColumn(f"{name}_lo", cell(F.least(*x))).withColumn(f"{name}_hi", cell(F.greatest(*x)))
+        at = df.withColumn(f"{name}_from", x[0]).withColumn(f"{name}_to", x[1])  # parsed once where they are text
+        ends = F.col(f"{name}_from"), F.col(f"{name}_to")
+        at = at.withColumn(f"{name}_lo", cell(F.least(*ends))).withColumn(f"{name}_hi", cell(F.greatest(*ends)))
         own = F.length(F.regexp_replace(F.bin(F.col(f"{name}_hi") - F.col(f"{name}_lo")), "^0$", ""))  # bits of the width
         at = at.withColumn(f"{name}_own", own).withColumn("level", F.explode(F.sequence(own, F.greatest(own, F.lit(top)))))
         first, last = (F.expr(f"shiftright({name}_{e}, level)") for e in ("lo", "hi"))
         return at.withColumn(f"{name}_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
 
     joined = placed(k, ends_k, "k").join(placed(g, ends_g, "g"), ["level", "cell"])
+    meets = intervals_meet(*(F.col(f"{x}_{e}") for x in ("k", "g") for e in ("from", "to"))) & others
     once = (F.col("level") == F.greatest("k_own", "g_own")) & (F.col("cell") == F.greatest("k_first", "g_first"))
     return joined.filter(once & meets).select("k", "g", "__key")
 
@@ -80,7 +84,8 @@ def overlap_join(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSc
     k_of, g_of = (lambda c: F.col("k")[c]), (lambda c: F.col("g")[c])
     meets = schema.overlaps(k_of, g_of, on)
     if interval := next((c for c in on if schema.bounds(k_of, c)), None):
-        pairs = _by_interval(k, g, schema.bounds(k_of, interval), schema.bounds(g_of, interval), meets)
+        others = schema.overlaps(k_of, g_of, [c for c in on if c != interval])
+        pairs = _by_interval(k, g, schema.bounds(k_of, interval), schema.bounds(g_of, interval), others)
     elif values := next((c for c in on if schema.keys(k_of, c)), None):
         pairs = _by_value(k, g, schema.keys(k_of, values)[0], schema.keys(g_of, values)[1], meets)
     else:
