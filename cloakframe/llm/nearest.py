@@ -62,8 +62,8 @@ class Index:
     sample_queries: int = 96
     projections: tuple[int, ...] = (8, 12, 16)
     widths: tuple[float, ...] = (1.3, 1.9, 2.7)  # times the distance of the farthest neighbour asked for
-    tables: int = 10  # at most
-    probes: tuple[int, ...] = (16, 64, 128, 256, 512)
+    tables: int = 4  # at most
+    probes: tuple[int, ...] = (32, 128, 256, 512)
     group: int = 16_384
     most_in_bucket: int = 16_384
     query_block: int = 16_384
