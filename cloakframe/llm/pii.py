@@ -287,7 +287,8 @@ def redrawn(found: DataFrame, key: str, kinds: tuple[Kind, ...] = KINDS) -> Data
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """(id, text, entities): texts with surrogates; entities as found in the original."""
-    rows = with_entities(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("original")), "original", "found", kinds)
+    # written with what was found, so that texts are searched once
+    rows = checkpointed(with_entities(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("original")), "original", "found", kinds))
     units = F.flatten(F.transform("found", lambda e: _units(e, kinds)))
     again = checkpointed(redrawn(rows.select(F.explode(units).alias("u")).select("u.*"), key, kinds))
     if again.isEmpty():
