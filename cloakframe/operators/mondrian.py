@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cloakframe.operators.models import MOST_VALUES, TOLERANCE, KAnonymity, PrivacyModel, TCloseness, counted_test, domain_of, whole_domain
@@ -108,8 +108,10 @@ class Mondrian:
         done: list[DataFrame] = []
         active, limit = rows, max(self.local_rows, 2 * self.k - 1)
         while True:
-            bounds = cut(self._bounds(active, names, scale["rows"] > self.median_rows))
-            if bounds.filter(F.col("rows") > limit).isEmpty():
+            largest = Observation()
+            bounds = self._bounds(active, names, scale["rows"] > self.median_rows)
+            bounds = cut(bounds.observe(largest, F.max("rows").alias("rows")))
+            if (largest.get.get("rows") or 0) <= limit:
                 local.append(active)
                 break
             split = cut(self._split(active, bounds, names, scales, domain, shares, limit))
