@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the text form of an interval, "lo-hi" or "v", either part may be negative.
-INTERVAL = r"^(-?\d+)(?:-(-?\d+))?$"
+INTERVAL = r"^-?\d+(?:--?\d+)?$"
 
 
 def intervals_meet(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
@@ -26,10 +26,10 @@ def parse_interval(text: Column) -> tuple[Column, Column]:
     """Both ends of an interval's text form; other text is an error."""
     fits = text.rlike(INTERVAL)
     wrong = F.raise_error(F.concat(F.lit("not an interval: "), text)).cast("bigint")
-    low = F.regexp_extract(text, INTERVAL, 1)
-    high = F.regexp_extract(text, INTERVAL, 2)
-    end = F.when(high == "", low).otherwise(high)
-    return tuple(F.when(text.isNull(), F.lit(None).cast("bigint")).when(fits, x.cast("bigint")).otherwise(wrong) for x in (low, end))
+    dash = F.locate("-", text, 2)  # a sign may stand before it
+    low = F.when(dash == 0, text).otherwise(F.substr(text, F.lit(1), dash - 1))
+    high = F.when(dash == 0, text).otherwise(F.substr(text, dash + 1))
+    return tuple(F.when(text.isNull(), F.lit(None).cast("bigint")).when(fits, x.cast("bigint")).otherwise(wrong) for x in (low, high))
 
 
 def parse_set(text: Column) -> Column:
