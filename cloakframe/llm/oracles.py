@@ -68,4 +68,14 @@ _NEAR = (
     "SELECT n.doc_id, n.n AS n_shingles, m.root AS component_id, m.root = n.doc_id AS kept FROM n JOIN (SELECT doc_id, min(root) AS root FROM t GROUP BY doc_id) m USING (doc_id)"
 )
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _secrets(), "op10_minhash_dedup": _NEAR}
+_MIDDLE = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256(concat('1:', doc_id)) AS h FROM documents), "
+    "r AS (SELECT *, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS h4 FROM d), "
+    "c AS (SELECT *, least(h4[1] % (n + 1), h4[2] % (n + 1)) AS a, greatest(h4[1] % (n + 1), h4[2] % (n + 1)) AS b, "
+    "CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h4[3] % 100 >= 90 THEN 'plain' WHEN h4[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r), "
+    "p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c) "
+    "SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars, "
+    "sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"
+)
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _secrets(), "op10_minhash_dedup": _NEAR, "op13_fill_middle": _MIDDLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import language_id, mixing, near_dedup, nearest, packing, pii, quality_rules, secret_scan, sharding, token_count
+from cloakframe.llm import alignment, bpe, fill_middle, language_id, mixing, near_dedup, nearest, packing, pii, quality_rules, secret_scan, sharding, token_count
 from cloakframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,30 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pair = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    done, _ = alignment.align(table(spark, sf_dir, "documents"), pair)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return done.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return done.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -84,4 +108,7 @@ QUERIES: dict[str, Query] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_token_count": op9_token_count,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_bpe": op11_bpe,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_fill_middle": op13_fill_middle,
 }
