@@ -10,11 +10,11 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.sets import intervals_meet
 from cloakframe.operators.cover import cover_rows
+from cloakframe.operators.overlap import of_region, overlap_join, region_pairs, regions, spread
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema
 from cloakframe.plans.cut import cut
 from cloakframe.plans.roles import number_rows, of
@@ -27,73 +27,6 @@ def split_columns(known: Sequence[str], released: Sequence[str]) -> tuple[list[s
     return [c for c in known if c not in released], [c for c in released if c in known], [c for c in released if c not in known]
 
 
-def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], others: Column) -> DataFrame:
-    """Pairs whose intervals meet, found in cells of doubling width, and for which ``others`` holds.
-
-    An interval lies in one or two cells of the first level whose cells are as
-    wide as it is.  Two intervals meet at the wider one's level, in the later of
-    their first cells there, so near ones are compared only, however wide some are.
-    """
-    ends = lambda df, x: df.select(x[0].alias("lo"), x[1].alias("hi"))
-    every = ends(g, ends_g).withColumn("g", F.lit(True)).unionByName(ends(k, ends_k).withColumn("g", F.lit(False)))
-    of_g = lambda f, c: f(F.when(F.col("g"), F.col(c)))
-    whole = every.schema["lo"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    found = every.agg(of_g(F.min, "lo").alias("low"), of_g(F.max, "hi").alias("high"), F.max(F.col("hi") - F.col("lo")).alias("widest")).first()
-    low, high = found["low"] or 0, found["high"] or 0
-    unit = 1 if whole else max((float(high) - float(low)) / (1 << 20), 1e-300)
-    cell = lambda x: F.floor((F.least(F.greatest(x, F.lit(low)), F.lit(high)) - F.lit(low)) / F.lit(unit)).cast("bigint")
-    top = (int(min(float(found["widest"] or 0), float(high) - float(low)) / unit) + 2).bit_length()
-
-    def placed(df: DataFrame, x: tuple[Column, Column], name: str) -> DataFrame:
-        at = df.withColumn(f"{name}_from", x[0]).withColumn(f"{name}_to", x[1])  # parsed once where they are text
-        ends = F.col(f"{name}_from"), F.col(f"{name}_to")
-        at = at.withColumn(f"{name}_lo", cell(F.least(*ends))).withColumn(f"{name}_hi", cell(F.greatest(*ends)))
-        own = F.length(F.regexp_replace(F.bin(F.col(f"{name}_hi") - F.col(f"{name}_lo")), "^0$", ""))  # bits of the width
-        at = at.withColumn(f"{name}_own", own).withColumn("level", F.explode(F.sequence(own, F.greatest(own, F.lit(top)))))
-        first, last = (F.expr(f"shiftright({name}_{e}, level)") for e in ("lo", "hi"))
-        return at.withColumn(f"{name}_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
-
-    joined = placed(k, ends_k, "k").join(placed(g, ends_g, "g"), ["level", "cell"])
-    meets = intervals_meet(*(F.col(f"{x}_{e}") for x in ("k", "g") for e in ("from", "to"))) & others
-    once = (F.col("level") == F.greatest("k_own", "g_own")) & (F.col("cell") == F.greatest("k_first", "g_first"))
-    return joined.filter(once & meets).select("k", "g", "__key")
-
-
-def _by_value(k: DataFrame, g: DataFrame, wanted: Column, held: Column, meets: Column) -> DataFrame:
-    """Pairs where an array of one side shares a value with an array of the other, once each."""
-    ka = k.withColumn("__a", F.array_distinct(wanted)).withColumn("__v", F.explode("__a"))
-    gb = g.withColumn("__b", F.array_distinct(held)).withColumn("__w", F.explode("__b"))
-    first = F.array_min(F.array_intersect("__a", "__b"))
-    return ka.join(gb, F.col("__v") == F.col("__w")).filter((F.col("__v") == first) & meets).select("k", "g", "__key")
-
-
-def overlap_join(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSchema, on: Sequence[str]) -> DataFrame:
-    """Pairs (k struct, r struct) that overlap on ``on``.
-
-    Regions are a release's distinct values in those columns.  Records and
-    regions meet by cells of an interval, by shared values of a set, or by equal
-    values, whichever the schema has for these columns; nothing is compared with
-    everything unless ``on`` is empty and all records overlap.
-    """
-    physical = [c for n in on for c in schema.physical(n)]
-    if not physical:
-        return knowledge.select(F.struct(*knowledge.columns).alias("k")).crossJoin(release.select(F.struct(*release.columns).alias("r")))
-    regions = release.select(*physical).distinct().withColumn("__key", F.xxhash64(*physical))
-    k = knowledge.select(F.struct(*knowledge.columns).alias("k"))
-    g = regions.select(F.struct(*physical).alias("g"), "__key")
-    k_of, g_of = (lambda c: F.col("k")[c]), (lambda c: F.col("g")[c])
-    meets = schema.overlaps(k_of, g_of, on)
-    if interval := next((c for c in on if schema.bounds(k_of, c)), None):
-        others = schema.overlaps(k_of, g_of, [c for c in on if c != interval])
-        pairs = _by_interval(k, g, schema.bounds(k_of, interval), schema.bounds(g_of, interval), others)
-    elif values := next((c for c in on if schema.keys(k_of, c)), None):
-        pairs = _by_value(k, g, schema.keys(k_of, values)[0], schema.keys(g_of, values)[1], meets)
-    else:
-        pairs = k.join(g, meets)  # equalities only
-    rows = release.select(F.xxhash64(*physical).alias("__rk"), F.struct(*physical).alias("__g"), F.struct(*release.columns).alias("r"))
-    return pairs.join(rows, (F.col("__key") == F.col("__rk")) & F.col("g").eqNullSafe(F.col("__g"))).select("k", "r")
-
-
 class BaseAttacker(ABC):
     @abstractmethod
     def observe(self, release: DataFrame, present_columns: Sequence[str], present_targets: DataFrame | Sequence[int]) -> None:
@@ -128,8 +61,7 @@ class IntersectionAttacker(BaseAttacker):
     def observe(self, release, present_columns=(), present_targets=()):
         ids = self._ids(self.knowledge, present_targets)
         on = [c for c in self.quasi_identifier if not present_columns or c in present_columns]
-        pairs = overlap_join(self.knowledge.join(ids, KEY, "left_semi"), release, self.schema, on)
-        now = pairs.select(F.col("k")[KEY].alias(KEY), F.col("r")[self.sensitive].alias("value")).distinct()
+        now = self._values(self.knowledge.join(ids, KEY, "left_semi"), release, on)
         if self.possible is None:
             self.possible = cut(now)
             self.seen = cut(ids)
@@ -139,6 +71,16 @@ class IntersectionAttacker(BaseAttacker):
         self.possible = cut(kept)
         self.seen = cut(self.seen.union(ids).distinct())
 
+    def _values(self, known: DataFrame, release: DataFrame, on: Sequence[str]) -> DataFrame:
+        """(ID, value): sensitive values of the records that overlap; found for regions, then given to their targets."""
+        physical = [c for n in on for c in self.schema.physical(n)]
+        if not physical:
+            return known.select(KEY).distinct().crossJoin(release.select(F.col(self.sensitive).alias("value")).distinct())
+        pairs = region_pairs(regions(known, physical, "k"), regions(release, physical, "g"), self.schema, on)
+        held = of_region(release.select(*physical, self.sensitive).distinct(), physical, "g", "r")
+        of_k = spread(pairs, held, "g").select("k", "k_id", F.col("r")[self.sensitive].alias("value")).distinct()
+        return spread(of_k, of_region(known, physical, "k", "row"), "k").select(F.col("row")[KEY].alias(KEY), "value").distinct()
+
     def predict_all(self, column):
         if column == self.sensitive:
             if self.possible is None:

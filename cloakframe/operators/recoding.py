@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sets import intervals_meet
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema
 from cloakframe.plans.roles import GROUP, RID, both, product, within
 
@@ -73,6 +74,24 @@ class Taxonomy:
         walk(self, ())
         return out
 
+    def places(self) -> dict[str, tuple[int, int]]:
+        """First and last number of every node and raw value in a walk from the root down."""
+        out: dict[str, tuple[int, int]] = {}
+        at = 0
+
+        def walk(node: Taxonomy) -> None:
+            nonlocal at
+            first, at = at, at + 1
+            for v in node.raw:
+                out[str(v)] = (at, at)
+                at += 1
+            for child in node.children:
+                walk(child)
+            out[str(node.value)] = (first, at - 1)
+
+        walk(self)
+        return out
+
     def leaves(self) -> dict[str, list[str]]:
         """Raw values below every node, and below each raw value itself."""
         out = {str(n.value): [str(v) for v in n.raw_values()] for n in self.nodes()}
@@ -177,29 +196,24 @@ class GlobalRecoding(GeneralisedSchema):
         top = lambda c: F.array_min(F.transform(F.filter(f"__used_{c}", lambda p: prefix_of(p, F.col(f"__{c}"))), lambda p: F.struct(F.size(p).alias("n"), F.element_at(p, -1).alias("v"))))["v"]
         return placed.select(*[top(c).alias(c) for c in columns], *self.unaltered, COUNT)
 
-    def _on_path(self, column: str, a: Column, b: Column) -> Column:
-        pa, pb = self._path(column, a), self._path(column, b)
-        return F.coalesce(prefix_of(pa, pb) | prefix_of(pb, pa), F.lit(False))
-
-    def keys(self, a, column):
-        """All values on the way up and below; the value itself."""
-        if column not in self.taxonomies:
-            return None
-        paths = self.taxonomies[column].paths()
-        below: dict[str, list[str]] = {v: [] for v in paths}
-        for value, path in paths.items():
-            for above in path[:-1]:
-                below[above].append(value)
-        return _lookup({v: _strings([*p, *below[v]]) for v, p in paths.items()}, a(column)), F.array(a(column).cast("string"))
+    def _place(self, column: str, value: Column) -> tuple[Column, Column]:
+        """A node's first and last place in a walk over the tree; those of nodes below lie within."""
+        places = self.taxonomies[column].places()
+        return tuple(_lookup({v: F.lit(p[i]) for v, p in places.items()}, value) for i in (0, 1))
+
+    def bounds(self, a, column):
+        return self._place(column, a(column)) if column in self.taxonomies else None
 
     def overlaps(self, a, b, on):
-        return both(self._on_path(c, a(c), b(c)) if c in self.taxonomies else a(c).eqNullSafe(b(c)) for c in on)
+        """One lies on the other's path where their places meet: places are within each other or apart."""
+        meet = lambda c: F.coalesce(intervals_meet(*self._place(c, a(c)), *self._place(c, b(c))), F.lit(False))
+        return both(meet(c) if c in self.taxonomies else a(c).eqNullSafe(b(c)) for c in on)
 
     def meets(self, a, query):
         return both(F.coalesce(self._card(c, a(c), r) > 0, F.lit(False)) if c in self.taxonomies else within(a(c), r) for c, r in query.items())
 
     def shared(self, a, b, on):
-        deeper = lambda c: F.when(F.size(self._path(c, a(c))) >= F.size(self._path(c, b(c))), a(c)).otherwise(b(c))
+        deeper = lambda c: F.when(self._place(c, a(c))[0] >= self._place(c, b(c))[0], a(c)).otherwise(b(c))
         return {c: deeper(c) if c in self.taxonomies else a(c) for c in on}
 
     def values_for(self, a, column):

@@ -77,6 +77,10 @@ class GeneralisedSchema(ABC):
         """Ends of a record's interval in a column; records overlap there where intervals meet."""
         return None
 
+    def is_exact(self, column: str) -> bool:
+        """Whether records overlap in a column only where they are equal, null with null."""
+        return column in self.unaltered
+
     def keys(self, a: Record, column: str) -> tuple[Column, Column] | None:
         """Two arrays: records overlap in a column where the first of one shares a value with the second of the other."""
         return None
@@ -389,6 +393,9 @@ class RawData(GeneralisedSchema):
         """Partitions say nothing here: the whole table is one."""
         return df.groupBy(*self.categorical, *self.integer).agg(F.count(F.lit(1)).alias(COUNT))
 
+    def is_exact(self, column):
+        return True
+
     def overlaps(self, a, b, on):
         return _unaltered_equal(a, b, on)
 

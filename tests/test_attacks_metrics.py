@@ -109,11 +109,11 @@ def test_finalise_uses_counts(spark):
 
 def plainly(know, rel, schema, on):
     meets = schema.overlaps(of("a"), of("b"), on)
-    return sorted((r["i"], r["j"]) for r in know.alias("a").join(rel.alias("b"), meets).select("a.ID", "b.S").toDF("i", "j").collect())
+    return sorted(((r["i"], r["j"]) for r in know.alias("a").join(rel.alias("b"), meets).select("a.ID", "b.S").toDF("i", "j").collect()), key=str)
 
 
 def paired(know, rel, schema, on):
-    return sorted((r["k"]["ID"], r["r"]["S"]) for r in overlap_join(know, rel, schema, on).collect())
+    return sorted(((r["k"]["ID"], r["r"]["S"]) for r in overlap_join(know, rel, schema, on).collect()), key=str)
 
 
 def test_overlap_join_equals_plain(spark):
@@ -195,3 +195,55 @@ def test_vulnerable_population(spark):
 def test_all_zero_prediction_is_null(spark):
     wide = spark.createDataFrame([(0, 0.0, 0.0)], "ID bigint, a double, b double")
     assert [r["confidence"] for r in normalise_prediction(wide).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("wide", [0, 1, 10, 200])
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_overlap_candidates_are_few(spark, wide, kind):
+    """n targets and n regions, some as wide as all: what is compared stays near the results."""
+    import math
+
+    from cloakframe.operators import overlap
+
+    n = 2000
+    spread = 7 if kind == "int" else 1e9  # far outliers make no difference
+    know = spark.range(n).select(F.struct((F.col("id") * 3 + F.when(F.col("id") == 5, spread).otherwise(0)).cast(kind).alias("QI1_min"), (F.col("id") * 3 + 1 + F.when(F.col("id") == 5, spread).otherwise(0)).cast(kind).alias("QI1_max")).alias("k"), F.col("id").alias("k_id"))
+    last = F.when(F.col("id") < wide, 3 * n).otherwise(F.col("id") * 3 + 2)
+    seen = spark.range(n).select(F.struct(F.when(F.col("id") < wide, 0).otherwise(F.col("id") * 3).cast(kind).alias("QI1_min"), (last + F.col("id") % 2).cast(kind).alias("QI1_max")).alias("g"), F.col("id").alias("g_id"))
+    candidates = overlap.candidate_regions(know, seen, MR, ["QI1"])
+    results = overlap.region_pairs(know, seen, MR, ["QI1"]).count()
+    assert candidates.count() <= 4 * results + n * math.log2(n)
+    pairs = {(r["k_id"], r["g_id"]) for r in overlap.region_pairs(know, seen, MR, ["QI1"]).collect()}
+    assert len(pairs) == results
+    plain = know.join(seen, (F.col("k.QI1_min") <= F.col("g.QI1_max")) & (F.col("g.QI1_min") <= F.col("k.QI1_max"))).select("k_id", "g_id").collect()
+    assert pairs == {tuple(r) for r in plain}
+
+
+def test_overlap_join_in_tiles(spark, monkeypatch):
+    from cloakframe.operators import overlap
+
+    know = spark.createDataFrame([(i, i % 60 - 1, i % 60 + 1, i % 2 == 0, i % 3 == 0) for i in range(200)], KNOWLEDGE)
+    rel = spark.createDataFrame([(0 if i % 3 else i % 50, 60 if i % 3 else i % 50 + 3, i % 2 == 0, i % 5 == 0, i, 1) for i in range(150)], RELEASE)
+    whole = {tuple(on): plainly(know, rel, MR, on) for on in (["QI1"], ["QI2"], ["QI1", "QI2"])}
+    monkeypatch.setattr(overlap, "MOST_PAIRS", 40)
+    for most in (100_000, 0):
+        monkeypatch.setattr(overlap, "MOST_TILED", most)
+        for on, expected in whole.items():
+            assert paired(know, rel, MR, list(on)) == expected
+
+
+def test_overlap_join_with_odd_ends(spark):
+    """Infinity, NaN and nulls as ends: as a comparison of all pairs has it."""
+    inf, nan = float("inf"), float("nan")
+    ends = [(-inf, 0.5), (0.5, inf), (nan, nan), (None, 3.0), (1e300, 1e308), (-0.0, 0.0), (2.0, 2.0), (-inf, inf)]
+    real = KNOWLEDGE.replace("QI1_min int, QI1_max int", "QI1_min double, QI1_max double")
+    know = spark.createDataFrame([(i, a, b, True, True) for i, (a, b) in enumerate(ends)], real)
+    rel = spark.createDataFrame([(a, b, True, True, i, 1) for i, (a, b) in enumerate(ends)], RELEASE.replace("QI1_min int, QI1_max int", "QI1_min double, QI1_max double"))
+    assert paired(know, rel, MR, ["QI1"]) == plainly(know, rel, MR, ["QI1"])
+
+
+def test_equal_columns_are_part_of_the_key(spark):
+    know = spark.createDataFrame([(i, i, i + 2, True, False, i % 4 if i % 5 else None) for i in range(40)], KNOWLEDGE + ", S bigint")
+    rel = spark.createDataFrame([(i, i + 1, True, False, i % 4 if i % 7 else None, 1) for i in range(40)], RELEASE)
+    assert paired(know, rel, MR, ["QI1", "S"]) == plainly(know, rel, MR, ["QI1", "S"])
+    assert paired(know, rel, MR, ["S"]) == plainly(know, rel, MR, ["S"])
