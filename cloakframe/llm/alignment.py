@@ -31,8 +31,10 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,15 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import checkpointed, shared_folder
-from cloakframe.llm.token_ids import encoder
+from cloakframe.llm.token_ids import Encoder
 
 ABOVE = 32
 A_BEGINS, B_BEGINS = 1 << 61, 1 << 60
 KEY = B_BEGINS - 1
 LOW = (1 << ABOVE) - 1
 BLOCK = 1 << 20
-MOST_COUNTED = 1 << 22
-MOST_REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+MOST_COUNTED = 1 << 20
+MOST_REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
 MARK = "▁"  # fixed value: how pieces write a blank
 _PART = re.compile(r" *[^ ]+| +")
 _sides: dict[tuple[str, str], tuple[Side, Side]] = {}
@@ -87,7 +89,8 @@ class ByteLevel(Side):
     """Ids over a space and the text."""
 
     def __init__(self, path: str) -> None:
-        self.encoder = encoder(path)
+        self.encoder = Encoder(path)
+        self.encoder.of.most = MOST_REMEMBERED
         hidden = {ord(c): b for b, c in self.encoder.of.visible.items()}
         vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         words = [b""] * (max(vocabulary.values()) + 1)
@@ -223,7 +226,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _summed(keys[order], counts[order])
 
     size = 0
-    for batch in batches:
+    for batch in (b for whole in batches for b in _blocks(whole, _sizes(whole.column(0)))):
         links = batch.column(0).flatten().to_numpy(zero_copy_only=False)
         held.append(np.unique(links & KEY, return_counts=True))
         size += len(held[-1][0])
@@ -254,13 +257,13 @@ def _place(uri: str) -> tuple[pa.fs.FileSystem, str, bool]:
     return found, path, False
 
 
-def _write(uri: str, blocks: list[np.ndarray]) -> None:
-    """A file of int64 numbers, there as a whole or not at all."""
+@contextmanager
+def _written(uri: str) -> Iterator[Callable[[np.ndarray], None]]:
+    """Write arrays of int64 to a file that is there as a whole or not at all."""
     system, path, mounted = _place(uri)
     own = f"{path}.{uuid.uuid4().hex}" if mounted else path
     with system.open_output_stream(own) as out:
-        for b in blocks:
-            out.write(np.ascontiguousarray(b, "<i8").tobytes())
+        yield lambda x: out.write(np.ascontiguousarray(x, "<i8").tobytes())
     if mounted:
         os.replace(own, path)
 
@@ -279,29 +282,37 @@ def _read(uri: str) -> np.ndarray:
 SHARD = "shard int, first bigint, last bigint, pairs bigint, b array<bigint>, best array<bigint>"
 
 
-def _shard(folder: str):
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sums of sorted (key, n) by key; a key that goes on in the next batch waits for it."""
+    key, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        keys, counts = (np.append(x, c.to_numpy(zero_copy_only=False)) for x, c in zip((key, n), batch.columns, strict=True))
+        keys, counts = _summed(keys, counts)
+        key, n = keys[-1:], counts[-1:]
+        if len(keys) > 1:
+            yield keys[:-1], counts[:-1]
+    if len(key):
+        yield key, n
+
+
+def _shard(folder: str, size_b: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            keys, counts = _summed(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            if len(keys) and blocks and blocks[-1][0][-1] == keys[0]:
-                blocks[-1][1][-1] += counts[0]
-                keys, counts = keys[1:], counts[1:]
-            if len(keys):
-                blocks.append((keys, counts.copy()))
-        if blocks:
-            for name, side in (("keys", 0), ("counts", 1)):
-                _write(f"{folder}/{number}.{name}", [b[side] for b in blocks])
-            b = np.concatenate([x[0] for x in blocks]) & LOW
-            of, where = np.unique(b, return_inverse=True)
-            best = np.zeros(len(of), np.int64)
-            np.maximum.at(best, where, np.concatenate([x[1] for x in blocks]))
-            row = [[number], [int(blocks[0][0][0])], [int(blocks[-1][0][-1])], [len(b)], [of.tolist()], [best.tolist()]]
-            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["shard", "first", "last", "pairs", "b", "best"])
+        runs = _runs(batches)
+        if (ahead := next(runs, None)) is None:
+            return
+        number, best, pairs, first, last = TaskContext.get().partitionId(), np.zeros(size_b, np.int64), 0, int(ahead[0][0]), 0
+        with _written(f"{folder}/{number}.keys") as write_keys, _written(f"{folder}/{number}.counts") as write_counts:
+            for keys, counts in chain([ahead], runs):
+                write_keys(keys)
+                write_counts(counts)
+                np.maximum.at(best, keys & LOW, counts)
+                pairs, last = pairs + len(keys), int(keys[-1])
+        of = np.flatnonzero(best)
+        row = [[number], [first], [last], [pairs], [of.tolist()], [best[of].tolist()]]
+        kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["shard", "first", "last", "pairs", "b", "best"])
 
     return run
 
@@ -331,7 +342,7 @@ def count_pairs(links: DataFrame, folder: str, size_b: int) -> Counts:
     sorted_counts = partial.repartitionByRange("key").sortWithinPartitions("key")
     system, path, _ = _place(folder)
     system.create_dir(path, recursive=True)
-    shards = checkpointed(sorted_counts.mapInArrow(_shard(folder), SHARD))
+    shards = checkpointed(sorted_counts.mapInArrow(_shard(folder, size_b), SHARD))
     of_b = shards.select(F.explode(F.arrays_zip("b", "best")).alias("x")).groupBy("x.b").agg(F.max("x.best").alias("best")).collect()
     best = np.zeros(size_b, np.int64)
     for r in of_b:

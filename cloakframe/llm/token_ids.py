@@ -52,13 +52,13 @@ class Pretokens(dict):
 
     def __init__(self, model) -> None:
         super().__init__()
-        self.merge, self.visible = model.tokenize, _visible_bytes()
+        self.merge, self.visible, self.most = model.tokenize, _visible_bytes(), MOST_REMEMBERED
 
     def __missing__(self, pretoken: str) -> bytes:
         shown = pretoken.encode().decode("latin-1").translate(self.visible)
         ids = np.fromiter((t.id for t in self.merge(shown)), "<u4").tobytes()
         if len(pretoken) <= LONGEST_REMEMBERED:
-            if len(self) >= MOST_REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[pretoken] = ids
         return ids
