@@ -16,10 +16,6 @@ search in the shards, memory-mapped, of which only touched pages are read; a
 shared folder that is no file system here is read a shard at a time.  The
 highest count of each B id is one number for each entry of B's vocabulary.
 
-Texts of the piece model are cut where a blank follows something else, because
-no piece goes on there (checked against the vocabulary, else texts are encoded
-whole), and a worker remembers short parts.
-
 Defined results: a null or empty text, or one that either tokenizer doesn't give
 back byte by byte, has no tokens: zeros and an empty string of groups; repeated
 rows count each time; very long texts are taken whole; null ids of rows are kept;
@@ -29,7 +25,6 @@ an empty table gives an empty table.  Only the id and text columns are read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -52,9 +47,8 @@ KEY = B_BEGINS - 1
 LOW = (1 << ABOVE) - 1
 BLOCK = 1 << 20
 MOST_COUNTED = 1 << 20
-MOST_REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
+MOST_REMEMBERED = 500_000
 MARK = "▁"  # fixed value: how pieces write a blank
-_PART = re.compile(r" *[^ ]+| +")
 _sides: dict[tuple[str, str], tuple[Side, Side]] = {}
 _opened: dict[str, np.ndarray] = {}
 
@@ -102,34 +96,20 @@ class ByteLevel(Side):
         return self.encoder.encode([" " + t for t in texts])
 
 
-class Pieces(Side, dict):
-    """Ids of a piece model, which puts a space ahead itself; as a dict, those of parts of texts as bytes."""
+class Pieces(Side):
+    """Ids of a piece model, which puts a space ahead itself."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        words = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        super().__init__(words)
-        whole = lambda t: b"".join(words[i] for i in self.model.encode(t))
-        self.in_parts = not any(MARK in p.lstrip(MARK) for p in pieces) and all(whole(t) == b" " + t.encode() for t in ("a", " a", "a  b", "a  "))
-        self.blank = np.array([self.model.piece_to_id(MARK)], "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.model.encode(part[1:]), "<u4").tobytes() if part != " " else self.blank
-        if len(part) <= LONGEST_REMEMBERED:
-            if len(self) >= MOST_REMEMBERED:
-                self.clear()
-            self[part] = ids
-        return ids
+        super().__init__([bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
 
     def encode(self, texts):
-        if self.in_parts:
-            made = [b"".join(map(self.__getitem__, _PART.findall(" " + t))) for t in texts]
-        else:
-            made = [np.array(self.model.encode(t), "<u4").tobytes() for t in texts]
-        return np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4
+        made = self.model.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.int64, int(counts.sum())), counts
 
 
 def sides(pair: Pair) -> tuple[Side, Side]:
