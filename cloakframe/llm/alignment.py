@@ -8,7 +8,7 @@ ends, no pairs of tokens.  A link is an int64: A's id above B's, and two bits
 that say whether an A or a B token begins there, from which all ids and groups
 can be read again.
 
-Links of all texts are written once.  Their pair keys are counted by
+Links of all texts are written once, compressed row by row.  Their pair keys are counted by
 ``np.unique`` a task, the partial counts sorted by key in range partitions and
 equal neighbours summed, and each partition writes a shard: sorted keys and
 counts, two files in the shared folder.  Texts are then looked up by binary
@@ -48,6 +48,7 @@ LOW = (1 << ABOVE) - 1
 BLOCK = 1 << 20
 MOST_COUNTED = 1 << 20
 MOST_REMEMBERED = 500_000
+_CODEC = pa.Codec("zstd", compression_level=1)
 MARK = "▁"  # fixed value: how pieces write a blank
 _sides: dict[tuple[str, str], tuple[Side, Side]] = {}
 _opened: dict[str, np.ndarray] = {}
@@ -174,18 +175,27 @@ def _blocks(batch: pa.RecordBatch, weights: np.ndarray) -> Iterator[pa.RecordBat
             yield batch.slice(a, b - a)
 
 
-def _sizes(column: pa.Array) -> np.ndarray:
-    measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
-    return pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _weight(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _packed(links: np.ndarray) -> bytes:
+    return _CODEC.compress(links.astype("<i8").tobytes(), asbytes=True)
+
+
+def _unpacked(counts: np.ndarray, packed: pa.Array) -> np.ndarray:
+    """Links of all rows behind one another."""
+    parts = [_CODEC.decompress(x.as_buffer(), decompressed_size=8 * n, asbytes=True) for n, x in zip(counts.tolist(), packed, strict=True)]
+    return np.frombuffer(b"".join(parts), "<i8")
 
 
 def _link(pair: Pair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _blocks(whole, _sizes(whole.column(1))):
+            for batch in _blocks(whole, _weight(whole.column(1))):
                 links, counts = links_of(pair, batch.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(links))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "links"])
+                packed = pa.array([_packed(x) for x in np.split(links, np.cumsum(counts)[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), packed], names=["id", "n_links", "links"])
 
     return run
 
@@ -197,7 +207,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of a task's links; long ones are given out in between."""
+    """(key, n) of a task's links (n_links, links); many are given out in between."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def together() -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +216,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _summed(keys[order], counts[order])
 
     size = 0
-    for batch in (b for whole in batches for b in _blocks(whole, _sizes(whole.column(0)))):
-        links = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+    for batch in (b for whole in batches for b in _blocks(whole, whole.column(0).to_numpy())):
+        links = _unpacked(batch.column(0).to_numpy(), batch.column(1))
         held.append(np.unique(links & KEY, return_counts=True))
         size += len(held[-1][0])
         if size > MOST_COUNTED:
@@ -317,8 +327,8 @@ class Counts:
 
 
 def count_pairs(links: DataFrame, folder: str, size_b: int) -> Counts:
-    """Counts of all pairs in ``links`` (id, links); the shards are written in ``folder``."""
-    partial = checkpointed(links.select("links").mapInArrow(_partial, "key bigint, n bigint"))
+    """Counts of all pairs in ``links`` (id, n_links, links); the shards are written in ``folder``."""
+    partial = checkpointed(links.select("n_links", "links").mapInArrow(_partial, "key bigint, n bigint"))
     sorted_counts = partial.repartitionByRange("key").sortWithinPartitions("key")
     system, path, _ = _place(folder)
     system.create_dir(path, recursive=True)
@@ -363,8 +373,9 @@ def _look_up(pair: Pair, counts: Counts):
         size_a, size_b = (len(s.length) for s in sides(pair))
         numbers = _numbers(size_a, size_b)
         for whole in batches:
-            for batch in _blocks(whole, 4 * _sizes(whole.column(1))):
-                sizes, links = _sizes(batch.column(1)), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            for batch in _blocks(whole, 4 * whole.column(1).to_numpy()):
+                sizes = batch.column(1).to_numpy()
+                links = _unpacked(sizes, batch.column(2))
                 keys, where = np.unique(links & KEY, return_inverse=True)
                 count = counts.of(keys)
                 high = count == counts.best[keys & LOW]
@@ -387,7 +398,7 @@ def align(df: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "te
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     folder = f"{shared_folder(spark)}/aligned-{uuid.uuid4().hex}"
-    df.select(F.col(id_col), F.col(text_col)).mapInArrow(_link(pair), f"id {kind}, links array<bigint>").write.parquet(f"{folder}/links")
+    df.select(F.col(id_col), F.col(text_col)).mapInArrow(_link(pair), f"id {kind}, n_links bigint, links binary").write.parquet(f"{folder}/links")
     links = spark.read.parquet(f"{folder}/links")
     counts = count_pairs(links, f"{folder}/counts", len(sides(pair)[1].length))
     return links.mapInArrow(_look_up(pair, counts), f"id {kind}, {RESULT}"), counts

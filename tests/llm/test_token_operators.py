@@ -177,7 +177,7 @@ def pa_batches(links, n):
 
     for at in range(0, len(links), n):
         part = links[at : at + n]
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], names=["links"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(part)]), pa.array([alignment._packed(part)], pa.binary())], names=["n_links", "links"])
 
 
 def test_shards_are_found_in_a_shared_folder(spark, tmp_path):
