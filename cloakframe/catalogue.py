@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.sets import euclidean, mismatches
 from cloakframe.operators.anonymiser import Anonymiser
-from cloakframe.operators.attackers import IntersectionAttacker, TrajectoryAttacker, overlap_join
+from cloakframe.operators.attackers import IntersectionAttacker
 from cloakframe.operators.clustering import Clustering
 from cloakframe.operators.cover import cover_rows
 from cloakframe.operators.images import KSame
 from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
 from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, TCloseness, frequencies
 from cloakframe.operators.mondrian import Mondrian, normalised_spans, numbered
+from cloakframe.operators.overlap import overlap_join
 from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
 from cloakframe.operators.republication import MInvariance
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, Microaggregation, RawData
+from cloakframe.operators.trajectories import TrajectoryAttacker
 from cloakframe.plans.roles import GROUP, RID, column_roles, row, with_row_id
 from cloakframe.recursive_sql import mdav_sql, mondrian_sql
 from cloakframe.sources.schema_files import load_schema, read_table, save_schema
@@ -772,7 +774,7 @@ def trajectory_finalise(spark, sf_dir):
 )
 def trajectory_ways(spark, sf_dir):
     attacker = _attacked(TrajectoryAttacker(_targets(spark, sf_dir), ["p_size", "p_type"], MR), spark, sf_dir)
-    return attacker.paths.groupBy("ID").agg(F.count(F.lit(1)).alias("paths"), F.sum("__ways").alias("ways"))
+    return attacker.trajectories().select("ID", F.col("paths").cast("bigint"), F.col("ways").cast("bigint"))
 
 
 @query("SELECT CAST(n_nationkey * 10 + i AS BIGINT) AS row_id FROM nation, range(3) r(i) WHERE i <> 1")

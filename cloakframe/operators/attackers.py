@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators.cover import cover_rows
-from cloakframe.operators.overlap import of_region, overlap_join, region_pairs, regions, spread
-from cloakframe.operators.schemas import COUNT, GeneralisedSchema
+from cloakframe.operators.overlap import of_region, region_pairs, regions, spread
+from cloakframe.operators.schemas import GeneralisedSchema
 from cloakframe.plans.cut import cut
-from cloakframe.plans.roles import number_rows, of
+from cloakframe.plans.roles import of
 
 KEY = "ID"
 
@@ -88,58 +87,3 @@ class IntersectionAttacker(BaseAttacker):
             return self.possible.withColumn("weight", F.lit(1.0))
         values = self.schema.values_for(of("k"), column)
         return self.knowledge.alias("k").select(F.col(f"k.{KEY}").alias(KEY), F.explode(values).alias("value")).distinct().withColumn("weight", F.lit(1.0))
-
-
-class TrajectoryAttacker(BaseAttacker):
-    """Keeps every path of records through the releases that agrees with what is known.
-
-    A path is an array of cover columns: the target's own, then one for each
-    release: a record, or the release's "absent" record.  ``finalise`` keeps the
-    paths that occur in some exact cover, where every record is used as often as
-    its count says; that takes the targets for the whole population.
-    """
-
-    def __init__(self, knowledge: DataFrame, present_columns: Sequence[str], schema: GeneralisedSchema) -> None:
-        self.schema, self.known = schema, list(present_columns)
-        ids = knowledge.select(KEY).distinct()
-        self.paths = cut(knowledge.withColumn("__path", F.array(F.col(KEY).cast("bigint"))).withColumn("__ways", F.lit(1).cast("bigint")))
-        self.columns = cut(ids.select(F.col(KEY).cast("bigint").alias("col_id"), F.lit(1).cast("bigint").alias("mult")))
-        self.next = (knowledge.agg(F.max(KEY)).first()[0] or 0) + 1
-        self.targets = ids
-
-    def observe(self, release, present_columns=(), present_targets=()):
-        ids = cut(self._ids(self.paths, present_targets))
-        released = [c for c in present_columns]
-        left, both, right = split_columns(self.known, released)
-        here = self.paths.join(ids, KEY, "left_semi")
-        away = self.paths.join(ids, KEY, "left_anti")
-        n_absent = self.targets.join(ids, KEY, "left_anti").count()
-        added = []
-        if n_absent:
-            added.append(self.paths.sparkSession.createDataFrame([(self.next, n_absent)], "col_id bigint, mult bigint"))
-            away = away.withColumn("__path", F.concat("__path", F.array(F.lit(self.next).cast("bigint"))))
-            self.next += 1
-        indexed = cut(number_rows(release, name="__no", first=self.next))
-        self.next += indexed.count()
-        added.append(indexed.select(F.col("__no").alias("col_id"), F.col(COUNT).cast("bigint").alias("mult")))
-        pairs = overlap_join(here, indexed, self.schema, both)
-        k, r = (lambda c: F.col("k")[c]), (lambda c: F.col("r")[c])
-        _, columns = self.schema.intersect(k, r, both, left, right)
-        extended = pairs.select(k(KEY).alias(KEY), *columns, F.concat(k("__path"), F.array(r("__no"))).alias("__path"), (k("__ways") * r(COUNT)).alias("__ways"))
-        self.paths = cut(extended.unionByName(away, allowMissingColumns=True))
-        for a in added:
-            self.columns = self.columns.unionByName(a)
-        self.columns = cut(self.columns)
-        self.known = [*left, *both, *right]
-
-    def predict_all(self, column):
-        physical = self.schema.physical(column)
-        if any(c not in self.paths.columns for c in physical):
-            return self.paths.select(KEY, F.lit(None).cast("string").alias("value"), F.lit(1.0).alias("weight")).limit(0)
-        known = self.paths.filter(F.col(f"`{physical[0]}`").isNotNull())
-        return known.alias("k").select(F.col(f"k.{KEY}").alias(KEY), F.explode(self.schema.values_for(of("k"), column)).alias("value")).distinct().withColumn("weight", F.lit(1.0))
-
-    def finalise(self, budget: int = 2_000_000) -> None:
-        paths = cut(self.paths.withColumn("row_id", F.monotonically_increasing_id()))
-        rows = paths.select("row_id", F.explode("__path").alias("col_id"))
-        self.paths = cut(paths.join(cover_rows(rows, self.columns, budget), "row_id", "left_semi").drop("row_id"))

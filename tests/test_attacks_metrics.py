@@ -1,11 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.operators.attackers import IntersectionAttacker, TrajectoryAttacker, overlap_join, split_columns
+from cloakframe.operators.attackers import IntersectionAttacker, split_columns
 from cloakframe.operators.cover import SearchBudgetError, cover_rows, rows_in_solutions
 from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
+from cloakframe.operators.overlap import overlap_join
 from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, RawData
+from cloakframe.operators.trajectories import TrajectoryAttacker
 from cloakframe.plans.roles import of
 from cloakframe.streaming.releases import observe_stream
 
@@ -51,8 +53,12 @@ def test_cover_against_all_subsets():
 def test_cover_limits():
     with pytest.raises(ValueError, match="positive"):
         rows_in_solutions({0: 0}, {0: [0]})
-    with pytest.raises(SearchBudgetError):
-        rows_in_solutions({c: 3 for c in range(12)}, {r: [r % 12, (r * 5 + 1) % 12] if r % 12 != (r * 5 + 1) % 12 else [r % 12] for r in range(80)}, budget=20)
+    two = {r: [r % 12, (r * 5 + 1) % 12] if r % 12 != (r * 5 + 1) % 12 else [r % 12] for r in range(80)}
+    three = {r: [*c, 12 + r % 5] for r, c in two.items()}
+    with pytest.raises(SearchBudgetError, match="steps"):
+        rows_in_solutions({c: 3 if c < 12 else 4 for c in range(17)}, three, budget=20)
+    # rows of two kinds of columns are a matching and need no search
+    assert rows_in_solutions({c: 3 for c in range(12)}, two, budget=20) == rows_in_solutions({c: 3 for c in range(12)}, two)
 
 
 def test_component_without_solution_empties_all(spark):
@@ -247,3 +253,129 @@ def test_equal_columns_are_part_of_the_key(spark):
     rel = spark.createDataFrame([(i, i + 1, True, False, i % 4 if i % 7 else None, 1) for i in range(40)], RELEASE)
     assert paired(know, rel, MR, ["QI1", "S"]) == plainly(know, rel, MR, ["QI1", "S"])
     assert paired(know, rel, MR, ["S"]) == plainly(know, rel, MR, ["S"])
+
+
+def plain_trajectories(know, releases, known, schema_columns):
+    """Every path of every target: (records, one per release or None where absent), interval and value learnt."""
+    out = []
+    for i, lo, hi in know:
+        paths = [((), lo, hi, None, 1)]
+        for rows, present in releases:
+            if i not in present:
+                paths = [(p + (None,), a, b, s, w) for p, a, b, s, w in paths]
+                continue
+            paths = [(p + (j,), max(a, c), min(b, d), v, w * n) for p, a, b, s, w in paths for j, (c, d, v, n) in enumerate(rows) if a <= d and c <= b and s in (None, v)]
+        out += [(i, *p) for p in paths]
+    return out
+
+
+def plain_finalised(paths, releases, ids):
+    """Paths in some choice of one path a target that uses every record as often as its count says."""
+    import itertools
+
+    by = [[p for p in paths if p[0] == i] for i in ids]
+    live = set()
+    for chosen in itertools.product(*by):
+        used = [[p[1][t] for p in chosen] for t in range(len(releases))]
+        if all(used[t].count(j) == n for t, (rows, _) in enumerate(releases) for j, (_, _, _, n) in enumerate(rows)):
+            live |= set(chosen)
+    return live
+
+
+def attacked(spark, know, releases):
+    schema = MachineReadable({}, ("QI1",), ("S",))
+    attacker = TrajectoryAttacker(spark.createDataFrame(know, "ID bigint, QI1_min int, QI1_max int"), ["QI1"], schema)
+    for rows, present in releases:
+        attacker.observe(spark.createDataFrame(rows, "QI1_min int, QI1_max int, S int, count bigint"), ["QI1", "S"], sorted(present))
+    return attacker
+
+
+def compared(attacker, paths, ids):
+    import collections
+
+    ways, numbers, values = collections.Counter(), collections.Counter(), set()
+    for i, _, _, _, s, w in paths:
+        ways[i] += w
+        numbers[i] += 1
+        if s is not None:
+            values.add((i, s))
+    assert {r["ID"]: (int(r["paths"]), int(r["ways"])) for r in attacker.trajectories().collect()} == {i: (numbers[i], ways[i]) for i in ids if numbers[i]}
+    assert {(r["ID"], r["value"]) for r in attacker.predict_all("S").collect()} == values
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trajectories_against_all_paths(spark, seed):
+    """Several releases, targets that are away from some, alternatives: numbers of paths, values, and what finalise leaves."""
+    import random
+
+    draw = random.Random(seed)
+    n = 5
+    own = [(draw.randint(0, 6), draw.randint(1, 3)) for _ in range(n)]
+    know = [(i, max(0, q - draw.randint(0, 1)), q + draw.randint(0, 2)) for i, (q, _) in enumerate(own)] + [(0, 20, 21)] * (seed % 2)
+    releases = []
+    for t in range(1 + seed % 3):
+        present = set(range(n)) if t == 0 and seed < 3 else set(draw.sample(range(n), n - 1))
+        rows = {}
+        for i in present:
+            q, s = own[i]
+            key = (q // 2 * 2, q // 2 * 2 + 1, s)
+            rows[key] = rows.get(key, 0) + 1
+        releases.append(([(*k, c) for k, c in sorted(rows.items())], present))
+    paths = plain_trajectories(know, releases, ["QI1"], None)
+    attacker = attacked(spark, know, releases)
+    compared(attacker, paths, range(n))
+    attacker.finalise()
+    left = plain_finalised(paths, releases, range(n))
+    assert left
+    compared(attacker, [p for p in paths if p in left], range(n))
+
+
+def test_observing_after_finalise(spark):
+    know = [(0, 1, 1), (1, 1, 2)]
+    releases = [([(1, 1, 7, 1), (2, 2, 8, 1)], {0, 1})]
+    attacker = attacked(spark, know, releases)
+    attacker.finalise()
+    assert attacker.predict(1, "S") == {8: 1.0}
+    attacker.observe(spark.createDataFrame([(1, 1, 7, 1), (1, 3, 8, 1)], "QI1_min int, QI1_max int, S int, count bigint"), ["QI1", "S"], [0, 1])
+    assert attacker.predict(0, "S") == {7: 1.0} and attacker.predict(1, "S") == {8: 1.0}
+    attacker.finalise()
+    assert attacker.predict(0, "S") == {7: 1.0} and attacker.predict(1, "S") == {8: 1.0}
+    attacker.observe(spark.createDataFrame([], "QI1_min int, QI1_max int, S int, count bigint"), ["QI1", "S"], [0, 1])
+    assert attacker.predict(0, "S") is None
+
+
+def test_target_learns_only_where_it_was(spark):
+    """Who is away from the first release knows no value of it and may meet any in the second."""
+    releases = [([(1, 1, 7, 1)], {0}), ([(1, 1, 7, 1), (2, 2, 9, 1)], {0, 1})]
+    attacker = attacked(spark, [(0, 1, 1), (1, 2, 2)], releases)
+    assert attacker.predict(1, "S") == {9: 1.0} and attacker.predict(0, "S") == {7: 1.0}
+
+
+def test_matchings_against_all_choices():
+    import itertools
+    import random
+
+    from cloakframe.operators.cover import edges_in_matchings
+
+    draw = random.Random(8)
+    solved = 0
+    for _ in range(900):
+        a, b = draw.randint(1, 3), draw.randint(1, 3)
+        left, right = list(range(a)), list(range(10, 10 + b))
+        edges = [(x, y) for x in left for y in right if draw.random() < 0.7]
+        most = [draw.randint(1, 3) for _ in edges]
+        target = {c: draw.randint(1, 3) for c in left + right}
+        expected = set()
+        for used in itertools.product(*(range(m + 1) for m in most)):
+            if all(sum(n for n, e in zip(used, edges, strict=True) if c in e) == k for c, k in target.items()):
+                expected |= {e for n, e in zip(used, edges, strict=True) if n}
+        assert edges_in_matchings(target, set(left), edges, most) == expected
+        solved += bool(expected)
+    assert solved > 30
+
+
+def test_long_chain_needs_no_budget():
+    n = 20_000
+    rows = {2 * i: [i, n + i] for i in range(n)} | {2 * i + 1: [i, n + i + 1] for i in range(n - 1)}
+    target = dict.fromkeys(range(2 * n), 3)
+    assert rows_in_solutions(target, rows, budget=1, times=dict.fromkeys(rows, 3)) == {2 * i for i in range(n)}
