@@ -9,6 +9,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -31,6 +32,20 @@ def quoted(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as they can be hashed: maps have no hash, their JSON text has."""
+
+    def has_map(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return has_map(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return any(has_map(f.dataType) for f in kind.fields)
+        return isinstance(kind, T.MapType)
+
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("c")))
+    return [text(c) if has_map(f.dataType) else F.col(c) for c, f in zip(quoted(df), df.schema.fields, strict=True)]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     while name in df.columns:

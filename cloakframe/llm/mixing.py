@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import checkpointed, quoted, unused
+from cloakframe.llm.common import checkpointed, quoted
 from cloakframe.llm.sharding import number_rows
 
 
@@ -125,9 +125,9 @@ def in_mix_order(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", sour
     """
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     placed, slots = mix_sources(docs, None, id_col, source_col, mix, {"__crc": crc})
-    first = checkpointed(placed.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), "__crc").agg(F.min("position").alias("__position")))
-    key = unused(docs, "__key")
-    joined = docs.withColumn(key, crc).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col(key) == F.col("__crc")))
+    first = checkpointed(placed.groupBy(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("__crc").alias("of_crc")).agg(F.min("position").alias("position")))
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), crc.alias("crc"))
+    joined = rows.join(first, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("crc") == F.col("of_crc")))
     files = max(1, -(-slots * mix.block_rows // rows_per_file))
-    part = F.least(F.floor(F.col("__position") * files / max(1, slots * mix.block_rows)), F.lit(files - 1)).cast("int")
-    return joined.repartitionById(files, part).sortWithinPartitions("__position").select(*quoted(docs))
+    part = F.least(F.floor(F.col("position") * files / max(1, slots * mix.block_rows)), F.lit(files - 1)).cast("int")
+    return joined.repartitionById(files, part).sortWithinPartitions("position").select("row.*")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import arrow_rows, checkpointed, quoted, small, unused
+from cloakframe.llm.common import hashable, arrow_rows, checkpointed, quoted, small, unused
 from cloakframe.llm.graph import components
 
 FILTER_BUCKETS = 1 << 20
@@ -476,10 +476,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     class and stay.
     """
     found = near_duplicates(df, id_col, text_col, forest)
-    gone = checkpointed(found.filter("not kept").select(F.col("id").alias("__gone")).distinct())
-    names = quoted(df)
-    named = df.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    at = unused(df, "__place")
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*names), F.hash(*names)))
-    one = named.withColumn(at, place).filter(F.col(at) == 1).select(*names)
-    return one.unionByName(df.filter(F.col(id_col).isNull()))
+    gone = checkpointed(found.filter("not kept").select(F.col("id").alias("gone")).distinct())
+    parts = hashable(df)
+    rows = df.select(F.struct(*quoted(df)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(*parts).alias("p1"), F.hash(*parts).alias("p2"))
+    named = rows.filter(F.col("id").isNotNull()).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("p1", "p2"))
+    one = named.withColumn("place", place).filter("place = 1").select("row")
+    return one.union(rows.filter(F.col("id").isNull()).select("row")).select("row.*")

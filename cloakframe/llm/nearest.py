@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product, with multiprobe p-stable hashing.
 
-Vectors are lifted so that the largest inner product is the smallest Euclidean
-distance, and hashed in ``tables`` tables by ``width``-quantised projections on
+Vectors are parted into bands by length, each at most sqrt(2) wide, and lifted by
+the band's longest, so that in a band the largest inner product is the smallest
+Euclidean distance; they are hashed in ``tables`` tables by ``width``-quantised projections on
 Gaussian (2-stable) directions.  A query visits its own bucket and perturbed
 ones in the order of estimated success: the template of perturbation sets is
 sorted by the expected squared distance to the bucket borders and applied to the
-query's own border distances.  Candidates of all tables are merged and ranked by
-exact inner products in double precision.
+query's own border distances.  The ``Index.longest`` longest vectors are scored
+for every query; what they give bounds the bands that a query needs, as no inner
+product exceeds the lengths', and leaves no query without neighbours.  Candidates
+of all tables and bands are merged and ranked by exact inner products in double
+precision, summed component by component.
 
 Equal vectors are one entry of the index, with the smallest ids that a result
 can need, so a vector that a third of all rows share costs no more than another.
@@ -67,6 +71,8 @@ class Index:
     group: int = 16_384
     most_in_bucket: int = 16_384
     query_block: int = 16_384
+    longest: int = 256  # vectors that every query is compared with
+    spare: int = 4  # candidates beyond those asked for that are scored again
     seed: int = 11
 
 
@@ -107,10 +113,23 @@ class Hasher:
         self.mix = draw.integers(1, 1 << 62, self.k, dtype=np.int64) | 1
         self.groups = max(1, -(-n // index.group))
 
+    def bands(self, x: np.ndarray) -> np.ndarray:
+        """Band 0 holds the longest vectors; each is sqrt(2) times as long as the next."""
+        length = np.linalg.norm(x, axis=1)
+        return np.maximum(0, np.floor(2 * np.log2(self.longest / length))).astype(np.int64)
+
+    def upper(self, bands: np.ndarray) -> np.ndarray:
+        """The greatest length in a band."""
+        return self.longest * 2.0 ** (-bands / 2)
+
+    def in_band(self, buckets: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return buckets ^ (np.asarray(band, np.int64) * np.int64(0x2545F4914F6CDD1D))
+
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         if query:
             return np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
-        x = x / self.longest
+        x = x / self.upper(self.bands(x))[:, None]
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
     def cells(self, table: int, lifted: np.ndarray) -> np.ndarray:
@@ -202,34 +221,44 @@ def _entries(hasher: Hasher):
             if not batch.num_rows:
                 continue
             x = _vectors(batch.column(1))
-            lifted, packed = hasher.lifted(x.astype(np.float64), False), _binary(x)
+            lifted, packed, bands = hasher.lifted(x.astype(np.float64), False), _binary(x), hasher.bands(x.astype(np.float64))
             for t in range(hasher.setting.tables):
-                buckets = hasher.bucket(np.floor(hasher.cells(t, lifted)))
+                buckets = hasher.in_band(hasher.bucket(np.floor(hasher.cells(t, lifted))), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(buckets), batch.column(0), packed], names=["table", "bucket", "id", "vector"])
 
     return run
 
 
-def _visits(hasher: Hasher):
-    """One row per query, table and group that it visits: (table, part, id, vector, buckets)."""
+def _visits(hasher: Hasher, bands: np.ndarray, longest: np.ndarray, nearest: int):
+    """One row per query, table and group that it visits: (table, part, id, vector, buckets).
+
+    A query needs the bands that are longer than its ``nearest``-th best score
+    among the ``longest`` vectors.
+    """
+    upper = hasher.upper(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            step = max(1, (1 << 17) // len(hasher.template))
+            step = max(1, (1 << 17) // (len(hasher.template) * len(bands)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 x = _vectors(batch.column(1))
                 lifted, ids, packed = hasher.lifted(x.astype(np.float64), True), batch.column(0), [row.tobytes() for row in x]
+                least = np.full(len(x), -np.inf)
+                if len(longest) >= nearest:
+                    least = -np.partition(-(lifted[:, :-1] @ longest.T), nearest - 1, axis=1)[:, nearest - 1]
+                needed = [bands[upper >= a - 1e-9 * abs(a)] for a in least]
                 for t in range(hasher.setting.tables):
                     probes = hasher.probes(t, lifted)
-                    parts = probes % hasher.groups
                     of, part, vectors, buckets = [], [], [], []
                     for q in range(len(x)):
-                        for p in np.unique(parts[q]):
+                        own = np.unique(hasher.in_band(probes[q][None, :], needed[q][:, None]))
+                        parts = own % hasher.groups
+                        for p in np.unique(parts):
                             of.append(q)
                             part.append(p)
                             vectors.append(packed[q])
-                            buckets.append(np.unique(probes[q][parts[q] == p]))
+                            buckets.append(own[parts == p])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(of), t, np.int32)), pa.array(part, pa.int64()), ids.take(pa.array(of, pa.int64())), pa.array(vectors, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
                         names=["table", "part", "id", "vector", "buckets"],
@@ -238,6 +267,20 @@ def _visits(hasher: Hasher):
     return run
 
 
+def _longest(ids: np.ndarray, longest: np.ndarray, nearest: int):
+    """(query, id, score): the nearest of the longest vectors for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = _vectors(batch.column(1)).astype(np.float64) @ longest.T
+                top = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
+                of = np.repeat(np.arange(len(score)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query", "id", "score"])
+
+    return run
+
+
 def _search(nearest: int, kind: str):
     """Entries and visits of one group: the nearest entries of each query there."""
     dtype = np.dtype(kind)
@@ -323,6 +366,10 @@ def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id",
 
     square = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     stats = entries.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).first()
+    bands = entries.select(F.floor(2 * F.log2(F.lit(stats["longest"]) / F.sqrt(square))).cast("long").alias("band")).distinct().collect()
+    bands = np.array(sorted({max(0, r["band"] + n) for r in bands for n in (-1, 0, 1)}), np.int64)  # one more each way: its logarithm may round otherwise
+    top = entries.select("id", "vector").orderBy(F.desc(square), "id").limit(max(index.longest, nearest + 1)).toArrow()
+    top_ids, longest = top.column("id").to_numpy(), _vectors(top.column("vector").combine_chunks()).astype(np.float64)
     n_asked = asked.count()
     if not n_asked:
         return empty
@@ -331,7 +378,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id",
     hasher = Hasher(index, setting, stats["n"], lengths["d"], stats["longest"])
     stored = entries.select("id", "vector").mapInArrow(_entries(hasher), "table int, bucket bigint, id bigint, vector binary")
     stored = stored.withColumn("part", F.pmod("bucket", F.lit(hasher.groups)))
-    visits = asked.select("id", "vector").mapInArrow(_visits(hasher), "table int, part bigint, id bigint, vector binary, buckets array<bigint>")
+    visits = asked.select("id", "vector").mapInArrow(_visits(hasher, bands, longest, nearest + 1), "table int, part bigint, id bigint, vector binary, buckets array<bigint>")
 
     blocks = max(1, -(-n_asked // index.query_block))
     visits = visits.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -348,8 +395,12 @@ def nearest_neighbours(df: DataFrame, is_query: Column, id_col: str = "vec_id",
     keys = ["table", "part", "chunk", "block"]
     found = stored.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_search(nearest + 1, "<f8" if double else "<f4"), "query bigint, id bigint, score double")
 
+    found = found.unionByName(asked.select("id", "vector").mapInArrow(_longest(top_ids, longest, nearest + 1), "query bigint, id bigint, score double"))
     place = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    merged = found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("r", place("query", F.desc("score"), "id")).filter(F.col("r") <= nearest + 1)
+    merged = found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("r", place("query", F.desc("score"), "id")).filter(F.col("r") <= nearest + 1 + index.spare)
+    both = merged.select("query", "id").join(asked.select(F.col("id").alias("query"), F.col("vector").alias("asked")), "query").join(entries.select("id", "vector"), "id")
+    product = F.aggregate(F.zip_with("asked", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    merged = both.select("query", "id", product.alias("score")).withColumn("r", place("query", F.desc("score"), "id")).filter(F.col("r") <= nearest + 1)
     classes = members.filter("r = 1").select(F.col("id").alias("root"), "h1", "h2")
     of_root = members.join(classes, ["h1", "h2"]).select("root", F.col("id").alias("vec_id"))
     wide = merged.join(of_root, F.col("id") == F.col("root")).withColumn("r", place("query", F.desc("score"), "vec_id")).filter(F.col("r") <= nearest + 1)

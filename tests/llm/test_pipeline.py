@@ -80,3 +80,40 @@ def test_odd_rows_and_columns(spark, tmp_path):
         found.append({r["doc_id"]: r["text"] for r in kept})
         assert corpus_pipeline.STAGES[-1][1](spark, at, "").select("doc_id").distinct().count() == 32
     assert found[0] == found[1]
+
+
+def test_any_kinds_and_names_of_columns(spark, tmp_path):
+    """Maps, arrays and structs, and every name that a stage might use itself, pass through unchanged."""
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(900)]
+    made = [(i, " ".join(draw.choice(words) for _ in range(80)), "en", f"s{i % 2}", 0) for i in range(20)]
+    df = spark.createDataFrame([*made, made[3], (40, *made[5][1:])], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ["__gone", "__id", "__source", "__crc", "__position", "gone", "place", "part", "position", "crc", "of_id", "of_source", "of_crc", "p1", "p2", "row", "clean", "id", "slot", "block", "component_id"]
+    for name in names:
+        df = df.withColumn(name, F.lit(f"{name}!"))
+    df = df.withColumns({"m": F.create_map(F.lit("a"), F.col("doc_id")), "deep": F.array(F.struct(F.create_map(F.lit(1), F.lit("x")).alias("m"))), "s": F.struct(F.lit(1).alias("a.b"), F.lit(None).cast("string").alias("c"))})
+    at = df
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, at, "")
+        assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / str(n)))
+        at = spark.read.parquet(str(tmp_path / str(n)))
+    kept = at.collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(20))
+    for r in kept:
+        assert all(r[c] == f"{c}!" for c in names)
+        assert r["m"] == {"a": r["doc_id"]} and r["deep"][0]["m"] == {1: "x"} and r["s"]["a.b"] == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, at, "").select("doc_id").distinct().count() == 20
+
+
+def test_stage_files_go_when_a_stage_fails(spark, tmp_path, monkeypatch):
+    sf_dir, place = table(spark, tmp_path, rows()), tmp_path / "shared"
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(place))
+
+    def fails(spark, docs, sf_dir):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:1], ("fails", fails)])
+    with pytest.raises(RuntimeError, match="no"):
+        corpus_pipeline.run(spark, sf_dir)
+    assert not list(place.glob("*"))

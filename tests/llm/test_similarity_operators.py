@@ -221,3 +221,24 @@ def test_large_buckets_are_cut(spark):
     got = {(r["query_id"], r["vec_id"]) for r in nearest.nearest_neighbours(df, F.col("id") % 20 == 0, nearest=5, index=small).collect()}
     truth = {(q, i) for q, found in plain_nearest(rows, 5).items() for i, _ in found}
     assert len(got & truth) >= 0.9 * len(truth)
+
+
+@pytest.mark.parametrize("sigma", [0, 1, 2, 3])
+def test_neighbours_of_vectors_of_any_length(spark, sigma):
+    """Log-normal lengths: every query gets all its rows, nine of ten of them right, scores summed component by component."""
+    draw, n = np.random.default_rng(sigma), 3000
+    x = draw.normal(size=(n, 24))
+    x *= np.exp(sigma * draw.normal(size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(5)
+    got = nearest.nearest_neighbours(df, F.col("id") % 20 == 0).collect()
+    asked = np.arange(0, n, 20)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    true = {(q, int(i)) for q, row in zip(asked.tolist(), np.argsort(-score, axis=1)[:, :20], strict=True) for i in row}
+    assert len(got) == 20 * len(asked)
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & true) >= 0.9 * len(true)
+    for r in got[:200]:
+        total = 0.0
+        for a, b in zip(x[r["query_id"]].tolist(), x[r["vec_id"]].tolist(), strict=True):
+            total += a * b
+        assert r["score"] == total
