@@ -56,22 +56,30 @@ STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", nea
 ORACLE_SQL: str | None = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written in the shared folder and read again.
 
-    A stage's rows are removed when those of the next are written; the rows
-    that the result itself is read from stay.
+    A stage's rows are removed when those of the next are written, and all of
+    them where a stage fails; the rows that the result itself is read from stay.
     """
     place = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            at = f"{place}/{k}"
-            docs.write.parquet(at)
-            docs = spark.read.parquet(at)
-            if before is not None:
-                old = spark._jvm.org.apache.hadoop.fs.Path(before)
-                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-            before = at
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                at = f"{place}/{k}"
+                docs.write.parquet(at)
+                docs = spark.read.parquet(at)
+                if before is not None:
+                    _remove(spark, before)
+                before = at
+    except BaseException:
+        _remove(spark, place)
+        raise
     return docs
