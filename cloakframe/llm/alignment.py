@@ -45,9 +45,9 @@ ABOVE = 32
 A_BEGINS, B_BEGINS = 1 << 61, 1 << 60
 KEY = B_BEGINS - 1
 LOW = (1 << ABOVE) - 1
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 MOST_COUNTED = 1 << 20
-MOST_REMEMBERED = 500_000
+MOST_REMEMBERED = 150_000
 _CODEC = pa.Codec("zstd", compression_level=1)
 MARK = "▁"  # fixed value: how pieces write a blank
 _sides: dict[tuple[str, str], tuple[Side, Side]] = {}
