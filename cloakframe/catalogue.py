@@ -5,12 +5,11 @@ The SQL runs in DuckDB over views of the same tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.sets import euclidean, mismatches
@@ -27,6 +26,7 @@ from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
 from cloakframe.operators.republication import MInvariance
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, Microaggregation, RawData
 from cloakframe.operators.trajectories import TrajectoryAttacker
+from cloakframe.plans.cut import cut, shared_folder
 from cloakframe.plans.roles import GROUP, RID, column_roles, row, with_row_id
 from cloakframe.recursive_sql import mdav_sql, mondrian_sql
 from cloakframe.sources.schema_files import load_schema, read_table, save_schema
@@ -608,8 +608,7 @@ def inferred_schema(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {_release_sql()} SELECT {_COLS} FROM rel")
@@ -777,6 +776,87 @@ def trajectory_ways(spark, sf_dir):
     return attacker.trajectories().select("ID", F.col("paths").cast("bigint"), F.col("ways").cast("bigint"))
 
 
+#: Five releases of the same table, by classes of their own.
+_FIVE = (_CLASS, _OTHER, "floor(p_size / 6) * 10 + p_partkey % 5", "floor(p_size / 4) * 10 + p_partkey % 3", "floor((p_size + 2) / 8) * 10 + p_partkey % 4")
+
+
+def _five_sql() -> str:
+    """What each class of targets may have come to after each release, with the number of paths and of permutations."""
+    out = ["s0 AS (SELECT DISTINCT lo, hi, ty, lo AS a, hi AS b, CAST(NULL AS VARCHAR) AS brand, CAST(1 AS HUGEINT) AS paths, CAST(1 AS HUGEINT) AS ways FROM t)"]
+    for n, by in enumerate(_FIVE, 1):
+        flags = ", ".join(f"bool_or(p_type = '{t}') AS \"p_type_{t}\"" for t in TYPES)
+        out.append(f"g{n} AS (SELECT *, {by} AS gid FROM part), q{n} AS (SELECT gid, min(p_size) AS p_size_min, max(p_size) AS p_size_max, {flags} FROM g{n} GROUP BY gid)")
+        out.append(f'r{n} AS (SELECT q{n}.*, c.p_brand, c.n AS "count" FROM q{n} JOIN (SELECT gid, p_brand, count(*) AS n FROM g{n} GROUP BY gid, p_brand) c USING (gid))')
+        kinds = " OR ".join(f"(s.ty = '{t}' AND r.\"p_type_{t}\")" for t in TYPES)
+        out.append(
+            f"s{n} AS (SELECT s.lo, s.hi, s.ty, greatest(s.a, r.p_size_min) AS a, least(s.b, r.p_size_max) AS b, r.p_brand AS brand, sum(s.paths) AS paths, sum(s.ways * r.\"count\") AS ways "
+            f"FROM s{n - 1} s JOIN r{n} r ON s.a <= r.p_size_max AND s.b >= r.p_size_min AND ({kinds}) AND (s.brand IS NULL OR s.brand = r.p_brand) GROUP BY ALL)"
+        )
+    return ", ".join(out)
+
+
+@query(
+    f"WITH {_TARGETS}, {_five_sql()}, n AS (SELECT lo, hi, ty, sum(paths) AS paths, sum(ways) AS ways FROM s5 GROUP BY lo, hi, ty) "
+    'SELECT t.id AS "ID", CAST(n.paths AS VARCHAR) AS paths, CAST(n.ways AS VARCHAR) AS ways FROM t JOIN n USING (lo, hi, ty)'
+)
+def trajectory_layers(spark, sf_dir):
+    """Five releases: numbers of paths far beyond what could be listed."""
+    attacker = TrajectoryAttacker(_targets(spark, sf_dir), ["p_size", "p_type"], MR)
+    ids = _targets(spark, sf_dir).select("ID")
+    for by in _FIVE:
+        attacker.observe(_mr(spark, sf_dir, by), ["p_size", "p_type", "p_brand"], ids)
+    return attacker.trajectories().select("ID", F.col("paths").cast("string"), F.col("ways").cast("string"))
+
+
+@query("SELECT c_custkey AS \"ID\", c_mktsegment AS value, CAST(1 AS DOUBLE) AS weight FROM customer")
+def trajectory_population(spark, sf_dir):
+    """A whole population in two releases.
+
+    Each of a block of 100 is known to within one place, the last exactly: that
+    one has one record left, and so one after the other.
+    """
+    place = F.floor(F.col("c_custkey") / 100) * 1000 + F.col("c_custkey") % 100
+    people = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID"), place.cast("bigint").alias("key"), "c_mktsegment", "c_nationkey")
+    last = people.groupBy(F.floor(F.col("key") / 1000).alias("b")).agg(F.max("key").alias("last"))
+    known = people.join(last, F.floor(F.col("key") / 1000) == F.col("b")).select("ID", F.col("key").alias("key_min"), F.least(F.col("key") + 1, F.col("last")).alias("key_max"))
+    schema = MachineReadable({}, ("key",), ("c_mktsegment",))
+    attacker = TrajectoryAttacker(known, ["key"], schema)
+    for here in (people, people.filter("c_nationkey <> 4")):
+        attacker.observe(schema.generalise(here.select("key", "c_mktsegment", F.col("key").alias(GROUP))), ["key", "c_mktsegment"], here.select("ID"))
+    attacker.finalise()
+    return attacker.predict_all("c_mktsegment")
+
+
+#: Customers of a block and a segment are a column, used as often as there are such customers; so are their places.
+_COVER = (
+    "b AS (SELECT c_custkey // 50 AS block, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY ALL), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY seg) - 1 AS i, count(*) OVER (PARTITION BY block) AS m FROM b)"
+)
+
+
+@query(
+    f"WITH {_COVER}, r AS (SELECT block, i, 'own' AS kind, true AS live FROM k UNION ALL SELECT block, i, 'next', block % 2 = 0 AND m > 1 FROM k WHERE block % 2 = 0 OR i + 1 < m) "
+    "SELECT CAST(block AS BIGINT) AS block, CAST(i AS INT) AS i, kind FROM r WHERE live"
+)
+def cover_of_matchings(spark, sf_dir):
+    """Customers of a segment may take the places of their own or of the next segment.
+
+    In even blocks the last segment's next is the first: every choice can be
+    turned round.  In odd ones the last has its own places only, and so all have.
+    """
+    by = Window.partitionBy("block")
+    counted = _table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("block"), F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(counted.withColumn("i", F.row_number().over(by.orderBy("seg")) - 1).withColumn("m", F.count(F.lit(1)).over(by)))
+    column = lambda i, side: F.col("block") * 100 + i * 2 + side
+    target = placed.select(column(F.col("i"), 0).alias("col_id"), F.col("n").alias("mult")).union(placed.select(column(F.col("i"), 1), "n"))
+    options = F.array(F.struct(F.lit("own").alias("kind"), F.col("i").alias("to")), F.struct(F.lit("next").alias("kind"), F.pmod(F.col("i") + 1, F.col("m")).cast("int").alias("to")))
+    rows = placed.withColumn("x", F.explode(options)).filter((F.col("x.kind") == "own") | (F.col("block") % 2 == 0) | (F.col("i") + 1 < F.col("m")))
+    rows = cut(rows.withColumn("row_id", column(F.col("i"), (F.col("x.kind") == "next").cast("int"))))
+    of_row = rows.select("row_id", column(F.col("i"), 0).alias("col_id"), F.col("n").alias("copies")).union(rows.select("row_id", column(F.col("x.to"), 1), "n"))
+    live = cover_rows(of_row, target)
+    return rows.join(live, "row_id").select("block", "i", "x.kind")
+
+
 @query("SELECT CAST(n_nationkey * 10 + i AS BIGINT) AS row_id FROM nation, range(3) r(i) WHERE i <> 1")
 def multiset_cover(spark, sf_dir):
     """Four columns a nation in a chain of three rows: the outer two are the cover."""

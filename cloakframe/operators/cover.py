@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.plans.cut import cut
+from cloakframe.plans.cut import cut, written
 
 
 class SearchBudgetError(RuntimeError):
@@ -268,6 +268,27 @@ def _strong_parts(nodes: Iterable[int], after: Mapping[int, Sequence[int]]) -> d
     return part
 
 
+def components(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """(col_id, part): columns that hang together by rows have the same part, their smallest column.
+
+    In each round every part is hooked to the smallest part that a row of it
+    leads to, and the hooks are followed twice, so at least half of the parts
+    that are not done go.
+    """
+    labels = written(target.select("col_id", F.col("col_id").alias("part")))
+    while True:
+        of_row = rows.join(labels, "col_id").groupBy("row_id").agg(F.min("part").alias("part"))
+        near = rows.join(of_row, "row_id").groupBy("col_id").agg(F.min("part").alias("near"))
+        met = labels.join(near, "col_id", "left").select("part", F.least("part", F.coalesce("near", "part")).alias("up"))
+        hooks = written(met.groupBy("part").agg(F.min("up").alias("up")))
+        if hooks.filter("up <> part").isEmpty():
+            return labels
+        for _ in range(2):
+            further = hooks.select(F.col("part").alias("at"), F.col("up").alias("further"))
+            hooks = written(hooks.join(further, F.col("up") == F.col("at"), "left").select("part", F.coalesce("further", "up").alias("up")))
+        labels = written(labels.join(hooks, "part").select("col_id", F.col("up").alias("part")))
+
+
 def cover_rows(rows: DataFrame, target: DataFrame, budget: int = 2_000_000) -> DataFrame:
     """row_id of all rows in some solution, from ``rows`` (row_id, col_id) and ``target`` (col_id, mult).
 
@@ -282,16 +303,8 @@ def cover_rows(rows: DataFrame, target: DataFrame, budget: int = 2_000_000) -> D
     if not target.join(rows, "col_id", "left_anti").isEmpty():
         return rows.select("row_id").limit(0)
     outside = rows.join(target, "col_id", "left_anti").select("row_id").distinct()
-    rows = cut(rows.join(outside, "row_id", "left_anti"))
-    labels = cut(target.select("col_id", F.col("col_id").alias("part")))
-    while True:
-        of_row = rows.join(labels, "col_id").groupBy("row_id").agg(F.min("part").alias("part"))
-        near = rows.join(of_row, "row_id").groupBy("col_id").agg(F.min("part").alias("near"))
-        moved = cut(labels.join(near, "col_id", "left").select("col_id", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part")))
-        if moved.filter("old <> part").isEmpty():
-            break
-        up = moved.select(F.col("col_id").alias("at"), F.col("part").alias("further"))
-        labels = cut(moved.join(up, F.col("part") == F.col("at")).select("col_id", F.least("part", "further").alias("part")))
+    rows = written(rows.join(outside, "row_id", "left_anti"))
+    labels = components(rows, target)
     of_row = rows.join(labels, "col_id")
     problem = of_row.join(target, "col_id").select("part", "row_id", "col_id", "mult", "copies")
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cloakframe.operators.models import MOST_VALUES, TOLERANCE, KAnonymity, PrivacyModel, TCloseness, counted_test, domain_of, whole_domain
@@ -23,6 +23,7 @@ from cloakframe.plans.cut import cut
 from cloakframe.plans.roles import GROUP, RID, is_categorical, with_row_id
 
 ROOT = "R"
+MOST_BROADCAST = 100_000  # rows of a level's bounds, or of ends of a search; more are joined
 
 
 def normalised_spans(df: DataFrame, features: Sequence[str], group: str, categorical: Sequence[str] = ()) -> DataFrame:
@@ -33,27 +34,54 @@ def normalised_spans(df: DataFrame, features: Sequence[str], group: str, categor
     return by.crossJoin(F.broadcast(whole)).select(group, *[F.coalesce(F.try_divide(f, f"__{f}"), F.lit(0.0)).alias(f) for f in features])
 
 
+def _width(name: str) -> Column:
+    """The width of a group's numbers: 0 where all are the same, infinite ones too."""
+    return F.when(F.max(name) == F.min(name), 0.0).otherwise(F.max(name) - F.min(name))
+
+
+def _middle(value: Column) -> Column:
+    """Halfway between the one or two values of a group; halves are added, as sums of large numbers have no end."""
+    return F.when(F.min(value) == F.max(value), F.min(value)).otherwise(F.min(value) * 0.5 + F.max(value) * 0.5)
+
+
+def _median(x: np.ndarray) -> float:
+    """The same of an array's middle."""
+    a, b = np.partition(x, [(len(x) - 1) // 2, len(x) // 2])[[(len(x) - 1) // 2, len(x) // 2]]
+    return float(a) if a == b else float(0.5 * a + 0.5 * b)
+
+
 def searched_medians(rows: DataFrame, sizes: DataFrame, names: Sequence[str], buckets: int = 1024) -> DataFrame:
     """(pid, m_name...): exact medians of ``names`` in the partitions of ``sizes`` (pid, rows).
 
-    Each pass counts the values between two ends in ``buckets`` of equal width and
-    goes on between the smallest and the largest value of the bucket that holds
-    the middle, until that is one value.  A pass moves counts only.
+    The first pass counts the values by sign and power of two, which parts values of
+    any size; in one such class each further pass counts in ``buckets`` of equal
+    width between the smallest and the largest value, and goes on in the bucket
+    that holds the middle, until that is one value: six passes at most for the 52
+    bits of a number.  Passes move counts only; ``sizes`` is broadcast where it is
+    small, so rows stay where they are.
     """
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(n).alias("v")) for i, n in enumerate(names)]))
-    long = rows.join(sizes.select("pid"), "pid", "left_semi").select("pid", values.alias("x")).select("pid", "x.f", "x.v")
+    few = sizes.select("pid")
+    few = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
+    long = rows.join(few, "pid", "left_semi").select("pid", values.alias("x")).select("pid", "x.f", "x.v")
     middle = F.explode(F.array_distinct(F.array(F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2))))
-    ends = long.groupBy("pid", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    search = cut(ends.join(sizes.select("pid", middle.alias("rank")), "pid").withColumn("below", F.lit(0).cast("bigint")))
+    size = F.abs("v")
+    power = F.when(size == float("inf"), 5000).when(size == 0, 0).otherwise(F.floor(F.log2(size)) + 1100)
+    counted = long.groupBy("pid", "f", (F.signum("v") * power).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    until = F.sum("n").over(Window.partitionBy("pid", "f").orderBy("at"))
+    ranks = sizes.select(F.col("pid").alias("p"), middle.alias("rank"))
+    held = counted.withColumn("until", until).join(ranks, (F.col("pid") == F.col("p")) & (F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("n")))
+    search = cut(held.select("pid", "f", "lo", "hi", "rank", (F.col("until") - F.col("n")).alias("below")))
     while not search.filter("lo < hi").isEmpty():
         ahead = search.filter("lo < hi")
+        ahead = F.broadcast(ahead) if ahead.count() <= MOST_BROADCAST else ahead
         inside = long.join(ahead, ["pid", "f"]).filter("v between lo and hi")
         at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
         counted = inside.groupBy("pid", "f", "rank", "below", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         until = F.sum("n").over(Window.partitionBy("pid", "f", "rank").orderBy("at"))
         found = counted.withColumn("until", F.col("below") + until).filter((F.col("until") > F.col("rank")) & (F.col("until") - F.col("n") <= F.col("rank")))
         search = cut(search.filter("lo >= hi").unionByName(found.select("pid", "f", "lo", "hi", "rank", (F.col("until") - F.col("n")).alias("below"))))
-    return search.groupBy("pid").agg(*[F.avg(F.when(F.col("f") == i, F.col("lo"))).alias(f"m_{n}") for i, n in enumerate(names)])
+    return search.groupBy("pid").agg(*[_middle(F.when(F.col("f") == i, F.col("lo"))).alias(f"m_{n}") for i, n in enumerate(names)])
 
 
 @dataclass(frozen=True)
@@ -75,8 +103,9 @@ class Mondrian:
     def partition(self, df: DataFrame) -> DataFrame:
         """(_rid, group_id): ``df`` needs a unique ``_rid``; group_id is the path of splits.
 
-        Nulls in numeric features are rejected: neither side of a median holds
-        them.  The root is returned even where it violates the models.
+        Nulls and NaN in numeric features are rejected: neither side of a median
+        holds them.  Infinite ones are values like others; a width is infinite
+        then, and counts as the whole where the table's is.  The root is returned even where it violates the models.
         """
         categorical = [f for f in self.features if f in self.categorical or is_categorical(df, f)]
         numeric = [f for f in self.features if f not in categorical]
@@ -91,10 +120,10 @@ class Mondrian:
         else:
             rows = rows.drop("s").withColumns({"q": F.lit(1.0), "rank": F.lit(0).cast("bigint")})
         rows = cut(rows)
-        span = lambda n: F.max(n) - F.min(n) if n[0] == "n" else F.count_distinct(n).cast("double")
-        scale = rows.agg(F.count(F.lit(1)).alias("rows"), *[span(n).alias(n) for n in names], *[F.count_if(F.col(n).isNull()).alias(f"bad_{n}") for n in names if n[0] == "n"]).first()
+        span = lambda n: _width(n) if n[0] == "n" else F.count_distinct(n).cast("double")
+        scale = rows.agg(F.count(F.lit(1)).alias("rows"), *[span(n).alias(n) for n in names], *[F.count_if(F.col(n).isNull() | F.isnan(n)).alias(f"bad_{n}") for n in names if n[0] == "n"]).first()
         if any(scale[f"bad_{n}"] for n in names if n[0] == "n"):
-            raise ValueError("numeric features hold nulls")
+            raise ValueError("numeric features hold nulls or NaN")
         if not scale["rows"]:
             return rows.select(RID, F.col("pid").alias(GROUP))
         scales = {n: float(scale[n] or 0) for n in names}
@@ -127,6 +156,11 @@ class Mondrian:
             out = out.unionByName(d)
         return cut(out)
 
+    @staticmethod
+    def _small(df: DataFrame) -> DataFrame:
+        """A table of a row for each partition (written already), broadcast if it has few."""
+        return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
     def _bounds(self, active: DataFrame, names: Sequence[str], large: bool) -> DataFrame:
         """(pid, rows, median and width of each number, width and cut of each set of categories).
 
@@ -134,7 +168,7 @@ class Mondrian:
         that first stand before the cut.
         """
         numeric = [n for n in names if n[0] == "n"]
-        simple = [F.count(F.lit(1)).alias("rows"), *[(F.max(n) - F.min(n)).alias(f"w_{n}") for n in numeric]]
+        simple = [F.count(F.lit(1)).alias("rows"), *[_width(n).alias(f"w_{n}") for n in numeric]]
         gathered = [F.median(n).alias(f"m_{n}") for n in numeric]
         if not large or not numeric:
             bounds = active.groupBy("pid").agg(*simple, *gathered)
@@ -152,12 +186,13 @@ class Mondrian:
 
     def _split(self, active: DataFrame, bounds: DataFrame, names: Sequence[str], scales: dict[str, float], domain: DataFrame, shares: np.ndarray, limit: int) -> DataFrame:
         """``active`` with ``side`` L or R, "local" where few rows are left, null where a partition is finished."""
-        joined = active.join(bounds, "pid")
+        joined = active.join(self._small(bounds), "pid")
         for c in (n for n in names if n[0] == "c"):
             first = active.groupBy("pid", c).agg(F.min(RID).alias(f"f_{c}"))
             joined = joined.join(first, ["pid", c])
-        normal = lambda n: F.col(f"w_{n}") / scales[n] if scales[n] else F.lit(0.0)
-        left = lambda n: F.col(n if n[0] == "n" else f"f_{n}") < F.col(f"m_{n}")
+        normal = lambda n: (F.col(f"w_{n}") == scales[n]).cast("double") if np.isinf(scales[n]) else F.col(f"w_{n}") / scales[n] if scales[n] else F.lit(0.0)
+        # no value is below a middle between the two infinities, which is no number
+        left = lambda n: (F.col(n) < F.col(f"m_{n}")) & ~F.isnan(f"m_{n}") if n[0] == "n" else F.col(f"f_{n}") < F.col(f"m_{n}")
         options = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), normal(n).alias("span"), left(n).alias("left")) for i, n in enumerate(names)]))
         large = joined.filter(F.col("rows") > limit)
         sides = large.select("pid", "rank", "q", options.alias("o")).groupBy("pid", "o.f", "o.left", "rank").agg(F.count(F.lit(1)).alias("n"), F.first("o.span").alias("span"), F.first("q").alias("q"))
@@ -175,7 +210,7 @@ class Mondrian:
             per_side = per_side.join(far, keys).select(*keys, (F.col("ok") & (F.col("distance") <= m.t + TOLERANCE)).alias("ok"), "span")
         feasible = per_side.groupBy("pid", "f").agg((F.min("ok") & (F.count(F.lit(1)) == 2)).alias("ok"), F.first("span").alias("span")).filter("ok")
         chosen = feasible.groupBy("pid").agg(F.min_by("f", F.struct((-F.col("span")).alias("o"), F.col("f").alias("g"))).alias("f"))
-        placed = joined.join(chosen, "pid", "left")
+        placed = joined.join(self._small(cut(chosen)), "pid", "left")
         side = F.lit(None).cast("string")
         for i, n in enumerate(names):
             side = F.when(F.col("f") == i, F.when(left(n), "L").otherwise("R")).otherwise(side)
@@ -195,6 +230,7 @@ class Mondrian:
                 return all(m.holds_class(present, counts, q[at][first], shares) for m in models)
 
             stack = [(np.arange(len(pdf)), str(pdf["pid"].iloc[0]))]
+            np.seterr(over="ignore", invalid="ignore")  # widths and middles of infinite values
             while stack:
                 at, path = stack.pop()
                 cut_ = None
@@ -202,12 +238,12 @@ class Mondrian:
                     spans = {}
                     for n in names:
                         x = data[n][at]
-                        wide = x.max() - x.min() if n[0] == "n" else len(np.unique(x))
-                        spans[n] = wide / scales[n] if scales[n] else 0.0
+                        wide = (x.max() - x.min() if x.max() > x.min() else 0.0) if n[0] == "n" else len(np.unique(x))
+                        spans[n] = float(wide == scales[n]) if np.isinf(scales[n]) else wide / scales[n] if scales[n] else 0.0
                     for n in sorted(names, key=lambda n: -spans[n]):
                         x = data[n][at]
                         if n[0] == "n":
-                            left = x < np.median(x)
+                            left = x < _median(x)
                         else:
                             u, first = np.unique(x, return_index=True)
                             left = np.isin(x, u[np.argsort(first)][: len(u) // 2])

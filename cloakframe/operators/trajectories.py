@@ -164,19 +164,25 @@ class TrajectoryAttacker(BaseAttacker):
         records = reduce(DataFrame.union, [r for _, r in self.layers])
         own = lambda g, t: -(F.col(g) * every + t + 1)  # noqa: E731  a class's column in a release
         target = cut(records.union(reduce(DataFrame.union, [groups.select(own("g", t), "n") for t in range(every)])).toDF("col_id", "mult"))
+
+        def edges_of(graph: list[DataFrame]) -> DataFrame:
+            met = [arcs.select("__class", "__seen", "__col").distinct().join(groups, ["__class", "__seen"]) for arcs in graph]
+            found = [m.select(F.lit(t).alias("t"), "__class", "__seen", "__col", own("g", t).alias("own"), "n") for t, m in enumerate(met)]
+            return cut(reduce(DataFrame.union, found).withColumn("row_id", F.monotonically_increasing_id()))
+
+        edges = edges_of(graph)
         while True:
-            edges = []
-            for t, arcs in enumerate(graph):
-                met = arcs.select("__class", "__seen", "__col").distinct().join(groups, ["__class", "__seen"])
-                edges.append(met.select(F.lit(t).alias("t"), "__class", "__seen", "__col", own("g", t).alias("own"), "n"))
-            edges = cut(reduce(DataFrame.union, edges).withColumn("row_id", F.monotonically_increasing_id()))
             rows = edges.select("row_id", F.col("__col").alias("col_id"), F.col("n").alias("copies")).union(edges.select("row_id", "own", "n"))
             live = cut(edges.join(cover_rows(rows, target, budget), "row_id", "left_semi"))
-            settled = live.count() == edges.count()
-            if not settled:
-                graph = [cut(arcs.join(live.filter(F.col("t") == t), ["__class", "__seen", "__col"], "left_semi").select(*ARC)) for t, arcs in enumerate(graph)]
-                graph = self._pruned(graph)
-            if settled or every == 1:
+            left = live.count()
+            if left == edges.count():
+                break
+            graph = [cut(arcs.join(live.filter(F.col("t") == t), ["__class", "__seen", "__col"], "left_semi").select(*ARC)) for t, arcs in enumerate(graph)]
+            if every == 1:
+                break
+            graph = self._pruned(graph)
+            edges = edges_of(graph)
+            if edges.count() == left:  # every edge that is left is in some matching still
                 break
         if every > 1:
             graph = self._searched(graph, groups, records, budget)

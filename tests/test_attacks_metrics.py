@@ -379,3 +379,17 @@ def test_long_chain_needs_no_budget():
     rows = {2 * i: [i, n + i] for i in range(n)} | {2 * i + 1: [i, n + i + 1] for i in range(n - 1)}
     target = dict.fromkeys(range(2 * n), 3)
     assert rows_in_solutions(target, rows, budget=1, times=dict.fromkeys(rows, 3)) == {2 * i for i in range(n)}
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    from cloakframe.operators.cover import components
+
+    draw = random.Random(2)
+    names = draw.sample(range(10_000), 600)
+    edges = [(names[i], names[i + 1]) for i in range(299)] + [(names[300], names[i]) for i in range(301, 500)]
+    rows = spark.createDataFrame([(n, c) for n, e in enumerate(edges) for c in e], "row_id bigint, col_id bigint")
+    target = spark.createDataFrame([(c,) for c in names], "col_id bigint")
+    got = {r["col_id"]: r["part"] for r in components(rows, target).collect()}
+    assert got == {**dict.fromkeys(names[:300], min(names[:300])), **dict.fromkeys(names[300:500], min(names[300:500])), **{c: c for c in names[500:]}}

@@ -230,3 +230,47 @@ def test_models_metrics_and_partitioners_of_ones_own(spark):
     assert release.agg(F.sum("count")).first()[0] == 120 and release.select("x").distinct().count() == 11
     with pytest.raises(ValueError, match="unknown algorithm"):
         Anonymiser(df, "s", ["x"], algorithm="none")
+
+
+@pytest.mark.parametrize("values", [
+    [float(i) for i in range(50)] + [float("inf")] * 3,
+    [float("-inf")] * 4 + [1e308, -1e308, 0.0, -0.0, 5e-324, 1e-300] * 3 + [float("inf")] * 5,
+    [10.0**k for k in range(-300, 300, 7)] + [-(3.0**k) for k in range(-600, 600, 13)],
+    [float("inf")] * 30 + [1.0] * 31,
+])
+def test_any_numbers_are_parted_alike_in_every_way(spark, values):
+    """Infinite and very large numbers: medians searched or gathered, partitions finished locally or not."""
+    import random
+
+    draw = random.Random(1)
+    rows = [(i, v, draw.randint(0, 9), draw.choice("abcd")) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "_rid bigint, x double, y int, s string")
+    found = []
+    for local_rows, median_rows in ((0, 5), (20, 1_000_000), (10_000, 1_000_000)):
+        models = (KAnonymity(8), DistinctLDiversity(2, "s"))
+        parts = Mondrian(models, ("x", "y"), local_rows=local_rows, median_rows=median_rows).partition(df).collect()
+        found.append(sorted((r["_rid"], r["group_id"]) for r in parts))
+    assert all(f == found[0] for f in found)
+    assert len({g for _, g in found[0]}) > 1
+
+
+def test_numbers_that_are_none_are_refused(spark):
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(i, float(i) if i else bad) for i in range(20)], "_rid bigint, x double")
+        for local_rows in (0, 1000):
+            with pytest.raises(ValueError, match="NaN"):
+                Mondrian((KAnonymity(2),), ("x",), local_rows=local_rows).partition(df)
+
+
+def test_medians_in_few_passes(spark, monkeypatch):
+    from cloakframe.operators import mondrian
+
+    passes = []
+    real = mondrian.cut
+    monkeypatch.setattr(mondrian, "cut", lambda df: passes.append(1) or real(df))
+    values = [(2.0**k) * (1 + j / 7) * s for k in range(-1000, 1000, 50) for j in range(6) for s in (1, -1)] + [float("inf")] * 9
+    rows = spark.createDataFrame([("R", v) for v in values], "pid string, n0 double")
+    got = mondrian.searched_medians(rows, spark.createDataFrame([("R", len(values))], "pid string, rows bigint"), ["n0"], 64).first()
+    import statistics
+
+    assert got["m_n0"] == statistics.median(values) and len(passes) <= 1 + 9
