@@ -88,17 +88,16 @@ def _ranked(sides: list[DataFrame]) -> list[DataFrame]:
     return sides
 
 
-def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], sizes: tuple[int, int]) -> DataFrame:
+def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], sizes: tuple[int, int], low, high) -> DataFrame:
+    if low is None:
+        return k.join(g, F.lit(False)).select("k", "k_id", "g", "g_id")
     sides = []
     for df, x in ((k, ends_k), (g, ends_g)):
-        sides.append(df.withColumn("__a", x[0]).withColumn("__b", x[1]).withColumn("lo", F.least("__a", "__b")).withColumn("hi", F.greatest("__a", "__b")).filter("__a is not null and __b is not null").drop("__a", "__b"))
-    found = sides[0].select("lo", "hi").union(sides[1].select("lo", "hi")).agg(F.min("lo").alias("low"), F.max("hi").alias("high")).first()
-    if found["low"] is None:
-        return k.join(g, F.lit(False))
-    if sides[0].schema["lo"].dataType.simpleString() in WHOLE and found["high"] - found["low"] < MOST_PLACES:
-        low = found["low"]
+        ends = df.withColumn("__a", x[0]).withColumn("__b", x[1]).filter("__a is not null and __b is not null")
+        sides.append(ends.withColumn("lo", F.least("__a", "__b")).withColumn("hi", F.greatest("__a", "__b")).drop("__a", "__b"))
+    if all(s.schema["lo"].dataType.simpleString() in WHOLE for s in sides) and high - low < MOST_PLACES:
         sides = [s.withColumns({e: F.col(e).cast("bigint") - low for e in ("lo", "hi")}) for s in sides]
-        top = int(found["high"] - low + 1).bit_length()
+        top = int(high - low + 1).bit_length()
     else:
         sides = [cut(s) for s in _ranked(sides)]
         top = int(max(s.agg(F.max("hi")).first()[0] or 0 for s in sides) + 1).bit_length()
@@ -118,22 +117,35 @@ def _by_value(k: DataFrame, g: DataFrame, wanted: Column, held: Column, sizes: t
     return joined.filter(F.col("__v") == F.array_min(F.array_intersect("__wanted", "__held"))).select("k", "k_id", "g", "g_id")
 
 
-def _share_met(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, column: str) -> float:
+def _measured(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, intervals: Sequence[str]) -> tuple[tuple[int, int], dict[str, tuple]]:
+    """Numbers of regions of both sides; for each interval column its lowest and highest end and the sum of both mean widths."""
+    both = None
+    for side, (df, name) in enumerate(((k, "k"), (g, "g"))):
+        ends = []
+        for i, c in enumerate(intervals):
+            a, b = schema.bounds(_field(name), c)
+            ends += [F.least(a, b).alias(f"a{i}"), F.greatest(a, b).alias(f"b{i}")]
+        mine = df.select(F.lit(side).alias("side"), *ends)
+        both = mine if both is None else both.union(mine)
+    found = [f(F.col(f"{x}{i}")).alias(f"{x}{i}") for i in range(len(intervals)) for f, x in ((F.min, "a"), (F.max, "b"))]
+    widths = [F.avg(F.col(f"b{i}").cast("double") - F.col(f"a{i}").cast("double")).alias(f"w{i}") for i in range(len(intervals))]
+    rows = {r["side"]: r for r in both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), *found, *widths).collect()}
+    stats = {}
+    for i, c in enumerate(intervals):
+        known = [r for r in rows.values() if r[f"a{i}"] is not None]
+        stats[c] = (min((r[f"a{i}"] for r in known), default=None), max((r[f"b{i}"] for r in known), default=None), sum(r[f"w{i}"] for r in known))
+    return tuple(rows[s]["n"] if s in rows else 0 for s in (0, 1)), stats
+
+
+def _share_met(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, column: str, sizes: tuple[int, int], stats: dict[str, tuple]) -> float:
     """About what share of all pairs meet in a column: by mean widths, or by how often values occur."""
-    if schema.bounds(_field("k"), column):
-        stats = []
-        for df, name in ((k, "k"), (g, "g")):
-            lo, hi = (x.cast("double") for x in schema.bounds(_field(name), column))
-            stats.append(df.agg(F.min(lo), F.max(hi), F.avg(hi - lo)).first())
-        known = [s for s in stats if s[0] is not None]
-        width = max((s[1] for s in known), default=0.0) - min((s[0] for s in known), default=0.0)
-        return min(1.0, (sum(s[2] for s in known) + 1) / (width + 1))
-    times = []
-    for df, name, side in ((k, "k", 0), (g, "g", 1)):
-        values = F.explode(F.array_distinct(schema.keys(_field(name), column)[side])).alias("v")
-        times.append(df.select(values).groupBy("v").agg(F.count(F.lit(1)).cast("double").alias(name)))
-    total = times[0].join(times[1], "v").agg(F.sum(F.col("k") * F.col("g"))).first()[0] or 0.0
-    return total / max(1.0, float(k.count()) * g.count())
+    if column in stats:
+        low, high, widths = stats[column]
+        return 0.0 if low is None else min(1.0, (widths + 1.0) / (float(high) - float(low) + 1.0))
+    values = lambda name, side: F.explode(F.array_distinct(schema.keys(_field(name), column)[side])).alias("v")
+    both = k.select(values("k", 0), F.lit(1).alias("k"), F.lit(0).alias("g")).union(g.select(values("g", 1), F.lit(0), F.lit(1)))
+    by = both.groupBy("v").agg(F.sum("k").cast("double").alias("k"), F.sum("g").cast("double").alias("g"))
+    return (by.agg(F.sum(F.col("k") * F.col("g"))).first()[0] or 0.0) / max(1.0, float(sizes[0]) * sizes[1])
 
 
 def _as(value: Column, kind: str, other: str) -> Column:
@@ -152,14 +164,15 @@ def candidate_regions(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, on:
     kinds = [{x.name: x.dataType.simpleString() for x in df.schema[name].dataType} for df, name in ((k, "k"), (g, "g"))]
     alike = lambda name: [_as(F.col(name)[c], kinds[0][c], kinds[1][c]) for c in equal]
     keyed = [df.withColumn("__equal", F.xxhash64(*alike(name)) if equal else F.lit(0).cast("bigint")) for df, name in ((k, "k"), (g, "g"))]
+    intervals = [n for n in inner if schema.bounds(_field("k"), n)]
+    sizes, stats = _measured(k, g, schema, intervals)
     if not inner:
         if len(equal) < sum(len(schema.physical(n)) for n in on):  # a schema with tests of its own
             return k.join(g, schema.overlaps(_field("k"), _field("g"), on)).select("k", "k_id", "g", "g_id")
-        return _tiles((keyed[0], keyed[1]), ["__equal"], (k.count(), g.count())).select("k", "k_id", "g", "g_id")
-    best = min(inner, key=lambda n: _share_met(k, g, schema, n)) if len(inner) > 1 else inner[0]
-    sizes = (k.count(), g.count())
-    if schema.bounds(_field("k"), best):
-        return _by_interval(*keyed, schema.bounds(_field("k"), best), schema.bounds(_field("g"), best), sizes)
+        return _tiles((keyed[0], keyed[1]), ["__equal"], sizes).select("k", "k_id", "g", "g_id")
+    best = min(inner, key=lambda n: _share_met(k, g, schema, n, sizes, stats)) if len(inner) > 1 else inner[0]
+    if best in stats:
+        return _by_interval(*keyed, schema.bounds(_field("k"), best), schema.bounds(_field("g"), best), sizes, *stats[best][:2])
     return _by_value(*keyed, schema.keys(_field("k"), best)[0], schema.keys(_field("g"), best)[1], sizes)
 
 
