@@ -46,13 +46,6 @@ def hashable(df: DataFrame) -> list[Column]:
     return [text(c) if has_map(f.dataType) else F.col(c) for c, f in zip(quoted(df), df.schema.fields, strict=True)]
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a local session (tests) gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)

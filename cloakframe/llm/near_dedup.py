@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import hashable, arrow_rows, checkpointed, quoted, small, unused
+from cloakframe.llm.common import arrow_rows, checkpointed, hashable, quoted, small
 from cloakframe.llm.graph import components
 
 FILTER_BUCKETS = 1 << 20
