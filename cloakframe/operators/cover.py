@@ -272,8 +272,7 @@ def components(rows: DataFrame, target: DataFrame) -> DataFrame:
     """(col_id, part): columns that hang together by rows have the same part, their smallest column.
 
     In each round every part is hooked to the smallest part that a row of it
-    leads to, and the hooks are followed twice, so at least half of the parts
-    that are not done go.
+    leads to, and the hooks are followed twice.
     """
     labels = written(target.select("col_id", F.col("col_id").alias("part")))
     while True:
