@@ -28,14 +28,16 @@ from cloakframe.plans.roles import Record, number_rows
 
 MOST_PAIRS = 20_000_000
 MOST_PLACES = 1 << 20  # whole numbers of a wider range are ranked
+FEW_PAIRS = 8  # candidates a region, up to which no other column is looked at
 MOST_TILED = 100_000  # tiled cells that are broadcast; more are joined
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def regions(df: DataFrame, physical: Sequence[str], name: str) -> DataFrame:
-    """(name struct, name_id): the distinct values of columns."""
+    """(name struct, name_hash, name_id): the distinct values of columns, numbered."""
     quoted = [f"`{c}`" for c in physical]
-    return cut(df.select(*quoted).distinct().select(F.struct(*quoted).alias(name), F.xxhash64(*quoted).alias(f"{name}_id")))
+    found = df.select(*quoted).distinct().select(F.struct(*quoted).alias(name), F.xxhash64(*quoted).alias(f"{name}_hash"))
+    return cut(found.withColumn(f"{name}_id", F.monotonically_increasing_id()))
 
 
 def _field(name: str) -> Record:
@@ -148,6 +150,16 @@ def _share_met(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, column: st
     return (by.agg(F.sum(F.col("k") * F.col("g"))).first()[0] or 0.0) / max(1.0, float(sizes[0]) * sizes[1])
 
 
+def _fewest_met(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, inner: Sequence[str], sizes: tuple[int, int], stats: dict[str, tuple]) -> str:
+    """The column in which the fewest pairs meet; values are counted only where no interval leaves a few a region."""
+    if len(inner) == 1:
+        return inner[0]
+    share = {n: _share_met(k, g, schema, n, sizes, stats) for n in inner if n in stats}
+    if min(share.values(), default=1.0) * sizes[0] * sizes[1] > FEW_PAIRS * (sizes[0] + sizes[1]):
+        share |= {n: _share_met(k, g, schema, n, sizes, stats) for n in inner if n not in stats}
+    return min(share, key=share.get)
+
+
 def _as(value: Column, kind: str, other: str) -> Column:
     """A value in a type in which equal values of both types are hashed alike."""
     if kind in WHOLE and other in WHOLE:
@@ -170,7 +182,7 @@ def candidate_regions(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, on:
         if len(equal) < sum(len(schema.physical(n)) for n in on):  # a schema with tests of its own
             return k.join(g, schema.overlaps(_field("k"), _field("g"), on)).select("k", "k_id", "g", "g_id")
         return _tiles((keyed[0], keyed[1]), ["__equal"], sizes).select("k", "k_id", "g", "g_id")
-    best = min(inner, key=lambda n: _share_met(k, g, schema, n, sizes, stats)) if len(inner) > 1 else inner[0]
+    best = _fewest_met(k, g, schema, inner, sizes, stats)
     if best in stats:
         return _by_interval(*keyed, schema.bounds(_field("k"), best), schema.bounds(_field("g"), best), sizes, *stats[best][:2])
     return _by_value(*keyed, schema.keys(_field("k"), best)[0], schema.keys(_field("g"), best)[1], sizes)
@@ -181,24 +193,21 @@ def region_pairs(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, on: Sequ
     return candidate_regions(k, g, schema, on).filter(schema.overlaps(_field("k"), _field("g"), on))
 
 
-def of_region(df: DataFrame, physical: Sequence[str], name: str, row: str) -> DataFrame:
-    """(row struct, row_id, row_of): the records of a table with the region they belong to."""
-    quoted, every = [f"`{c}`" for c in physical], [f"`{c}`" for c in df.columns]
-    return df.select(F.struct(*every).alias(row), F.xxhash64(*quoted).alias(f"__{name}_id"), F.struct(*quoted).alias(f"__{name}"))
-
-
-def spread(pairs: DataFrame, records: DataFrame, name: str) -> DataFrame:
-    """``pairs`` of regions with the records of side ``name`` in the place of their region."""
-    same = (F.col(f"{name}_id") == F.col(f"__{name}_id")) & F.col(name).eqNullSafe(F.col(f"__{name}"))
-    return pairs.join(records, same).drop(name, f"{name}_id", f"__{name}", f"__{name}_id")
+def of_region(df: DataFrame, found: DataFrame, physical: Sequence[str], name: str, *kept: Column) -> DataFrame:
+    """(name_id, kept columns): the records of a table with the number that their region has in ``found``."""
+    quoted = [f"`{c}`" for c in physical]
+    hashed = df.select(*kept, F.xxhash64(*quoted).alias("__hash"), F.struct(*quoted).alias("__region"))
+    same = (F.col("__hash") == F.col(f"{name}_hash")) & F.col("__region").eqNullSafe(F.col(name))
+    return hashed.join(found, same).drop("__hash", "__region", name, f"{name}_hash")
 
 
 def overlap_join(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSchema, on: Sequence[str]) -> DataFrame:
     """Pairs (k struct, r struct) of records that overlap on ``on``; all pairs, if ``on`` is empty."""
     physical = [c for n in on for c in schema.physical(n)]
+    whole = lambda df, name: F.struct(*[f"`{c}`" for c in df.columns]).alias(name)
     if not physical:
-        every = lambda df, name: df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias(name))
-        return every(knowledge, "k").crossJoin(every(release, "r"))
-    pairs = region_pairs(regions(knowledge, physical, "k"), regions(release, physical, "g"), schema, on)
-    with_r = spread(pairs, of_region(release, physical, "g", "r"), "g")
-    return spread(with_r, of_region(knowledge, physical, "k", "__row"), "k").select(F.col("__row").alias("k"), "r")
+        return knowledge.select(whole(knowledge, "k")).crossJoin(release.select(whole(release, "r")))
+    k, g = regions(knowledge, physical, "k"), regions(release, physical, "g")
+    pairs = region_pairs(k, g, schema, on).select("k_id", "g_id")  # numbers only: regions may have hundreds of columns
+    with_r = pairs.join(of_region(release, g, physical, "g", whole(release, "r")), "g_id")
+    return with_r.join(of_region(knowledge, k, physical, "k", whole(knowledge, "k").alias("__row")), "k_id").select(F.col("__row").alias("k"), "r")
