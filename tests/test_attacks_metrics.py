@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,34 @@ def test_absent_targets(spark):
     assert path.predict(0, "QI1") == {1: 1.0}
 
 
+def test_intersection_against_plain(spark):
+    """Shared and alternative knowledge, nulls, repeated rows, absent targets, releases that lack a column."""
+    draw = random.Random(3)
+    shapes = [(lo, lo + draw.randint(0, 2), draw.random() < 0.6, draw.random() < 0.6) for lo in range(6)] + [(None, 3, True, True)]
+    know = [(i, *draw.choice(shapes)) for i in range(24) for _ in range(draw.choice((1, 1, 2)))] + [(0, *shapes[0])] * 2
+    releases = []
+    for _ in range(3):
+        rows = []
+        for _ in range(10):
+            lo = draw.randint(0, 7)
+            rows.append((lo, lo + draw.randint(0, 2), draw.random() < 0.7, draw.random() < 0.7, draw.randint(1, 6), 1))
+        releases.append((rows + rows[:2], draw.choice((["QI1", "QI2", "S"], ["QI1", "S"])), {i for i in range(24) if draw.random() < 0.7}))
+    releases.append(([(0, 9, True, True, 1, 1)], ["QI1", "QI2", "S"], {2, 3, 99}))
+    attacker, expected = IntersectionAttacker(spark.createDataFrame(know, KNOWLEDGE), ["QI1", "QI2"], "S", MR), {}
+    for rows, columns, present in releases:
+        attacker.observe(spark.createDataFrame(rows, RELEASE), columns, sorted(present))
+        for i in present:
+            met = {
+                r[4]
+                for r in rows
+                for k in know
+                if k[0] == i and None not in k and k[1] <= r[1] and r[0] <= k[2] and ("QI2" not in columns or (k[3] and r[2]) or (k[4] and r[3]))
+            }
+            expected[i] = expected[i] & met if i in expected else met
+    found = [(r["ID"], r["value"]) for r in attacker.predict_all("S").collect()]
+    assert sorted(found) == sorted((i, v) for i, values in expected.items() for v in values)
+
+
 def test_finalise_uses_counts(spark):
     who = spark.createDataFrame([(0, 1, 1, True, False), (1, 1, 2, True, False)], KNOWLEDGE)
     seen = spark.createDataFrame([(1, 1, True, False, 7, 1), (2, 2, True, False, 8, 1)], RELEASE)
