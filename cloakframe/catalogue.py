@@ -16,6 +16,7 @@ from cloakframe.functions.sets import euclidean, mismatches
 from cloakframe.operators.anonymiser import Anonymiser
 from cloakframe.operators.attackers import IntersectionAttacker
 from cloakframe.operators.clustering import Clustering
+from cloakframe.operators.components import PrincipalComponents
 from cloakframe.operators.cover import cover_rows
 from cloakframe.operators.images import KSame
 from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
@@ -421,6 +422,40 @@ def ksame_eigen(spark, sf_dir):
     return joined.agg(F.count(F.lit(1)).alias("n_images"), F.count_if(euclidean(F.col("pixels"), F.col("other")) > 1e-6).alias("different"))
 
 
+@query(
+    "WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings), c AS (SELECT vec_id, place, v - avg(v) OVER (PARTITION BY place) AS v FROM p) "
+    "SELECT a.place AS a, b.place AS b, round(sum(a.v * b.v) / ((SELECT count(*) FROM embeddings) - 1), 8) AS covariance FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2"
+)
+def principal_components(spark, sf_dir):
+    """Variances measured on the projected rows, turned back by the axes, make up the covariance matrix only if these are its own."""
+    images = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = PrincipalComponents.fit(images, "embedding")
+    measured = model.project(images, "vec_id", "embedding").select(F.posexplode("components").alias("k", "v")).groupBy("k").agg(F.var_samp("v").alias("variance"))
+    axes = spark.createDataFrame([(k, axis.tolist()) for k, axis in enumerate(model.axes)], "k int, axis array<double>")
+    a = axes.select("k", F.posexplode("axis").alias("a", "x")).join(F.broadcast(measured), "k")
+    b = axes.select("k", F.posexplode("axis").alias("b", "y"))
+    products = a.join(b, "k").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y") * F.col("variance")).alias("covariance"))
+    return products.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.round("covariance", 8).alias("covariance"))
+
+
+# two pixels have components in closed form: a turn by half the angle of (variances' difference, twice the covariance)
+_TURNED = (
+    "(SELECT s_suppkey, x * cos(w) + y * sin(w) AS u, y * cos(w) - x * sin(w) AS v FROM (SELECT s_suppkey, s_acctbal AS x, 100.0 * s_nationkey AS y FROM supplier), "
+    "(SELECT 0.5 * atan2(2 * covar_samp(s_acctbal, 100.0 * s_nationkey), var_samp(s_acctbal) - var_samp(100.0 * s_nationkey)) AS w FROM supplier))"
+)
+
+
+@query(
+    mdav_sql(_TURNED, "s_suppkey", ("u", "v"), 5)
+    + " SELECT rid AS image_id, cluster, round(avg(s_acctbal) OVER (PARTITION BY cluster), 5) AS first, round(avg(100.0 * s_nationkey) OVER (PARTITION BY cluster), 5) AS second FROM cluster_of JOIN supplier ON s_suppkey = rid"
+)
+def ksame_clusters(spark, sf_dir):
+    """Images of two pixels: every image's cluster and its pixels, by components of the whole table."""
+    images = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.array(F.col("s_acctbal").cast("double"), F.col("s_nationkey") * 100.0).alias("pixels"))
+    done = KSame(5, "eigen", "mdav").anonymise(images)
+    return done.select("image_id", F.regexp_extract("cluster", ":(\\d+)$", 1).cast("bigint").alias("cluster"), *[F.round(F.get("pixels", F.lit(n)), 5).alias(c) for n, c in enumerate(("first", "second"))])
+
+
 # -- schema algebra -----------------------------------------------------------
 @query(f"WITH {_release_sql()} SELECT {_COLS} FROM rel WHERE {_MEETS}")
 def mr_select(spark, sf_dir):

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.operators.anonymiser import Anonymiser
-from cloakframe.operators.clustering import Clustering, Points, fmdav, mdav
+from cloakframe.operators.clustering import Clustering, Points, fmdav, mdav, random_choice
+from cloakframe.operators.components import PrincipalComponents
 from cloakframe.operators.images import KSame
 from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness, check
 from cloakframe.operators.mondrian import Mondrian, numbered, searched_medians
@@ -274,3 +275,70 @@ def test_medians_in_few_passes(spark, monkeypatch):
     import statistics
 
     assert got["m_n0"] == statistics.median(values) and len(passes) <= 1 + 9
+
+
+def pictures(spark, x, parts=5):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "image_id bigint, pixels array<double>").repartition(parts)
+
+
+def plain_components(x):
+    centred = x - x.mean(axis=0)
+    _, s, axes = np.linalg.svd(centred, full_matrices=False)
+    kept = s > 1e-6 * max(1.0, s.max())
+    return axes[kept], s[kept] ** 2 / (len(x) - 1)
+
+
+@pytest.mark.parametrize("widest", [2048, 40])
+def test_principal_components_equal_a_plain_decomposition(spark, widest, monkeypatch):
+    """Up to signs, in strips, with fewer rows than numbers as well (the subspace holds all rows)."""
+    monkeypatch.setattr("cloakframe.operators.components.STRIP", 100)
+    draw = np.random.default_rng(5)
+    for x in (draw.normal(size=(200, 12)) @ np.diag(1.5 ** np.arange(12)) + 1000, draw.normal(size=(30, 50)), np.outer(np.arange(9.0), [1.0, 2, 3])):
+        axes, variances = plain_components(x)
+        got = PrincipalComponents.fit(pictures(spark, x), "pixels", widest=widest)
+        assert np.allclose(got.variances, variances) and np.allclose(np.abs((got.axes * axes).sum(axis=1)), 1)
+        inner = np.array([r["components"] for r in got.project(pictures(spark, x), "image_id", "pixels").orderBy("image_id").collect()])
+        assert np.allclose(got.restore(inner), x)
+
+
+def test_principal_components_of_wide_rows(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(120, 4)) * [40, 20, 10, 5] @ draw.normal(size=(4, 90)) + 0.01 * draw.normal(size=(120, 90))
+    axes, variances = plain_components(x)
+    got = PrincipalComponents.fit(pictures(spark, x), "pixels", n_components=3, widest=50)
+    assert got.axes.shape == (3, 90) and np.allclose(got.variances, variances[:3])
+    assert np.allclose(np.abs((got.axes * axes[:3]).sum(axis=1)), 1)
+    with pytest.raises(ValueError, match="n_components"):
+        PrincipalComponents.fit(pictures(spark, x), "pixels", widest=50)
+    with pytest.raises(ValueError, match="most_numbers"):
+        PrincipalComponents.fit(pictures(spark, x), "pixels", n_components=3, widest=50, most_numbers=1000)
+
+
+@pytest.mark.parametrize("rows", [[[1.0], [1.0, 2.0]], [None, [1.0]], [[float("nan")]], [[float("-inf")]], [[None, 1.0]]])
+def test_components_of_finite_arrays_of_one_length_only(spark, rows):
+    with pytest.raises(ValueError, match="finite"):
+        PrincipalComponents.fit(spark.createDataFrame([(r,) for r in rows], "v array<double>"), "v")
+
+
+@pytest.mark.parametrize("algorithm", ["mdav", "random"])
+@pytest.mark.parametrize("kept", [None, 2])
+def test_k_same_equals_a_plain_version(spark, algorithm, kept):
+    x = np.random.default_rng(7).normal(size=(90, 5)) @ np.random.default_rng(8).normal(size=(5, 5))
+    axes, _ = plain_components(x)
+    axes = axes[:kept]
+    inner = (x - x.mean(axis=0)) @ axes.T
+    points = Points(inner, np.empty((len(x), 0), int), algorithm == "mdav")
+    want = mdav(points, 4) if algorithm == "mdav" else random_choice(points, 4, 0)
+    for variant in ("pixel", "eigen"):
+        got = KSame(4, variant, algorithm, kept).anonymise(pictures(spark, x)).orderBy("image_id").toPandas()
+        assert got["cluster"].tolist() == [f"all:{c}" for c in want]
+        means = np.array([(x if variant == "pixel" else inner @ axes + x.mean(axis=0))[want == c].mean(axis=0) for c in want])
+        assert np.allclose(np.array(got["pixels"].tolist()), means)
+
+
+def test_k_same_of_no_images_and_of_equal_ones(spark):
+    form = "image_id bigint, pixels array<double>"
+    for variant in ("pixel", "eigen"):
+        assert KSame(3, variant, "mdav").anonymise(spark.createDataFrame([], form)).count() == 0
+        same = KSame(3, variant, "mdav").anonymise(spark.createDataFrame([(i, [0.1, 0.7]) for i in range(10)], form), None).toPandas()
+        assert sorted(same["cluster"].value_counts()) == [3, 3, 4] and all(np.allclose(p, [0.1, 0.7]) for p in same["pixels"])
