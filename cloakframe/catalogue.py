@@ -20,7 +20,7 @@ from cloakframe.operators.components import PrincipalComponents
 from cloakframe.operators.cover import cover_rows
 from cloakframe.operators.images import KSame
 from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
-from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, TCloseness, frequencies
+from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness, check, frequencies
 from cloakframe.operators.mondrian import Mondrian, normalised_spans, numbered
 from cloakframe.operators.overlap import overlap_join
 from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
@@ -456,6 +456,52 @@ def ksame_clusters(spark, sf_dir):
     return done.select("image_id", F.regexp_extract("cluster", ":(\\d+)$", 1).cast("bigint").alias("cluster"), *[F.round(F.get("pixels", F.lit(n)), 5).alias(c) for n, c in enumerate(("first", "second"))])
 
 
+_KEYED = "CASE WHEN k // 10000 % 2 = 1 THEN 'a' || k // 250 WHEN k // 100 % 10 = 3 THEN 'c' || k ELSE 'b' || k // 50 END"
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT {_KEYED} AS class, min(k) AS lo, max(k) AS hi, count(*) AS n FROM o GROUP BY 1), "
+    "l AS (SELECT *, CASE WHEN lo = hi THEN 2 WHEN lo // 100 = hi // 100 THEN 1 ELSE 0 END AS level FROM c), "
+    "u AS (SELECT *, min(level) OVER (PARTITION BY lo // 100) AS hundred, min(level) OVER (PARTITION BY lo // 10000) AS block FROM l) "
+    "SELECT CASE WHEN block = 0 THEN 't' || lo // 10000 WHEN hundred = 1 THEN 'h' || lo // 100 ELSE CAST(lo AS VARCHAR) END AS node, CAST(sum(n) AS BIGINT) AS n, count(*) AS classes FROM u GROUP BY 1"
+)
+def recode_large_taxonomy(spark, sf_dir):
+    """A node for every order key, hundred and ten thousand keys."""
+    k = F.col("o_orderkey")
+    orders = _table(spark, sf_dir, "orders").select(k)
+    root, last = Taxonomy("*"), orders.agg(F.max(k)).first()[0] or 0
+    for t in range(last // 10_000 + 1):
+        block = Taxonomy(f"t{t}")
+        for h in range(100 * t, min(100 * t + 100, last // 100 + 1)):
+            block.add_generalised(Taxonomy(f"h{h}").add_raw_values(range(100 * h, 100 * h + 100)))
+        root.add_generalised(block)
+    by = lambda letter, width: F.concat(F.lit(letter), F.floor(k / width).cast("string"))
+    classes = F.when(F.floor(k / 10_000) % 2 == 1, by("a", 250)).when(F.floor(k / 100) % 10 == 3, by("c", 1)).otherwise(by("b", 50))
+    found = GlobalRecoding({"o_orderkey": root}).generalise(orders.withColumn(GROUP, classes))
+    return found.groupBy(k.alias("node")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("classes"))
+
+
+class _NoMajority(PrivacyModel):
+    """A model of one's own: no brand makes up more than a share of a class."""
+
+    sensitive = "p_brand"
+
+    def __init__(self, most: float) -> None:
+        self.most = most
+
+    def holds(self, df, group):
+        return df.groupBy(group, self.sensitive).count().groupBy(group).agg((F.max("count") <= self.most * F.sum("count")).alias("ok"))
+
+    def holds_class(self, ranks, counts, shares, whole):
+        return bool(counts.max() <= self.most * counts.sum())
+
+
+@query("WITH b AS (SELECT p_size AS ec, p_brand, count(*) AS n FROM part GROUP BY ALL), c AS (SELECT ec, max(n) AS most, sum(n) AS n FROM b GROUP BY ec) SELECT ec, n >= 3 AND most <= 0.125 * n AS ok FROM c")
+def own_model(spark, sf_dir):
+    df = _table(spark, sf_dir, "part").select(F.col("p_size").alias("ec"), "p_brand")
+    return check(df, "ec", [KAnonymity(3), _NoMajority(0.125)])
+
+
 # -- schema algebra -----------------------------------------------------------
 @query(f"WITH {_release_sql()} SELECT {_COLS} FROM rel WHERE {_MEETS}")
 def mr_select(spark, sf_dir):

@@ -12,13 +12,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.sets import intervals_meet
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema
 from cloakframe.plans.roles import GROUP, RID, both, product, within
 
+#: Characters up to which a taxonomy's table is broadcast.
+MOST_SENT = 1 << 25
+
 
 class Taxonomy:
     """A tree of generalised values with raw values as its leaves."""
@@ -92,6 +95,14 @@ class Taxonomy:
         walk(self)
         return out
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(value, path) of every node and raw value."""
+        return spark.createDataFrame([(v, list(p)) for v, p in self.paths().items()], "value string, path array<string>")
+
+    def text_size(self) -> int:
+        """Characters of the table's values and paths."""
+        return sum(len(v) + sum(map(len, p)) for v, p in self.paths().items())
+
     def leaves(self) -> dict[str, list[str]]:
         """Raw values below every node, and below each raw value itself."""
         out = {str(n.value): [str(v) for v in n.raw_values()] for n in self.nodes()}
@@ -107,10 +118,6 @@ def _strings(values: Iterable[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def prefix_of(a: Column, b: Column) -> Column:
-    return F.slice(b, F.lit(1), F.size(a)) == a
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(same, False)
@@ -162,9 +169,6 @@ class GlobalRecoding(GeneralisedSchema):
     def quasi_identifier(self):
         return list(self.taxonomies)
 
-    def _path(self, column: str, value: Column) -> Column:
-        return _lookup({v: _strings(p) for v, p in self.taxonomies[column].paths().items()}, value)
-
     def _leaves(self, column: str, value: Column) -> Column:
         return _lookup({v: _strings(x) for v, x in self.taxonomies[column].leaves().items()}, value)
 
@@ -186,15 +190,23 @@ class GlobalRecoding(GeneralisedSchema):
         if partition is not None:
             df = df.join(partition.select(RID, group), RID)
         columns = list(self.taxonomies)
-        paths = df.select(group, *self.unaltered, *[self._path(c, F.col(c)).alias(f"__{c}") for c in columns])
+        small = {c: t.text_size() <= MOST_SENT for c, t in self.taxonomies.items()}
+        hint = lambda df, c: F.broadcast(df) if small[c] else df
+        paths = df.select(group, *self.unaltered, *[F.col(c).cast("string").alias(f"__{c}") for c in columns])
+        for c in columns:
+            nodes = self.taxonomies[c].table(df.sparkSession).select(F.col("value").alias("__value"), F.col("path").alias("__path"))
+            paths = paths.join(hint(nodes, c), F.col(f"__{c}") == F.col("__value"), "left").drop("__value", f"__{c}").withColumnRenamed("__path", f"__{c}")
         by = paths.groupBy(group, *self.unaltered).agg(F.count(F.lit(1)).alias(COUNT), *[f(f"__{c}").alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
         whole = Window.partitionBy(group)
         lowest = by.select(*self.unaltered, COUNT, *[common_prefix(F.min(f"__lo_{c}").over(whole), F.max(f"__hi_{c}").over(whole)).alias(f"__{c}") for c in columns])
-        # nodes in use: no more than the taxonomies have
-        used = lowest.agg(*[F.collect_set(f"__{c}").alias(f"__used_{c}") for c in columns])
-        placed = lowest.crossJoin(F.broadcast(used))
-        top = lambda c: F.array_min(F.transform(F.filter(f"__used_{c}", lambda p: prefix_of(p, F.col(f"__{c}"))), lambda p: F.struct(F.size(p).alias("n"), F.element_at(p, -1).alias("v"))))["v"]
-        return placed.select(*[top(c).alias(c) for c in columns], *self.unaltered, COUNT)
+        lifted = lowest
+        for c in columns:
+            # a row for each node in use: the highest node in use on its path
+            used = lowest.select(F.col(f"__{c}").alias("__node")).filter(F.col("__node").isNotNull()).distinct()
+            above = used.select("__node", F.explode(F.transform(F.sequence(F.lit(1), F.size("__node")), lambda n: F.slice("__node", F.lit(1), n))).alias("__above"))
+            tops = above.join(used.select(F.col("__node").alias("__above")), "__above").groupBy("__node").agg(F.min(F.struct(F.size("__above").alias("n"), F.element_at("__above", -1).alias("v")))["v"].alias(f"__top_{c}"))
+            lifted = lifted.join(hint(tops, c), F.col(f"__{c}") == F.col("__node"), "left").drop("__node")
+        return lifted.select(*[F.col(f"__top_{c}").alias(c) for c in columns], *self.unaltered, COUNT)
 
     def _place(self, column: str, value: Column) -> tuple[Column, Column]:
         """A node's first and last place in a walk over the tree; those of nodes below lie within."""

@@ -44,20 +44,15 @@ def buckets_for(counts: dict[str, int], domain: Sequence[str], m: int) -> list[t
             out.append(([(v, left.get(v, 0)) for v in values], rows))
             return out
         for size in range(m, len(ordered) + 1):
-            rest = ordered[size:]
             rows = left[ordered[size - 1]]
-            if rest:
-                # the rest stays eligible: its largest count times m is at most what is left
-                while rows > 0:
-                    after = [left[v] - rows for v in ordered[:size]] + [left[v] for v in rest]
-                    if max(after) * m <= sum(after):
-                        break
-                    rows -= 1
-            elif any(left[v] != rows for v in ordered):
-                after = [left[v] - rows for v in ordered]
-                if max(after) * m > sum(after):
-                    rows = 0
-            if rows:
+            if size < len(ordered):
+                # what is left stays eligible: no value has more than 1/m of total - size * rows
+                rows = min(rows, (total - left[ordered[size]] * m) // size)
+                if size > m:
+                    rows = min(rows, (total - most * m) // (size - m))
+            elif (most - rows) * m > total - size * rows:
+                rows = 0
+            if rows > 0:
                 break
         else:
             size, rows = len(ordered), most

@@ -8,7 +8,7 @@ from cloakframe.operators.components import PrincipalComponents
 from cloakframe.operators.images import KSame
 from cloakframe.operators.models import EARTH_MOVER, MAX_DISTANCE, Distance, DistinctLDiversity, KAnonymity, PrivacyModel, TCloseness, check
 from cloakframe.operators.mondrian import Mondrian, numbered, searched_medians
-from cloakframe.operators.republication import MInvariance
+from cloakframe.operators.republication import MInvariance, buckets_for
 from cloakframe.plans.roles import GROUP, RID, with_row_id
 
 
@@ -342,3 +342,101 @@ def test_k_same_of_no_images_and_of_equal_ones(spark):
         assert KSame(3, variant, "mdav").anonymise(spark.createDataFrame([], form)).count() == 0
         same = KSame(3, variant, "mdav").anonymise(spark.createDataFrame([(i, [0.1, 0.7]) for i in range(10)], form), None).toPandas()
         assert sorted(same["cluster"].value_counts()) == [3, 3, 4] and all(np.allclose(p, [0.1, 0.7]) for p in same["pixels"])
+
+
+def plain_buckets(counts, domain, m):
+    """The same plan by trying every number of rows."""
+    left, out = {v: n for v, n in counts.items() if n}, []
+    eligible = lambda c: max(c, default=0) * m <= sum(c)
+    while left:
+        ordered = sorted(left, key=lambda v: (-left[v], v))
+        if not eligible(left.values()) or len(left) < m:
+            more = [v for v in sorted(domain, key=lambda v: (counts.get(v, 0), v)) if v not in left]
+            values = (ordered + more)[: max(m, len(ordered))]
+            return [*out, ([(v, left.get(v, 0)) for v in values], max(left.values()))]
+        options = ((size, rows) for size in range(m, len(ordered) + 1) for rows in range(left[ordered[size - 1]], 0, -1) if (size < len(ordered) or rows == left[ordered[-1]]) and eligible([left[v] - rows * (v in ordered[:size]) for v in left]))
+        size, rows = next(options, (len(ordered), max(left.values())))
+        out.append(([(v, min(rows, left[v])) for v in ordered[:size]], rows))
+        left = {v: n - min(rows, n) * (v in ordered[:size]) for v, n in left.items()}
+        left = {v: n for v, n in left.items() if n}
+    return out
+
+
+def test_buckets_equal_a_plain_search():
+    draw = np.random.default_rng(9)
+    for _ in range(300):
+        m, values = int(draw.integers(2, 5)), [f"v{i}" for i in range(draw.integers(5, 9))]
+        counts = {v: int(n) for v, n in zip(values, draw.integers(0, 15, len(values)), strict=True)}
+        assert buckets_for(counts, values, m) == plain_buckets(counts, values, m)
+
+
+def test_buckets_of_many_rows_and_values():
+    draw = np.random.default_rng(10)
+    values = [f"v{i:04d}" for i in range(2_000)]
+    counts = {v: int(n) for v, n in zip(values, draw.integers(1, 1_000_000, len(values)), strict=True)}
+    plan = buckets_for(counts, values, 3)
+    placed = dict.fromkeys(values, 0)
+    for parts, _ in plan:
+        for v, n in parts:
+            placed[v] += n
+    assert placed == counts and all(len(parts) >= 3 for parts, _ in plan)
+
+
+def plain_releases(tables, m):
+    """Classes {ID: (class, members' values)} and counterfeits of each release, row by row."""
+    from collections import Counter, defaultdict
+
+    before, out = {}, []
+    for table in tables:
+        rows = {r[0]: (r[1], (*r[2:], r[0])) for r in table}
+        held, need, buckets = defaultdict(lambda: defaultdict(list)), {}, {}
+        for i, (s, _) in rows.items():
+            if i in before and before[i][0] == s:
+                held[before[i][1]][s].append(i)
+        new = defaultdict(list)
+        for i in sorted((i for i in rows if not (i in before and before[i][0] == rows[i][0])), key=lambda i: rows[i][1]):
+            new[rows[i][0]].append(i)
+        for sig, by in held.items():
+            need[sig] = max(map(len, by.values()))
+        for s in {s for sig in held for s in sig}:
+            for sig in sorted((sig for sig in held if s in sig), key=lambda sig: "[" + ",".join(f'"{v}"' for v in sig) + "]"):
+                gap = need[sig] - len(held[sig][s])
+                held[sig][s] += new[s][:gap]
+                new[s] = new[s][gap:]
+        domain = sorted({s for s, _ in rows.values()} | {s for s, _ in before.values()})
+        for n, (parts, size) in enumerate(plain_buckets({s: len(x) for s, x in new.items()}, domain, m)):
+            buckets[n] = ({s: new[s][:real] for s, real in parts}, size)
+            for s, real in parts:
+                new[s] = new[s][real:]
+        members, fakes, signature = {}, Counter(), {}
+        for by, size in [*(({s: held[sig][s] for s in sig}, need[sig]) for sig in held), *buckets.values()]:
+            for j in range(size):
+                real = {s: sorted(ids, key=lambda i: rows[i][1])[j] if j < len(ids) else None for s, ids in by.items()}
+                ids = tuple(sorted(i for i in real.values() if i is not None))
+                for s, i in real.items():
+                    if i is None:
+                        fakes[(ids, s)] += 1
+                    else:
+                        members[i], signature[i] = ids, tuple(sorted(by))
+        before = {i: (rows[i][0], signature[i]) for i in rows}
+        out.append((members, dict(fakes)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_m_invariance_equals_a_plain_version(spark, seed):
+    """Every row's class and every counterfeit, over three releases."""
+    draw = np.random.default_rng(seed)
+    everyone = [(i, f"s{draw.choice(6, p=[0.3, 0.25, 0.2, 0.1, 0.1, 0.05])}", int(draw.integers(5)), int(draw.integers(3))) for i in range(120)]
+    tables = [[r for r in everyone if low <= r[0] < high] for low, high in ((0, 80), (25, 110), (40, 120))]
+    model, last = MInvariance(3, ("QI1", "QI2"), "S"), (None, None, None)
+    for table, (members, fakes) in zip(tables, plain_releases(tables, 3), strict=True):
+        df = spark.createDataFrame(table, "ID bigint, S string, QI1 int, QI2 int")
+        partition, counterfeits = model.partition(df, *last)
+        last = (df, partition, counterfeits)
+        classes = {}
+        for r in partition.collect():
+            classes.setdefault(r[GROUP], []).append(r["ID"])
+        ids = {g: tuple(sorted(x)) for g, x in classes.items()}
+        assert {i: x for x in ids.values() for i in x} == members
+        assert {(ids.get(r[GROUP], ()), r["S"]): r["n"] for r in counterfeits.collect()} == fakes
