@@ -961,7 +961,7 @@ def generated_queries(spark, sf_dir):
     for s in _SELECTIVITIES:
         for column, r in made.generate(3, s).items():
             domain, interval = made.domains[column], isinstance(r, tuple)
-            rows.append((s, column, r[1] - r[0] if interval else len(r), domain[0] <= r[0] and r[1] <= domain[1] if interval else r <= set(domain)))
+            rows.append((s, column, r[1] - r[0] if interval else len(r), domain[0] <= r[0] and r[1] <= domain[1] if interval else domain.table.filter(F.col("value").isin(r)).count() == len(r)))
         rows.append((s, "none", len(made.generate(0, s)), True))
     return spark.createDataFrame(rows, "selectivity double, column string, size bigint, inside boolean")
 
@@ -976,4 +976,18 @@ def category_distance(spark, sf_dir):
 def attribute_domains(spark, sf_dir):
     raw = PreparedRelease(RAW.generalise(_part(spark, sf_dir).select("p_size", "p_type", "p_brand")), RAW, ("p_size", "p_type"))
     found = CountingQueryGenerator(raw, seed=1).domains
-    return spark.createDataFrame([(*found["p_size"], ",".join(found["p_type"]))], "min_size int, max_size int, types string")
+    low, high = found["p_size"]
+    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ",")
+    return found["p_type"].table.agg(F.lit(low).alias("min_size"), F.lit(high).alias("max_size"), types.alias("types"))
+
+
+@query("SELECT round(0.02 * count(DISTINCT o_orderkey))::BIGINT AS drawn, round(0.02 * count(DISTINCT o_orderkey))::DOUBLE AS estimate, count(DISTINCT o_orderkey) AS last_rank FROM orders")
+def generated_wide(spark, sf_dir):
+    """A query over a column that has a value for each row: the rows that meet it are as many as its values."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    raw = RawData(("key",), (), ("key",))
+    prepared = PreparedRelease(raw.generalise(orders), raw, ("key",))
+    made = CountingQueryGenerator(prepared, seed=3)
+    wanted = made.generate(1, 0.02)
+    ranks = made.domains["key"].table.agg((F.max("rank") + 1).alias("last_rank"))
+    return counting_query(wanted, prepared).select(F.lit(len(wanted["key"])).cast("bigint").alias("drawn"), "estimate").crossJoin(F.broadcast(ranks))

@@ -6,12 +6,14 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.operators.models import MOST_VALUES
 from cloakframe.operators.schemas import COUNT, GeneralisedSchema, RawData
-from cloakframe.plans.roles import GROUP, Query, column_roles, product, row
+from cloakframe.plans.cut import cut
+from cloakframe.plans.roles import GROUP, Query, column_roles, number_rows, product, row
 
 
 @dataclass(frozen=True)
@@ -75,8 +77,27 @@ def counting_query_error(query: Query, original: PreparedRelease, anonymised: Pr
     return both.select("truth", "estimate", error.alias("error"))
 
 
+@dataclass(frozen=True)
+class ValueDomain:
+    """The distinct values of a column as a table (rank, value), numbered from 0 in their order; nulls are no values."""
+
+    table: DataFrame
+    size: int
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> ValueDomain:
+        values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
+        table = cut(number_rows(values, "value", name="rank").select("rank", "value"))
+        return cls(table, table.count())
+
+    def draw(self, n: int, source: random.Random) -> set:
+        """``n`` values, drawn by rank: the driver gets these only."""
+        ranks = self.table.sparkSession.createDataFrame(pd.DataFrame({"rank": np.array(source.sample(range(self.size), n), dtype=np.int64)}), "rank bigint")
+        return {r["value"] for r in self.table.join(ranks, "rank").select("value").collect()}
+
+
 class CountingQueryGenerator:
-    """Random counting queries over the domains of an original table."""
+    """Random counting queries over the domains of an original table, however many values they have."""
 
     def __init__(self, prepared: PreparedRelease, seed: int | None = None) -> None:
         schema, df = prepared.schema, prepared.release
@@ -85,12 +106,8 @@ class CountingQueryGenerator:
         self.quasi_identifier, self.random = prepared.quasi_identifier, random.Random(seed)
         numeric = [c for c in schema.integer if c in df.columns]
         sets = [c for c in schema.categorical if c in df.columns]
-        if sets:
-            sizes = df.agg(*[F.count_distinct(c).alias(c) for c in sets]).first()
-            if wide := [c for c in sets if sizes[c] > MOST_VALUES]:
-                raise ValueError(f"queries are drawn from at most {MOST_VALUES} values a column: {', '.join(wide)}")
-        found = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in numeric], *[F.array_sort(F.collect_set(c)).alias(c) for c in sets]).first()
-        self.domains = {c: (found[c]["lo"], found[c]["hi"]) for c in numeric} | {c: list(found[c]) for c in sets}
+        found = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in numeric]).first() if numeric else {}
+        self.domains = {c: (found[c]["lo"], found[c]["hi"]) for c in numeric} | {c: ValueDomain.of(df, c) for c in sets}
 
     def generate(self, num_predicates: int, expected_selectivity: float, use_sensitive: bool = True) -> Query:
         """Predicates on random columns, each of the same weight; the weights multiply to the selectivity."""
@@ -103,8 +120,8 @@ class CountingQueryGenerator:
         return {c: self._predicate(self.domains[c], weight) for c in self.random.sample(columns, num_predicates)}
 
     def _predicate(self, domain, weight: float):
-        if isinstance(domain, list):
-            return set(self.random.sample(domain, round(weight * len(domain))))
+        if isinstance(domain, ValueDomain):
+            return domain.draw(round(weight * domain.size), self.random)
         low, high = domain
         width = round(weight * (high - low))
         start = self.random.randint(low, high - width)

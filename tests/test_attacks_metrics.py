@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators.attackers import IntersectionAttacker, split_columns
 from cloakframe.operators.cover import SearchBudgetError, cover_rows, rows_in_solutions
-from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
+from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, ValueDomain, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
 from cloakframe.operators.overlap import overlap_join
 from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, RawData
@@ -423,3 +423,19 @@ def test_components_of_chains_and_stars(spark):
     target = spark.createDataFrame([(c,) for c in names], "col_id bigint")
     got = {r["col_id"]: r["part"] for r in components(rows, target).collect()}
     assert got == {**dict.fromkeys(names[:300], min(names[:300])), **dict.fromkeys(names[300:500], min(names[300:500])), **{c: c for c in names[500:]}}
+
+
+def test_drawn_values_are_those_of_a_plain_draw(spark):
+    """By rank in the order of values; nulls are no values."""
+    import random
+
+    values = [None, *(f"v{(i * 7919) % 5000}" for i in range(9000))]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    domain = ValueDomain.of(df, "v")
+    plain = sorted({v for v in values if v is not None})
+    assert domain.size == len(plain)
+    assert [r["value"] for r in domain.table.orderBy("rank").collect()] == plain
+    assert domain.draw(1200, random.Random(4)) == set(random.Random(4).sample(plain, 1200))
+    assert domain.draw(0, random.Random(4)) == set()
+    assert domain.draw(len(plain), random.Random(4)) == set(plain)
+    assert ValueDomain.of(df.limit(0), "v").size == 0
