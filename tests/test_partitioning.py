@@ -440,3 +440,19 @@ def test_m_invariance_equals_a_plain_version(spark, seed):
         ids = {g: tuple(sorted(x)) for g, x in classes.items()}
         assert {i: x for x in ids.values() for i in x} == members
         assert {(ids.get(r[GROUP], ()), r["S"]): r["n"] for r in counterfeits.collect()} == fakes
+
+
+@pytest.mark.parametrize("models", [(KAnonymity(2), DistinctLDiversity(1, "s")), (KAnonymity(2), TCloseness(1.0, "s"))])
+def test_estimated_sizes_do_not_grow_with_levels(spark, monkeypatch, models):
+    seen = []
+    split = Mondrian._split
+
+    def watched(me, active, bounds, *rest):
+        seen.append([int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (active, bounds)])
+        return split(me, active, bounds, *rest)
+
+    monkeypatch.setattr(Mondrian, "_split", watched)
+    df = spark.range(128).select(F.col("id").alias("_rid"), F.col("id").alias("x"), (F.col("id") % 3).cast("string").alias("s"))
+    found = Mondrian(models, ("x",), local_rows=3).partition(df)
+    assert found.count() == 128
+    assert len(seen) >= 5 and max(max(x) for x in seen) < 1 << 40
