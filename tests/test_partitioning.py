@@ -456,3 +456,9 @@ def test_estimated_sizes_do_not_grow_with_levels(spark, monkeypatch, models):
     found = Mondrian(models, ("x",), local_rows=3).partition(df)
     assert found.count() == 128
     assert len(seen) >= 5 and max(max(x) for x in seen) < 1 << 40
+
+
+@pytest.mark.parametrize("algorithm", ["random", "mdav"])
+def test_blocks_leave_over_what_one_block_would(spark, algorithm):
+    found = groups(Clustering(3, ("age", "w"), algorithm, block_rows=50).partition(people(spark, 400)))
+    assert sorted(map(len, found)) == [3] * 132 + [4]
