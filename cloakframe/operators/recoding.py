@@ -109,6 +109,29 @@ class Taxonomy:
         return out | {str(v): [str(v)] for v in self.raw_values()}
 
 
+@dataclass(frozen=True)
+class TaxonomyTable:
+    """A taxonomy too large for the driver: a table (value string, path array<string>) of its nodes and raw values.
+
+    Paths begin at the root and end with the value.  It serves ``generalise``;
+    record functions hold a taxonomy in the plan, and so need a ``Taxonomy``.
+    """
+
+    nodes_with_paths: DataFrame
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return self.nodes_with_paths.select("value", "path")
+
+    def text_size(self) -> int:
+        return MOST_SENT + 1
+
+    def leaves(self) -> dict[str, list[str]]:
+        raise ValueError("record functions need a Taxonomy, not a table")
+
+    def places(self) -> dict[str, tuple[int, int]]:
+        raise ValueError("record functions need a Taxonomy, not a table")
+
+
 def _lookup(values: Mapping[str, Column], at: Column) -> Column:
     flat = [x for k, v in values.items() for x in (F.lit(k), v)]
     return F.try_element_at(F.create_map(*flat), at.cast("string"))
@@ -126,7 +149,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class GlobalRecoding(GeneralisedSchema):
-    taxonomies: dict[str, Taxonomy] = field(default_factory=dict)
+    taxonomies: dict[str, Taxonomy | TaxonomyTable] = field(default_factory=dict)
     unaltered: tuple[str, ...] = ()
 
     @classmethod
@@ -159,6 +182,8 @@ class GlobalRecoding(GeneralisedSchema):
     def to_json_dict(self):
         trees = {}
         for column, root in self.taxonomies.items():
+            if isinstance(root, TaxonomyTable):
+                raise ValueError(f"{column}: a taxonomy's table is not part of a schema file")
             nodes = list(root.nodes())
             trees[column] = {"generalised": [n.value for n in nodes], "definitions": {n.value: [c.value for c in n.children] or sorted(n.raw, key=str) for n in nodes}}
         return {"taxonomy": trees, "unaltered": list(self.unaltered)}

@@ -7,7 +7,7 @@ from cloakframe.operators.attackers import IntersectionAttacker, split_columns
 from cloakframe.operators.cover import SearchBudgetError, cover_rows, rows_in_solutions
 from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, ValueDomain, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
 from cloakframe.operators.overlap import overlap_join
-from cloakframe.operators.recoding import GlobalRecoding, Taxonomy
+from cloakframe.operators.recoding import GlobalRecoding, Taxonomy, TaxonomyTable
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, RawData
 from cloakframe.operators.trajectories import TrajectoryAttacker
 from cloakframe.plans.roles import of
@@ -439,3 +439,10 @@ def test_drawn_values_are_those_of_a_plain_draw(spark):
     assert domain.draw(0, random.Random(4)) == set()
     assert domain.draw(len(plain), random.Random(4)) == set(plain)
     assert ValueDomain.of(df.limit(0), "v").size == 0
+
+
+def test_recoding_by_a_table_of_the_taxonomy(spark):
+    tree = Taxonomy("any").add_generalised(Taxonomy("low").add_raw_values([1, 2])).add_generalised(Taxonomy("high").add_raw_values([3, 4]))
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (3, 1), (4, 2)], "v int, group_id int")
+    want, got = (GlobalRecoding({"v": t}).generalise(df) for t in (tree, TaxonomyTable(tree.table(spark))))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
