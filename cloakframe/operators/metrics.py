@@ -15,6 +15,8 @@ from cloakframe.operators.schemas import COUNT, GeneralisedSchema, RawData
 from cloakframe.plans.cut import cut
 from cloakframe.plans.roles import GROUP, Query, column_roles, number_rows, product, row
 
+MOST_LISTED = 1_000  # drawn values that are part of a query's plan; more are a table
+
 
 @dataclass(frozen=True)
 class PreparedRelease:
@@ -56,6 +58,30 @@ def discernibility_penalty(prepared: PreparedRelease) -> DataFrame:
     return prepared.classes.agg(F.coalesce(F.sum(F.col("group_size") * F.col("group_size")), F.lit(0)).alias("penalty"))
 
 
+@dataclass(frozen=True)
+class DrawnValues:
+    """Many values of a predicate, as a table (value): rows meet it by a join, so the plan doesn't hold them."""
+
+    table: DataFrame
+    size: int
+
+    def __len__(self) -> int:
+        return self.size
+
+
+def _joined(query: Query, prepared: PreparedRelease) -> tuple[Query, PreparedRelease]:
+    """The query without its tables of values, and what meets these of the release."""
+    rows, rest = prepared.release, {}
+    for c, r in query.items():
+        if not isinstance(r, DrawnValues):
+            rest[c] = r
+        elif prepared.schema.is_exact(c):
+            rows = rows.join(r.table.select(F.col("value").alias("__drawn")), F.col(f"`{c}`") == F.col("__drawn"), "left_semi")
+        else:  # regions hold several values: their shares need the values themselves
+            rest[c] = {x["value"] for x in r.table.collect()}
+    return rest, PreparedRelease(rows, prepared.schema, prepared.quasi_identifier)
+
+
 def estimate(query: Query, prepared: PreparedRelease) -> Column:
     """What a row of the release adds to a counting query: its count times the share of its region inside the query."""
     schema, a = prepared.schema, row()
@@ -66,6 +92,7 @@ def estimate(query: Query, prepared: PreparedRelease) -> Column:
 
 def counting_query(query: Query, prepared: PreparedRelease) -> DataFrame:
     """One row: the estimated count of raw records that meet ``query``."""
+    query, prepared = _joined(query, prepared)
     rows = prepared.schema.select(prepared.release, query)
     return rows.agg(F.coalesce(F.sum(estimate(query, prepared)), F.lit(0.0)).alias("estimate"))
 
@@ -95,6 +122,18 @@ class ValueDomain:
         ranks = self.table.sparkSession.createDataFrame(pd.DataFrame({"rank": np.array(source.sample(range(self.size), n), dtype=np.int64)}), "rank bigint")
         return {r["value"] for r in self.table.join(ranks, "rank").select("value").collect()}
 
+    def draw_table(self, n: int, source: random.Random) -> DrawnValues:
+        """The same as a table: those whose ranks have the ``n`` smallest hashes."""
+        seed = source.getrandbits(62)
+        hashed = self.table.withColumn("__h", F.xxhash64("rank", F.lit(seed)))
+        # about n of them lie below the n-th; only a few more are put in order
+        share = (n + 10 * n**0.5 + 100) / max(1, self.size)
+        near = hashed.filter(F.col("__h") < F.lit(int(share * 2.0**64) - (1 << 63))) if share < 1 else hashed
+        drawn = number_rows(near, "__h", "rank", name="__place")
+        if share < 1 and near.count() < n:
+            drawn = number_rows(hashed, "__h", "rank", name="__place")
+        return DrawnValues(cut(drawn.filter(F.col("__place") < n).select("value")), n)
+
 
 class CountingQueryGenerator:
     """Random counting queries over the domains of an original table, however many values they have."""
@@ -121,7 +160,8 @@ class CountingQueryGenerator:
 
     def _predicate(self, domain, weight: float):
         if isinstance(domain, ValueDomain):
-            return domain.draw(round(weight * domain.size), self.random)
+            n = round(weight * domain.size)
+            return domain.draw(n, self.random) if n <= MOST_LISTED else domain.draw_table(n, self.random)
         low, high = domain
         width = round(weight * (high - low))
         start = self.random.randint(low, high - width)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators.attackers import IntersectionAttacker, split_columns
 from cloakframe.operators.cover import SearchBudgetError, cover_rows, rows_in_solutions
-from cloakframe.operators.metrics import CountingQueryGenerator, PreparedRelease, ValueDomain, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
+from cloakframe.operators.metrics import CountingQueryGenerator, DrawnValues, PreparedRelease, ValueDomain, counting_query, counting_query_error, discernibility_penalty, normalise_prediction, percentage_of_vulnerable_population
 from cloakframe.operators.overlap import overlap_join
 from cloakframe.operators.recoding import GlobalRecoding, Taxonomy, TaxonomyTable
 from cloakframe.operators.schemas import HumanReadable, MachineReadable, RawData
@@ -446,3 +446,15 @@ def test_recoding_by_a_table_of_the_taxonomy(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (3, 1), (4, 2)], "v int, group_id int")
     want, got = (GlobalRecoding({"v": t}).generalise(df) for t in (tree, TaxonomyTable(tree.table(spark))))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_many_drawn_values_are_a_table(spark):
+    raw = RawData(("v",), (), ("v",))
+    df = spark.range(6000).select(F.concat(F.lit("v"), "id").alias("v"))
+    prepared = PreparedRelease(raw.generalise(df.union(df.limit(0))), raw, ("v",))
+    wanted = CountingQueryGenerator(prepared, seed=5).generate(1, 0.25)["v"]
+    assert isinstance(wanted, DrawnValues) and len(wanted) == 1500
+    values = {r["value"] for r in wanted.table.collect()}
+    assert len(values) == 1500 and values != {r["value"] for r in CountingQueryGenerator(prepared, seed=6).generate(1, 0.25)["v"].table.collect()}
+    found = counting_query({"v": wanted}, prepared)
+    assert found.first()["estimate"] == 1500 and "v123" not in found._jdf.queryExecution().logical().toString()
