@@ -211,3 +211,19 @@ def overlap_join(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSc
     pairs = region_pairs(k, g, schema, on).select("k_id", "g_id")  # numbers only: regions may have hundreds of columns
     with_r = pairs.join(of_region(release, g, physical, "g", whole(release, "r")), "g_id")
     return with_r.join(of_region(knowledge, k, physical, "k", whole(knowledge, "k").alias("__row")), "k_id").select(F.col("__row").alias("k"), "r")
+
+
+def overlap_shared(knowledge: DataFrame, release: DataFrame, schema: GeneralisedSchema, on: Sequence[str], left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """(``left`` columns of the knowledge, what both share on ``on``, ``right`` columns of the release) of records that overlap.
+
+    What records share depends on their regions, so it is found once for a pair
+    of regions, however many records have them.
+    """
+    physical = [c for n in on for c in schema.physical(n)]
+    quoted = lambda names: [F.col(f"`{c}`") for c in names]
+    k, g = regions(knowledge, physical, "k"), regions(release, physical, "g")
+    shared = {c: v.alias(c) for c, v in schema.shared(_field("k"), _field("g"), on).items()}
+    pairs = cut(region_pairs(k, g, schema, on).select("k_id", "g_id", *shared.values()))
+    with_r = pairs.join(of_region(release, g, physical, "g", *quoted(right)), "g_id")
+    rows = of_region(knowledge, k, physical, "k", *[c.alias(f"__left{n}") for n, c in enumerate(quoted(left))])
+    return with_r.join(rows, "k_id").select(*[F.col(f"__left{n}").alias(c) for n, c in enumerate(left)], *quoted(shared), *quoted(right))

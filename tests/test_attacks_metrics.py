@@ -458,3 +458,13 @@ def test_many_drawn_values_are_a_table(spark):
     assert len(values) == 1500 and values != {r["value"] for r in CountingQueryGenerator(prepared, seed=6).generate(1, 0.25)["v"].table.collect()}
     found = counting_query({"v": wanted}, prepared)
     assert found.first()["estimate"] == 1500 and "v123" not in found._jdf.queryExecution().logical().toString()
+
+
+def test_what_is_shared_is_found_by_region(spark):
+    from cloakframe.operators.overlap import overlap_shared
+
+    k = spark.createDataFrame([(1, 0, 5), (2, 0, 5), (3, 9, 9)], "ID int, x_min int, x_max int")
+    r = spark.createDataFrame([(4, 7, "a"), (5, 5, "b"), (8, 8, "c")], "x_min int, x_max int, s string")
+    found = overlap_shared(k, r, MachineReadable({}, ("x",), ("s",)), ["x"], ["ID"], ["s"])
+    assert found.columns == ["ID", "x_min", "x_max", "s"]
+    assert sorted(map(tuple, found.collect())) == [(1, 4, 5, "a"), (1, 5, 5, "b"), (2, 4, 5, "a"), (2, 5, 5, "b")]
