@@ -6,8 +6,10 @@ never both ways.  For each way one side is cut into dyadic cells, at most two a
 level, which are apart from each other; the other side's beginning lies in one
 cell of each level.  So two regions come together in one cell at most, and only
 if their intervals meet: there are no other candidates, however wide some
-regions are.  Cells are numbered by places, either whole numbers of a small range
-or the ranks of all ends, so it doesn't matter how values are spread.
+regions are.  No cell is larger than the widest interval, and no level above that
+is looked at.  Cells are numbered by places, either whole numbers (where no
+interval is very wide) or the ranks of all ends, so it doesn't matter how values
+are spread.
 
 Sets and taxonomies meet in a value they share.  Columns that must be equal are
 part of every key.  Cells in which very many pairs come together are parted into
@@ -27,7 +29,8 @@ from cloakframe.plans.cut import cut
 from cloakframe.plans.roles import Record, number_rows
 
 MOST_PAIRS = 20_000_000
-MOST_PLACES = 1 << 20  # whole numbers of a wider range are ranked
+MOST_PLACES = 1 << 20  # ends of intervals are ranked where one is wider
+FARTHEST = 1 << 60  # and where whole numbers lie further apart
 FEW_PAIRS = 8  # candidates a region, up to which no other column is looked at
 MOST_TILED = 100_000  # tiled cells that are broadcast; more are joined
 WHOLE = ("tinyint", "smallint", "int", "bigint")
@@ -90,21 +93,24 @@ def _ranked(sides: list[DataFrame]) -> list[DataFrame]:
     return sides
 
 
-def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], sizes: tuple[int, int], low, high) -> DataFrame:
+def _by_interval(k: DataFrame, g: DataFrame, ends_k: tuple[Column, Column], ends_g: tuple[Column, Column], sizes: tuple[int, int], low, high, widest: tuple[float, float]) -> DataFrame:
     if low is None:
         return k.join(g, F.lit(False)).select("k", "k_id", "g", "g_id")
     sides = []
     for df, x in ((k, ends_k), (g, ends_g)):
         ends = df.withColumn("__a", x[0]).withColumn("__b", x[1]).filter("__a is not null and __b is not null")
         sides.append(ends.withColumn("lo", F.least("__a", "__b")).withColumn("hi", F.greatest("__a", "__b")).drop("__a", "__b"))
-    if all(s.schema["lo"].dataType.simpleString() in WHOLE for s in sides) and high - low < MOST_PLACES:
+    if all(s.schema["lo"].dataType.simpleString() in WHOLE for s in sides) and max(widest) < MOST_PLACES and high - low < FARTHEST:
         sides = [s.withColumns({e: F.col(e).cast("bigint") - low for e in ("lo", "hi")}) for s in sides]
-        top = int(high - low + 1).bit_length()
     else:
         sides = [cut(s) for s in _ranked(sides)]
-        top = int(max(s.agg(F.max("hi")).first()[0] or 0 for s in sides) + 1).bit_length()
+        widest = [s.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0 for s in sides]
     out = None
     for n, m, first in ((0, 1, F.col("lo")), (1, 0, F.col("lo") + 1)):
+        places = int(widest[n]) + 1 - n
+        if not places:
+            continue
+        top = places.bit_length() - 1
         holding = _cells(sides[n].filter(first <= F.col("hi")), first, F.col("hi"), top).drop("lo", "hi")
         held = _points(sides[m], F.col("lo"), top).drop("lo", "hi")
         met = _tiles((holding, held), ["level", "cell", "__equal"], (sizes[n], sizes[m])).select("k", "k_id", "g", "g_id")
@@ -120,7 +126,7 @@ def _by_value(k: DataFrame, g: DataFrame, wanted: Column, held: Column, sizes: t
 
 
 def _measured(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, intervals: Sequence[str]) -> tuple[tuple[int, int], dict[str, tuple]]:
-    """Numbers of regions of both sides; for each interval column its lowest and highest end and the sum of both mean widths."""
+    """Numbers of regions of both sides; for each interval column its lowest and highest end, the sum of both mean widths, and both largest ones."""
     both = None
     for side, (df, name) in enumerate(((k, "k"), (g, "g"))):
         ends = []
@@ -130,19 +136,20 @@ def _measured(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, intervals:
         mine = df.select(F.lit(side).alias("side"), *ends)
         both = mine if both is None else both.union(mine)
     found = [f(F.col(f"{x}{i}")).alias(f"{x}{i}") for i in range(len(intervals)) for f, x in ((F.min, "a"), (F.max, "b"))]
-    widths = [F.avg(F.col(f"b{i}").cast("double") - F.col(f"a{i}").cast("double")).alias(f"w{i}") for i in range(len(intervals))]
+    width = lambda i: F.col(f"b{i}").cast("double") - F.col(f"a{i}").cast("double")
+    widths = [f(width(i)).alias(f"{x}{i}") for i in range(len(intervals)) for f, x in ((F.avg, "w"), (F.max, "x"))]
     rows = {r["side"]: r for r in both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), *found, *widths).collect()}
     stats = {}
     for i, c in enumerate(intervals):
         known = [r for r in rows.values() if r[f"a{i}"] is not None]
-        stats[c] = (min((r[f"a{i}"] for r in known), default=None), max((r[f"b{i}"] for r in known), default=None), sum(r[f"w{i}"] for r in known))
+        stats[c] = (min((r[f"a{i}"] for r in known), default=None), max((r[f"b{i}"] for r in known), default=None), sum(r[f"w{i}"] for r in known), tuple(rows[s][f"x{i}"] or 0.0 if s in rows else 0.0 for s in (0, 1)))
     return tuple(rows[s]["n"] if s in rows else 0 for s in (0, 1)), stats
 
 
 def _share_met(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, column: str, sizes: tuple[int, int], stats: dict[str, tuple]) -> float:
     """About what share of all pairs meet in a column: by mean widths, or by how often values occur."""
     if column in stats:
-        low, high, widths = stats[column]
+        low, high, widths, _ = stats[column]
         return 0.0 if low is None else min(1.0, (widths + 1.0) / (float(high) - float(low) + 1.0))
     values = lambda name, side: F.explode(F.array_distinct(schema.keys(_field(name), column)[side])).alias("v")
     both = k.select(values("k", 0), F.lit(1).alias("k"), F.lit(0).alias("g")).union(g.select(values("g", 1), F.lit(0), F.lit(1)))
@@ -184,7 +191,7 @@ def candidate_regions(k: DataFrame, g: DataFrame, schema: GeneralisedSchema, on:
         return _tiles((keyed[0], keyed[1]), ["__equal"], sizes).select("k", "k_id", "g", "g_id")
     best = _fewest_met(k, g, schema, inner, sizes, stats)
     if best in stats:
-        return _by_interval(*keyed, schema.bounds(_field("k"), best), schema.bounds(_field("g"), best), sizes, *stats[best][:2])
+        return _by_interval(*keyed, schema.bounds(_field("k"), best), schema.bounds(_field("g"), best), sizes, *stats[best][:2], stats[best][3])
     return _by_value(*keyed, schema.keys(_field("k"), best)[0], schema.keys(_field("g"), best)[1], sizes)
 
 

@@ -441,13 +441,6 @@ def test_drawn_values_are_those_of_a_plain_draw(spark):
     assert ValueDomain.of(df.limit(0), "v").size == 0
 
 
-def test_recoding_by_a_table_of_the_taxonomy(spark):
-    tree = Taxonomy("any").add_generalised(Taxonomy("low").add_raw_values([1, 2])).add_generalised(Taxonomy("high").add_raw_values([3, 4]))
-    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (3, 1), (4, 2)], "v int, group_id int")
-    want, got = (GlobalRecoding({"v": t}).generalise(df) for t in (tree, TaxonomyTable(tree.table(spark))))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_many_drawn_values_are_a_table(spark):
     raw = RawData(("v",), (), ("v",))
     df = spark.range(6000).select(F.concat(F.lit("v"), "id").alias("v"))
@@ -460,6 +453,30 @@ def test_many_drawn_values_are_a_table(spark):
     assert found.first()["estimate"] == 1500 and "v123" not in found._jdf.queryExecution().logical().toString()
 
 
+def test_intervals_are_held_against_no_level_above_the_widest(spark):
+    from cloakframe.operators import overlap
+
+    a = spark.range(500).select(F.col("id").alias("ID"), (F.col("id") * 10**7).alias("x_min"), (F.col("id") * 10**7 + 1).alias("x_max"))
+    b = spark.range(500).select((F.col("id") * 10**7 + F.col("id") % 3).alias("x_min"), (F.col("id") * 10**7 + F.col("id") % 3).alias("x_max"))
+    schema = MachineReadable({}, ("x",))
+    tops = []
+    points = overlap._points
+    overlap._points = lambda df, at, top: tops.append(top) or points(df, at, top)
+    try:
+        pairs = overlap_join(a, b, schema, ["x"]).select("k.ID").collect()
+    finally:
+        overlap._points = points
+    assert sorted(r["ID"] for r in pairs) == [i for i in range(500) if i % 3 < 2]
+    assert tops and max(tops) <= 1
+
+
+def test_recoding_by_a_table_of_the_taxonomy(spark):
+    tree = Taxonomy("any").add_generalised(Taxonomy("low").add_raw_values([1, 2])).add_generalised(Taxonomy("high").add_raw_values([3, 4]))
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (3, 1), (4, 2)], "v int, group_id int")
+    want, got = (GlobalRecoding({"v": t}).generalise(df) for t in (tree, TaxonomyTable(tree.table(spark))))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_what_is_shared_is_found_by_region(spark):
     from cloakframe.operators.overlap import overlap_shared
 
